@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provisio.llm import lm_scoring, packing, pii, quality_classifier, quality_rules, storage, token_counts
+from provisio.llm import lm_scoring, packing, pii, quality_classifier, quality_rules, storage, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), storage.scratch(spark, "token-cache"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_words(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +44,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op5_best_fit_packing, op6_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_pii)
+    f.__name__: f for f in (op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_pii)
 }
 SQL: dict[str, str] = {}

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provisio.llm import lm_scoring, packing, pii, quality_classifier, quality_rules, storage, substring_dedup, token_counts
+from provisio.llm import jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, storage, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that a call never profits from an earlier one."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), storage.scratch(spark, "token-cache"))
@@ -44,6 +48,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_pii)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_pii)
 }
 SQL: dict[str, str] = {}

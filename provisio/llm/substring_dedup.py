@@ -25,11 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provisio.llm import storage
+from provisio.llm.bitmap import bitmap
 from provisio.llm.words import Texts, _powers, inside, mix, slices, windows
 
-#: Bits of the bitmap of texts that have something to remove.
-BITS = 1 << 23
-
 _FIELDS = (("doc", np.int64), ("text", np.int64), ("start", np.int32), ("words", np.int32), ("bytes", np.int32))
 
 
@@ -215,21 +213,11 @@ def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = docs.select(doc.alias("doc"), F.xxhash64(words).alias("text"), words.alias("words"), F.col(id_col).alias("id"))
     sent = _sent(named, size, mer, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     spans = storage.written(_spans(sent, size), "removed-spans")
-    # texts with spans: a bit for each, at most BITS / 64 rows
-    rows = (
-        spans.select(F.expr(f"pmod(text, {BITS}L)").alias("slot"))
-        .groupBy(F.expr("slot div 64").alias("at"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-        .toPandas()
-    )
-    bitmap = np.zeros(BITS // 64, np.int64)
-    bitmap[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+    has = bitmap(spans, "text")
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.mod(batch.column(1).to_numpy(), BITS).astype(np.uint64)
-            yield batch.filter(pa.array((bitmap.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0))
+            yield batch.filter(pa.array(has(batch.column(1).to_numpy())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

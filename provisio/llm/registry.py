@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provisio.llm import jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, storage, substring_dedup, token_counts
+from provisio.llm import embedding_dedup, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, storage, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_pii)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op7_embedding_dedup, op8_lm_scoring, op9_quality_rules, op10_pii)
 }
 SQL: dict[str, str] = {}

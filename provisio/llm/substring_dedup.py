@@ -198,20 +198,20 @@ def _spans(sent: DataFrame, size: int) -> DataFrame:
     return sent.mapInArrow(decide, "doc long, text long, a int, b int")
 
 
-def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20, mer: int = 4, with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256, and kept_text if asked for.
+def _doc(id_col: str):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
-    A null text has no words; texts of fewer than ``size`` words lose nothing; a null id counts
-    as smaller than any other.  Equal rows (same id and text) are one document and get equal
-    results; rows of one id with different texts are told apart.  An empty table gives an empty
-    one; other columns, whatever their names, are not read.
-    """
+
+def _words(text_col: str):
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _changed(docs: DataFrame, id_col: str, text_col: str, size: int, mer: int) -> tuple[DataFrame, DataFrame]:
+    """The documents as (doc, text, words, id), and (doc, text, n_removed, sha, kept) of those that lose words."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    words = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.select(doc.alias("doc"), F.xxhash64(words).alias("text"), words.alias("words"), F.col(id_col).alias("id"))
-    sent = _sent(named, size, mer, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    named = docs.select(_doc(id_col).alias("doc"), F.xxhash64(_words(text_col)).alias("text"), _words(text_col).alias("words"), F.col(id_col))
+    sent = _sent(named.select("doc", "text", "words"), size, mer, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     spans = storage.written(_spans(sent, size), "removed-spans")
     has = bitmap(spans, "text")
 
@@ -231,20 +231,41 @@ def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 out += words[last:]
                 kept.append(b" ".join(out))
                 removed.append(len(words) - len(out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()) if with_text else pa.nulls(len(kept), pa.binary())], names=["doc", "text", "n_removed", "sha", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())], names=["doc", "text", "n_removed", "sha", "kept"])
+
+    by_text = spans.groupBy("doc", "text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    texts = named.select("doc", "text", "words").mapInArrow(some, "doc long, text long, words string").dropDuplicates(["doc", "text"])
+    changed = texts.join(by_text, ["doc", "text"]).select("doc", "text", "words", "spans").mapInArrow(cut, "doc long, text long, n_removed long, sha string, kept binary")
+    return named, changed
+
+
+def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20, mer: int = 4) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_sha256.
+
+    A null text has no words; texts of fewer than ``size`` words lose nothing; a null id counts
+    as smaller than any other.  Equal rows (same id and text) are one document and get equal
+    results; rows of one id with different texts are told apart.  An empty table gives an empty
+    one; other columns, whatever their names, are not read.
+    """
+    named, changed = _changed(docs, id_col, text_col, size, mer)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _ in slices(batch, "words"):
                 words = [x.as_py().split() for x in part.column(2).cast(pa.binary())]
-                joined = [b" ".join(w) for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined]), part.column(2).cast(pa.binary()) if with_text else pa.nulls(len(joined), pa.binary())], names=["doc", "text", "id", "n_words", "sha", "kept"])
+                sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(w) for w in words], pa.int64()), pa.array(sha)], names=["doc", "text", "id", "n_words", "sha"])
 
-    by_text = spans.groupBy("doc", "text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    changed = named.mapInArrow(some, named.schema).dropDuplicates(["doc", "text"]).join(by_text, ["doc", "text"]).select("doc", "text", "words", "spans").mapInArrow(cut, "doc long, text long, n_removed long, sha string, kept binary")
-    kind = docs.schema[id_col].dataType.simpleString()
-    every = named.mapInArrow(whole, f"doc long, text long, id {kind}, n_words long, sha string, kept binary")
-    out = every.join(changed.withColumnsRenamed({"sha": "new_sha", "kept": "new_kept"}), ["doc", "text"], "left").select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("new_sha", "sha").alias("kept_sha256"), F.coalesce("new_kept", "kept").cast("string").alias("kept_text")
-    )
-    return out if with_text else out.drop("kept_text")
+    every = named.withColumn("id", F.col(id_col)).select("doc", "text", "words", "id").mapInArrow(whole, f"doc long, text long, id {kind}, n_words long, sha string")
+    return every.join(changed.select("doc", "text", "n_removed", F.col("sha").alias("new_sha")), ["doc", "text"], "left").select(
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("new_sha", "sha").alias("kept_sha256")
+    )
+
+
+def shortened(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20, mer: int = 4) -> DataFrame:
+    """``docs`` with shortened texts: those that lose words have the others joined by one space; all rows stay."""
+    _, changed = _changed(docs, id_col, text_col, size, mer)
+    short = changed.select(F.col("doc").alias("__doc"), F.col("text").alias("__text"), F.col("kept").cast("string").alias("__kept"))
+    held = docs.withColumns({"__a": _doc(id_col), "__b": F.xxhash64(_words(text_col))}).join(short, (F.col("__a") == F.col("__doc")) & (F.col("__b") == F.col("__text")), "left")
+    return held.withColumn(text_col, F.coalesce("__kept", F.col(text_col))).drop("__a", "__b", "__doc", "__text", "__kept")

@@ -135,12 +135,24 @@ def _sent(docs: DataFrame, size: int, mer: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(send, "bucket int, decided boolean, blob binary")
 
 
+def _word_hashes(texts: Texts, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and where each text's begin, about ``most`` bytes at a time: hashing needs many times their size."""
+    hashes, counts, i = [], [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(texts.at, texts.at[i] + most, "right")) - 1)
+        part = Texts(texts.data[texts.at[i] : texts.at[j]], texts.at[i : j + 1] - texts.at[i])
+        start, end, first = part.split()
+        hashes.append(part.hashes(start, end))
+        counts.append(np.diff(first))
+        i = j
+    return np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
 def later_windows(held: list[tuple[dict[str, np.ndarray], bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, text, start) of the windows in a bucket that also start earlier."""
     own = {k: np.concatenate([c[k] for c, _ in held]) for k, _ in _FIELDS}
     texts = Texts(np.frombuffer(b"".join(d for _, d in held), np.uint8), np.concatenate(([0], np.cumsum(own["bytes"], dtype=np.int64))))
-    begin, end, first = texts.split()
-    h = texts.hashes(begin, end)
+    h, first = _word_hashes(texts)
     at, n = inside(first, size)
     of = np.repeat(np.arange(len(texts)), n)
     key = windows(h, size)[at]
@@ -211,7 +223,7 @@ def _changed(docs: DataFrame, id_col: str, text_col: str, size: int, mer: int) -
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = docs.select(_doc(id_col).alias("doc"), F.xxhash64(_words(text_col)).alias("text"), _words(text_col).alias("words"), F.col(id_col))
-    sent = _sent(named.select("doc", "text", "words"), size, mer, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sent = _sent(named.select("doc", "text", "words"), size, mer, 8 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     spans = storage.written(_spans(sent, size), "removed-spans")
     has = bitmap(spans, "text")
 

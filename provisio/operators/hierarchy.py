@@ -49,7 +49,7 @@ def contexts(nodes: DataFrame, leaves: DataFrame, depth: int = MAX_DEPTH) -> Dat
 def document_content(title: Column, hierarchy: Column, label: Column, text: Column) -> Column:
     """What is indexed: title, context, label and text, without blanks, a line each."""
     parts = F.concat(F.array(title), F.coalesce(hierarchy, F.array().cast("array<string>")), F.array(label, text))
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def with_roots(nodes: DataFrame, *, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:

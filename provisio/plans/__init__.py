@@ -1,4 +1,6 @@
 """The registered queries over the test tables, and the same queries as SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from provisio.plans import corpus, search
+
+QUERIES: dict = {**search.QUERIES, **corpus.QUERIES}
+SQL: dict = {**search.SQL, **corpus.SQL}

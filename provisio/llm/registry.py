@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provisio.llm import embedding_dedup, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, storage, substring_dedup, token_counts
+from provisio.llm import embedding_dedup, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, storage, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again."""
+    return sentencepiece_codec.checked(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,39 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_quality_classifier, op7_embedding_dedup, op8_lm_scoring, op9_quality_rules, op10_pii)
+_ALL = (
+    op1_sentencepiece,
+    op2_ngram_jaccard_join,
+    op3_token_counts,
+    op4_substring_dedup,
+    op5_best_fit_packing,
+    op6_quality_classifier,
+    op7_embedding_dedup,
+    op8_lm_scoring,
+    op9_quality_rules,
+    op10_pii,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Only results that SQL expresses in full are compared with it; the others are tested against brute force.
+SQL: dict[str, str] = {
+    # links from all shingles; components by the smallest id reachable
+    "op2_ngram_jaccard_join": f"""with recursive words as (select doc_id, list_filter(regexp_split_to_array(coalesce({_LOWER}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+        sh as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+        n as (select doc_id, count(*) as n from sh group by 1),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        link as (select a, b from common join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 80 * (x.n + y.n - k)),
+        edge as (select a, b from link union select b, a from link),
+        reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edge e on r.b = e.a)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id from documents d left join n on n.doc_id = d.doc_id join reach r on r.a = d.doc_id group by 1, 2""",
+    # windows are compared as texts
+    "op4_substring_dedup": f"""with words as (select doc_id, {_WORDS} as w from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from words where len(w) >= 20)),
+        late as (select doc_id, i from (select *, row_number() over (partition by s order by doc_id, i) as nth from win) where nth > 1),
+        gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from late),
+        lists as (select doc_id, list(p) as ps from gone group by 1),
+        kept as (select x.doc_id, len(w) as n, len(coalesce(ps, [])) as removed, list_filter(w, lambda v, i: not list_contains(coalesce(ps, []), i)) as k from words x left join lists using (doc_id))
+        select doc_id, n as n_words, removed as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
 }
-SQL: dict[str, str] = {}

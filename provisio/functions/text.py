@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _folding() -> tuple[str, str]:
@@ -62,7 +63,7 @@ def after_first_underscore(c: Column) -> Column:
 
 
 def is_iso_date(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def path_part(c: Column) -> Column:
@@ -74,7 +75,7 @@ def is_valid_query(c: Column, least: int = 3, most: int = 2000) -> Column:
     return F.coalesce(F.char_length(F.trim(c)).between(least, most), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(s):  # pandas Series to Series
     """Compatibility composition (NFKC); no built-in function does it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

@@ -12,17 +12,18 @@ from provisio.plans.search import PER_QUERY_SQL, q04_vector_topk_per_query
 from provisio.plans.views import ANNOUNCEMENTS_SQL, AS_OF, VERSIONS_SQL, announcements, table, versions
 from provisio.sources import html_units, metadata, pdf_lines
 
-_EDGE = [F.col("o_custkey").alias("legal_act_id"), F.col("o_orderpriority").alias("relation_type"), F.col("o_orderkey").cast("string").alias("related_source_id")]
+_EDGE = "o_custkey as legal_act_id", "o_orderpriority as relation_type", "cast(o_orderkey as string) as related_source_id"
 
 
 def q17_relation_snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     then, now = F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-02-01").cast("timestamp_ntz")
+    edge = [F.expr(e) for e in _EDGE]
     old = orders.where("o_orderdate < timestamp_ntz '1998-01-01'").select(
-        *_EDGE, F.lit("old label").alias("source_relation_type"), F.lit(None).cast("bigint").alias("related_legal_act_id"), F.expr("o_orderkey % 9 <> 0").alias("is_active"),
+        *edge, F.lit("old label").alias("source_relation_type"), F.lit(None).cast("bigint").alias("related_legal_act_id"), F.expr("o_orderkey % 9 <> 0").alias("is_active"),
         then.alias("discovered_at"), then.alias("refreshed_at"),
     )
-    new = orders.where("o_orderdate >= timestamp_ntz '1996-01-01'").select(*_EDGE, F.lit("new label").alias("source_relation_type"))
+    new = orders.where("o_orderdate >= timestamp_ntz '1996-01-01'").select(*edge, F.lit("new label").alias("source_relation_type"))
     acts = orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("source_id"))
     return merge.merged_relations(old, new, acts, now)
 

@@ -188,10 +188,11 @@ class Codec:
             else:
                 flush()
                 if i not in self.hidden:
-                    out.append(self.pieces[i])
+                    piece = self.pieces[i].replace(SPACE, " ")
+                    # the space that encoding put before the text
+                    out.append(piece if out else piece.removeprefix(" "))
         flush()
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out)
 
     @lru_cache(maxsize=1)  # noqa: B019
     def _byte_of(self) -> dict[int, int]:

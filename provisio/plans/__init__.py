@@ -1,6 +1,6 @@
 """The registered queries over the test tables, and the same queries as SQL."""
 
-from provisio.plans import corpus, search
+from provisio.plans import corpus, ingest, search
 
-QUERIES: dict = {**search.QUERIES, **corpus.QUERIES}
-SQL: dict = {**search.SQL, **corpus.SQL}
+QUERIES: dict = {**search.QUERIES, **corpus.QUERIES, **ingest.QUERIES}
+SQL: dict = {**search.SQL, **corpus.SQL, **ingest.SQL}

@@ -15,16 +15,16 @@ MAX_DEPTH = 12
 
 
 def ancestors(nodes: DataFrame, leaves: DataFrame, *, id_col: str = "id", parent_col: str = "parent_id", depth: int = MAX_DEPTH) -> DataFrame:
-    """(leaf, id, depth) of each leaf's ancestors, depth 1 for its parent; a missing parent ends the walk."""
+    """(leaf, id, depth) of each leaf's ancestors, depth 1 for its parent; a missing parent ends the walk.
+
+    One join a level: a leaf's row carries all its ancestors, which are turned into rows at the end.
+    """
     edges = nodes.select(F.col(id_col).alias("__id"), F.col(parent_col).alias("__parent"))
-    step = leaves.select(F.col(id_col).alias("leaf")).join(edges, F.col("leaf") == F.col("__id")).select("leaf", F.col("__parent").alias("id"))
-    out = None
-    for k in range(1, depth + 1):
-        step = step.where(F.col("id").isNotNull()).join(edges, F.col("id") == F.col("__id")).select("leaf", "id", F.col("__parent").alias("next"))
-        level = step.select("leaf", "id", F.lit(k).alias("depth"))
-        out = level if out is None else out.unionByName(level)
-        step = step.select("leaf", F.col("next").alias("id"))
-    return out
+    walk = leaves.select(F.col(id_col).alias("leaf")).join(edges, F.col("leaf") == F.col("__id")).select("leaf", F.array().cast(f"array<{nodes.schema[id_col].dataType.simpleString()}>").alias("found"), F.col("__parent").alias("next"))
+    for _ in range(depth):
+        met = F.when(F.col("__id").isNotNull(), F.array_append("found", F.col("__id"))).otherwise(F.col("found"))
+        walk = walk.join(edges, F.col("next") == F.col("__id"), "left").select("leaf", met.alias("found"), F.col("__parent").alias("next"))
+    return walk.select("leaf", F.posexplode("found").alias("p", "id")).select("leaf", "id", (F.col("p") + 1).alias("depth"))
 
 
 def is_searchable(kind: Column, heading: Column, text: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provisio.llm import storage, tokenizer
-from provisio.llm.words import slices, strings
+from provisio.llm.words import slices, strings, trim
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
@@ -208,6 +208,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                     [pa.array(d, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(d), part_id, np.int32)), pa.array(rank)],
                     names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
+        ids.forget()
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provisio.llm.words import slices, strings
+from provisio.llm.words import slices, strings, trim
 
 SPACE = "▁"
 #: Bytes of chunks indexed at once, leading bytes that suffixes are sorted by, chunks remembered.
-INDEX_BYTES, KEY, MOST_CHUNKS = 1 << 19, 16, 400_000
+INDEX_BYTES, KEY, MOST_CHUNKS = 1 << 19, 16, 200_000
 
 
 class SuffixArray:
@@ -238,6 +238,8 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
                 held = own.encode(strings(part, "text"))
                 n = np.concatenate(([0], np.cumsum([len(h) // 4 for h in held]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(n), pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32)))], names=["id", "ids"])
+        own.seen = {}
+        trim()
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -269,5 +271,7 @@ def checked(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
                     [part.column(0), pa.array([len(h) // 4 for h in held], pa.int64()), pa.array([zlib.crc32(h) for h in held], pa.int64()), pa.array([own.decode(h) == t for h, t in zip(held, texts, strict=True)])],
                     names=["id", "n_ids", "ids_crc32", "is_same"],
                 )
+        own.seen = {}
+        trim()
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_ids long, ids_crc32 long, is_same boolean").withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.llm import storage, tokenizer
-from provisio.llm.words import slices, strings
+from provisio.llm.words import slices, strings, trim
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
 
@@ -62,6 +62,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_co
             for part, _ in slices(batch, "text"):
                 n = [len(ids.encode(t)) // 4 for t in strings(part, "text")]
                 yield pa.RecordBatch.from_pydict({"tokenizer": pa.array([version] * len(n)), "content": part.column(0), "n_tokens": pa.array(n, pa.int64())})
+        ids.forget()
+        trim()
 
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = storage.written(_stored(spark, cache_path, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")

@@ -21,7 +21,7 @@ import numpy as np
 #: The split pattern of byte-level BPE (a fixed value of the file format).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks remembered by a worker; beyond it starts anew.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 250_000
 
 
 def digest(path: str) -> str:
@@ -69,6 +69,11 @@ class ByteLevelEncoder:
     def encode_whole(self, text: str) -> bytes:
         return self.whole.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
+    def forget(self) -> None:
+        """Chunks are remembered for one task, so that idle workers hold none."""
+        self.first.clear()
+        self.later.clear()
+
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
         if len(parts) < 2:
@@ -119,6 +124,9 @@ class LibraryEncoder:
             own.no_padding()
             self.ids = lambda text: own.encode(text, add_special_tokens=False).ids
 
+    def forget(self) -> None:
+        pass
+
     def encode(self, text: str) -> bytes:
         return np.asarray(self.ids(text), "<u4").tobytes()
 

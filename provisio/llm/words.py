@@ -6,6 +6,7 @@ inside a longer UTF-8 sequence, so words of bytes and words of characters agree.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _WEIGHT = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     out = []
@@ -105,6 +106,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield batch.slice(i, j - i), Texts(data[at[i] : at[j]], at[i : j + 1] - at[i])
         i = j
+    trim()
+
+
+@lru_cache(maxsize=1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives back what the last batch needed: workers are kept, and several of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
 
 
 def strings(part: pa.RecordBatch, column: str) -> list[str]:

@@ -63,21 +63,23 @@ def admitted(requests: DataFrame, existing: DataFrame | None = None, *, quota: i
     The first request of a key is saved while the visitor has room; a repeated one is already saved if
     its first was, and else fails for the same reason.
     """
+    key = [by, *keys]
+    firsts = requests.groupBy(*key).agg(F.min(order).alias("__first"))
     rows = requests
+    room = F.lit(quota)
     if existing is not None:
-        had = existing.groupBy(by).agg(F.count("*").alias("__had"))
-        present = existing.select(by, *keys).distinct().withColumn("__present", F.lit(True))
-        rows = rows.join(present, [by, *keys], "left").join(had, by, "left")
+        present = existing.select(*key).distinct()
+        firsts = firsts.join(present, key, "left_anti").join(existing.groupBy(by).agg(F.count("*").alias("__had")), by, "left")
+        room = room - F.coalesce("__had", F.lit(0))
+        rows = rows.join(present.withColumn("__present", F.lit(True)), key, "left")
     else:
-        rows = rows.withColumns({"__present": F.lit(None).cast("boolean"), "__had": F.lit(0)})
-    first = (F.row_number().over(Window.partitionBy(by, *keys).orderBy(order)) == 1) & F.col("__present").isNull()
-    rows = rows.withColumn("__first", first)
-    running = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__nth", F.sum(F.col("__first").cast("int")).over(running) + F.coalesce("__had", F.lit(0)))
-    rows = rows.withColumn("__in", F.col("__first") & (F.col("__nth") <= quota))
-    saved = F.coalesce(F.max(F.col("__in").cast("int")).over(Window.partitionBy(by, *keys)), F.lit(0)) == 1
-    outcome = F.when(F.col("__in"), "saved").when(F.col("__present").isNotNull() | saved, "already_saved").otherwise("quota_exceeded")
-    return rows.withColumn("outcome", outcome).drop("__present", "__had", "__first", "__nth", "__in")
+        rows = rows.withColumn("__present", F.lit(None).cast("boolean"))
+    # a visitor's first requests are combined before they are ordered, and only ``quota`` of them can pass
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("__first"))
+    let_in = firsts.withColumn("__nth", nth).where(F.col("__nth") <= quota).where(F.col("__nth") <= room).select(*key, "__first")
+    rows = rows.join(let_in, key, "left")
+    outcome = F.when(F.col("__first") == F.col(order), "saved").when(F.col("__first").isNotNull() | F.col("__present").isNotNull(), "already_saved").otherwise("quota_exceeded")
+    return rows.withColumn("outcome", outcome).drop("__present", "__first")
 
 
 def folders_admitted(requests: DataFrame, existing: DataFrame | None = None, quota: int = FOLDER_QUOTA) -> DataFrame:

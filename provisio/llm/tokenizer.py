@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import importlib.metadata
 import json
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -64,9 +65,15 @@ class ByteLevelEncoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.whole = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
+        self.special = set(special)
+        # ids as bytes at once, where the library has it and numbers are little-endian
+        core = getattr(self.whole, "_core_bpe", None)
+        self.buffer = getattr(core, "encode_to_tiktoken_buffer", None) if sys.byteorder == "little" else None
         self.first, self.later = _Chunks(self.encode_whole, ""), _Chunks(self.encode_whole, " ")
 
     def encode_whole(self, text: str) -> bytes:
+        if self.buffer:
+            return bytes(self.buffer(text, self.special))
         return self.whole.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
     def forget(self) -> None:

@@ -27,7 +27,7 @@ from provisio.llm.words import slices, strings, trim
 
 SPACE = "▁"
 #: Bytes of chunks indexed at once, leading bytes that suffixes are sorted by, chunks remembered.
-INDEX_BYTES, KEY, MOST_CHUNKS = 1 << 19, 16, 200_000
+INDEX_BYTES, KEY, MOST_CHUNKS = 1 << 18, 16, 200_000
 
 
 class SuffixArray:
@@ -41,26 +41,23 @@ class SuffixArray:
         self.order = np.lexsort((halves[:, 1], halves[:, 0]))
         self.keys = keys[self.order].view(f"S{KEY}").ravel()
 
-    def ranges(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Where suffixes that start with each piece begin and end (of longer pieces, with their first ``KEY`` bytes)."""
-        low = np.array([p[:KEY] for p in pieces], f"S{KEY}")
-        high = np.array([p[:KEY].ljust(KEY, b"\xff") for p in pieces], f"S{KEY}")
-        return np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
+    def edges(self, low: np.ndarray, high: np.ndarray, pieces: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start << 32 | end, piece) of all occurrences, by position.
 
-    def edges(self, pieces: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of all occurrences, by position."""
-        low, high = self.ranges(pieces)
+        ``low`` and ``high``: the least and greatest keys that start with each piece (of longer pieces,
+        with their first ``KEY`` bytes, and the others are compared).
+        """
+        low, high = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
         n = np.maximum(high - low, 0)
         piece = np.repeat(np.arange(len(pieces)), n)
         at = self.order[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-        end = at + length[piece]
-        for i in np.flatnonzero(length[piece] > KEY):
-            if self.data[at[i] : end[i]] != pieces[piece[i]]:
-                end[i] = -1
-        fine = end >= 0
-        at, end, piece = at[fine], end[fine], piece[fine]
-        order = np.lexsort((end, at))
-        return at[order], end[order], piece[order]
+        edge = at << 32 | (at + length[piece])
+        long = np.flatnonzero(length[piece] > KEY)
+        wrong = [i for i in long if self.data[at[i] : at[i] + length[piece[i]]] != pieces[piece[i]]]
+        if wrong:
+            edge, piece = np.delete(edge, wrong), np.delete(piece, wrong)
+        order = np.argsort(edge)
+        return edge[order], piece[order]
 
 
 class Codec:
@@ -82,6 +79,13 @@ class Codec:
         normal.sort(key=lambda i: (-model.get_score(i), i))
         self.ids, self.texts = np.array(normal, np.int64), [self.pieces[i].encode() for i in normal]
         self.length = np.array([len(t) for t in self.texts])
+        self.low = np.array([t[:KEY] for t in self.texts], f"S{KEY}")
+        self.high = np.array([t[:KEY].ljust(KEY, b"\xff") for t in self.texts], f"S{KEY}")
+        self.byte_ids = np.array([self.byte_id[b] for b in range(256)], "<u4")
+        # what each id decodes to
+        self.plain = [b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        for byte, i in self.byte_id.items():
+            self.plain[i] = bytes([byte])
         self.seen: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
@@ -90,26 +94,23 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
         parts = [self.chunks(t) for t in texts]
-        new = list({c: None for p in parts for c in p if c not in self.seen})
-        i, found = 0, {}
+        if len(self.seen) > MOST_CHUNKS:
+            self.seen = {}
+        new = list(set().union(*parts).difference(self.seen))
+        i = 0
         while i < len(new):
             j, size = i, 0
             while j < len(new) and (j == i or size < INDEX_BYTES):
-                size += 4 * len(new[j])
+                size += len(new[j]) + 4
                 j += 1
-            found |= self._encode_chunks(new[i:j])
+            self.seen |= self._encode_chunks(new[i:j])
             i = j
-        out = [b"".join([found[c] if c in found else self.seen[c] for c in p]) for p in parts]
-        if len(self.seen) + len(found) > MOST_CHUNKS:
-            self.seen = {}
-        self.seen |= found if len(found) <= MOST_CHUNKS else {}
-        return out
+        return [b"".join(map(self.seen.__getitem__, p)) for p in parts]
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         held = [c.encode("utf-8", "surrogatepass") for c in chunks]
         data = b"\0".join(held)
-        at, end, rank = SuffixArray(data).edges(self.texts, self.length)
-        edge = at.astype(np.int64) << 32 | end
+        edge, rank = SuffixArray(data).edges(self.low, self.high, self.texts, self.length)
         # symbols: characters at first; ``stop`` is a chunk's end
         size = np.array([len(h) for h in held])
         begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
@@ -162,17 +163,31 @@ class Codec:
         order = np.lexsort((start, chunk))
         start, stop, chunk = start[order], stop[order], chunk[order]
         found = rank_of(start, stop)
-        ids = self.ids[np.minimum(found, no - 1)]
-        out: list[list[int]] = [[] for _ in chunks]
-        if (found == no).any():
-            for a, b, c, i, r in zip(start.tolist(), stop.tolist(), chunk.tolist(), ids.tolist(), found.tolist(), strict=True):
-                out[c] += [i] if r < no else [self.byte_id[x] for x in data[a:b]]
-            return {c: np.asarray(x, "<u4").tobytes() for c, x in zip(chunks, out, strict=True)}
-        flat, cut = ids.astype("<u4"), np.searchsorted(chunk, np.arange(len(chunks) + 1))
-        return {c: flat[cut[k] : cut[k + 1]].tobytes() for k, c in enumerate(chunks)}
+        # characters that are no pieces become their bytes
+        missing = found == no
+        n = np.where(missing, stop - start, 1)
+        place = np.concatenate(([0], np.cumsum(n)))
+        flat = np.repeat(self.ids[np.minimum(found, no - 1)].astype("<u4"), n)
+        if missing.any():
+            m = n[missing]
+            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            flat[np.repeat(place[:-1][missing], m) + inner] = self.byte_ids[raw[np.repeat(start[missing], m) + inner]]
+        cut = (4 * place[np.searchsorted(chunk, np.arange(len(chunks) + 1))]).tolist()
+        whole = flat.tobytes()
+        return {c: whole[cut[k] : cut[k + 1]] for k, c in enumerate(chunks)}
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids; invalid bytes become U+FFFD, one for each byte."""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        try:
+            text = b"".join(map(self.plain.__getitem__, numbers)).decode()
+        except UnicodeDecodeError:
+            return self._decode_invalid(numbers)
+        # the space that encoding put before the text; one that stands for a byte is the text's own
+        first = next((i for i in numbers if self.plain[i]), None)
+        return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
+
+    def _decode_invalid(self, numbers: list[int]) -> str:
         out: list[str] = []
         run = bytearray()
         byte_of = self._byte_of()
@@ -182,7 +197,7 @@ class Codec:
                 out.append(_utf8(bytes(run)))
                 run.clear()
 
-        for i in np.frombuffer(ids, "<u4").tolist():
+        for i in numbers:
             if i in byte_of:
                 run.append(byte_of[i])
             else:

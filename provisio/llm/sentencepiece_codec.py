@@ -27,35 +27,49 @@ from provisio.llm.words import slices, strings, trim
 
 SPACE = "▁"
 #: Bytes of chunks indexed at once, leading bytes that suffixes are sorted by, chunks remembered.
-INDEX_BYTES, KEY, MOST_CHUNKS = 1 << 18, 16, 200_000
+INDEX_BYTES, KEY, MOST_CHUNKS = 1 << 18, 8, 600_000
+
+
+def _keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 16 bytes as two numbers that sort like them."""
+    halves = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+    return halves[:, 0], halves[:, 1]
+
+
+class Pieces:
+    """Byte strings to search for: the least and greatest first key of what starts with each, and what its second key must be."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.length = texts, np.array([len(t) for t in texts])
+        bytes_of = lambda fill: np.frombuffer(b"".join(t[: 2 * KEY].ljust(2 * KEY, fill) for t in texts), np.uint8).reshape(-1, 2 * KEY)
+        self.low, self.second = _keys(bytes_of(b"\0"))
+        self.high = _keys(bytes_of(b"\xff"))[0]
+        # bits of the second key that the piece fills
+        inner = np.arange(KEY, 2 * KEY)[None, :] < self.length[:, None]
+        self.mask = _keys(np.where(np.concatenate((inner, inner), 1), 255, 0).astype(np.uint8))[1]
 
 
 class SuffixArray:
-    """Suffixes in the order of their first ``KEY`` bytes."""
+    """Suffixes in the order of their first ``KEY`` bytes; what is longer is compared where it matters."""
 
     def __init__(self, data: bytes):
         self.data = data
-        padded = np.frombuffer(data + b"\0" * KEY, np.uint8)
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, KEY)[: len(data)])
-        halves = keys.view(">u8").astype(np.uint64)
-        self.order = np.lexsort((halves[:, 1], halves[:, 0]))
-        self.keys = keys[self.order].view(f"S{KEY}").ravel()
-
-    def edges(self, low: np.ndarray, high: np.ndarray, pieces: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start << 32 | end, piece) of all occurrences, by position.
-
-        ``low`` and ``high``: the least and greatest keys that start with each piece (of longer pieces,
-        with their first ``KEY`` bytes, and the others are compared).
-        """
-        low, high = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
+        padded = np.frombuffer(data + b"\0" * 2 * KEY, np.uint8)
+        first, self.second = _keys(np.lib.stride_tricks.sliding_window_view(padded, 2 * KEY)[: len(data)])
+        self.order = np.argsort(first)
+        self.keys = first[self.order]
+
+    def edges(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """(start << 32 | end, piece) of all occurrences, by position."""
+        low, high = np.searchsorted(self.keys, pieces.low, "left"), np.searchsorted(self.keys, pieces.high, "right")
         n = np.maximum(high - low, 0)
-        piece = np.repeat(np.arange(len(pieces)), n)
+        piece = np.repeat(np.arange(len(n)), n)
         at = self.order[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-        edge = at << 32 | (at + length[piece])
-        long = np.flatnonzero(length[piece] > KEY)
-        wrong = [i for i in long if self.data[at[i] : at[i] + length[piece[i]]] != pieces[piece[i]]]
-        if wrong:
-            edge, piece = np.delete(edge, wrong), np.delete(piece, wrong)
+        length = pieces.length[piece]
+        fine = (length <= KEY) | (self.second[at] & pieces.mask[piece] == pieces.second[piece])
+        for i in np.flatnonzero(fine & (length > 2 * KEY)):
+            fine[i] = self.data[at[i] : at[i] + length[i]] == pieces.texts[piece[i]]
+        edge, piece = (at << 32 | (at + length))[fine], piece[fine]
         order = np.argsort(edge)
         return edge[order], piece[order]
 
@@ -78,9 +92,7 @@ class Codec:
         # by merge rank; characters come last in such files and are found like all others
         normal.sort(key=lambda i: (-model.get_score(i), i))
         self.ids, self.texts = np.array(normal, np.int64), [self.pieces[i].encode() for i in normal]
-        self.length = np.array([len(t) for t in self.texts])
-        self.low = np.array([t[:KEY] for t in self.texts], f"S{KEY}")
-        self.high = np.array([t[:KEY].ljust(KEY, b"\xff") for t in self.texts], f"S{KEY}")
+        self.search = Pieces(self.texts)
         self.byte_ids = np.array([self.byte_id[b] for b in range(256)], "<u4")
         # what each id decodes to
         self.plain = [b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -110,7 +122,7 @@ class Codec:
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         held = [c.encode("utf-8", "surrogatepass") for c in chunks]
         data = b"\0".join(held)
-        edge, rank = SuffixArray(data).edges(self.low, self.high, self.texts, self.length)
+        edge, rank = SuffixArray(data).edges(self.search)
         # symbols: characters at first; ``stop`` is a chunk's end
         size = np.array([len(h) for h in held])
         begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))

@@ -1,19 +1,22 @@
 """Language-model scores by a hierarchical Pitman-Yor model of words.
 
-Words are lower-cased (A-Z); each text ends with one end token.  Spark counts all training
-tokens.  The ``dishes`` most frequent words and one class for all others are served in context
-restaurants, one for each of the ``contexts`` most frequent previous words and one for all
-others; all of them share one parent restaurant.  A word of the class is then chosen by a
-Pitman-Yor restaurant over the words outside the most frequent ones, from its own count.
-
-Seating is sampled by Gibbs sweeps: each sweep seats the customers of every dish anew, given the
-parent's probabilities and the restaurant's tables of the sweep before.  Beyond 64 customers of
-a dish they come in runs that double, with a binomial number of new tables.  Predictive
-probabilities are averaged over the sweeps after the first ones.
-
-Sizes: the restaurants hold at most (contexts + 1) * (dishes + 1) counts for any input.  The
-counts of the ``held_words`` most frequent words are sent to the tasks; those of all other
-words are joined.  Words are known by 64-bit hashes.
+Words are lower-cased (A-Z); each text ends with one end token.  Every previous word has a
+restaurant of its own over all words, and all of them share one parent restaurant, whose base
+is uniform over the training words and one unknown word.  Spark counts all pairs of a previous
+word and a word; no pair, context or word is left out.
+
+Seating is sampled by Gibbs sweeps: each sweep seats the customers of every pair anew, given the
+word's probability in the parent and the context's tables of the sweep before; then the parent's
+customers, one for each of those tables.  Beyond 64 customers they come in runs that double, with
+a binomial number of new tables.  Draws come from hashes of the pair and the sweep, so they don't
+depend on how rows are dealt.  A pair seen once has one table in every sweep, so only pairs seen
+more often take part in the sweeps.  The context's tables and the parent's probabilities are each
+averaged over the sweeps after the first ones; their product and the averaged seats of the pair
+make its probability, which sums to one over the words.
+
+Pairs and words stay in Spark and are joined.  Only the ``held_words`` most frequent pairs are
+sent to the tasks, to join less; any number of them gives the same scores.  Words are known by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.llm import storage
-from provisio.llm.words import Texts, slices
+from provisio.llm.words import _BASE, Texts, mix, slices
 
 #: Stands for the end token; no word's hash is kept apart from it by chance only.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -51,46 +54,41 @@ def placed(sorted_words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(sorted_words[at] == h, at, len(sorted_words))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over the ``text`` column; each task sends a word once."""
+def pair_code(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(_BASE) + mix(word))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, times = [], []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            w, back = np.unique(np.concatenate(words), return_inverse=True)
-            return w, np.bincount(back, np.concatenate(times)).astype(np.int64)
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(context, word, n): how often each word follows each other one, over rows that are not ``held_out``; the pairs of those have 0."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in slices(batch, "text"):
-                w, n = np.unique(stream(part)[0], return_counts=True)
-                words.append(w)
-                times.append(n)
-                if len(words) == 16:
-                    w, n = merged()
-                    words, times = [w], [n]
-        if words:
-            w, n = merged()
-            yield pa.RecordBatch.from_pydict({"word": pa.array(w.view(np.int64)), "n": pa.array(n)})
+            for part, texts in slices(batch, "text"):
+                h, at = stream(texts)
+                before = np.concatenate(([END], h[:-1]))
+                trained = np.repeat(~part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
+                _, first, back = np.unique(pair_code(before, h), return_index=True, return_inverse=True)
+                n = np.bincount(back, trained, len(first)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"context": pa.array(before[first].view(np.int64)), "word": pa.array(h[first].view(np.int64)), "n": pa.array(n)})
 
-    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, contexts, dishes) -> DataFrame:
-    """(code, n): how often each dish follows each context."""
+class Drawn:
+    """Draws that depend on a row's key and the number of the draw only."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(dishes.value) + 1
-        total = np.zeros((len(contexts.value) + 1) * width, np.int64)
-        for batch in batches:
-            for _, part in slices(batch, "text"):
-                h, _ = stream(part)
-                before = np.concatenate(([END], h[:-1]))
-                total += np.bincount(placed(contexts.value, before) * width + placed(dishes.value, h), minlength=len(total))
-        code = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"code": pa.array(code.astype(np.int32)), "n": pa.array(total[code])})
+    def __init__(self, key: np.ndarray):
+        self.key, self.i = key, 0
+
+    def _next(self, k: int) -> np.ndarray:
+        self.i += 1
+        return mix(self.key[:k] + np.uint64(self.i * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
-    return texts.mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def random(self, k: int) -> np.ndarray:
+        return (self._next(k) >> np.uint64(11)) * 2.0**-53
+
+    def binomial(self, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.array([np.random.Generator(np.random.PCG64(int(key))).binomial(*x) for key, *x in zip(self._next(len(n)), n, p)], np.float64)
 
 
 def seat(n: np.ndarray, strength: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -113,13 +111,16 @@ def seat(n: np.ndarray, strength: np.ndarray, base: np.ndarray, discount: float,
     return out
 
 
-def discount_of(n: np.ndarray) -> float:
-    one, two = float((n == 1).sum()), float((n == 2).sum())
+def discount_from(one: float, two: float) -> float:
     return min(0.95, max(0.05, (one + 0.5) / (one + 2 * two + 1)))
 
 
+def discount_of(n: np.ndarray) -> float:
+    return discount_from(float((n == 1).sum()), float((n == 2).sum()))
+
+
 def restaurants(code: np.ndarray, n: np.ndarray, rows: int, width: int, *, burn: int = 4, kept: int = 6, strength: float = 1.0, seed: int = 7) -> np.ndarray:
-    """log10 of the averaged probability of each dish after each context: rows x width."""
+    """log10 of the averaged probability of each dish after each context: rows x width; the same model in one place, which tests compare with."""
     rng = np.random.default_rng(seed)
     context, dish, n = code // width, code % width, n.astype(np.float64)
     d2, customers = discount_of(n), np.bincount(context, n, rows)
@@ -140,7 +141,81 @@ def restaurants(code: np.ndarray, n: np.ndarray, rows: int, width: int, *, burn:
     return np.log10(mean / kept).astype(np.float32)
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, contexts: int = 511, dishes: int = 4095, held_words: int = 1 << 16) -> DataFrame:
+def seated(rows: DataFrame, discount: float, sweep: int) -> DataFrame:
+    """``rows`` (context, word, n, strength, base, ..) with ``t``, sampled numbers of tables."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, word, n, strength, base = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("context", "word", "n", "strength", "base"))
+            order = np.argsort(-n, kind="stable")
+            key = mix(pair_code(context.view(np.uint64), word.view(np.uint64)) + np.uint64(sweep))
+            t = np.empty(len(n), np.int64)
+            t[order] = seat(n[order].astype(np.float64), strength[order], base[order], discount, Drawn(key[order]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], names=[*batch.schema.names, "t"])
+
+    return rows.mapInArrow(sample, ", ".join(f"{c} {kind}" for c, kind in [*rows.dtypes, ("t", "bigint")]))
+
+
+def priced(pairs: DataFrame, *, burn: int = 4, kept: int = 6, strength: float = 1.0) -> tuple[DataFrame, int, int]:
+    """(pair, n_word, logp) for each row of ``pairs`` (context, word, n, m), and the numbers of training tokens and words.
+
+    ``m``: customers of the context's restaurant; the others of ``n`` are the parent's own.
+    """
+    total = lambda c: F.sum(c).cast("long")
+    once = F.count_if(F.col("m") == 1)
+    words = storage.Scratch(pairs.groupBy("word").agg(total("n").alias("n_word"), (total(F.col("n") - F.col("m")) + once).alias("fixed"), F.count_if(F.col("m") > 1).alias("more")), "lm-words")
+    contexts = storage.Scratch(pairs.groupBy("context").agg(total("m").alias("customers"), once.alias("fixed"), F.count_if(F.col("m") > 1).alias("more")), "lm-contexts")
+    n, v = words.df.agg(F.coalesce(F.sum("n_word"), F.lit(0)), F.count_if(F.col("n_word") > 0)).first()
+    by_count = lambda df, c: discount_from(*df.agg(F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)).first())
+    d2, base = by_count(pairs, "m"), 1.0 / (v + 1)
+    start = F.col("fixed") + F.col("more")  # one table for each pair
+    d1 = by_count(words.df.select(start.alias("n")), "n")
+    # the first parent: one table for each word
+    served = storage.Scratch(words.df.select("word", start.alias("n"), F.least(start, F.lit(1)).alias("t"), F.lit(0.0).alias("mean")), "lm-parent")
+    tables = contexts.df.where("more > 0").select("context", start.alias("tables"))
+    rows = storage.Scratch(pairs.where("m > 1").select("context", "word", F.col("m").alias("n"), F.lit(0).cast("long").alias("all_t")), "lm-seats")
+
+    def parent(d: float) -> Column:
+        customers, above = served.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+        return (F.col("n") - d * F.col("t") + (strength + d * above) * base) / (strength + customers)
+
+    for sweep in range(burn + kept):
+        before, old_rows, old_served = parent(d1), rows, served
+        dealt = rows.df.join(tables, "context").join(served.df.select("word", before.alias("base")), "word")
+        counted = F.lit(int(sweep >= burn))
+        some = seated(dealt.select("context", "word", "n", "all_t", (strength + d2 * F.col("tables")).alias("strength"), "base"), d2, sweep)
+        rows = storage.Scratch(some.select("context", "word", "n", (F.col("all_t") + counted * F.col("t")).alias("all_t"), "t"), "lm-seats")
+        tables = rows.df.groupBy("context").agg(F.sum("t").alias("more_t")).join(contexts.df, "context").select("context", (F.col("fixed") + F.col("more_t")).alias("tables"))
+        more = rows.df.groupBy("word").agg(F.sum("t").alias("more_t"))
+        each = words.df.select("word", "fixed").join(more, "word", "left").join(served.df.select("word", "mean"), "word")
+        each = each.select(F.lit(0).cast("long").alias("context"), "word", (F.col("fixed") + F.coalesce("more_t", F.lit(0))).alias("n"), F.lit(strength + d1 * v).alias("strength"), F.lit(base).alias("base"), "mean")
+        served = storage.Scratch(seated(each, d1, sweep).select("word", "n", F.when(F.col("n") > 0, F.col("t")).otherwise(0).alias("t"), "mean"), "lm-parent")
+        if sweep >= burn:
+            served, half = storage.Scratch(served.df.select("word", "n", "t", (F.col("mean") + parent(d1) / kept).alias("mean")), "lm-parent"), served
+            half.drop()
+        old_rows.drop()
+        old_served.drop()
+        d1 = by_count(served.df, "n")
+    averaged = rows.df.select("context", "word", "n", (F.col("all_t") / kept).alias("t"))
+    tables = contexts.df.join(averaged.groupBy("context").agg(F.sum("t").alias("more_t")), "context", "left")
+    tables = tables.select("context", "customers", (F.col("fixed") + F.coalesce("more_t", F.lit(0.0))).alias("tables"))
+    seats = pairs.where("m < 2").select("context", "word", F.col("m").alias("n"), F.col("m").cast("double").alias("t")).unionByName(averaged)
+    known = words.df.select("word", "n_word").join(served.df.select("word", "mean"), "word")
+    p = (F.col("n") - d2 * F.col("t") + (strength + d2 * F.col("tables")) * F.col("mean")) / (strength + F.col("customers"))
+    every = seats.join(tables, "context").join(known, "word").select("context", "word", "n", "n_word", F.log10(p).alias("logp"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, word = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_code(context, word).view(np.int64)), *batch.columns[2:]], names=["pair", "n", "n_word", "logp"])
+
+    out = storage.written(every.mapInArrow(coded, "pair long, n long, n_word long, logp double"), "lm-pairs")
+    for x in (rows, served, words, contexts):
+        x.drop()
+    return out, int(n), int(v)
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, contexts: int | None = None, dishes: int | None = None, held_words: int = 1 << 16) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text is empty and has the end token only; a row without an id counts as held out;
@@ -148,48 +223,40 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     text every word is unknown.  An empty table gives an empty one; other columns, whatever their
     names, are not read.
 
-    What is gathered: each task's distinct words with their counts, which grow with the input and
-    stay in Spark.  Only tables of the fixed sizes above reach the driver or are sent to all tasks.
+    ``contexts`` and ``dishes`` ask for a smaller model: only pairs of so many most frequent
+    previous words and words have seats in a context's restaurant, and all others are customers of
+    the parent.  Without them every pair has.
     """
     spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == held, F.lit(True))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", out)
-    training = docs.where(~F.col("held_out")).select("text")
-    counts = storage.written(word_counts(training), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    all_tokens, distinct, once, twice = map(int, total)
-    top = counts.orderBy(F.desc("n"), "word").limit(held_words).toPandas()
-    word, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    counted = storage.Scratch(pair_counts(docs), "pair-counts")
+    m = F.col("n")
+    for column, most in (("context", contexts), ("word", dishes)):
+        if most is not None:
+            top = counted.df.groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column).limit(most)
+            m = F.when(F.col(column).isin([r[0] for r in top.collect()]), m).otherwise(0)
+    pairs, all_tokens, distinct = priced(counted.df.withColumn("m", m.cast("long")))
+    counted.drop()
+    top = pairs.orderBy(F.desc("n"), "pair").limit(held_words).toPandas().sort_values("pair", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
     send = spark.sparkContext.broadcast
-    by_word = np.argsort(word)
-    words, its_n = send(word[by_word]), send(n[by_word])
-    dish_words, context_words = send(np.sort(word[:dishes])), send(np.sort(word[:contexts]))
-    rows, width = len(context_words.value) + 1, len(dish_words.value) + 1
-    pairs = pair_counts(training, context_words, dish_words).toPandas()
-    table = send(restaurants(pairs["code"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), rows, width))
-    # the restaurant of the words outside the dishes: one table each, over a base of all of them and one unknown word
-    rare_n, rare_v = all_tokens - int(n[:dishes].sum()), max(0, distinct - dishes)
-    d0 = min(0.95, max(0.05, (once + 0.5) / (once + 2 * twice + 1)))
-    unknown = (1.0 + d0 * rare_v) / (1.0 + rare_n) / (rare_v + 1)
+    held_pairs = send((top["pair"].to_numpy(np.int64).view(np.uint64), top["n_word"].to_numpy(np.int64), top["logp"].to_numpy(np.float64)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, c, p = words.value, its_n.value, table.value
-        node = pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int32())]))
+        codes, its_n, its_p = held_pairs.value
+        node = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int32())]))
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 h, at = stream(texts)
                 n_texts = len(texts)
                 of = np.repeat(np.arange(n_texts), np.diff(at))
-                dish = placed(dish_words.value, h)
-                logp = p[placed(context_words.value, np.concatenate(([END], h[:-1]))), dish].astype(np.float64)
-                place = placed(w, h)
-                has = place < len(w)
-                count = np.where(has, c[np.minimum(place, len(w) - 1)], 0) if len(w) else np.zeros(len(h), np.int64)
-                classed = (dish == width - 1) & has
-                logp[classed] += np.log10((count[classed] - d0) / (1.0 + rare_n) + unknown)
-                sums = lambda x: np.bincount(of, x, n_texts)
-                # the others, as distinct words of each text
-                far, far_of = h[~has], of[~has]
+                code = pair_code(np.concatenate(([END], h[:-1])), h)
+                place = placed(codes, code)
+                has = place < len(codes)
+                place, near = place[has], of[has]
+                sums = lambda x: np.bincount(near, x, n_texts)
+                # the others, as distinct pairs of each text
+                far, far_of = code[~has], of[~has]
                 order = np.lexsort((far, far_of))
                 far, far_of = far[order], far_of[order]
                 new = np.ones(len(far), bool)
@@ -198,19 +265,18 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
                 pairs = pa.StructArray.from_arrays([pa.array(far[first].view(np.int64)), pa.array(np.diff(first, append=len(far)).astype(np.int32))], fields=list(node.value_type))
                 ends = np.searchsorted(far_of[first], np.arange(n_texts + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(sums(has).astype(np.int64)), pa.array(sums(np.log10(count + 1.0) * has)), pa.array(sums(logp)), pa.ListArray.from_arrays(pa.array(ends), pairs)],
+                    [part.column(0), part.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(sums(its_n[place] > 0).astype(np.int64)), pa.array(sums(np.log10(its_n[place] + 1.0))), pa.array(sums(its_p[place])), pa.ListArray.from_arrays(pa.array(ends), pairs)],
                     names=["id", "held_out", "n_tokens", "n_known", "base", "score", "far"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, far array<struct<word:long,times:int>>"
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, far array<struct<pair:long,times:int>>"
     read = storage.written(docs.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    far = read.select("row", F.explode("far").alias("x")).select("row", "x.word", "x.times").join(counts, "word", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
+    far = read.select("row", F.explode("far").alias("x")).select("row", "x.pair", "x.times").join(pairs.select("pair", "n_word", "logp"), "pair")
     far = far.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("far_known"),
-        F.sum(F.col("times") * F.log10(c + 1.0)).alias("far_base"),
-        F.sum(F.col("times") * F.log10(F.when(c > 0, (c - d0) / (1.0 + rare_n)).otherwise(0.0) + unknown)).alias("far_score"),
+        F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("far_known"),
+        F.sum(F.col("times") * F.log10(F.col("n_word") + 1.0)).alias("far_base"),
+        F.sum(F.col("times") * F.col("logp")).alias("far_score"),
     )
     zero = F.lit(0)
     return read.drop("far").join(far, "row", "left").select(

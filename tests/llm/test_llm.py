@@ -339,6 +339,24 @@ def test_lm_scoring(docs, empty, held_words):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_scoring_learns_rare_pairs(spark):
+    """A rare word is expected after the rare word it always follows; frequent words fill any table of a fixed size."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(6000)]
+    texts = [" ".join(rng.choices(common, k=400)) for _ in range(150)]
+    rare = [f"left{i} right{i}" for i in range(20)]
+    texts += [f"{a} {b}" for a in rare for b in rare[:3]]
+    rows = [(i, x) for i, x in enumerate(texts)]
+    held = [i for i in range(10**6, 10**6 + 200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows += [(held[0], "left9 right9"), (held[1], "left9 right5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(lm_scoring.score(docs))
+    few = by_id(lm_scoring.score(docs, held_words=5))
+    assert got[held[0]].n_known == got[held[1]].n_known == 3
+    assert got[held[0]].score > got[held[1]].score + 1
+    assert all(few[i].score == pytest.approx(r.score, rel=1e-9) for i, r in got.items())
+
+
 def test_restaurants_are_distributions():
     rng = np.random.default_rng(5)
     full = rng.integers(0, 4, (6, 9)) * rng.integers(0, 300, (6, 9))

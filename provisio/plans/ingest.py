@@ -175,6 +175,27 @@ def q76_investigation_packed(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.packed_sources(hits, sizes).select("id", "source_no", F.coalesce(F.array_join(F.col("targets").cast("array<string>"), ","), F.lit("")).alias("targets"))
 
 
+def _hybrid_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item with its whole text, and every vector whose id is divisible by 100."""
+    vectors = table(spark, d, "embeddings")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+    asked = {r["vec_id"]: r["embedding"] for r in vectors.where("vec_id % 100 = 0").collect()}
+    return pipeline.hybrid_search(docs, table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query")), asked)
+
+
+def q81_hybrid_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid_of_all(spark, d).select("query_id", "id", "lexical_rank", "vector_rank", "score", "final_rank")
+
+
+def q82_investigation_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    """As q76, with all queries in one request."""
+    ids = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id")).union(table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id")).distinct()
+    plan = ids.selectExpr("query_id", "query_id % 2 as issue_no", "query_id as query_no", "query_id % 3 as target", "case when query_id < 3 then 'most_likely' else 'possible' end as likelihood")
+    hits = pipeline.investigation(plan, _hybrid_of_all(spark, d)).withColumn("request", F.lit(1))
+    sizes = table(spark, d, "documents").selectExpr("doc_id as id", "cast(n_chars as int) as n_chars")
+    return pipeline.packed_sources(hits, sizes).select("id", "source_no", F.coalesce(F.array_join(F.col("targets").cast("array<string>"), ","), F.lit("")).alias("targets"))
+
+
 _HYBRID = f"""tok as ({tokens_sql()}),
 asked as (select item_id as query_id, {lexemes_sql("substring(text, 1, 80)")} as toks from benchmark where item_id < 5),
 q as (select query_id, unnest(list_distinct(toks)) as tok, len(list_distinct(toks)) as n from asked),
@@ -266,3 +287,6 @@ SQL = {
         union all select o.id, sha256(concat_ws(chr(10), 'World', r.line, n.line, c.line, o.label, o.text)) from l o join l c on o.parent_id = c.id join l n on c.parent_id = n.id join l r on n.parent_id = r.id where o.provision_type = 'point'""",
     "q79_provision_counts": "select l_suppkey as version_id, count(*) as n_provisions from lineitem group by 1",
 }
+_OF_ALL = lambda sql: sql.replace("substring(text, 1, 80)", "text").replace(" where item_id < 5", "").replace("vec_id < 5", "vec_id % 100 = 0")
+SQL["q81_hybrid_of_all_queries"] = _OF_ALL(SQL["q75_hybrid_many_queries"])
+SQL["q82_investigation_of_all_queries"] = _OF_ALL(SQL["q76_investigation_packed"])

@@ -190,6 +190,14 @@ def q49_multi_query_lexical(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("n_lexemes").alias("most_lexemes"))
 
 
+def q80_lexical_of_whole_items(spark: SparkSession, d: str) -> DataFrame:
+    """As q49, with the items' whole texts."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = retrieval.top(retrieval.lexical_hits(docs, asked), F.desc("rank"), 10, "nth")
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("n_lexemes").alias("most_lexemes"))
+
+
 def q50_query_forms(spark: SparkSession, d: str) -> DataFrame:
     """Squeezed, folded and counted texts of conversations."""
     rows = table(spark, d, "conversations")
@@ -235,3 +243,4 @@ SQL = {
         len({lexemes_sql("text")}) as n_tokens,
         length(trim(text)) between 3 and 2000 as is_valid from conversations""",
 }
+SQL["q80_lexical_of_whole_items"] = SQL["q49_multi_query_lexical"].replace("substring(text, 1, 60)", "text")

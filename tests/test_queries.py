@@ -30,3 +30,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_item_is_asked(spark, con):
+    items = {r[0] for r in con.execute("select item_id from benchmark").fetchall()}
+    assert items <= {r.query_id for r in plans.QUERIES["q81_hybrid_of_all_queries"](spark, SF).select("query_id").distinct().collect()}
+    assert not any(x in plans.SQL["q81_hybrid_of_all_queries"] for x in ("substring(text, 1, ", "item_id < ", "vec_id < "))
+
+
+def test_a_whole_item_finds_its_end(spark, con):
+    """Lexemes past the first 60 characters count."""
+    most = lambda name: {r.query_id: r.most_lexemes for r in plans.QUERIES[name](spark, SF).collect()}
+    cut, whole = most("q49_multi_query_lexical"), most("q80_lexical_of_whole_items")
+    assert set(whole) >= set(cut) and all(whole[k] >= n for k, n in cut.items()) and any(whole[k] > n for k, n in cut.items())

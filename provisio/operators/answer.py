@@ -6,8 +6,12 @@ rejected, never repaired.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from provisio.functions import text
 
@@ -53,16 +57,29 @@ def packed(ranked: DataFrame, by: str, *, most_sources: int = MOST_SOURCES, most
     """(by, id, source_no): what fits the budgets, taken in order of ``rank``; ``n_chars``: its size.
 
     The first one is always taken, one that is too large is passed over, and taking ends at the
-    number of sources.  Each admission depends on those before, so a request's candidates are folded
-    in order; they are few, as retrieval limits them.
+    number of sources.  Each admission depends on those before, so a request's candidates are read
+    in order as a stream: a task sorts them, on disk where they are many, and holds the state of
+    one request, its number of sources and their characters.
     """
-    rows = F.array_sort(F.collect_list(F.struct("rank", "id", F.col("n_chars").cast("long").alias("n_chars"))))
-    step = (
-        f"(s, x) -> case when size(s.ids) < {most_sources} and (size(s.ids) = 0 or s.used + x.n_chars <= {most_chars}) "
-        "then named_struct('used', s.used + x.n_chars, 'ids', concat(s.ids, array(x.id))) else s end"
-    )
-    folded = ranked.groupBy(by).agg(rows.alias("rows")).select(by, F.expr(f"aggregate(rows, named_struct('used', 0L, 'ids', cast(array() as array<bigint>)), {step})").alias("s"))
-    return folded.select(by, F.posexplode("s.ids").alias("p", "id")).select(by, "id", (F.col("p") + 1).alias("source_no"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken, used = object(), 0, 0
+        for batch in batches:
+            rows, nos = [], []
+            for i, (request, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if request != now:
+                    now, taken, used = request, 0, 0
+                # after a first one of unknown size, nothing is known to fit
+                if taken == 0 or (taken < most_sources and None not in (used, n) and used + n <= most_chars):
+                    taken, used = taken + 1, None if n is None else used + n
+                    rows.append(i)
+                    nos.append(taken)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(nos, pa.int32())], names=[by, "id", "source_no"])
+
+    rows = ranked.select(by, F.col("id").cast("long").alias("id"), F.col("n_chars").cast("long").alias("n_chars"), "rank")
+    rows = rows.repartition(F.col(by)).sortWithinPartitions(by, "rank", "id", "n_chars").select(by, "id", "n_chars")
+    return rows.mapInArrow(fold, StructType([rows.schema[by], StructField("id", LongType()), StructField("source_no", IntegerType())]))
 
 
 def reserved(scored: DataFrame) -> DataFrame:

@@ -152,6 +152,12 @@ def q32_greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     return answer.packed(few, "source").select("source", F.col("id").alias("doc_id"), "source_no")
 
 
+def q83_greedy_pack_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """As q32, with all documents of a source as its candidates."""
+    every = table(spark, d, "documents").select("source", F.expr("(doc_id * 7919) % 10007 * 1000000 + doc_id").alias("rank"), F.col("doc_id").alias("id"), F.col("n_chars").cast("int").alias("n_chars"))
+    return answer.packed(every, "source").select("source", F.col("id").alias("doc_id"), "source_no")
+
+
 def q33_target_reservation(spark: SparkSession, d: str) -> DataFrame:
     return answer.reserved(answer.tier_scores(_hits(spark, d), ["target", "id"]).withColumn("weighted", F.round("weighted", 8)))
 
@@ -349,3 +355,4 @@ SQL = {
         select case when a then '3a' when s and u then '12' end as article, case when a and s then '12' when a and u then '4' when a then null when s and u then '4' when s then '12' when u then '4' end as paragraph,
         case when p then '5' end as point, case when l then 'b' end as letter, count(*) as n from b group by 1, 2, 3, 4""",
 }
+SQL["q83_greedy_pack_of_all"] = SQL["q32_greedy_pack"].replace(" where nth <= 200", "")

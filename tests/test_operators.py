@@ -189,3 +189,18 @@ def test_relations_from_json(spark):
     refs = '{"Akty zmieniające": [{"act": {"publisher": "DU", "year": 2020, "pos": 1}}, {"act": {"publisher": "DU", "year": 2020, "pos": 1}}], "Nowe": [{"act": {"publisher": "DU", "year": 2021, "pos": 2}}]}'
     rows = metadata.relations(spark.createDataFrame([(1, refs), (2, "{}")], "legal_act_id long, json string")).collect()
     assert {(r.relation_type, r.related_source_id, r.source_relation_type) for r in rows} == {("amending_act", "DU/2020/1", "Akty zmieniające"), ("unrecognized", "DU/2021/2", "Nowe")}
+
+
+def test_packing_reads_requests_as_streams(spark):
+    """A request's candidates are never one array, and its state goes on over batches."""
+    n = 30000
+    rows = spark.range(n).select(F.lit(1).alias("g"), (F.lit(n) - F.col("id")).alias("rank"), "id", F.when(F.col("id") % 7000 == 5, 100).otherwise(20000).alias("n_chars"))
+    rows = rows.where("id < 29000").unionByName(spark.range(1).selectExpr("2 as g", "1L as rank", "7L as id", "50000 as n_chars"))
+    out = answer.packed(rows, "g")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    # the first one fills the budget; the other request's only candidate is taken
+    assert [(r.g, r.id, r.source_no) for r in out.orderBy("g", "source_no").collect()] == [(1, 28999, 1), (2, 7, 1)]
+    small = answer.packed(rows.where("n_chars = 100 and g = 1"), "g").orderBy("source_no").collect()
+    assert [r.id for r in small] == [28005, 21005, 14005, 7005, 5]
+    late = answer.packed(rows.where("g = 1 and (id < 28006)"), "g").orderBy("source_no").collect()
+    assert [r.id for r in late] == [28005, 21005, 14005, 7005, 5]

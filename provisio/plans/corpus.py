@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provisio.functions import hashing, text
 from provisio.functions.citation import parsed
 from provisio.operators import activity, answer, answer_cache, catalog, currentlaw, merge
-from provisio.plans.search import PER_QUERY_SQL, q04_vector_topk_per_query
+from provisio.plans.search import PER_QUERY_SQL, q04_vector_topk_per_query, q85_vector_topk_of_all_queries
 from provisio.plans.views import ANNOUNCEMENTS_SQL, AS_OF, VERSIONS_SQL, announcements, table, versions
 from provisio.sources import html_units, metadata, pdf_lines
 
@@ -124,8 +124,8 @@ def q29_direct_target_backstop(spark: SparkSession, d: str) -> DataFrame:
     return answer.direct_targets(targets, said, issues).select("target", "issue", F.sha2("query", 256).alias("query_hash"))
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return q04_vector_topk_per_query(spark, d).select(
+def _hits(spark: SparkSession, d: str, found=q04_vector_topk_per_query) -> DataFrame:
+    return found(spark, d).select(
         F.col("vec_id").alias("id"), (F.col("query_id") % 2).alias("issue_no"), F.col("query_id").alias("query_no"), (F.col("query_id") % 3).alias("target"),
         F.expr("case when query_id < 3 then 'most_likely' else 'possible' end").alias("likelihood"), F.round(1 / (60 + F.col("vector_rank")), 9).alias("score"), (F.col("vec_id") % 7 == 0).alias("is_exact"),
     )
@@ -152,6 +152,21 @@ def q32_greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     return answer.packed(few, "source").select("source", F.col("id").alias("doc_id"), "source_no")
 
 
+def q93_provenance_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    """As q30, q31 and q33 (here, q94 and q95), over the hits of every vector whose id is divisible by 100."""
+    rows = answer.with_provenance(_hits(spark, d, q85_vector_topk_of_all_queries))
+    return rows.select("id", F.size("found_by").alias("n_found"), F.element_at("found_by", 1)["query_no"].alias("first_query"), F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
+def q94_tier_rank_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    rows = answer.tier_scores(_hits(spark, d, q85_vector_topk_of_all_queries), ["id"]).withColumn("weighted", F.round("weighted", 8))
+    return rows.select("id", "weighted", "any_exact", F.row_number().over(Window.orderBy(F.desc("any_exact"), F.desc("weighted"), "id")).alias("nth"))
+
+
+def q95_reservation_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    return answer.reserved(answer.tier_scores(_hits(spark, d, q85_vector_topk_of_all_queries), ["target", "id"]).withColumn("weighted", F.round("weighted", 8)))
+
+
 def q83_greedy_pack_of_all(spark: SparkSession, d: str) -> DataFrame:
     """As q32, with all documents of a source as its candidates."""
     every = table(spark, d, "documents").select("source", F.expr("(doc_id * 7919) % 10007 * 1000000 + doc_id").alias("rank"), F.col("doc_id").alias("id"), F.col("n_chars").cast("int").alias("n_chars"))
@@ -281,7 +296,7 @@ def q53_citations_by_level(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*(c.alias(k) for k, c in parsed(F.col("s")).items())).groupBy("article", "paragraph", "point", "letter").agg(F.count("*").alias("n"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit() and k != "q04_vector_topk_per_query"}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit() and k not in ("q04_vector_topk_per_query", "q85_vector_topk_of_all_queries")}
 _APPLIES = f"promulgated <= {AS_OF} and (expires is null or expires > {AS_OF})"
 _ONE = f"one as (select *, count(*) filter (where backed) over (partition by act) as n_backed, row_number() over (partition by act, kind order by backed desc, structured desc, official desc, state_date desc nulls last, id) as nth from ({VERSIONS_SQL}) qualify nth = 1)"
 _FORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
@@ -356,3 +371,4 @@ SQL = {
         case when p then '5' end as point, case when l then 'b' end as letter, count(*) as n from b group by 1, 2, 3, 4""",
 }
 SQL["q83_greedy_pack_of_all"] = SQL["q32_greedy_pack"].replace(" where nth <= 200", "")
+SQL |= {f"{k}_of_all_queries": SQL[of].replace("vec_id < 5", "vec_id % 100 = 0") for k, of in (("q93_provenance", "q30_provenance_collect"), ("q94_tier_rank", "q31_tier_weighted_rank"), ("q95_reservation", "q33_target_reservation"))}

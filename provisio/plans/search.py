@@ -198,6 +198,70 @@ def q80_lexical_of_whole_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("n_lexemes").alias("most_lexemes"))
 
 
+def _every_vector(spark: SparkSession, d: str, limit: int, asked: str = "vec_id % 100 = 0") -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return retrieval.vector_search(rows, {r["vec_id"]: r["embedding"] for r in rows.where(asked).select("vec_id", "embedding").collect()}, id_col="vec_id", limit=limit)
+
+
+def q84_vector_topk_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """As q03, over all labels."""
+    return _every_vector(spark, d, 30, "vec_id = 0").select(F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
+
+
+def q85_vector_topk_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
+    """As q04, asked with every vector whose id is divisible by 100."""
+    return _every_vector(spark, d, 10).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
+
+
+def _every_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents")
+    scope = [r["source"] for r in rows.select("source").where("source is not null").distinct().collect()]
+    return retrieval.in_scope(rows, scope, "source")
+
+
+def _every_doc(spark: SparkSession, d: str) -> DataFrame:
+    return _every_source(spark, d).select(F.col("doc_id").alias("id"), "text")
+
+
+def q86_lexical_match_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """As q01, and so on up to q92 as q08, with all sources as the scope."""
+    return retrieval.lexical_hits(_every_doc(spark, d), _query(spark)).select(F.col("id").alias("doc_id"), F.col("n_lexemes").alias("n_terms"))
+
+
+def q87_lexical_rank_of_all(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.lexical_hits(_every_doc(spark, d), _query(spark))
+    return retrieval.top(hits, F.desc("rank"), retrieval.CANDIDATES, "nth").select(F.col("id").alias("doc_id"), "rank", "nth")
+
+
+def _fused_of_all(spark: SparkSession, d: str, *exact: DataFrame, **least: None) -> DataFrame:
+    lexical = retrieval.lexical_search(_every_doc(spark, d), _query(spark), limit=retrieval.CANDIDATES)
+    return retrieval.fused(lexical, _every_vector(spark, d, 30, "vec_id = 0"), *exact, **least)
+
+
+def q88_rrf_fusion_of_all(spark: SparkSession, d: str) -> DataFrame:
+    return _fused_of_all(spark, d, min_similarity=None).select(F.col("id").alias("doc_id"), "lexical_rank", "vector_rank", "score")
+
+
+def q89_similarity_guard_of_all(spark: SparkSession, d: str) -> DataFrame:
+    return _fused_of_all(spark, d).select(F.col("id").alias("doc_id"), "lexical_rank", "vector_rank", "score")
+
+
+def _final_of_all(spark: SparkSession, d: str) -> DataFrame:
+    exact = _every_source(spark, d).where("doc_id % 97 = 3").select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("id"))
+    return retrieval.ranked(_fused_of_all(spark, d, exact))
+
+
+def q91_exact_first_of_all(spark: SparkSession, d: str) -> DataFrame:
+    return _final_of_all(spark, d).select(F.col("id").alias("doc_id"), "is_exact", "score", "final_rank")
+
+
+def q92_hydrated_of_all(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("labelled"), "quality")
+    rows = retrieval.hydrated(_final_of_all(spark, d), (docs, "id", "doc_id")).join(labels, F.col("doc_id") == F.col("labelled"), "left")
+    return rows.select("final_rank", "doc_id", "lang", "source", "n_chars", "quality", "score")
+
+
 def q50_query_forms(spark: SparkSession, d: str) -> DataFrame:
     """Squeezed, folded and counted texts of conversations."""
     rows = table(spark, d, "conversations")
@@ -244,3 +308,14 @@ SQL = {
         length(trim(text)) between 3 and 2000 as is_valid from conversations""",
 }
 SQL["q80_lexical_of_whole_items"] = SQL["q49_multi_query_lexical"].replace("substring(text, 1, 60)", "text")
+_OF_ALL = lambda sql: sql.replace(f"source in ({_IN(SOURCES)})", "source is not null").replace(" where e.label < 5", "").replace("vec_id < 5", "vec_id % 100 = 0")
+SQL |= {
+    "q84_vector_topk_of_all": _OF_ALL(SQL["q03_vector_topk"]),
+    "q85_vector_topk_of_all_queries": _OF_ALL(PER_QUERY_SQL),
+    "q86_lexical_match_of_all": _OF_ALL(SQL["q01_lexical_match"]),
+    "q87_lexical_rank_of_all": _OF_ALL(SQL["q02_lexical_rank_topk"]),
+    "q88_rrf_fusion_of_all": _OF_ALL(SQL["q05_rrf_fusion"]),
+    "q89_similarity_guard_of_all": _OF_ALL(SQL["q06_similarity_guard"]),
+    "q91_exact_first_of_all": _OF_ALL(SQL["q07_exact_first_order"]),
+    "q92_hydrated_of_all": _OF_ALL(SQL["q08_hybrid_hydrated"]),
+}

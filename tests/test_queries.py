@@ -43,3 +43,14 @@ def test_a_whole_item_finds_its_end(spark, con):
     most = lambda name: {r.query_id: r.most_lexemes for r in plans.QUERIES[name](spark, SF).collect()}
     cut, whole = most("q49_multi_query_lexical"), most("q80_lexical_of_whole_items")
     assert set(whole) >= set(cut) and all(whole[k] >= n for k, n in cut.items()) and any(whole[k] > n for k, n in cut.items())
+
+
+def test_every_hundredth_vector_and_every_source_is_asked(spark, con):
+    asked = {r[0] for r in con.execute("select vec_id from embeddings where vec_id % 100 = 0").fetchall()}
+    assert {r.query_id for r in plans.QUERIES["q85_vector_topk_of_all_queries"](spark, SF).collect()} == asked
+    sources = dict(con.execute("select doc_id, source from documents").fetchall())
+    hits = plans.QUERIES["q86_lexical_match_of_all"](spark, SF).collect()
+    assert len({sources[r.doc_id] for r in hits}) > 5
+    for name, sql in plans.SQL.items():
+        if "_of_all" in name:
+            assert not any(x in sql for x in ("vec_id < ", "label < ", "'src0'", "nth <= 200", "item_id < ")), name

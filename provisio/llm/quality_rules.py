@@ -11,7 +11,8 @@ lists of fragments do.
 
 A document is rejected if its log perplexity, for a word or for a symbol, lies outside its
 language's band.  The bands are made from quartiles over all documents, so what is usual in a
-corpus is kept; they are wider for short texts, whose perplexity varies more.
+corpus is kept; how much wider they are for short texts, whose perplexity varies more, is
+measured on the documents of each length.
 """
 
 from __future__ import annotations
@@ -183,16 +184,19 @@ MEASURES = ("log_perplexity", "symbol_log_perplexity")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 5.0, short: float = 18.0, least_sigma: float = 0.005) -> DataFrame:
+def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 5.0, short: float = 18.0, least_sigma: float = 0.005, least_docs: int = 30, least_room: float = 0.2) -> DataFrame:
     """One row per input row: id, the base counts, base_failed, log_perplexity (for a word), symbol_log_perplexity, kept.
 
     A null text has no words and fails; an empty one too.  A null language is one of its own.
     Repeated rows are judged alike; an empty table gives an empty one; other columns, whatever
     their names, are not read.
 
-    The band of a language is median +- ``width`` * sigma * sqrt(1 + short**2 / n) for a text of
-    n words, sigma from the quartiles over all its documents that pass the base rules, and at
-    least ``least_sigma`` times the median.
+    The band of a language is median +- ``width`` * sigma, sigma from the quartiles over all its
+    documents that pass the base rules, and at least ``least_sigma`` times the median.  It is then
+    moved and scaled for the text's length: by the median and the quartiles, in sigmas of their
+    languages, of all documents of as many words up to a doubling (or of the nearest such lengths
+    that have ``least_docs`` documents).  Where no length has as many, the band is wider by
+    sqrt(1 + short**2 / n) for a text of n words.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -231,10 +235,22 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scored = storage.written(scored.withColumn("base_failed", failed), "quality-scores")
     quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(*(F.percentile_approx(k, [0.25, 0.5, 0.75], 10000).alias(k) for k in MEASURES))
     bands = {r["lang"]: r.asDict() for r in quartiles.collect()}  # a row for each model
-    room = F.sqrt(1 + short**2 / F.greatest(F.col("n_words"), F.lit(1)))
-    usual = ~F.col("base_failed")
+    octave = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")
+    away, sigma = {}, {}
     for k in MEASURES:
         by = lambda f, k=k: F.coalesce(*(F.when(F.col("lang").eqNullSafe(F.lit(x)), F.lit(float(f(*q[k])))) for x, q in bands.items()), F.lit(0.0))
-        sigma = by(lambda low, mid, high: max(least_sigma * mid, (high - low) / 1.349))
-        usual &= F.abs(F.col(k) - by(lambda low, mid, high: mid)) <= width * sigma * room
+        sigma[k] = by(lambda low, mid, high: max(least_sigma * mid, (high - low) / 1.349))
+        away[k] = F.col(k) - by(lambda low, mid, high: mid)
+    lengths = scored.where(~F.col("base_failed")).groupBy(octave.alias("octave"))
+    spread = lengths.agg(F.count("*").alias("n"), *(F.percentile_approx(away[k] / F.nullif(sigma[k], F.lit(0.0)), [0.25, 0.5, 0.75], 10000).alias(k) for k in MEASURES)).collect()  # a row for each doubling of the length
+    told = {r["octave"]: r.asDict() for r in spread if r["n"] >= least_docs and all(r[k] for k in MEASURES)}
+    usual = ~F.col("base_failed")
+    for k in MEASURES:
+        mid, room = F.lit(0.0), F.sqrt(1 + short**2 / F.greatest(F.col("n_words"), F.lit(1)))
+        if told:
+            nearest = {o: told[min(told, key=lambda x, o=o: (abs(x - o), x))][k] for o in range(max(told) + 1)}
+            last = nearest[max(told)]
+            of = lambda f: F.coalesce(*(F.when(octave == o, F.lit(float(f(*q)))) for o, q in nearest.items()), F.lit(float(f(*last))))
+            mid, room = of(lambda low, mid, high: mid), of(lambda low, mid, high: max((high - low) / 1.349, least_room))
+        usual &= F.abs(away[k] - mid * sigma[k]) <= width * sigma[k] * room
     return scored.select(F.col("id").alias(id_col), *BASE, "base_failed", *MEASURES, usual.alias("kept"))

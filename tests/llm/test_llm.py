@@ -402,6 +402,25 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(np.exp(table.reshape(-1, quality_rules.CLASSES)).sum(1), 1, atol=1e-4)
 
 
+def test_quality_bands_follow_the_spread_of_a_length(spark):
+    """A short text far outside what is usual for its length is rejected, though a fixed widening for short texts would keep it."""
+    rng = random.Random(8)
+    known = ["".join(rng.choice("bcdlmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(known, k=n)), "en") for i, n in enumerate([40] * 300 + [300] * 300)]
+    rows += [(1000 + c, " ".join(w.upper() if k < c else w for k, w in enumerate(rng.choices(known, k=40))), "en") for c in range(1, 6)]
+    got = by_id(quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)))
+
+    def in_fixed_band(own) -> bool:
+        for k in quality_rules.MEASURES:
+            low, mid, high = np.quantile([getattr(r, k) for r in got.values()], [0.25, 0.5, 0.75])
+            if abs(getattr(own, k) - mid) > 5 * max(0.005 * mid, (high - low) / 1.349) * math.sqrt(1 + 18**2 / own.n_words):
+                return False
+        return True
+
+    assert any(in_fixed_band(got[1000 + c]) and not got[1000 + c].kept for c in range(1, 6))
+    assert sum(not r.kept for i, r in got.items() if i < 1000) <= 2
+
+
 # -- 10 ------------------------------------------------------------------------------------------
 
 PATTERNS = {

@@ -147,23 +147,25 @@ def _extracted(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(extract, f"id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, nodes {NODE}")
 
 
-def confident_patterns(edges: DataFrame, rounds: int, confidence: float, support: float) -> DataFrame:
-    """Patterns whose distinct instances are trusted: (pattern, confidence), from edges (pattern, instance, seed)."""
+def confident_patterns(edges: DataFrame, rounds: int | None, confidence: float, support: float) -> DataFrame:
+    """Patterns whose distinct instances are trusted: (pattern, confidence), from edges (pattern, instance, seed), after rounds until none is added (or ``rounds`` of them)."""
 
     def score(edges: DataFrame) -> DataFrame:
         found = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("trust").alias("s"))
         return found.where((F.col("s") >= support) & (F.col("s") >= confidence * F.col("n"))).select("pattern", (F.col("s") / F.col("n")).alias("confidence"))
 
-    trusted = edges.withColumn("trust", F.col("seed").cast("double"))
-    for k in range(rounds - 1):
+    trusted, k, n = edges.withColumn("trust", F.col("seed").cast("double")), 0, -1
+    while True:
+        good = storage.written(score(trusted), f"patterns-round-{k}")
+        before, n, k = n, good.count(), k + 1
+        if n == before or k == rounds:  # trust only grows, so patterns are added and never lost
+            return good
         wrong = F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.99)))))
-        likely = edges.join(score(trusted), "pattern").groupBy("instance").agg((1 - wrong).alias("likely"))
+        likely = edges.join(good, "pattern").groupBy("instance").agg((1 - wrong).alias("likely"))
         trusted = edges.join(likely, "instance", "left").withColumn("trust", F.greatest(F.col("seed").cast("double"), F.coalesce(F.col("likely"), F.lit(0.0)))).drop("likely")
-        trusted = storage.written(trusted, f"pattern-round-{k}")
-    return score(trusted)
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confidence: float = 0.6, support: float = 3.0, least: int = 8) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, confidence: float = 0.6, support: float = 3.0, least: int = 8) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     ``spans``: kind:start:end in code points, end exclusive; the base kinds as listed, then
@@ -178,7 +180,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rou
     read = storage.written(_extracted(docs, least).withColumn("row", F.monotonically_increasing_id()), "pii")
     nodes = read.select("row", F.explode("nodes").alias("x")).select("row", "x.*")
     edges = storage.written(nodes.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed")), "pattern-edges")
-    good = storage.written(confident_patterns(edges, rounds, confidence, support), "patterns")
+    good = confident_patterns(edges, rounds, confidence, support)
     found = nodes.where(~F.col("seed")).join(good, "pattern").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
     text = F.array_join(F.transform("found", lambda x: F.concat(F.lit("found:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
     spans = F.concat_ws(",", F.when(F.col("spans") != "", F.col("spans")), text)
@@ -186,7 +188,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rou
 
 
 def redacted(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[{}]") -> DataFrame:
-    """``docs`` with each span of ``found`` (of the same ids) replaced by its kind; where spans overlap, the first one counts."""
+    """``docs`` with each span of ``found`` (of the same ids) replaced by its kind; spans that overlap are replaced as one, by the first one's."""
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +200,7 @@ def redacted(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_
                     for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(","))):
                         if a >= last:
                             done += [text[last:a], mark.format(kind)]
-                            last = b
+                        last = max(last, b)
                     text = "".join([*done, text[last:]])
                 out.append(text)
             columns = [*batch.columns[:-1]]

@@ -466,6 +466,21 @@ def test_contexts_discover_unseen_ids(spark):
     assert clean[50].text == 'see token = "[found]" here' and clean[51].text == rows[-1][1]
 
 
+def test_patterns_are_added_until_none_is_left(spark):
+    """A chain of four patterns, each known by the one before."""
+    sizes, names = (2000, 200, 20, 5), "sabc"
+    rows = [(f"p{k}", f"{names[j]}{i}", j == 0) for k in range(4) for j in (k, k + 1) if j < 4 for i in range(sizes[j])]
+    edges = spark.createDataFrame(rows, "pattern string, instance string, seed boolean")
+    assert {r.pattern for r in pii.confident_patterns(edges, None, 0.6, 3.0).collect()} == {"p0", "p1", "p2", "p3"}
+
+
+def test_overlapping_spans_leave_nothing(spark):
+    texts = ["to 4111111111111111@mail.com now", "at 1.2.3.4@mail.com now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = by_id(pii.redacted(docs, pii.find(docs)))
+    assert "mail" not in clean[0].text + clean[1].text and all(r.text.endswith("] now") for r in clean.values())
+
+
 # -- all -----------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a local one only where it is unset and there is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="provisio-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -42,12 +45,18 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """A written table whose place is known, for those that are dropped once used."""
+    """A written table whose place is known, for those that are dropped once used; ``by``: a column that splits it into folders."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, partitionBy=by)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         dropped(self.spark, self.path)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing holds any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

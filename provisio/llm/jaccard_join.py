@@ -1,29 +1,30 @@
 """N-gram Jaccard join with a token-group matrix.
 
 1. Each document's set of word shingles is reduced to keys: ``bands`` hashes of ``rows`` minima
-   each.  Two sets of similarity s miss each other in all bands with probability
-   (1 - s**rows)**bands, below 1e-12 at 0.8; a 64-bit hash stands for a shingle.  Documents with
-   equal sets are one class.
-2. Classes that share a key are compared with the smallest class of that key, by their whole sets.
-   What links is joined into components: near copies of a text are done here, in one comparison
-   for each key.
-3. Only classes that share a key across components are left.  Their shingles are ordered rarest
-   first, and two sets that link must share one of the first n - ceil(0.8 n) + 1 of them.
-   Classes that share a rare shingle are compared directly.
-4. Classes that share a shingle with many others form clusters.  A cluster is split by size into
-   groups of similar documents, which meet in pairs, each pair in a task of its own.  There the
-   token-group matrix holds the token union of each small group; a document's overlap with the
-   union bounds its overlap with every member, and only groups that may hold a link are opened.
-
-So no list of all pairs of a group is ever written, and no group is gathered in one task.
+   each.  There are so many that two sets at the threshold miss each other in all of them with a
+   probability below 1e-12; a 64-bit hash stands for a shingle.  Documents with equal sets are
+   one class.
+2. Classes that share keys are partitioned into groups of similar ones: by the smallest class that
+   they share a key with, by size, and by hash into groups of at most about ``GROUP``.
+3. A group's token union is stored as the columns of a matrix over its members.  How many tokens
+   of a query the union holds bounds the query's overlap with every member; only groups whose
+   bound and sizes allow a link are opened, and only there are sets compared.
+4. The first queries of a group are the smallest classes of its members' keys; what links is
+   joined into components.  Most near copies of a text are done here, by one query.
+5. Only classes that share a key across components are left.  Their shingles are ordered rarest
+   first, and two sets that link must share one of the first n - ceil(n * threshold) + 1 of them.
+   Groups that share such a shingle meet in pairs, the members of one as queries of the other.
+
+So every link comes from an opened group, no list of all pairs of a group is ever written, and
+no task holds more than two groups and their queries.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,8 @@ from provisio.llm.bitmap import bitmap
 from provisio.llm.components import components
 from provisio.llm.words import Texts, inside, mix, slices, windows
 
-#: Most classes that share a shingle and are compared directly; more of them form a cluster.
-FEW = 48
-#: About as many classes make a block of a cluster, and a small group of the matrix.
-BLOCK, GROUP = 1024, 64
+#: About as many classes make a group.
+GROUP = 64
 
 
 def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +57,13 @@ def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return g[new], np.searchsorted(of[new], np.arange(len(words) + 1))
 
 
+def bands_for(percent: int, rows: int) -> int:
+    """Keys of ``rows`` minima, so that sets at the threshold share none with a probability below 1e-12."""
+    return math.ceil(-12 * math.log(10) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+
+
 def _keys(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, d1, d2, keys): the set's size, its digest and its keys."""
+    """(id, content, n, d1, d2, keys): the text's hash, the set's size, its digest and its keys."""
     rng = np.random.default_rng(11)
     factor = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -80,36 +84,28 @@ def _keys(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     digest[1, some] = np.add.reduceat(mix(g ^ np.uint64(0xD6E8FEB86659FD93)), at[some])
                 held = np.where(n > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(held))).astype(np.int32), pa.array(keys[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), lists], names=["id", "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), lists], names=["id", "content", "n", "d1", "d2", "keys"])
 
-    return docs.mapInArrow(measure, "id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(measure, "id long, content long, n long, d1 long, d2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, n, tokens) of the documents that stand for the wanted classes."""
-    has = bitmap(wanted, "class")
+    """(class, n, tokens) of the texts that stand for the wanted classes (class, id, content)."""
+    has = bitmap(wanted, "content")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(has(batch.column(0).to_numpy())))
+            batch = batch.filter(pa.array(has(batch.column(2).to_numpy())))
             for part, texts in slices(batch, "text"):
                 g, at = shingles(texts, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(g.view(np.int64)))], names=["class", "n", "tokens"])
-
-    return docs.mapInArrow(measure, "class long, n long, tokens array<long>").join(wanted, "class", "left_semi")
-
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(g.view(np.int64)))], names=["id", "content", "n", "tokens"])
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that link, by their whole sets."""
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
-    both = both.where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    found = docs.mapInArrow(measure, "id long, content long, n long, tokens array<long>").join(wanted, ["id", "content"])
+    return found.select("class", "n", "tokens").dropDuplicates(["class"])
 
 
-def open_groups(left: list[np.ndarray], right: list[np.ndarray], left_comp: np.ndarray, right_comp: np.ndarray, percent: int, group: int = GROUP) -> list[tuple[int, int]]:
-    """Links (i, j) between two lists of sets, enough to connect all that are linked; nothing within a component."""
+def open_groups(queries: list[np.ndarray], members: list[np.ndarray], query_comp: np.ndarray, member_comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between some queries and the members of a group, enough to connect all that are linked; nothing within a component."""
     found: list[tuple[int, int]] = []
     up: dict[int, int] = {}
 
@@ -119,121 +115,148 @@ def open_groups(left: list[np.ndarray], right: list[np.ndarray], left_comp: np.n
             x = y
         return x
 
-    size = np.array([len(x) for x in left])
-    for low in range(0, len(right), group):
-        members = right[low : low + group]
-        n = np.array([len(x) for x in members])
-        union, place = np.unique(np.concatenate(members), return_inverse=True)
-        matrix = np.zeros((len(members), len(union)), bool)
-        matrix[np.repeat(np.arange(len(members)), n), place] = True
-        # the matrix's bound: tokens of each document that the group's union holds
-        at = np.searchsorted(union, flat := np.concatenate(left))
-        at[at == len(union)] = 0
-        hit = union[at] == flat
-        held = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(size)))]
-        bound = np.diff(held)
-        may = (100 * bound >= percent * size) & (100 * n.max() >= percent * size) & (100 * size >= percent * n.min())
-        columns = at[hit]
-        for i in np.flatnonzero(may):
-            shared = matrix[:, columns[held[i] : held[i + 1]]].sum(1)
-            for j in np.flatnonzero(100 * shared >= percent * (size[i] + n - shared)):
-                a, b = root(int(left_comp[i])), root(int(right_comp[low + j]))
-                if a != b:
-                    up[a] = b
-                    found.append((int(i), int(low + j)))
+    size, n = np.array([len(x) for x in queries]), np.array([len(x) for x in members])
+    # the group's token union: columns of the matrix
+    union, place = np.unique(np.concatenate(members), return_inverse=True)
+    # tokens of each query that the union holds
+    at = np.searchsorted(union, flat := np.concatenate(queries))
+    at[at == len(union)] = 0
+    hit = union[at] == flat
+    held = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(size)))]
+    may = np.flatnonzero((100 * np.diff(held) >= percent * size) & (100 * n.max() >= percent * size) & (100 * size >= percent * n.min()))
+    if not len(may):
+        return found
+    matrix = np.zeros((len(members), len(union)), bool)
+    matrix[np.repeat(np.arange(len(members)), n), place] = True
+    columns = at[hit]
+    for i in may:
+        shared = matrix[:, columns[held[i] : held[i + 1]]].sum(1)
+        for j in np.flatnonzero(100 * shared >= percent * (size[i] + n - shared)):
+            a, b = root(int(query_comp[i])), root(int(member_comp[j]))
+            if a != b:
+                up[a] = b
+                found.append((int(i), int(j)))
     return found
 
 
-def _clusters(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of classes that share frequent shingles: (a, b), from (token, class, n, comp)."""
-    hubs = many.groupBy("token").agg(F.min("class").alias("hub"))
-    cluster = storage.written(components(many.join(hubs, "token").select(F.col("class").alias("a"), F.col("hub").alias("b"))), "clusters")
-    member = many.select("class", "n", "comp").distinct().join(cluster.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class")
-    # sizes of one band differ by less than an eighth
-    member = member.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.12))).cast("int"))
-    count = member.groupBy("cluster", "band").agg(F.count("*").alias("m"))
-    split = F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / BLOCK))
-    member = storage.written(member.join(count, ["cluster", "band"]).select("cluster", "band", split.alias("k"), "class", "comp"), "cluster-members")
-    block = member.select("cluster", "band", "k").distinct()
-    # blocks whose sizes may link: at most two bands apart
-    other = block.select("cluster", F.col("band").alias("band2"), F.col("k").alias("k2"))
-    pairs = block.withColumn("band2", F.explode(F.sequence("band", F.col("band") + 2))).join(other, ["cluster", "band2"]).where("band2 > band or k2 >= k")
-    pairs = pairs.withColumn("pair", F.xxhash64("cluster", "band", "k", "band2", "k2"))
-    sides = pairs.select("cluster", "band", "k", "pair", F.lit(0).alias("side")).unionByName(pairs.select("cluster", F.col("band2").alias("band"), F.col("k2").alias("k"), "pair", F.lit(1).alias("side")))
-    rows = sides.join(member, ["cluster", "band", "k"]).join(sets.select("class", "tokens"), "class").select("pair", "side", "class", "comp", "tokens")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [frame[frame["side"] == s].sort_values("class") for s in (0, 1)]
-        tokens = [[np.asarray(t) for t in s["tokens"]] for s in sides]
-        found = open_groups(*tokens, *(s["comp"].to_numpy() for s in sides), percent)
-        a, b = (s["class"].to_numpy() for s in sides)
-        return pd.DataFrame({"a": [a[i] for i, _ in found], "b": [b[j] for _, j in found]}, dtype="int64")
-
-    return rows.groupBy("pair").applyInPandas(compare, "a long, b long")
-
-
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = 40, rows: int = 3) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
+def _opened(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from (task, side, class, comp, tokens): a group's members are of side 1, its queries of side 0."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Two documents link when 100 * shared shingles >= ``percent`` * shingles of either; a component
-    holds all documents that links reach, and is named by its smallest id.  A null text and one
-    without words have no shingles and link with nothing; so does a row without an id, whose
-    component is null.  Equal rows are returned as often as they come; rows of one id are one
-    document, though with different texts.  An empty table gives an empty one; other columns,
-    whatever their names, are not read.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    read = storage.written(_keys(docs, size, bands, rows), "shingle-keys")
+    def links(held: pa.RecordBatch) -> pa.RecordBatch:
+        side, name, comp = (held.column(i).to_numpy() for i in (1, 2, 3))
+        flat, at = held.column(4).flatten().to_numpy(), held.column(4).offsets.to_numpy()
+        tokens = [flat[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+        query, member = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = open_groups([tokens[i] for i in query], [tokens[i] for i in member], comp[query], comp[member], percent) if len(query) and len(member) else []
+        return pa.RecordBatch.from_pydict({"a": pa.array([name[query[i]] for i, _ in found], pa.int64()), "b": pa.array([name[member[j]] for _, j in found], pa.int64())})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if rest is None else pa.concat_batches([rest, batch])
+            task = held.column(0).to_numpy()
+            cut = np.concatenate(([0], np.flatnonzero(task[1:] != task[:-1]) + 1))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                yield links(held.slice(a, b - a))
+            rest = held.slice(cut[-1])
+        if rest is not None:
+            yield links(rest)
+
+    return rows.select("task", "side", "class", "comp", "tokens").repartition(parts, "task").sortWithinPartitions("task", "side", "class").mapInArrow(compare, "a long, b long")
+
+
+def _classes(docs: DataFrame, size: int, percent: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Every row (id, content, n, d1, d2), and every class (d1, d2, n, root, component): ``component`` is the smallest id of all with its ``root``."""
+    read = storage.written(_keys(docs, size, bands_for(percent, rows), rows), "shingle-keys")
     real = read.where("n > 0 and id is not null")
-    classes = storage.written(real.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "keys")).alias("x")).select("d1", "d2", "n", F.col("x.id").alias("class"), "x.keys"), "shingle-classes")
-    held = classes.select("class", F.explode("keys").alias("key"))
-    hubs = held.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
+    classes = real.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "content", "keys")).alias("x"))
+    classes = storage.written(classes.select("d1", "d2", "n", F.xxhash64("d1", "d2", "n").alias("class"), "x.*"), "shingle-classes")
+    held = classes.select("class", "n", F.explode("keys").alias("key"))
+    # tables are written before they are joined on a frequent value, so that its rows can be split
+    hubs = storage.written(held.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"), "key-hubs")
     near = storage.written(held.join(hubs, "key"), "shared-keys")
-    known = docs.where(F.col("id").isNotNull())
-    sets = storage.written(_sets(known, near.select("class").distinct(), size).dropDuplicates(["class", "n"]), "shingle-sets")
-
-    stars = near.where("class != hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    links = storage.written(_linked(stars, sets, percent), "star-links")
-    comp = storage.written(components(links), "star-components")
-    name = lambda df: df.join(comp.select(F.col("node").alias("class"), F.col("component")), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
+    wanted = near.select("class").distinct().join(classes.select("class", "id", "content"), "class")
+    sets = storage.written(_sets(docs.where(F.col("id").isNotNull()), wanted, size), "shingle-sets")
+
+    # groups: of one hub, and sizes that differ by less than half of what the threshold allows
+    ratio = (100 / percent) ** 0.5 if percent < 100 else 1.0001
+    group = near.groupBy("class", "n").agg(F.min("hub").alias("label")).withColumn("band", F.floor(F.log("n") / F.log(F.lit(ratio))).cast("int"))
+    group = storage.written(group, "labels")
+    count = storage.written(group.groupBy("label", "band").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "label-sizes")
+    member = group.join(count, ["label", "band"]).select("class", "n", F.xxhash64("label", "band", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("grp"))
+    member = storage.written(member, "groups")
+
+    asking = near.where("class != hub").select("class", "hub").distinct().join(member.select("class", "grp"), "class").select("grp", "hub").distinct()
+    queries = asking.select(F.col("grp").alias("task"), F.col("hub").alias("class"), F.lit(0).alias("side"))
+    asked = asking.select("grp").distinct()
+    inside_ = member.join(asked, "grp", "left_semi").select(F.col("grp").alias("task"), "class", F.lit(1).alias("side"))
+    rows_ = queries.unionByName(inside_).join(sets.select("class", "tokens"), "class").withColumn("comp", F.col("class"))
+    links = storage.written(_opened(rows_, percent), "first-links")
+    comp = storage.written(components(links), "first-components")
+    named = lambda df: df.join(comp.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
 
     # classes that share a key with another component
-    named = name(near.select("key", "class"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    left = storage.written(name(near.join(mixed, "key", "left_semi").select("class").distinct()), "left-classes")
-    spread = sets.join(left, "class").select("class", "n", "comp", F.explode("tokens").alias("token"))
-    often = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = spread.join(often, "token").groupBy("class", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    mixed = storage.written(named(near.select("key", "class")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key"), "mixed-keys")
+    left = storage.written(named(near.join(mixed, "key", "left_semi").select("class").distinct().join(member, "class")), "left-classes")
+    spread = sets.join(left, "class").select("class", sets["n"], "grp", "comp", F.explode("tokens").alias("token"))
+    often = storage.written(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
+    shared = spread.join(often, "token").groupBy("class", "n", "grp", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     # rarest first: the unshared ones, then by frequency
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
-    first = F.greatest(F.lit(0), first).cast("int")
-    prefix = storage.written(shared.select("class", "n", "comp", F.explode(F.slice("t", F.lit(1), first)).alias("x")).select("class", "n", "comp", "x.token"), "rare-shingles")
-    posting = prefix.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "m")
-    few = prefix.join(posting.where(F.col("m") <= FEW), "token").groupBy("token").agg(F.collect_list(F.struct("class", "n", "comp")).alias("held"))
+    prefix = shared.select("grp", "n", "comp", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("x")).select("grp", "n", "comp", "x.token")
+    posting = prefix.groupBy("token", "grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    posting = storage.written(posting, "rare-shingles")
+    other = posting.select("token", *(F.col(c).alias(f"{c}2") for c in ("grp", "low", "high", "least", "most")))
+    may = (F.col("grp") <= F.col("grp2")) & (F.greatest("high", "high2") > F.least("low", "low2"))
+    may &= (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
+    pairs = posting.join(other, "token").where(may).select("grp", "grp2").distinct().withColumn("task", F.xxhash64("grp", "grp2"))
+    pairs = storage.written(pairs, "group-pairs")
+    sides = pairs.select("task", "grp", F.lit(0).alias("side")).unionByName(pairs.select("task", F.col("grp2").alias("grp"), F.lit(1).alias("side")))
+    rows_ = sides.join(left.select("grp", "class", "comp"), "grp").join(sets.select("class", "tokens"), "class")
+    more = storage.written(_opened(rows_, percent), "further-links")
+
+    comp = storage.written(components(links.unionByName(more)).select(F.col("node").alias("class"), F.col("component").alias("root")), "components")
+    label = storage.written(classes.select("d1", "d2", "n", "class", "id", "content").join(comp, "class", "left").withColumn("root", F.coalesce("root", "class")), "class-roots")
+    least = storage.written(label.groupBy("root").agg(F.min("id").alias("component")), "component-names")
+    return read.drop("keys"), storage.written(label.join(least, "root").select("d1", "d2", "n", "root", "component"), "shingle-components")
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rows: int = 3) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for held in batch.column(1).to_pylist():
-                x = sorted(held, key=lambda y: y["class"])
-                for i, p in enumerate(x):
-                    for q in x[:i]:
-                        if p["comp"] != q["comp"] and min(p["n"], q["n"]) * 100 >= max(p["n"], q["n"]) * percent:
-                            a.append(p["class"])
-                            b.append(q["class"])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    few_links = _linked(few.mapInArrow(pairs, "a long, b long").distinct(), sets, percent)
-    many_links = _clusters(storage.written(prefix.join(posting.where(F.col("m") > FEW), "token").select("token", "class", "n", "comp"), "frequent-shingles"), sets, percent)
-    every = storage.written(links.unionByName(few_links).unionByName(many_links), "all-links")
-    comp = components(every).select(F.col("node").alias("class"), F.col("component"))
-    label = storage.written(classes.select("d1", "d2", "n", "class").join(comp, "class", "left").select("d1", "d2", "n", F.coalesce("component", "class").alias("component")), "shingle-components")
-    return read.drop("keys").join(label, ["d1", "d2", "n"], "left").select(
+    Two texts link when 100 * shared shingles >= ``percent`` * shingles of either; a component
+    holds all texts that links reach, and is named by its smallest id.  A null text and one
+    without words have no shingles and link with nothing; so does a row without an id, whose
+    component is null.  Equal rows are returned as often as they come; rows of one id with
+    different texts are told apart.  An empty table gives an empty one; other columns, whatever
+    their names, are not read.
+    """
+    read, label = _classes(_read(docs, id_col, text_col), size, percent, rows)
+    return read.join(label.select("d1", "d2", "n", "component"), ["d1", "d2", "n"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
 
 
-def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The documents that name their component: one of each group of near copies, and all others."""
-    others = joined.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__other")).distinct()
-    return docs.join(others, docs[id_col] == F.col("__other"), "left_anti")
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rows: int = 3) -> DataFrame:
+    """``docs`` with one document of each component: that with its smallest id, the text with the smallest hash.
+
+    Rows that repeat an id and its text are one document and stay together.  Texts without words
+    and rows without an id stay.  The columns are those of ``docs``, whatever their names.
+    """
+    read, label = _classes(_read(docs, id_col, text_col), size, percent, rows)
+    rows_ = read.where("n > 0 and id is not null").select("id", "content", "d1", "d2", "n").distinct().join(label, ["d1", "d2", "n"])
+    rows_ = storage.written(rows_.select("id", "content", "root", "component"), "members")
+    first = storage.written(rows_.where("id = component").groupBy("root").agg(F.min("content").alias("first")), "first-members")
+    others = rows_.join(first, "root").where("id != component or content != first").select(F.col("id").alias("gone"), F.col("content").alias("its"))
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("mine"), text.alias("text_hash"))
+    others = others.select(F.col("gone").alias("mine"), F.col("its").alias("text_hash"))
+    return own.join(others, ["mine", "text_hash"], "left_anti").select("row.*")

@@ -1,18 +1,18 @@
-"""Quality rules: plain counts of a text, and a band of n-gram perplexity for its language.
-
-The model is a modified Kneser-Ney model of the shape of words.  A text's bytes fall into 16
-classes (small vowels and consonants, capitals, digits, symbols, kinds of punctuation, other
-letters), and Spark counts the runs of five of them by language, over all texts.  So a
-language's counts are at most 16**5 numbers for any input; the model is made from them on the
-driver and is stored, for each length of run, as sorted arrays of codes with their log
-probabilities and back-off weights.  Shapes hardly depend on which words a text uses, so
-quotations, names and passages in another language don't look odd, but mark-up, shouting and
-lists of fragments do.
-
-A document is rejected if its log perplexity, for a word or for a symbol, lies outside its
-language's band.  The bands are made from quartiles over all documents, so what is usual in a
-corpus is kept; how much wider they are for short texts, whose perplexity varies more, is
-measured on the documents of each length.
+"""Quality rules: plain counts of a text, and bands of n-gram perplexity for its language.
+
+The model is a modified Kneser-Ney model of letters.  A text's bytes fall into 60 symbols: each
+small letter is its own, capitals are one, as are digits, white space, and kinds of punctuation
+and marks; the bytes of longer characters are told apart by some of their bits.  Spark counts the
+runs of four symbols by language, over all texts, so a language has at most 64**4 counts for any
+input.  The model holds, for each length of run, sorted arrays of codes with log probabilities and
+of contexts with back-off weights, which are searched.  The shortest runs back off to those of all
+languages together, so a passage in another language is unlikely, but not unheard of.
+
+A document is rejected if one of its log perplexities lies outside its language's band: for a
+symbol, for a word, and for the first symbols of words, which tells a text whose words stand in
+their order from a list of them.  Bands come from exact quartiles over all documents, so what is
+usual in a corpus is kept; how much wider they are for short texts, whose perplexity varies more,
+is measured on the documents of each length.
 """
 
 from __future__ import annotations
@@ -21,37 +21,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from provisio.llm import storage
 from provisio.llm.words import Texts, inside, mix, slices, windows
 
-CLASSES, ORDER = 16, 5
-CODES = CLASSES**ORDER
-#: Languages with a model of their own; all further ones share a model.
-MOST_LANGUAGES = 64
+#: Bits of a symbol, and symbols of a run.
+BITS, ORDER = 6, 4
+CLASSES = 1 << BITS
 
 SYMBOLS = b"#*$%&|<>"
 
 
 def _classes() -> np.ndarray:
-    """Class of each byte; 255: not counted (the first byte of a longer character)."""
-    out = np.full(256, 12, np.uint8)
+    """Symbol of each byte."""
+    out = np.full(256, 35, np.uint8)
     out[[0x20, 9, 11, 12, 13]] = 0
     out[10] = 1
-    out[97:123] = 2
-    out[list(b"aeiouy")] = 3
-    out[65:91] = 4
-    out[list(b"AEIOUY")] = 5
-    out[48:58] = 6
-    out[list(SYMBOLS)] = 7
-    out[list(b"|")] = 8
-    out[list(b".")] = 9
-    out[list(b",;:")] = 10
-    out[list(b"!?")] = 11
-    out[128:192] = 13
-    out[192:] = 255
+    out[97:123] = np.arange(2, 28)
+    out[65:91] = 28
+    out[48:58] = 29
+    out[list(SYMBOLS)] = 30
+    out[list(b"|")] = 31
+    out[list(b".")] = 32
+    out[list(b",;:")] = 33
+    out[list(b"!?")] = 34
+    out[128:192] = 36 + np.arange(64) % 16
+    out[192:] = 52 + np.arange(64) % 8
     return out
 
 
@@ -61,82 +59,113 @@ _IS_SYMBOL[list(SYMBOLS)] = True
 
 
 def codes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all runs of classes of each text, between leading spaces and a closing one; where each text's begin."""
-    kept = _CLASS[texts.data]
-    held = kept != 255
-    before = np.concatenate(([0], np.cumsum(held)))[texts.at]
-    n = np.diff(before)
-    out = np.zeros(int(before[-1]) + ORDER * len(n), np.int32)
-    out[np.arange(int(before[-1])) + np.repeat(ORDER * np.arange(len(n)) + ORDER - 1, n)] = kept[held]
+    """Codes of all runs of symbols of each text, between leading spaces and a closing one; where each text's begin."""
+    n = np.diff(texts.at)
+    out = np.zeros(len(texts.data) + ORDER * len(n), np.uint32)
+    out[np.arange(len(texts.data)) + np.repeat(ORDER * np.arange(len(n)) + ORDER - 1, n)] = _CLASS[texts.data]
     size = max(0, len(out) - ORDER + 1)
-    runs = np.zeros(size, np.int32)
+    runs = np.zeros(size, np.uint32)
     for k in range(ORDER):
-        runs = runs * CLASSES + out[k : k + size]
+        runs = runs << np.uint32(BITS) | out[k : k + size]
     # runs that reach into the next text are left out: the last ones of each text
     whole = np.ones(size, bool)
-    ends = (before + ORDER * np.arange(len(n) + 1))[1:]
+    ends = texts.at[1:] + ORDER * np.arange(1, len(n) + 1)
     for d in range(1, ORDER):
         whole[(ends - d)[ends - d < size]] = False
-    return runs[whole], before + np.arange(len(n) + 1)
+    return runs[whole], texts.at + np.arange(len(n) + 1)
+
+
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their numbers."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
 
 
 def counted(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, code, n) over all texts, combined in each task before it is shuffled."""
+    """(lang, code, n) over all texts, combined in each task before it is shuffled; a null language is one of its own."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, np.ndarray] = {}
+        name: dict[str | None, int] = {}
+        held, fresh = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+
+        def whole() -> tuple[np.ndarray, np.ndarray]:
+            return _added(*(np.concatenate(x) for x in zip(held, *fresh, strict=True)))
+
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 runs, at = codes(texts)
-                lang = np.array([x or "" for x in part.column(0).to_pylist()], object)
-                for x in set(lang):
-                    own = np.repeat(lang == x, np.diff(at))
-                    n = np.bincount(runs[own], minlength=CODES)
-                    held[x] = held[x] + n if x in held else n
-        for x, n in held.items():
-            code = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(code)), "code": pa.array(code.astype(np.int32)), "n": pa.array(n[code])})
+                lang = np.array([name.setdefault(x, len(name)) for x in part.column(0).to_pylist()], np.uint64)
+                fresh.append(np.unique(np.repeat(lang << np.uint64(BITS * ORDER), np.diff(at)) | runs, return_counts=True))
+                if len(fresh) == 16:
+                    held, fresh = whole(), []
+        key, n = whole()
+        names = pa.array(list(name), pa.string())
+        for low in range(0, len(key), 1 << 16):
+            k = key[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array((k >> np.uint64(BITS * ORDER)).astype(np.int64))), pa.array((k & np.uint64(CLASSES**ORDER - 1)).astype(np.int32)), pa.array(n[low : low + len(k)])], names=["lang", "code", "n"])
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "lang string, code int, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def _find(held: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted array, and which of them are there."""
+    if not len(held):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.searchsorted(held, key)
+    at[at == len(held)] = 0
+    return at, held[at] == key
+
+
 class KneserNey:
-    """Modified Kneser-Ney over classes.  ``levels[k]``: of the runs of k + 1 classes that were seen, the sorted
-    codes and their log probabilities; of the contexts of k classes, the sorted codes and their log back-off weights."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        counts = np.zeros(CODES)
-        counts[code] = n
-        held = [counts]
-        for k in range(ORDER - 1, 0, -1):  # shorter runs count the different classes before them
-            held.append((held[-1].reshape(CLASSES, -1) > 0).sum(0).astype(float))
-        self.levels = []
-        lower = np.full((1, CLASSES), 1 / CLASSES)
-        for c in reversed(held):
-            c = c.reshape(-1, CLASSES)
+    """Modified Kneser-Ney over symbols.  ``levels[k]``: of the runs of k + 1 symbols that were seen, the sorted
+    codes and their log probabilities; of the contexts of k symbols, the sorted codes and their log back-off weights.
+
+    ``base``: log probabilities of single symbols that the shortest runs back off to; equal ones by default.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, base: np.ndarray | None = None):
+        held = [_added(code.astype(np.uint32), n.astype(np.float64))]
+        for k in range(ORDER - 1, 0, -1):  # shorter runs count the different symbols before them
+            shorter = held[-1][0] & np.uint32((1 << BITS * k) - 1)
+            held.append(_added(shorter, np.ones(len(shorter))))
+        self.base = np.full(CLASSES, -np.log(CLASSES)) if base is None else base
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for k, (seen, c) in enumerate(reversed(held)):
             of = [max(1, int((c == j).sum())) for j in (1, 2, 3, 4)]
             y = of[0] / (of[0] + 2 * of[1])
             discount = np.array([0.0, *(min(j - 0.05, max(0.05, j - (j + 1) * y * of[j] / of[j - 1])) for j in (1, 2, 3))])
             taken = discount[np.minimum(c, 3).astype(int)]
-            total = c.sum(1)
-            weight = np.where(total > 0, taken.sum(1) / np.maximum(total, 1), 1.0)
-            shorter = lower[np.arange(len(c)) % len(lower)]
-            p = (c - taken) / np.maximum(total, 1)[:, None] + weight[:, None] * shorter
-            seen, contexts = np.flatnonzero(c), np.flatnonzero(total)
-            self.levels.append((seen.astype(np.int32), np.log(p.ravel()[seen]).astype(np.float32), contexts.astype(np.int32), np.log(weight[contexts]).astype(np.float32)))
-            lower = p
-
-    def table(self) -> np.ndarray:
-        """Log probability of every code, for lookups by place."""
-        out = np.full((1, CLASSES), -np.log(CLASSES), np.float32)
-        for k, (code, logp, context, weight) in enumerate(self.levels):
-            rows = CLASSES**k
-            back = np.zeros(rows, np.float32)
-            back[context] = weight
-            out = out[np.arange(rows) % len(out)] + back[:, None]
-            out.ravel()[code] = logp
-        return out.ravel()
+            context, total = _added(seen >> np.uint32(BITS), c)
+            weight = _added(seen >> np.uint32(BITS), taken)[1] / total
+            at = np.searchsorted(context, seen >> np.uint32(BITS))
+            less = np.exp(self._logp(seen & np.uint32((1 << BITS * k) - 1), k - 1))
+            p = (c - taken) / total[at] + weight[at] * less
+            self.levels.append((seen, np.log(p).astype(np.float32), context, np.log(weight).astype(np.float32)))
+
+    def _logp(self, code: np.ndarray, k: int) -> np.ndarray:
+        if k < 0:
+            return self.base[code & np.uint32(CLASSES - 1)] if len(code) else np.zeros(0)
+        seen, logp, context, weight = self.levels[k]
+        at, has = _find(seen, code)
+        out = np.zeros(len(code))
+        out[has] = logp[at[has]]
+        if not has.all():
+            rest = code[~has]
+            back, known = _find(context, rest >> np.uint32(BITS))
+            shorter = rest & np.uint32((1 << BITS * k) - 1) if k else rest
+            out[~has] = np.where(known, weight[back] if len(weight) else 0.0, 0.0) + self._logp(shorter, k - 1)
+        return out
+
+    def logp(self, code: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of each run, after the others."""
+        return self._logp(code.astype(np.uint32), ORDER - 1)
+
+    def singles(self) -> np.ndarray:
+        """Log probabilities of single symbols."""
+        return self._logp(np.arange(CLASSES, dtype=np.uint32), 0)
 
 
 def base_counts(texts: Texts) -> dict[str, np.ndarray]:
@@ -180,77 +209,114 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
     }
 
 
-MEASURES = ("log_perplexity", "symbol_log_perplexity")
+MEASURES = ("symbol_log_perplexity", "log_perplexity", "start_log_perplexity")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Steps of a nat, and of a sigma, by which quartiles are told; larger numbers count as this many nats or sigmas.
+STEP, MOST = 1024, 256.0
+
+
+def quartiles(rows: DataFrame, by: list[str], values: dict[str, Column], step: int = STEP) -> dict[tuple, dict[str, tuple[float, ...]]]:
+    """Of each group, the number of rows and each value's quartiles to the step; counted in Spark, at most 2 * MOST * step rows a group and value."""
+    held: dict[tuple, dict] = {}
+    for name, value in values.items():
+        told = F.round(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), value)) * step).cast("int")
+        found = rows.groupBy(*by, told.alias("told")).agg(F.count("*").alias("n")).where("told is not null").toPandas()
+        for key, g in found.groupby(by, dropna=False):
+            g = g.sort_values("told")
+            upto = g["n"].cumsum().to_numpy()
+            own = held.setdefault(tuple(None if x != x else x for x in key), {})
+            own["n"] = int(upto[-1])
+            own[name] = tuple(float(g["told"].iloc[np.searchsorted(upto, q * upto[-1])]) / step for q in (0.25, 0.5, 0.75))
+    return held
+
+
+def _chosen(column: Column, told: dict, of, otherwise: float) -> Column:
+    out = F.lit(float(otherwise))
+    for key, x in told.items():
+        out = F.when(column.eqNullSafe(F.lit(key)), F.lit(float(of(x)))).otherwise(out)
+    return out
 
 
-def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 5.0, short: float = 18.0, least_sigma: float = 0.005, least_docs: int = 30, least_room: float = 0.2) -> DataFrame:
-    """One row per input row: id, the base counts, base_failed, log_perplexity (for a word), symbol_log_perplexity, kept.
-
-    A null text has no words and fails; an empty one too.  A null language is one of its own.
-    Repeated rows are judged alike; an empty table gives an empty one; other columns, whatever
-    their names, are not read.
-
-    The band of a language is median +- ``width`` * sigma, sigma from the quartiles over all its
-    documents that pass the base rules, and at least ``least_sigma`` times the median.  It is then
-    moved and scaled for the text's length: by the median and the quartiles, in sigmas of their
-    languages, of all documents of as many words up to a doubling (or of the nearest such lengths
-    that have ``least_docs`` documents).  Where no length has as many, the band is wider by
-    sqrt(1 + short**2 / n) for a text of n words.
-    """
+def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False, width: float = 4.0, short: float = 18.0, least_sigma: float = 0.005, least_docs: int = 30, least_room: float = 0.2) -> DataFrame:
+    """The results of ``apply_rules``; with ``whole``, also the input's rows as a struct ``row``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    runs = storage.Scratch(counted(docs), "symbol-runs")
-    sizes = runs.df.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    own = {r["lang"] for r in sizes}
-    # at most (MOST_LANGUAGES + 1) * CODES rows
-    group = F.when(F.col("lang").isin(list(own)), F.col("lang")) if own else F.lit(None).cast("string")
-    rows = runs.df.groupBy(group.alias("lang"), "code").agg(F.sum("n").alias("n")).toPandas()
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    told = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if whole else []))
+    runs = storage.Scratch(counted(told), "symbol-runs")
+    rows = runs.df.toPandas()  # at most 64**4 rows a language
     runs.drop()
-    models = {x: KneserNey(g["code"].to_numpy(), g["n"].to_numpy()) for x, g in rows.groupby(rows["lang"].astype(object).where(rows["lang"].notna(), None), dropna=False)}
-    models = {(None if x is None or x != x else x): m for x, m in models.items()}
+    base = KneserNey(rows["code"].to_numpy(), rows["n"].to_numpy()).singles() if len(rows) else None
+    models = {None if x is None or x != x else x: KneserNey(g["code"].to_numpy(), g["n"].to_numpy(), base) for x, g in rows.groupby("lang", dropna=False)}
     shared = spark.sparkContext.broadcast(models)
+    del rows
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str | None, np.ndarray] = {}
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 found, (seen, at) = base_counts(texts), codes(texts)
-                lang = [x if x in shared.value else None for x in part.column(1).to_pylist()]
-                logp = np.zeros(len(seen), np.float32)
+                lang = part.column(1).to_pylist()
+                logp = np.zeros(len(seen))
                 for x in set(lang):
-                    if x not in tables:
-                        tables[x] = shared.value[x].table()
                     its = np.repeat(np.array([y == x for y in lang]), np.diff(at))
-                    logp[its] = tables[x][seen[its]]
-                total = np.diff(np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))[at])
+                    code, back = np.unique(seen[its], return_inverse=True)
+                    logp[its] = shared.value[x].logp(code)[back]
+                upto = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[at])  # noqa: E731, B023
+                total = upto(logp)
+                # first symbols of words: after white space, and none themselves
+                starts = ((seen >> np.uint32(BITS)) & np.uint32(CLASSES - 1) < 2) & (seen & np.uint32(CLASSES - 1) >= 2)
+                words = np.maximum(found["n_words"], 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(lang, pa.string()), *(pa.array(found[k].astype(np.int64)) for k in BASE), pa.array(-total / np.maximum(found["n_words"], 1)), pa.array(-total / np.maximum(np.diff(at), 1))],
-                    names=["id", "lang", *BASE, *MEASURES],
+                    [part.column(0), part.column(1), *(pa.array(found[k].astype(np.int64)) for k in BASE), pa.array(-total / np.maximum(np.diff(at), 1)), pa.array(-total / words), pa.array(-upto(logp * starts) / np.maximum(upto(starts), 1)), *part.columns[3:]],
+                    names=["id", "lang", *BASE, *MEASURES, *part.schema.names[3:]],
                 )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    scored = docs.mapInArrow(score, f"id {kind}, lang string, {', '.join(f'{k} long' for k in BASE)}, {', '.join(f'{k} double' for k in MEASURES)}")
+    schema = StructType.fromDDL(f"id {kind}, lang string, {', '.join(f'{k} long' for k in BASE)}, {', '.join(f'{k} double' for k in MEASURES)}")
+    if whole:
+        schema = schema.add("row", told.schema["row"].dataType)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = storage.written(scored.withColumn("base_failed", failed), "quality-scores")
-    quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(*(F.percentile_approx(k, [0.25, 0.5, 0.75], 10000).alias(k) for k in MEASURES))
-    bands = {r["lang"]: r.asDict() for r in quartiles.collect()}  # a row for each model
+    scored = storage.written(told.mapInArrow(score, schema).withColumn("base_failed", failed), "quality-scores")
+    passed = scored.where(~F.col("base_failed"))
+    bands = quartiles(passed, ["lang"], {k: F.col(k) for k in MEASURES})
     octave = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")
     away, sigma = {}, {}
     for k in MEASURES:
-        by = lambda f, k=k: F.coalesce(*(F.when(F.col("lang").eqNullSafe(F.lit(x)), F.lit(float(f(*q[k])))) for x, q in bands.items()), F.lit(0.0))
-        sigma[k] = by(lambda low, mid, high: max(least_sigma * mid, (high - low) / 1.349))
-        away[k] = F.col(k) - by(lambda low, mid, high: mid)
-    lengths = scored.where(~F.col("base_failed")).groupBy(octave.alias("octave"))
-    spread = lengths.agg(F.count("*").alias("n"), *(F.percentile_approx(away[k] / F.nullif(sigma[k], F.lit(0.0)), [0.25, 0.5, 0.75], 10000).alias(k) for k in MEASURES)).collect()  # a row for each doubling of the length
-    told = {r["octave"]: r.asDict() for r in spread if r["n"] >= least_docs and all(r[k] for k in MEASURES)}
+        of_lang = {x[0]: q[k] for x, q in bands.items()}
+        sigma[k] = _chosen(F.col("lang"), of_lang, lambda q: max(least_sigma * q[1], (q[2] - q[0]) / 1.349, 1e-6), 1.0)
+        away[k] = F.col(k) - _chosen(F.col("lang"), of_lang, lambda q: q[1], 0.0)
+    spread = quartiles(passed.withColumn("octave", octave), ["octave"], {k: away[k] / sigma[k] for k in MEASURES}, 64)
+    told = {o[0]: q for o, q in spread.items() if q["n"] >= least_docs}
     usual = ~F.col("base_failed")
     for k in MEASURES:
         mid, room = F.lit(0.0), F.sqrt(1 + short**2 / F.greatest(F.col("n_words"), F.lit(1)))
         if told:
             nearest = {o: told[min(told, key=lambda x, o=o: (abs(x - o), x))][k] for o in range(max(told) + 1)}
             last = nearest[max(told)]
-            of = lambda f: F.coalesce(*(F.when(octave == o, F.lit(float(f(*q)))) for o, q in nearest.items()), F.lit(float(f(*last))))
-            mid, room = of(lambda low, mid, high: mid), of(lambda low, mid, high: max((high - low) / 1.349, least_room))
+            mid = _chosen(octave, nearest, lambda q: q[1], last[1])
+            room = _chosen(octave, nearest, lambda q: max((q[2] - q[0]) / 1.349, least_room), max((last[2] - last[0]) / 1.349, least_room))
         usual &= F.abs(away[k] - mid * sigma[k]) <= width * sigma[k] * room
-    return scored.select(F.col("id").alias(id_col), *BASE, "base_failed", *MEASURES, usual.alias("kept"))
+    return scored.select(F.col("id").alias(id_col), *BASE, "base_failed", *MEASURES, usual.alias("kept"), *(["row"] if whole else []))
+
+
+def apply_rules(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: id, the base counts, base_failed, the log perplexities (for a symbol, a word, and a word's first symbol), kept.
+
+    A null text has no words and fails; an empty one too.  A null language is one of its own.
+    Repeated rows are judged alike; an empty table gives an empty one; other columns, whatever
+    their names, are not read.
+
+    The band of a language is median +- ``width`` * sigma, sigma from the quartiles over all its
+    documents that pass the base rules, and at least ``least_sigma`` times the median.  It is then
+    moved and scaled for the text's length: by the median and the quartiles, in sigmas of their
+    languages, of all documents of as many words up to a doubling (or of the nearest such lengths
+    that have ``least_docs`` documents).  Where no length has as many, the band is wider by
+    sqrt(1 + ``short``**2 / n) for a text of n words.
+    """
+    return judged(docs, **options)
+
+
+def kept_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, each judged by its own text: repeated, differing and null ids make no difference.
+
+    The columns are those of ``docs``, whatever their names.  Nothing is joined or shuffled for it.
+    """
+    return judged(docs, whole=True, **options).where("kept").select("row.*")

@@ -19,25 +19,24 @@ ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rejected = quality_rules.apply_rules(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("__rejected")), "left_anti").select(*COLUMNS)
+    """Documents that the quality rules keep, each row by its own text: null and repeated ids make no difference."""
+    return quality_rules.kept_rows(docs.select(*COLUMNS))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    return jaccard_join.one_of_each(docs, jaccard_join.join(docs)).select(*COLUMNS)
+    """One document of each group of near copies, that with the smallest id; rows without an id or without words stay, and rows that repeat an id and its text stay together."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words that a window of 20 words covers which also starts earlier; emptied ones stay, empty."""
+    """Documents without the words that a window of 20 words covers which also starts earlier; emptied ones stay, empty, and null texts stay null."""
     changed = substring_dedup.shortened(docs)
     return changed.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a mark in place of each span of personal data."""
-    return pii.redacted(docs, pii.find(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Documents with a mark in place of each span of personal data, one row for each row."""
+    return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

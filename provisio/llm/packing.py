@@ -6,20 +6,22 @@ input, and its plan is a list of (filling, number of sequences) which the pieces
 their rank within their length.  Texts are never shuffled and nothing but the counts is
 collected.
 
-The search: around the largest remaining length, the undominated fillings of the rest of
-the sequence are enumerated (a filling is dominated if swapping a part of it for a larger
-remaining length still fits) and tried in order of their waste.  A branch is pruned if the
-waste so far can't lead to fewer sequences than the incumbent.  The first incumbent is the
-best-fit decreasing solution.  A filling is taken for as many sequences at once as the
-counts allow; the search ends when an incumbent meets the lower bound, or after
-``most_nodes`` nodes with the best incumbent.
+The search: one largest remaining length must lie in some sequence, so around it the undominated
+fillings of the rest are enumerated, least waste first, and each is taken for as many sequences as
+the counts allow, then for fewer.  A filling is dominated if another length still fits, or if one
+or two of its parts could be exchanged for a larger remaining length.  A branch is pruned if its
+waste, or the lower bound of what remains, can't lead to fewer sequences than the incumbent.  The
+incumbents are best-fit decreasing solutions: of all lengths at first, then of what remains at
+each node.  The search ends when an incumbent meets the lower bound, when all branches are done,
+or after ``most_nodes`` nodes.  Without limits its result is the optimum.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,115 +36,164 @@ Plan = list[tuple[tuple[tuple[int, int], ...], int]]
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
     """A lower bound of the number of sequences (Martello and Toth's L2)."""
-    lengths = sorted(counts)
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    for k in [0, *(x for x in lengths if 2 * x <= capacity)]:
-        n1 = sum(n for x, n in counts.items() if x > capacity - k)
-        n2 = sum(n for x, n in counts.items() if capacity - k >= x > capacity / 2)
-        free = sum((capacity - x) * n for x, n in counts.items() if capacity - k >= x > capacity / 2)
-        small = sum(x * n for x, n in counts.items() if capacity / 2 >= x >= k)
-        best = max(best, n1 + n2 + max(0, -(-(small - free) // capacity)))
-    return best
+    if not counts:
+        return 0
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    many, total = (np.concatenate(([0], np.cumsum(c))) for c in (n, n * x))
+    half = int(np.searchsorted(x, capacity // 2, "right"))
+    k = np.concatenate(([0], x[:half]))
+    # longer than half, but with room for k; those of half or less that are at least k
+    upto, low = np.searchsorted(x, capacity - k, "right"), np.searchsorted(x, k, "left")
+    free = capacity * (many[upto] - many[half]) - (total[upto] - total[half])
+    over = np.maximum(0, total[half] - total[low] - free)
+    return int((many[-1] - many[half] - (-over // capacity)).max())
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
-    """Decreasing lengths, each sequence filled with the largest length that still fits, many sequences at once."""
-    left = {k: n for k, n in counts.items() if n}
-    order = sorted(left)
-    plan: Plan = []
-    while order:
-        free, at, filling, times = capacity, len(order) - 1, [], None
-        while at >= 0:
-            k = order[at]
-            c = min(free // k, left[k])
-            if c:
-                filling.append((k, c))
-                free -= c * k
-                times = left[k] // c if times is None else min(times, left[k] // c)
-            at = min(at, bisect_right(order, free)) - 1
-        for k, c in filling:
-            left[k] -= c * times
-            if not left[k]:
-                order.remove(k)
-        plan.append((tuple(filling), times))
-    return plan
-
-
-def fillings(left: dict[int, int], order: list[int], free: int, most: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``free`` by the remaining lengths, least waste first; up to ``most`` are looked at."""
+    """Best fit decreasing: the longest pieces first, each into the fullest sequence that still takes it; equal sequences at once."""
+    held: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # by what is free: (filling, sequences)
+    order: list[int] = []  # what is free somewhere, sorted
+
+    def put(free: int, filling: tuple[tuple[int, int], ...], times: int) -> None:
+        if not times:
+            return
+        if free not in held:
+            held[free] = []
+            insort(order, free)
+        held[free].append((filling, times))
+
+    for k in sorted((k for k, n in counts.items() if n), reverse=True):
+        n = counts[k]
+        while n:
+            i = bisect_left(order, k)
+            if i == len(order):
+                free, filling, times = capacity, (), n
+            else:
+                free = order[i]
+                filling, times = held[free].pop()
+                if not held[free]:
+                    del held[free]
+                    order.pop(i)
+            # a sequence that took one is the fullest that fits, until it is full
+            each = free // k
+            full = min(times, n // each)
+            put(free - each * k, (*filling, (k, each)), full)
+            n -= each * full
+            if n and full < times:
+                put(free - n * k, (*filling, (k, n)), 1)
+                full, n = full + 1, 0
+            if filling:
+                put(free, filling, times - full)
+    return [x for free in order for x in held[free]]
+
+
+def fillings(left: dict[int, int], free: int, most: int | None = None) -> tuple[list[tuple[tuple[int, int], ...]], bool]:
+    """Undominated fillings of ``free`` by the remaining lengths, least waste first, and whether these are all; up to ``most`` are looked at."""
+    order = sorted(k for k, n in left.items() if n)
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     seen = 0
 
-    def go(at: int, free: int, taken: tuple[tuple[int, int], ...]) -> bool:
-        """True to end: a filling without waste dominates every other."""
-        nonlocal seen
-        at = min(at, bisect_right(order, free) - 1)
+    def dominated(rest: int, taken: tuple[tuple[int, int], ...]) -> bool:
+        used = dict(taken)
+
+        def unused(least: int) -> int | None:
+            """The smallest length of ``least`` or more of which one is left."""
+            for i in range(bisect_left(order, least), len(order)):
+                if left[order[i]] > used.get(order[i], 0):
+                    return order[i]
+            return None
+
+        k = unused(0)
+        if k is not None and k <= rest:
+            return True
+        # one part, or two, for a larger length that is left
+        parts = [k for k, c in taken for _ in range(min(c, 2))]
+        sums = [(k, k + 1) for k in used] + [(a + b, a + b) for i, a in enumerate(parts) for b in parts[i + 1 :]]
+        return any((k := unused(least)) is not None and k - size <= rest for size, least in sums)
+
+    # (next place in ``order``, what is free, lengths taken)
+    stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(len(order) - 1, free, ())]
+    while stack:
+        at, rest, taken = stack.pop()
+        at = min(at, bisect_right(order, rest) - 1)
         if at < 0:
             seen += 1
-            # dominated: one of its parts could be the next larger remaining length instead
-            for k, c in taken:
-                i = bisect_right(order, k)
-                larger = order[i] if i < len(order) else None
-                if larger and larger - k <= free and left[larger] > dict(taken).get(larger, 0):
-                    return False
-            found.append((free, taken))
-            return free == 0 or seen >= most
+            if not dominated(rest, taken):
+                found.append((rest, taken))
+            if most is not None and seen >= most:
+                break
+            continue
         k = order[at]
-        for c in range(min(free // k, left[k]), -1, -1):
-            if c == 0 and bisect_right(order, free) - 1 == at and at == 0:
-                seen += 1
-                return seen >= most
-            if go(at - 1, free - c * k, taken + ((k, c),) * (c > 0)):
-                return True
-        return False
+        for c in range(0, min(rest // k, left[k]) + 1):  # the most is looked at first
+            stack.append((at - 1, rest - c * k, (*taken, (k, c)) if c else taken))
+    found.sort(key=lambda x: (x[0], tuple((-k, -c) for k, c in x[1])))
+    return [x for _, x in found], not stack
+
+
+class Packed(NamedTuple):
+    """A plan, the lower bound of its sequences, and whether it is known to be the best."""
 
-    go(len(order) - 1, free, ())
-    found.sort(key=lambda x: x[0])
-    return [x for _, x in found]
+    plan: Plan
+    least: int
+    proven: bool
 
 
-def complete(counts: dict[int, int], capacity: int, most_nodes: int = 4000, width: int = 4, looked_at: int = 64) -> Plan:
-    """A plan with as few sequences as the search finds: {length: count} -> [(((length, how many), ...), sequences)]."""
+def complete(counts: dict[int, int], capacity: int, most_nodes: int | None = 500, looked_at: int | None = 256) -> Packed:
+    """A plan with as few sequences as the search finds: {length: count} -> [(((length, how many), ...), sequences)].
+
+    ``looked_at``: most fillings that are looked at in a node; None for both limits finds the optimum.
+    """
     counts = {int(k): int(n) for k, n in counts.items() if n}
     if any(k < 1 or k > capacity for k in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
-    best = best_fit(counts, capacity)
+    best, goal = best_fit(counts, capacity), least_bins(counts, capacity)
     size = lambda plan: sum(n for _, n in plan)
-    goal, most, nodes = least_bins(counts, capacity), size(best), 0
-    total = sum(k * n for k, n in counts.items())
-
-    # depth first, with an explicit stack of (remaining counts, plan, sequences, waste, untried fillings)
-    def node(left: dict[int, int]) -> tuple[list[int], int, list]:
-        order = sorted(left)
-        top = order[-1]
-        rest = dict(left)
-        rest[top] -= 1
-        return order, top, fillings(rest, [k for k in order if rest[k]], capacity - top, looked_at)[:width]
-
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
-    while stack and most > goal and nodes < most_nodes:
-        left, plan, used, waste = stack.pop()
+    most, nodes, whole, total = size(best), 0, True, sum(k * n for k, n in counts.items())
+    known: dict[tuple, int] = {}
+
+    def below(left: dict[int, int], plan: Plan, used: int, waste: int) -> Iterator[tuple[dict[int, int], Plan, int, int]]:
+        """What remains after each filling around the largest length, taken as often as possible, then less often."""
+        nonlocal whole
+        top = max(left)
+        rest = {**left, top: left[top] - 1}
+        tried, every = fillings(rest, capacity - top, looked_at)
+        whole &= every
+        for filling in tried:
+            own = dict(filling)
+            own[top] = own.get(top, 0) + 1
+            lost = capacity - sum(k * c for k, c in own.items())
+            for times in range(min(left[k] // c for k, c in own.items()), 0, -1):
+                after = {k: n - own.get(k, 0) * times for k, n in left.items() if n > own.get(k, 0) * times}
+                yield after, [*plan, (tuple(sorted(own.items(), reverse=True)), times)], used + times, waste + lost * times
+
+    # depth first: each entry is what remains to be tried of a node
+    stack = [iter([(counts, [], 0, 0)])]
+    while stack and most > goal:
+        if most_nodes is not None and nodes >= most_nodes:
+            whole = False
+            break
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            continue
+        left, plan, used, waste = child
         if not left:
             if used < most:
                 best, most = plan, used
             continue
-        if -(-(total + waste) // capacity) >= most or used + least_of(left, capacity) >= most:
+        if -(-(total + waste) // capacity) >= most:
+            continue
+        key = tuple(sorted(left.items()))
+        if known.get(key, used + 1) <= used or used + least_bins(left, capacity) >= most:
             continue
+        known[key] = used
         nodes += 1
-        _, top, tried = node(left)
-        for filling in reversed(tried or [()]):
-            whole = dict(filling)
-            whole[top] = whole.get(top, 0) + 1
-            times = min(left[k] // c for k, c in whole.items())
-            after = {k: n - whole.get(k, 0) * times for k, n in left.items() if n > whole.get(k, 0) * times}
-            lost = (capacity - sum(k * c for k, c in whole.items())) * times
-            stack.append((after, [*plan, (tuple(sorted(whole.items(), reverse=True)), times)], used + times, waste + lost))
-    return best
-
-
-def least_of(left: dict[int, int], capacity: int) -> int:
-    return -(-sum(k * n for k, n in left.items()) // capacity)
+        rest = best_fit(left, capacity)
+        if used + size(rest) < most:
+            best, most = [*plan, *rest], used + size(rest)
+        stack.append(below(left, plan, used, waste))
+    return Packed(best, goal, most == goal or (whole and not stack))
 
 
 class Places:
@@ -214,7 +265,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, most_nodes: int = 4000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, most_nodes: int | None = 500, looked_at: int | None = 256) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty and becomes a piece of one token; a null id stays null; repeated rows
@@ -232,7 +283,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_part = storage.written(per_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))), "piece-counts")
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    places = spark.sparkContext.broadcast(Places(complete(counts, capacity, most_nodes)))
+    places = spark.sparkContext.broadcast(Places(complete(counts, capacity, most_nodes, looked_at).plan))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

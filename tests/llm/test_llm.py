@@ -242,17 +242,50 @@ def test_bin_completion_finds_the_best():
 
     rng = random.Random(6)
     better = 0
-    for _ in range(60):
-        items = [rng.randint(3, 20) for _ in range(rng.randint(1, 11))]
+    for k in range(400):
+        capacity, (low, high), n = ((30, (3, 20), 11), (100, (15, 55), 13), (100, (21, 47), 14))[k % 3]
+        items = [rng.randint(low, high) for _ in range(rng.randint(1, n))]
         counts = Counter(items)
-        plan = packing.complete(counts, 30)
-        assert Counter({k: sum(dict(f).get(k, 0) * n for f, n in plan) for k in counts}) == counts
-        assert all(sum(k * c for k, c in f) <= 30 for f, _ in plan)
-        assert sum(n for _, n in plan) == best(items, 30)
-        better += sum(n for _, n in plan) < sum(n for _, n in packing.best_fit(counts, 30))
-    assert packing.complete({}, 30) == []
-    hard = Counter({7: 4, 6: 4, 5: 4, 4: 4, 3: 4, 13: 2, 11: 2})
-    assert sum(n for _, n in packing.complete(hard, 20)) <= sum(n for _, n in packing.best_fit(hard, 20))
+        got = packing.complete(counts, capacity, None, None)
+        assert Counter({k: sum(dict(f).get(k, 0) * n for f, n in got.plan) for k in counts}) == counts
+        assert all(sum(k * c for k, c in f) <= capacity for f, _ in got.plan)
+        want, size = best(items, capacity), sum(n for _, n in got.plan)
+        assert got.least <= size == want and got.proven
+        better += size < sum(n for _, n in packing.best_fit(counts, capacity))
+    assert better
+    assert packing.complete({}, 30) == ([], 0, True)
+    # dominance must not cost the optimum where fillings are taken less often than they could be
+    items = [21, 22, 22, 23, 25, 26, 27, 29, 30, 32, 35, 36, 39, 39, 43, 47]
+    assert sum(n for _, n in packing.complete(Counter(items), 100).plan) == 5
+
+
+def test_best_fit_decreasing_by_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        items = sorted((rng.randint(1, 40) for _ in range(rng.randint(0, 60))), reverse=True)
+        free: list[int] = []
+        for k in items:
+            fits = [f for f in free if f >= k]
+            if fits:
+                free[free.index(min(fits))] -= k
+            else:
+                free.append(64 - k)
+        plan = packing.best_fit(Counter(items), 64)
+        assert sorted(64 - sum(k * c for k, c in f) for f, n in plan for _ in range(n)) == sorted(free)
+        assert Counter(k for f, n in plan for k, c in f for _ in range(n * c)) == Counter(items)
+
+
+def test_lower_bound():
+    rng = random.Random(8)
+    for _ in range(200):
+        counts = Counter(rng.randint(1, 30) for _ in range(rng.randint(1, 30)))
+        want = -(-sum(k * n for k, n in counts.items()) // 30)
+        for k in [0, *(x for x in counts if 2 * x <= 30)]:
+            n1 = sum(n for x, n in counts.items() if x > 30 - k)
+            large = [x for x in counts.elements() if 15 < x <= 30 - k]
+            small = sum(x for x in counts.elements() if k <= x <= 15)
+            want = max(want, n1 + len(large) + max(0, -(-(small - sum(30 - x for x in large)) // 30)))
+        assert packing.least_bins(counts, 30) == want
 
 
 # -- 4 -------------------------------------------------------------------------------------------

@@ -97,12 +97,82 @@ def without_folder(items: DataFrame, folder: object) -> DataFrame:
     return items.withColumn("folder_id", F.when(F.col("folder_id") == folder, F.lit(None)).otherwise(F.col("folder_id")))
 
 
-def moved(items: DataFrame, visitor: object, item: object, folder: object, folders: DataFrame) -> DataFrame:
-    """An item in another folder, if the visitor owns both; else nothing changes."""
-    owned = folders.where((F.col("visitor_id") == visitor) & (F.col("id") == folder)).select(F.col("id").alias("__folder"))
-    rows = items.join(owned, F.lit(folder) == F.col("__folder"), "left")
-    mine = (F.col("visitor_id") == visitor) & (F.col("id") == item) & (F.col("__folder").isNotNull() | F.lit(folder).isNull())
-    return rows.withColumn("folder_id", F.when(mine, F.lit(folder)).otherwise(F.col("folder_id"))).drop("__folder")
+def moved(items: DataFrame, requests: DataFrame, folders: DataFrame) -> DataFrame:
+    """``items`` after requests (visitor_id, item_id, folder_id, arrival) to move them: the last one that its visitor may make counts.
+
+    Visitors move their own items into their own folders, or out of any (null); other requests change nothing.
+    """
+    owned = folders.select("visitor_id", F.col("id").alias("folder_id"), F.lit(True).alias("__own"))
+    fine = requests.join(owned, ["visitor_id", "folder_id"], "left").where("folder_id is null or __own")
+    last = fine.groupBy("visitor_id", F.col("item_id").alias("id")).agg(F.max_by(F.struct(F.col("folder_id").alias("to")), "arrival").alias("__last"))
+    rows = items.join(last, ["visitor_id", "id"], "left")
+    return rows.withColumn("folder_id", F.when(F.col("__last").isNotNull(), F.col("__last")["to"]).otherwise(F.col("folder_id"))).select(*items.columns)
+
+
+def deleted(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """``items`` without those that their own visitors asked to delete (visitor_id, item_id)."""
+    return items.join(requests.select("visitor_id", F.col("item_id").alias("id")).distinct(), ["visitor_id", "id"], "left_anti").select(*items.columns)
+
+
+def renamed(folders: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (visitor_id, folder_id, name, arrival) with outcome renamed, not_found, invalid_name or duplicate.
+
+    Names are trimmed, 1 to 80 characters, and must differ from the visitor's other folders whatever
+    their case; of several requests of a batch for one name the first is let in.
+    """
+    rows = requests.withColumn("name", F.trim("name"))
+    own = folders.select("visitor_id", F.col("id").alias("folder_id"), F.lit(True).alias("__own"))
+    taken = folders.select("visitor_id", F.lower("name").alias("__key"), F.col("id").alias("__other"))
+    rows = rows.join(own, ["visitor_id", "folder_id"], "left").withColumn("__key", F.lower("name"))
+    clash = rows.join(taken, ["visitor_id", "__key"]).where("__other <> folder_id").select("visitor_id", "arrival").distinct().withColumn("__clash", F.lit(True))
+    fine = rows.where("__own").join(clash, ["visitor_id", "arrival"], "left_anti").where(F.char_length("name").between(1, 80))
+    first = fine.groupBy("visitor_id", "__key").agg(F.min("arrival").alias("__first"))
+    rows = rows.join(clash, ["visitor_id", "arrival"], "left").join(first, ["visitor_id", "__key"], "left")
+    outcome = (
+        F.when(F.col("__own").isNull(), "not_found").when(~F.coalesce(F.char_length("name").between(1, 80), F.lit(False)), "invalid_name")
+        .when(F.col("__clash").isNotNull() | (F.col("__first") != F.col("arrival")), "duplicate").otherwise("renamed")
+    )
+    return rows.withColumn("outcome", outcome).select(*requests.columns, "outcome")
+
+
+def owned(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (visitor_id, id) joined to its rows; a row of another visitor is as good as missing."""
+    return asked.select("visitor_id", "id").join(rows, ["visitor_id", "id"])
+
+
+#: A stored answer, field by field.
+SNAPSHOT = (
+    "status string, answer string, conclusions array<struct<statement:string,citationLabels:array<string>>>, alternativePaths array<struct<issueLabel:string,explanation:string,citationLabels:array<string>>>, "
+    "uncertainties array<string>, citedSources array<struct<citationLabel:string,provenCurrentAsOf:string>>, clarificationQuestion string"
+)
+
+
+def snapshot(json: Column) -> Column:
+    """A stored answer, read and checked against its closed schema; null unless every required field is there, so that what is malformed is never shown."""
+    x = F.from_json(json, SNAPSHOT)
+    no_null = lambda c, *fields: F.coalesce(F.forall(c, lambda v: F.lit(True) if not fields else ~F.exists(F.array(*(v[f].isNull() for f in fields)), lambda z: z)), F.lit(False))
+    ok = x["status"].isin("answered", "insufficient_evidence") & x["answer"].isNotNull()
+    ok &= no_null(x["conclusions"], "statement", "citationLabels") & no_null(x["alternativePaths"], "issueLabel", "explanation", "citationLabels") & no_null(x["citedSources"], "citationLabel")
+    ok &= x["uncertainties"].isNotNull() & ~F.exists(x["uncertainties"], lambda v: v.isNull())
+    return F.when(F.coalesce(ok, F.lit(False)), x)
+
+
+def recorded(history: DataFrame, new: DataFrame) -> DataFrame:
+    """``history`` with new entries appended, those whose snapshot is well formed; the others are not stored."""
+    return history.unionByName(new.where(snapshot(F.col("result_snapshot")).isNotNull()))
+
+
+def list_rows(entries: DataFrame) -> DataFrame:
+    """(id, status, n_sources, preview) of entries (id, result_snapshot); malformed ones are left out."""
+    x = snapshot(F.col("result_snapshot"))
+    return entries.withColumn("__x", x).where("__x is not null").select("id", F.col("__x.status").alias("status"), F.size("__x.citedSources").alias("n_sources"), text.preview(F.col("__x.answer")).alias("preview"))
+
+
+def summaries(items: DataFrame) -> DataFrame:
+    """(id, kind, summary) of saved items: an answer's preview, a search's query, a provision's citation label."""
+    answer = text.preview(F.get_json_object("snapshot", "$.answer"))
+    label = F.get_json_object("snapshot", "$.citationLabel")
+    return items.select("id", "kind", F.when(F.col("kind") == "answer", answer).when(F.col("kind") == "search", F.col("query")).otherwise(label).alias("summary"))
 
 
 def saved_list(items: DataFrame, *, kind: str | None = None, folder: object = None, term: str | None = None, sort: str = "date_desc") -> DataFrame:

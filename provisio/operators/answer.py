@@ -98,57 +98,12 @@ def evidence_status(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     return evidence.join(held, "source_id", "left").withColumn("status", status).drop("__text")
 
 
-def verified(conclusions: DataFrame, verdicts: DataFrame, quotes: DataFrame, skeptic: DataFrame) -> DataFrame:
-    """``conclusions`` (conclusion, claimed, target) with outcome verified, demoted or error, and its support.
-
-    Verified: the verdict is direct support, every quotation is verbatim and from a claimed source, and
-    no leap was found.  A missing verdict, a missing skeptic's row or a quotation from a source that was
-    not claimed is an error.  Support is what the confirmed quotations name, not what was claimed.
-    """
-    quoted = quotes.join(conclusions.select("conclusion", "claimed"), "conclusion").groupBy("conclusion").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "verbatim").alias("n_verbatim"),
-        F.bool_or(~F.array_contains("claimed", F.col("source_id"))).alias("foreign"),
-        F.array_sort(F.collect_set(F.when(F.col("status") == "verbatim", F.col("source_id")))).alias("confirmed"),
-    )
-    rows = conclusions.join(verdicts.select("conclusion", "verdict"), "conclusion", "left").join(quoted, "conclusion", "left").join(skeptic.select("conclusion", "leap"), "conclusion", "left")
-    direct = F.col("verdict") == "direct_support"
-    fine = direct & (F.coalesce("n", F.lit(0)) > 0) & (F.col("n") == F.col("n_verbatim"))
-    outcome = (
-        F.when(F.col("verdict").isNull() | F.coalesce("foreign", F.lit(False)), "error")
-        .when(~F.coalesce(fine, F.lit(False)), "demoted")
-        .when(F.col("leap").isNull(), "error")
-        .when(F.col("leap"), "demoted")
-        .otherwise("verified")
-    )
-    rows = rows.withColumn("outcome", outcome)
-    support = F.when(F.col("outcome") == "verified", F.col("confirmed")).otherwise(F.array().cast("array<string>"))
-    return rows.select("conclusion", "target", "outcome", support.alias("support"))
-
-
-def covered(targets: DataFrame, conclusions: DataFrame) -> DataFrame:
-    """``targets`` with is_covered: a verified conclusion carries the target."""
-    good = conclusions.where("outcome = 'verified'").select("target").distinct().withColumn("__hit", F.lit(True))
-    return targets.join(good, "target", "left").withColumn("is_covered", F.col("__hit").isNotNull()).drop("__hit")
-
-
-def recovery_mode(coverage: DataFrame) -> DataFrame:
-    """One row: full if no target is covered, partial if some are, none if all."""
-    n, hit = F.count("*"), F.count_if("is_covered")
-    return coverage.agg(F.when(hit == 0, "full").when(hit < n, "partial").otherwise("none").alias("mode"))
-
-
 def retrieval_signals(targets: DataFrame, hits: DataFrame) -> DataFrame:
     """(target, n_candidates, best_score, backstop) for each target."""
     found = hits.groupBy("target").agg(F.count_distinct("id").alias("n_candidates"), F.max("score").alias("best_score"), F.bool_or("is_backstop").alias("backstop"))
     return targets.join(found, "target", "left").select("target", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), "best_score", F.coalesce("backstop", F.lit(False)).alias("backstop"))
 
 
-def answer_text(conclusions: DataFrame, by: str = "request") -> DataFrame:
-    """Statements in the order of their targets, those without one last, a line each."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col("target").isNull().alias("untagged"), "target", "position", "statement")))
-    return conclusions.groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["statement"]), "\n").alias("answer"))
-
-
 def caveats(sources: DataFrame, by: str = "request") -> DataFrame:
     """Whether any cited source is not proven current, or not authoritative."""
     return sources.groupBy(by).agg(F.bool_or(F.col("proven_as_of").isNull()).alias("currentness"), F.bool_or(F.col("authority_class") != "authoritative").alias("authority"))

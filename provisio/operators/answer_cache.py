@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("question_hash", "corpus_run_id", "pipeline_version")
@@ -36,3 +36,16 @@ def recorded(cache: DataFrame, answers: DataFrame) -> DataFrame:
     from provisio.operators.merge import appended_once
 
     return appended_once(cache, answers, list(KEY))
+
+
+def counted_hits(cache: DataFrame, looked: DataFrame, now: Column) -> DataFrame:
+    """``cache`` with hit_count and last_hit_at moved by a batch of lookups (what ``looked_up`` returns)."""
+    hits = looked.where("is_hit").groupBy(*KEY).agg(F.count("*").alias("__hits"))
+    rows = cache.join(hits, list(KEY), "left")
+    return rows.withColumns({"hit_count": F.col("hit_count") + F.coalesce("__hits", F.lit(0)), "last_hit_at": F.when(F.col("__hits").isNotNull(), now).otherwise(F.col("last_hit_at"))}).select(*cache.columns)
+
+
+def source_pack_hash() -> Column:
+    """Aggregate: digest of an answer's sources in their order: provision, version and proven date."""
+    rows = F.array_sort(F.collect_list(F.struct("source_no", F.concat_ws(":", F.col("id").cast("string"), F.col("version_id").cast("string"), F.coalesce(F.col("proven_as_of").cast("string"), F.lit(""))).alias("v"))))
+    return F.sha2(F.array_join(F.transform(rows, lambda x: x["v"]), "\n"), 256)

@@ -54,3 +54,74 @@ def detail(acts: DataFrame, versions: DataFrame, resources: DataFrame, key: str,
 def contents(provisions: DataFrame, version: object) -> DataFrame:
     """A version's table of contents, without its texts; one that was never parsed has no rows and the caller tells it from an empty one by the version's hash."""
     return provisions.where(F.col("version_id") == version).select("id", "parent_id", "provision_type", "citation_label", "heading", "ordinal").orderBy("ordinal")
+
+
+def catalogue(acts: DataFrame, versions: DataFrame, provisions: DataFrame, term: str | None = None, *, columns: list[str], order: list[str], equal: dict[str, object] | None = None, wanted: Column | None = None, limit: int = LISTED) -> DataFrame:
+    """Listed acts, each with the version that is shown and its number of provisions.
+
+    ``acts``: act and more; ``versions``: as of ``display_version``, with one revision for each
+    announcement; ``wanted`` looks at the version, so it filters after the limit.
+    """
+    from provisio.operators.currentlaw import display_version
+
+    rows = listed(acts, term, columns=columns, order=order, equal=equal, limit=limit)
+    shown = display_version(versions.join(rows.select("act"), "act", "left_semi")).select("act", F.col("default_id").alias("version_id"))
+    counts = provision_counts(provisions.join(shown.select("version_id").distinct(), "version_id", "left_semi"))
+    out = rows.join(shown, "act", "left").join(counts, "version_id", "left").withColumn("n_provisions", F.coalesce("n_provisions", F.lit(0)))
+    return out if wanted is None else out.where(wanted)
+
+
+def assembled_detail(acts: DataFrame, versions: DataFrame, resources: DataFrame, provisions: DataFrame) -> DataFrame:
+    """One row for each act with its versions (newest state first, the announcement's title, number of provisions) and its resources, those with a version apart from the others.
+
+    ``acts``: id, title; ``versions``: id, legal_act_id, source_announcement_legal_act_id, state_date;
+    ``resources``: legal_act_id, version_id, source_url; ``provisions``: version_id.
+    """
+    counts = provision_counts(provisions)
+    told = acts.select(F.col("id").alias("source_announcement_legal_act_id"), F.col("title").alias("announced_by"))
+    v = versions.join(told, "source_announcement_legal_act_id", "left").join(counts.withColumnRenamed("version_id", "id"), "id", "left")
+    key = F.struct((-F.unix_date("state_date")).alias("k"), "id", "state_date", "announced_by", F.coalesce("n_provisions", F.lit(0)).alias("n_provisions"))
+    v = v.groupBy(F.col("legal_act_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.dropFields("k")).alias("versions"))
+    urls = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("source_url"))))
+    r = resources.groupBy(F.col("legal_act_id").alias("id")).agg(urls(F.col("version_id").isNotNull()).alias("resolved"), urls(F.col("version_id").isNull()).alias("unresolved"))
+    return acts.join(v, "id", "left").join(r, "id", "left")
+
+
+def provision(provisions: DataFrame, asked: DataFrame, depth: int | None = None) -> DataFrame:
+    """(request, the provision's columns, hierarchy) of single provisions; one of another version than asked for is as good as missing.
+
+    ``asked``: request, version_id, id.
+    """
+    from provisio.operators import hierarchy
+
+    rows = asked.select("request", "version_id", "id").join(provisions, ["version_id", "id"])
+    context = hierarchy.contexts(provisions, rows.select("id").distinct(), depth=depth or hierarchy.MAX_DEPTH)
+    return rows.join(context, rows["id"] == context["leaf"], "left").drop("leaf")
+
+
+def nested(nodes: DataFrame, depth: int) -> DataFrame:
+    """Roots with their children nested: (id, ordinal, children), ``children`` an array of such structs down to ``depth`` levels, in order; an orphan is a root.
+
+    ``nodes``: version_id, id, parent_id, ordinal.  Built from the leaves up, one group of a parent's
+    children at a time.
+    """
+    from provisio.operators import hierarchy
+
+    rooted = hierarchy.with_roots(nodes)
+    level = rooted.where("is_root").select("id", F.lit(0).alias("level"))
+    levels = level
+    for k in range(1, depth + 1):
+        level = nodes.select("id", F.col("parent_id").alias("up")).join(level.select(F.col("id").alias("up")), "up").select("id", F.lit(k).alias("level"))
+        levels = levels.unionByName(level)
+    held = nodes.join(levels, "id")
+    below = None
+    for k in range(depth, -1, -1):
+        here = held.where(F.col("level") == k).select("version_id", "id", "parent_id", "ordinal")
+        if below is None:
+            here = here.withColumn("node", F.struct("ordinal", "id"))
+        else:
+            here = here.join(below, "id", "left").withColumn("node", F.struct("ordinal", "id", "children"))
+        if k == 0:
+            return here.select("version_id", "id", "ordinal", *(["children"] if depth else []))
+        below = here.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list("node")).alias("children"))
+    raise ValueError("depth is a whole number of 0 or more")

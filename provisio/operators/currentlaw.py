@@ -122,3 +122,75 @@ def latest_usable_run(runs: DataFrame, entries: DataFrame) -> DataFrame:
     """The newest run with an entry that is included and ready."""
     usable = runs.join(entries.where("decision = 'included' and runtime_ready").select("run_id").distinct(), "run_id", "left_semi")
     return usable.agg(F.max_by("run_id", F.struct("generated_at", "run_id")).alias("run_id"))
+
+
+def only_today(effective: Column, now: Column) -> Column:
+    """The date a run may be made for: today's, by the caller's clock; any other is an error."""
+    return F.when(effective == F.to_date(now), effective).otherwise(F.raise_error(F.lit("a run can only be made for today")).cast("date"))
+
+
+def is_well_formed(announcement: Column) -> Column:
+    """A version that is what an announcement's consolidated text must be."""
+    return (F.col("version_kind") == "consolidated") & (F.col("source_expression_id") == "tj") & (F.col("authority_class") == "authoritative") & (F.col("source_announcement_legal_act_id") == announcement)
+
+
+# Relations that count for an act, and for its announcement.
+ACT_RELATIONS = ("consolidated_text_announcement", "correction", "constitutional_tribunal")
+ANNOUNCEMENT_RELATIONS = ("post_consolidated_amendment", "correction")
+
+
+def active(relations: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """Active relations of the given types; those of an act and of its announcement are asked for apart and never mixed."""
+    return relations.where(F.col("is_active") & F.col("relation_type").isin(*types))
+
+
+def candidates(acts: DataFrame, versions: DataFrame, relations: DataFrame, as_of: Column) -> DataFrame:
+    """The ladder's inputs for every act, for ``decided``: act, version_id and the counts and dates of ``LADDER``.
+
+    ``acts``: id, in_force, promulgation_date, expiration_date, entry_into_force_date; ``versions``: id,
+    legal_act_id, version_kind, source_expression_id, authority_class, source_announcement_legal_act_id,
+    has_structure, legal_state_date, created_at; ``relations``: legal_act_id, relation_type,
+    related_legal_act_id, is_active.  All acts are decided by the same joins; none is looped over.
+    """
+    related = acts.select(F.col("id").alias("related_legal_act_id"), F.lit(True).alias("known"), F.col("promulgation_date").alias("promulgated"), F.col("expiration_date").alias("expires"), F.col("entry_into_force_date").alias("enters"))
+    own = active(relations, ACT_RELATIONS).join(related, "related_legal_act_id", "left")
+    chain = own.where("relation_type = 'consolidated_text_announcement'")
+    hit = applies(F.col("promulgated"), F.col("expires"), as_of)
+    chain = chain.groupBy(F.col("legal_act_id").alias("act")).agg(
+        F.count("*").alias("n_chain"), F.count_if(F.col("known").isNull()).alias("n_unresolved_chain"), F.count_if(hit).alias("n_applicable"), F.max(F.when(hit, F.col("related_legal_act_id"))).alias("announcement"),
+    )
+    one = chain.where("n_applicable = 1").select("act", "announcement")
+    # versions of the act that this announcement backs
+    backed = versions.join(one, (F.col("legal_act_id") == F.col("act")) & (F.col("source_announcement_legal_act_id") == F.col("announcement")))
+    counts = backed.groupBy("act").agg(F.count("*").alias("n_versions"), F.count_if(is_well_formed(F.col("announcement"))).alias("n_well_formed"))
+    newest = newest_well_formed(backed, is_well_formed(F.col("announcement")), ["act"], [F.desc("created_at"), F.desc("id")])
+    newest = newest.select("act", F.col("id").alias("version_id"), F.col("has_structure").alias("newest_structured"), F.col("legal_state_date").alias("state_date"))
+    later = active(relations, ANNOUNCEMENT_RELATIONS).join(related, "related_legal_act_id", "left").join(one.withColumnRenamed("announcement", "legal_act_id"), "legal_act_id")
+    amends = F.col("relation_type") == "post_consolidated_amendment"
+    later = later.groupBy("act").agg(
+        F.count_if(amends & F.col("enters").isNull()).alias("n_amendment_unresolved"), F.count_if(amends & (F.col("enters") <= as_of)).alias("n_amendment_effective"), F.count_if(~amends).alias("n_correction_there"),
+    )
+    rulings = own.groupBy(F.col("legal_act_id").alias("act")).agg(
+        F.count_if(F.col("relation_type") == "correction").alias("n_correction_here"),
+        F.count_if(F.col("relation_type") == "constitutional_tribunal").alias("n_tribunal"),
+        F.count_if((F.col("relation_type") == "constitutional_tribunal") & F.col("enters").isNull()).alias("n_tribunal_unresolved"),
+        F.max(F.when(F.col("relation_type") == "constitutional_tribunal", F.col("enters"))).alias("tribunal_date"),
+    )
+    rows = acts.select(F.col("id").alias("act"), "in_force", F.col("expiration_date").alias("act_expires"), as_of.alias("as_of"))
+    for x in (chain.drop("announcement"), counts, newest, later, rulings):
+        rows = rows.join(x, "act", "left")
+    zero = ("n_chain", "n_unresolved_chain", "n_applicable", "n_versions", "n_well_formed", "n_amendment_unresolved", "n_amendment_effective", "n_correction_there", "n_correction_here", "n_tribunal", "n_tribunal_unresolved")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
+    return rows.withColumn("n_correction", F.col("n_correction_here") + F.col("n_correction_there"))
+
+
+def appended_run(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries with those of a run appended; a run that is there already is never changed, and an act has one entry in a run."""
+    fresh = new.dropDuplicates(["run_id", "act"]).join(entries.select("run_id").distinct(), "run_id", "left_anti")
+    return entries.unionByName(fresh)
+
+
+def pinned_scope(runs: DataFrame, entries: DataFrame, pinned: DataFrame) -> DataFrame:
+    """(run_id, effective_as_of, version_ids) of pinned runs, never of the latest one: what is included and ready; a run without any, or unknown, has no row."""
+    ready = entries.where("decision = 'included' and runtime_ready").groupBy("run_id").agg(F.array_sort(F.collect_set("version_id")).alias("version_ids"))
+    return pinned.select("run_id").distinct().join(runs.select("run_id", "effective_as_of"), "run_id").join(ready, "run_id")

@@ -25,3 +25,15 @@ def quality(reports: DataFrame) -> DataFrame:
         F.count_if(F.col("expected_status").isNotNull() & (F.col("status") != F.col("expected_status"))).alias("n_unexpected"),
         F.avg("n_sources").alias("mean_sources"), F.max("n_chars").alias("most_chars"), F.sum("n_leaks").alias("n_leaks"),
     )
+
+
+def expected_rates(expected: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many labels were expected, and the share of them that each stage holds, such as retrieved, packed and cited.
+
+    ``expected``: question, label; each stage: question, label.
+    """
+    rows = expected.select("question", "label").distinct()
+    out = rows
+    for name, labels in stages.items():
+        out = out.join(found_labels(rows, labels).withColumnRenamed("is_found", name), ["question", "label"])
+    return rates(out, list(stages))

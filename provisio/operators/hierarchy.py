@@ -1,7 +1,7 @@
 """Trees stored as adjacency lists: ancestors, context lines, roots.
 
-Walks are unrolled equi-joins up to a depth that also guards against cycles, so each step is an
-ordinary shuffle join that Spark may turn into a broadcast of a small level.
+Walks are unrolled equi-joins up to a depth, so each step is an ordinary shuffle join that Spark may
+turn into a broadcast of a small level.
 """
 
 from __future__ import annotations
@@ -15,16 +15,25 @@ MAX_DEPTH = 12
 
 
 def ancestors(nodes: DataFrame, leaves: DataFrame, *, id_col: str = "id", parent_col: str = "parent_id", depth: int = MAX_DEPTH) -> DataFrame:
-    """(leaf, id, depth) of each leaf's ancestors, depth 1 for its parent; a missing parent ends the walk.
+    """(leaf, id, depth) of each leaf's ancestors, depth 1 for its parent; a missing parent or a node met before ends the walk.
 
     One join a level: a leaf's row carries all its ancestors, which are turned into rows at the end.
+    Finished walks are spread by their leaves, so they never meet in one task.  A tree that goes on
+    after ``depth`` levels is an error, never cut.
     """
-    edges = nodes.select(F.col(id_col).alias("__id"), F.col(parent_col).alias("__parent"))
-    walk = leaves.select(F.col(id_col).alias("leaf")).join(edges, F.col("leaf") == F.col("__id")).select("leaf", F.array().cast(f"array<{nodes.schema[id_col].dataType.simpleString()}>").alias("found"), F.col("__parent").alias("next"))
+    kind = nodes.schema[id_col].dataType.simpleString()
+    edges = nodes.select(F.col(id_col).alias("__id"), F.col(parent_col).alias("__parent"), F.lit(0).cast("long").alias("__spread"))
+    walk = leaves.select(F.col(id_col).alias("leaf")).join(edges, F.col("leaf") == F.col("__id")).select("leaf", F.array().cast(f"array<{kind}>").alias("found"), F.when(F.col("__parent") != F.col("leaf"), F.col("__parent")).alias("next"))
+    spread = F.when(F.col("next").isNull(), F.xxhash64("leaf")).otherwise(F.lit(0).cast("long"))
     for _ in range(depth):
+        walk = walk.withColumn("spread", spread).join(edges, (F.col("next") == F.col("__id")) & (F.col("spread") == F.col("__spread")), "left")
         met = F.when(F.col("__id").isNotNull(), F.array_append("found", F.col("__id"))).otherwise(F.col("found"))
-        walk = walk.join(edges, F.col("next") == F.col("__id"), "left").select("leaf", met.alias("found"), F.col("__parent").alias("next"))
-    return walk.select("leaf", F.posexplode("found").alias("p", "id")).select("leaf", "id", (F.col("p") + 1).alias("depth"))
+        again = (F.col("__parent") == F.col("leaf")) | F.array_contains(met, F.col("__parent"))
+        walk = walk.select("leaf", met.alias("found"), F.when(~again, F.col("__parent")).alias("next"))
+    known = nodes.select(F.col(id_col).alias("__id"))
+    walk = walk.withColumn("spread", spread).join(known.withColumn("__spread", F.lit(0).cast("long")), (F.col("next") == F.col("__id")) & (F.col("spread") == F.col("__spread")), "left")
+    found = F.when(F.col("__id").isNull(), F.col("found")).otherwise(F.raise_error(F.lit(f"a tree is deeper than {depth} levels")).cast(f"array<{kind}>"))
+    return walk.select("leaf", F.posexplode(found).alias("p", "id")).select("leaf", "id", (F.col("p") + 1).alias("depth"))
 
 
 def is_searchable(kind: Column, heading: Column, text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import citation
-from provisio.operators import answer, currentlaw, hierarchy, retrieval
+from provisio.operators import currentlaw, hierarchy, retrieval
 
 
 def exact_matches(nodes: DataFrame, queries: DataFrame, depth: int = hierarchy.MAX_DEPTH) -> DataFrame:
@@ -45,23 +45,9 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: dict[int, list[f
 def investigation(plan: DataFrame, results: DataFrame) -> DataFrame:
     """Hits of all planned queries with where they come from, for ``answer.with_provenance`` and what follows.
 
-    ``plan``: query_id, issue_no, query_no, target, likelihood; ``results``: what ``hybrid_search`` returns.
+    ``plan``: query_id, issue_no, query_no, target, likelihood, and the request where there are several; ``results``: what ``hybrid_search`` returns.
     """
-    return results.join(plan, "query_id").select("id", "issue_no", "query_no", "target", "likelihood", "score", "is_exact")
-
-
-def packed_sources(hits: DataFrame, sizes: DataFrame, by: str = "request") -> DataFrame:
-    """(by, id, source_no, targets): the best candidate of each target first, then the others by weight, under the budgets.
-
-    ``hits`` carry the request; ``sizes``: id, n_chars.
-    """
-    each = answer.tier_scores(hits, [by, "target", "id"])
-    first = each.where("likely").groupBy(by, "target").agg(F.max_by("id", F.struct("any_exact", "weighted", (-F.col("id")).alias("k"))).alias("id"))
-    first = first.groupBy(by, "id").agg(F.min("target").alias("reserved"), F.array_sort(F.collect_set("target")).alias("targets"))
-    all_of = answer.tier_scores(hits, [by, "id"]).join(first, [by, "id"], "left").join(sizes, "id")
-    order = F.struct(F.col("reserved").isNull(), F.coalesce("reserved", F.lit(0)), ~F.col("any_exact"), -F.col("weighted"), F.col("id"))
-    out = answer.packed(all_of.select(by, "id", "n_chars", order.alias("rank")), by)
-    return out.join(first.select(by, "id", "targets"), [by, "id"], "left")
+    return results.join(plan, "query_id").select(*(c for c in plan.columns if c == "request"), "id", "issue_no", "query_no", "target", "likelihood", "score", "is_exact")
 
 
 def corpus_run(candidates: DataFrame, readiness: DataFrame, run_id: str, generated_at: Column) -> DataFrame:

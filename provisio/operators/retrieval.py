@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +26,82 @@ def in_scope(docs: DataFrame, scope: list, column: str) -> DataFrame:
     return docs.where(F.col(column).isin(*scope))
 
 
-def lexical_hits(docs: DataFrame, queries: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+#: Queries that are compared with a document at once.
+BLOCK = 256
+
+
+def _ranks(ids: np.ndarray, at: np.ndarray, holds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the queries that a document matches: their places, lexemes hit, and ranks; ``ids``: its lexemes that are asked for, at ``at``; ``holds``: queries x lexemes."""
+    own = holds[:, ids]
+    n = holds[:, np.unique(ids)].sum(1)
+    match = np.flatnonzero(n >= np.minimum(2, sizes))
+    query, hit = np.nonzero(own[match])
+    near = (query[1:] == query[:-1]) & (ids[hit[1:]] != ids[hit[:-1]])
+    rank = np.bincount(query[1:][near], 0.1 / (at[hit[1:]] - at[hit[:-1]])[near], len(match))
+    single = sizes[match] == 1
+    return match, n[match], np.round(np.where(single, 0.1 * np.bincount(query, minlength=len(match)), rank), 6)
+
+
+def lexical_hits(docs: DataFrame, queries: DataFrame, *, id_col: str = "id", text_col: str = "text", limit: int | None = None) -> DataFrame:
     """(query_id, id, n_lexemes, rank): documents that hold two of a query's lexemes, or its only one.
 
-    ``queries``: query_id, query.  The rank adds 0.1 / distance of neighbouring hits that differ; for
-    a query of one lexeme, 0.1 for each hit.
+    ``queries``: query_id, query; request values, which are sent to all tasks.  The rank adds
+    0.1 / distance of neighbouring hits that differ; for a query of one lexeme, 0.1 for each hit.
+    A document's positions never leave its row, so nothing is shuffled.  With ``limit`` a task keeps
+    the best rows of each query only, those that a top-k may need.
     """
-    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("q"))
-    asked = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("tok"))
-    hits = docs.select(F.col(id_col).alias("id"), F.posexplode(text.tokens(F.col(text_col))).alias("pos", "tok")).join(asked, "tok")
-    near = Window.partitionBy("query_id", "id").orderBy("pos")
-    hits = hits.withColumns({"before": F.lag("tok").over(near), "gap": F.col("pos") - F.lag("pos").over(near)})
-    term = F.when(F.col("n") == 1, 0.1).when(F.col("before") != F.col("tok"), 0.1 / F.col("gap")).otherwise(0.0)
-    found = hits.groupBy("query_id", "id", "n").agg(F.count_distinct("tok").alias("n_lexemes"), F.round(F.sum(term), 6).alias("rank"))
-    return found.where(F.col("n_lexemes") >= F.least(F.lit(2), F.col("n"))).drop("n")
+    asked = queries.select(F.col("query_id").cast("long"), F.array_distinct(text.tokens(F.col("query"))).alias("q")).where(F.size("q") > 0).collect()
+    words = sorted({w for r in asked for w in r["q"]})
+    place = {w: i for i, w in enumerate(words)}
+    lists = [np.array([place[w] for w in r["q"]], np.int32) for r in asked]
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), lists, words))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lists, words = shared.value
+        known, sizes = pa.array(words, pa.string()), np.array([len(x) for x in lists])
+        blocks = []
+        for low in range(0, len(keys), BLOCK):
+            holds = np.zeros((len(lists[low : low + BLOCK]), len(words)), bool)
+            for i, x in enumerate(lists[low : low + BLOCK]):
+                holds[i, x] = True
+            blocks.append((low, holds))
+        best: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def kept(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+            order = np.lexsort((rows[1], -rows[3], rows[0]))
+            first = np.flatnonzero(np.append(True, np.diff(rows[0][order]) != 0)) if len(order) else order
+            nth = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+            return tuple(x[order[nth < limit]] for x in rows)
+
+        def rows_of(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys[rows[0]]), pa.array(rows[1]), pa.array(rows[2].astype(np.int64)), pa.array(rows[3])], names=["query_id", "id", "n_lexemes", "rank"])
+
+        for batch in batches:
+            tokens = batch.column(1)
+            found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy()
+            cut = tokens.offsets.to_numpy()
+            cut = cut - cut[0]
+            out = [best] if limit is not None else []
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                its = found[cut[i] : cut[i + 1]]
+                at = np.flatnonzero(its >= 0)
+                if not len(at):
+                    continue
+                for low, holds in blocks:
+                    match, n, rank = _ranks(its[at], at, holds, sizes[low : low + BLOCK])
+                    if len(match):
+                        out.append((match + low, np.full(len(match), name, np.int64), n, rank))
+            if out:
+                rows = tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                if limit is None:
+                    yield rows_of(rows)
+                else:
+                    best = kept(rows)
+        if limit is not None:
+            yield rows_of(best)
+
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.tokens(F.col(text_col)).alias("tokens"))
+    return rows.mapInArrow(scan, "query_id long, id long, n_lexemes long, rank double")
 
 
 def top(rows: DataFrame, score: Column, limit: int, rank: str, by: str = "query_id") -> DataFrame:
@@ -48,16 +111,17 @@ def top(rows: DataFrame, score: Column, limit: int, rank: str, by: str = "query_
 
 
 def lexical_search(docs: DataFrame, queries: DataFrame, *, limit: int = CANDIDATES, **columns: str) -> DataFrame:
-    return top(lexical_hits(docs, queries, **columns), F.desc("rank"), limit, "lexical_rank").drop("rank", "n_lexemes")
+    return top(lexical_hits(docs, queries, limit=limit, **columns), F.desc("rank"), limit, "lexical_rank").drop("rank", "n_lexemes")
 
 
 def vector_search(docs: DataFrame, queries: dict[int, list[float]], *, id_col: str = "id", vector_col: str = "embedding", limit: int = CANDIDATES) -> DataFrame:
     """(query_id, id, similarity, vector_rank) of the nearest vectors, by an exact scan.
 
     Each task keeps ``limit`` rows a query, so what is shuffled does not grow with the documents of
-    a task.  ``queries`` are request values and are sent to all tasks; null, zero and other-sized
-    vectors are left out.
+    a task.  ``queries`` are request values and are sent to all tasks; vectors that are null, zero,
+    of another size or hold what is not a finite number are left out, and have no neighbours.
     """
+    queries = {k: v for k, v in queries.items() if v is not None and np.isfinite(np.array(v, np.float64)).all() and np.any(np.array(v, np.float64))}
     if not queries:
         return docs.sparkSession.createDataFrame([], "query_id long, id long, similarity double, vector_rank int")
     keys = np.array(list(queries), np.int64)
@@ -81,7 +145,7 @@ def vector_search(docs: DataFrame, queries: dict[int, list[float]], *, id_col: s
         )
 
     v = F.col(vector_col).cast("array<double>")
-    fine = (F.size(v) == q.shape[1]) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    fine = (F.size(v) == q.shape[1]) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = docs.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).mapInArrow(scan, "query_id long, id long, similarity double")
     return top(rows, F.desc(F.round("similarity", 12)), limit, "vector_rank")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provisio.functions import hashing, text
 from provisio.functions.citation import parsed
 from provisio.operators import activity, answer, answer_cache, catalog, currentlaw, merge
-from provisio.plans.search import PER_QUERY_SQL, q04_vector_topk_per_query, q85_vector_topk_of_all_queries
+from provisio.plans.search import PER_QUERY_SQL, q04_vector_topk_per_query
 from provisio.plans.views import ANNOUNCEMENTS_SQL, AS_OF, VERSIONS_SQL, announcements, table, versions
 from provisio.sources import html_units, metadata, pdf_lines
 
@@ -124,8 +124,8 @@ def q29_direct_target_backstop(spark: SparkSession, d: str) -> DataFrame:
     return answer.direct_targets(targets, said, issues).select("target", "issue", F.sha2("query", 256).alias("query_hash"))
 
 
-def _hits(spark: SparkSession, d: str, found=q04_vector_topk_per_query) -> DataFrame:
-    return found(spark, d).select(
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return q04_vector_topk_per_query(spark, d).select(
         F.col("vec_id").alias("id"), (F.col("query_id") % 2).alias("issue_no"), F.col("query_id").alias("query_no"), (F.col("query_id") % 3).alias("target"),
         F.expr("case when query_id < 3 then 'most_likely' else 'possible' end").alias("likelihood"), F.round(1 / (60 + F.col("vector_rank")), 9).alias("score"), (F.col("vec_id") % 7 == 0).alias("is_exact"),
     )
@@ -140,35 +140,13 @@ def q30_provenance_collect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q31_tier_weighted_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = answer.tier_scores(_hits(spark, d), ["id"]).withColumn("weighted", F.round("weighted", 8))
-    return rows.select("id", "weighted", "any_exact", F.row_number().over(Window.orderBy(F.desc("any_exact"), F.desc("weighted"), "id")).alias("nth"))
+    """Candidates of eight requests in their order."""
+    rows = answer.tier_scores(_hits(spark, d), ["id"]).withColumns({"weighted": F.round("weighted", 8), "request": F.col("id") % 8})
+    return rows.select("request", "id", "weighted", "any_exact", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("any_exact"), F.desc("weighted"), "id")).alias("nth"))
 
 
 def q32_greedy_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's candidates are the 200 shortest of its documents, as a retriever limits them."""
-    docs = table(spark, d, "documents")
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id"))
-    few = docs.withColumn("nth", nth).where("nth <= 200").select("source", F.expr("(doc_id * 7919) % 10007 * 1000000 + doc_id").alias("rank"), F.col("doc_id").alias("id"), F.col("n_chars").cast("int").alias("n_chars"))
-    return answer.packed(few, "source").select("source", F.col("id").alias("doc_id"), "source_no")
-
-
-def q93_provenance_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
-    """As q30, q31 and q33 (here, q94 and q95), over the hits of every vector whose id is divisible by 100."""
-    rows = answer.with_provenance(_hits(spark, d, q85_vector_topk_of_all_queries))
-    return rows.select("id", F.size("found_by").alias("n_found"), F.element_at("found_by", 1)["query_no"].alias("first_query"), F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
-
-
-def q94_tier_rank_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
-    rows = answer.tier_scores(_hits(spark, d, q85_vector_topk_of_all_queries), ["id"]).withColumn("weighted", F.round("weighted", 8))
-    return rows.select("id", "weighted", "any_exact", F.row_number().over(Window.orderBy(F.desc("any_exact"), F.desc("weighted"), "id")).alias("nth"))
-
-
-def q95_reservation_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
-    return answer.reserved(answer.tier_scores(_hits(spark, d, q85_vector_topk_of_all_queries), ["target", "id"]).withColumn("weighted", F.round("weighted", 8)))
-
-
-def q83_greedy_pack_of_all(spark: SparkSession, d: str) -> DataFrame:
-    """As q32, with all documents of a source as its candidates."""
+    """Each source's candidates are all its documents, ranked by a rule that has nothing to do with their sizes."""
     every = table(spark, d, "documents").select("source", F.expr("(doc_id * 7919) % 10007 * 1000000 + doc_id").alias("rank"), F.col("doc_id").alias("id"), F.col("n_chars").cast("int").alias("n_chars"))
     return answer.packed(every, "source").select("source", F.col("id").alias("doc_id"), "source_no")
 
@@ -296,7 +274,7 @@ def q53_citations_by_level(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*(c.alias(k) for k, c in parsed(F.col("s")).items())).groupBy("article", "paragraph", "point", "letter").agg(F.count("*").alias("n"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit() and k not in ("q04_vector_topk_per_query", "q85_vector_topk_of_all_queries")}
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit() and k != "q04_vector_topk_per_query"}
 _APPLIES = f"promulgated <= {AS_OF} and (expires is null or expires > {AS_OF})"
 _ONE = f"one as (select *, count(*) filter (where backed) over (partition by act) as n_backed, row_number() over (partition by act, kind order by backed desc, structured desc, official desc, state_date desc nulls last, id) as nth from ({VERSIONS_SQL}) qualify nth = 1)"
 _FORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
@@ -332,9 +310,9 @@ SQL = {
         i as (select conv_id as target, arg_min(conv_id * 100 + turn, turn) as issue from conversations where (conv_id + turn) % 3 <> 0 group by 1)
         select t.target, i.issue, sha256(t.text) as query_hash from t join i on t.target = i.target where not exists (select 1 from s where s.target = t.target and s.form = t.form)""",
     "q30_provenance_collect": f"with {_HITS_SQL} select id, count(*) as n_found, arg_min(query_no, {{'a': issue_no, 'b': query_no}}) as first_query, array_to_string(list_sort(list(distinct target)), ',') as targets from hits group by id",
-    "q31_tier_weighted_rank": f"with {_HITS_SQL}, t as (select id, round({_TIERS}, 8) as weighted, bool_or(is_exact) as any_exact from hits group by id) select *, row_number() over (order by any_exact desc, weighted desc, id) as nth from t",
+    "q31_tier_weighted_rank": f"with {_HITS_SQL}, t as (select id, round({_TIERS}, 8) as weighted, bool_or(is_exact) as any_exact from hits group by id) select id % 8 as request, *, row_number() over (partition by id % 8 order by any_exact desc, weighted desc, id) as nth from t",
     "q32_greedy_pack": """with recursive few as (select source, doc_id, n_chars, row_number() over (partition by source order by (doc_id * 7919) % 10007 * 1000000 + doc_id) as k
-          from (select *, row_number() over (partition by source order by n_chars, doc_id) as nth from documents) where nth <= 200),
+          from documents),
         pack as (select source, k, doc_id, true as taken, 1 as n, cast(n_chars as bigint) as used from few where k = 1
           union all select f.source, f.k, f.doc_id, p.n < 16 and p.used + f.n_chars <= 12000, p.n + case when p.n < 16 and p.used + f.n_chars <= 12000 then 1 else 0 end,
             p.used + case when p.n < 16 and p.used + f.n_chars <= 12000 then f.n_chars else 0 end from pack p join few f on f.source = p.source and f.k = p.k + 1)
@@ -370,5 +348,3 @@ SQL = {
         select case when a then '3a' when s and u then '12' end as article, case when a and s then '12' when a and u then '4' when a then null when s and u then '4' when s then '12' when u then '4' end as paragraph,
         case when p then '5' end as point, case when l then 'b' end as letter, count(*) as n from b group by 1, 2, 3, 4""",
 }
-SQL["q83_greedy_pack_of_all"] = SQL["q32_greedy_pack"].replace(" where nth <= 200", "")
-SQL |= {f"{k}_of_all_queries": SQL[of].replace("vec_id < 5", "vec_id % 100 = 0") for k, of in (("q93_provenance", "q30_provenance_collect"), ("q94_tier_rank", "q31_tier_weighted_rank"), ("q95_reservation", "q33_target_reservation"))}

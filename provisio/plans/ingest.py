@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provisio.functions import hashing
-from provisio.operators import activity, answer, catalog, currentlaw, evaluation, merge, pipeline
+from provisio.functions import hashing, text
+from provisio.operators import activity, answer, answering, catalog, currentlaw, evaluation, merge, pipeline
 from provisio.plans.views import GEO_SQL, geo_tree, lexemes_sql, table, tokens_sql
 from provisio.sources import metadata
 
@@ -86,35 +86,6 @@ def q65_reachable_expressions(spark: SparkSession, d: str) -> DataFrame:
     return metadata.expressions(rows, up)
 
 
-def _conclusions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders")
-    claimed = rows.selectExpr("o_orderkey as conclusion", "array('A', 'F') as claimed", "o_custkey as target")
-    verdicts = rows.where("o_orderkey % 13 <> 0").selectExpr("o_orderkey as conclusion", "case when o_orderkey % 3 = 0 then 'partial_support' else 'direct_support' end as verdict")
-    quotes = table(spark, d, "lineitem").selectExpr("l_orderkey as conclusion", "case when l_quantity = 7 then 'X' else 'A' end as source_id", "case when l_quantity > 48 then 'not_found' else 'verbatim' end as status")
-    skeptic = rows.where("o_orderkey % 17 <> 0").selectExpr("o_orderkey as conclusion", "o_orderkey % 4 = 0 as leap")
-    return answer.verified(claimed, verdicts, quotes, skeptic)
-
-
-def q66_verification_gates(spark: SparkSession, d: str) -> DataFrame:
-    return _conclusions(spark, d).select("conclusion", "outcome", F.array_join("support", ",").alias("support"))
-
-
-_GATES = """
-quotes as (select l_orderkey as c, count(*) as n, count(*) filter (where l_quantity <= 48) as ok, bool_or(l_quantity = 7) as foreigner,
-           array_to_string(list_sort(list(distinct case when l_quantity = 7 then 'X' else 'A' end) filter (where l_quantity <= 48)), ',') as confirmed from lineitem group by 1),
-gates as (select o_orderkey as conclusion, o_custkey as target, case when o_orderkey % 13 = 0 or coalesce(foreigner, false) then 'error' when o_orderkey % 3 = 0 or coalesce(n, 0) = 0 or n <> ok then 'demoted'
-          when o_orderkey % 17 = 0 then 'error' when o_orderkey % 4 = 0 then 'demoted' else 'verified' end as outcome, confirmed from orders left join quotes on c = o_orderkey)"""
-
-
-def q67_recovery_mode(spark: SparkSession, d: str) -> DataFrame:
-    return answer.recovery_mode(answer.covered(table(spark, d, "customer").selectExpr("c_custkey as target"), _conclusions(spark, d)))
-
-
-def q68_answer_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").selectExpr("conv_id as request", "case when turn % 3 = 2 then null else 9 - turn end as target", "turn as position", "concat(role, ' ', turn) as statement")
-    return answer.answer_text(rows)
-
-
 def q69_caveats(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").selectExpr("o_custkey as request", "case when o_orderkey % 9 <> 0 then o_orderdate end as proven_as_of", "case when o_orderkey % 11 = 0 then 'unknown' else 'authoritative' end as authority_class")
     return answer.caveats(rows)
@@ -152,30 +123,7 @@ def q74_retrieval_signals(spark: SparkSession, d: str) -> DataFrame:
     return answer.retrieval_signals(spark.range(5100).select(F.col("id").alias("target")), hits)
 
 
-def _benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").cast("long").alias("query_id"), F.substring("text", 1, 80).alias("query"))
-
-
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
-    asked = {r["vec_id"]: r["embedding"] for r in vectors.where("vec_id < 5").collect()}
-    return pipeline.hybrid_search(docs, _benchmark_queries(spark, d), asked)
-
-
-def q75_hybrid_many_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d).select("query_id", "id", "lexical_rank", "vector_rank", "score", "final_rank")
-
-
-def q76_investigation_packed(spark: SparkSession, d: str) -> DataFrame:
-    """Plan, hits, provenance and packing of five queries that belong to one request."""
-    plan = _benchmark_queries(spark, d).selectExpr("query_id", "query_id % 2 as issue_no", "query_id as query_no", "query_id % 3 as target", "case when query_id < 3 then 'most_likely' else 'possible' end as likelihood")
-    hits = pipeline.investigation(plan, _hybrid(spark, d)).withColumn("request", F.lit(1))
-    sizes = table(spark, d, "documents").selectExpr("doc_id as id", "cast(n_chars as int) as n_chars")
-    return pipeline.packed_sources(hits, sizes).select("id", "source_no", F.coalesce(F.array_join(F.col("targets").cast("array<string>"), ","), F.lit("")).alias("targets"))
-
-
-def _hybrid_of_all(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark item with its whole text, and every vector whose id is divisible by 100."""
     vectors = table(spark, d, "embeddings")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
@@ -183,26 +131,27 @@ def _hybrid_of_all(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.hybrid_search(docs, table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query")), asked)
 
 
-def q81_hybrid_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid_of_all(spark, d).select("query_id", "id", "lexical_rank", "vector_rank", "score", "final_rank")
+def q75_hybrid_many_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d).select("query_id", "id", "lexical_rank", "vector_rank", "score", "final_rank")
 
 
-def q82_investigation_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
-    """As q76, with all queries in one request."""
+def q76_investigation_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Plan, hits, provenance and packing of all queries, in four requests of three targets each; many targets share their best candidate."""
     ids = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id")).union(table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id")).distinct()
-    plan = ids.selectExpr("query_id", "query_id % 2 as issue_no", "query_id as query_no", "query_id % 3 as target", "case when query_id < 3 then 'most_likely' else 'possible' end as likelihood")
-    hits = pipeline.investigation(plan, _hybrid_of_all(spark, d)).withColumn("request", F.lit(1))
-    sizes = table(spark, d, "documents").selectExpr("doc_id as id", "cast(n_chars as int) as n_chars")
-    return pipeline.packed_sources(hits, sizes).select("id", "source_no", F.coalesce(F.array_join(F.col("targets").cast("array<string>"), ","), F.lit("")).alias("targets"))
+    plan = ids.selectExpr("query_id", "query_id % 4 as request", "query_id % 2 as issue_no", "query_id as query_no", "query_id div 4 % 3 as target", "case when query_id % 5 <> 0 then 'most_likely' else 'possible' end as likelihood")
+    hits = pipeline.investigation(plan, _hybrid(spark, d))
+    sources = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("art. "), F.col("doc_id").cast("string")).alias("label"))
+    sources = sources.select("id", "label", text.utf16_length(F.col("text")).alias("n_chars"))
+    return answering.packed_for_targets(hits, sources).select("request", "id", "source_no", "reserved_for")
 
 
 _HYBRID = f"""tok as ({tokens_sql()}),
-asked as (select item_id as query_id, {lexemes_sql("substring(text, 1, 80)")} as toks from benchmark where item_id < 5),
+asked as (select item_id as query_id, {lexemes_sql("text")} as toks from benchmark),
 q as (select query_id, unnest(list_distinct(toks)) as tok, len(list_distinct(toks)) as n from asked),
 hits as (select query_id, id, n, t.tok, pos, lag(t.tok) over w as before, pos - lag(pos) over w as gap from tok t join q on t.tok = q.tok window w as (partition by query_id, id order by pos)),
 scored as (select query_id, id, n, count(distinct tok) as k, round(sum(case when n = 1 then 0.1e0 when before <> tok then 0.1e0 / gap else 0e0 end), 6) as rank from hits group by 1, 2, 3),
 lexical as (select query_id, id, row_number() over (partition by query_id order by rank desc, id) as lexical_rank from scored where k >= least(2, n) qualify lexical_rank <= 30),
-sims as (select q.vec_id as query_id, e.vec_id as id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as s from embeddings e join documents on doc_id = e.vec_id, (select vec_id, embedding from embeddings where vec_id < 5) q),
+sims as (select q.vec_id as query_id, e.vec_id as id, list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[])) as s from embeddings e join documents on doc_id = e.vec_id, (select vec_id, embedding from embeddings where vec_id % 100 = 0) q),
 vector as (select query_id, id, s, row_number() over (partition by query_id order by round(s, 12) desc, id) as vector_rank from sims qualify vector_rank <= 30),
 fused as (select coalesce(l.query_id, v.query_id) as query_id, coalesce(l.id, v.id) as id, lexical_rank, vector_rank, s, round(coalesce(1e0 / (60 + lexical_rank), 0e0) + coalesce(1e0 / (60 + vector_rank), 0e0), 9) as score
           from lexical l full join vector v on l.query_id = v.query_id and l.id = v.id),
@@ -233,6 +182,7 @@ def q79_provision_counts(spark: SparkSession, d: str) -> DataFrame:
     return catalog.provision_counts(rows)
 
 
+_TIER = "coalesce(max(score) filter (where l = 'most_likely'), 0e0) * 2 + coalesce(max(score) filter (where l = 'possible'), 0e0)"
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 _NUM = "cast(substring(id, 2) as int)"
 SQL = {
@@ -256,9 +206,6 @@ SQL = {
     "q64_mutual_references": "select distinct cast(o_custkey as varchar) as act, concat('o', o_orderkey) as announcement from orders where o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0",
     "q65_reachable_expressions": """select concat('DU/', year(o_orderdate), '/', o_orderkey + 1) as source_id, case (o_orderkey + 1) % 3 when 0 then 'ogl' when 1 then 'tj' else 'uj' end as expression, case (o_orderkey + 1) % 3 when 0 then 'promulgated' when 1 then 'consolidated' else 'unified' end as version_kind,
         case when (o_orderkey + 1) % 3 = 2 then 'non_authoritative' else 'authoritative' end as authority_class, concat('DU/', year(o_orderdate), '/', o_orderkey + 1, '/', case (o_orderkey + 1) % 3 when 0 then 'ogl' when 1 then 'tj' else 'uj' end) as uri from orders""",
-    "q66_verification_gates": f"with {_GATES} select conclusion, outcome, case when outcome = 'verified' then confirmed else '' end as support from gates",
-    "q67_recovery_mode": f"with {_GATES}, c as (select c_custkey in (select target from gates where outcome = 'verified') as hit from customer) select case when count(*) filter (where hit) = 0 then 'full' when count(*) filter (where hit) < count(*) then 'partial' else 'none' end as mode from c",
-    "q68_answer_text": "select conv_id as request, string_agg(concat(role, ' ', turn), chr(10) order by turn % 3 = 2, case when turn % 3 = 2 then null else 9 - turn end, turn) as answer from conversations group by 1",
     "q69_caveats": "select o_custkey as request, bool_or(o_orderkey % 9 = 0) as currentness, bool_or(o_orderkey % 11 = 0) as authority from orders group by 1",
     "q70_quality_report": """select count(*) as n, count(*) filter (where o_orderstatus = 'F') as n_answered, count(*) filter (where o_orderkey % 2 = 0 and o_orderstatus <> 'F') as n_unexpected, round(avg(o_orderkey % 17), 6) as mean_sources,
         max(cast(trunc(o_totalprice) as bigint)) as most_chars, count(*) filter (where o_orderkey % 101 = 0) as n_leaks from orders""",
@@ -270,14 +217,16 @@ SQL = {
     "q74_retrieval_signals": """with h as (select l_orderkey % 5000 as target, count(distinct l_partkey) as n, max(l_discount) as best, bool_or(l_quantity = 3) as b from lineitem group by 1)
         select r.target, coalesce(n, 0) as n_candidates, best as best_score, coalesce(b, false) as backstop from (select unnest(range(0, 5100)) as target) r left join h on h.target = r.target""",
     "q75_hybrid_many_queries": f"with {_HYBRID} select query_id, id, lexical_rank, vector_rank, score, final_rank from final",
-    "q76_investigation_packed": f"""with recursive {_HYBRID}, h as (select id, query_id % 3 as target, case when query_id < 3 then 'most_likely' else 'possible' end as l, score from final),
-        tier as (select id, target, coalesce(max(score) filter (where l = 'most_likely'), 0e0) * 2 + coalesce(max(score) filter (where l = 'possible'), 0e0) as w, bool_or(l = 'most_likely') as likely from h group by 1, 2),
-        best as (select target, arg_max(id, {{'a': w, 'b': -id}}) as id from tier where likely group by 1), res as (select id, min(target) as r, array_to_string(list_sort(list(target)), ',') as targets from best group by 1),
-        every as (select id, coalesce(max(score) filter (where l = 'most_likely'), 0e0) * 2 + coalesce(max(score) filter (where l = 'possible'), 0e0) as w from h group by 1),
-        ranked as (select e.id, n_chars, targets, row_number() over (order by r is null, coalesce(r, 0), -w, e.id) as k from every e left join res on res.id = e.id join documents on doc_id = e.id),
-        pack as (select k, id, targets, true as taken, 1 as n, cast(n_chars as bigint) as used from ranked where k = 1
-          union all select x.k, x.id, x.targets, p.n < 16 and p.used + x.n_chars <= 12000, p.n + (p.n < 16 and p.used + x.n_chars <= 12000)::int, p.used + case when p.n < 16 and p.used + x.n_chars <= 12000 then x.n_chars else 0 end from pack p join ranked x on x.k = p.k + 1)
-        select id, n as source_no, coalesce(targets, '') as targets from pack where taken""",
+    "q76_investigation_packed": f"""with recursive {_HYBRID}, h as (select id, query_id % 4 as request, query_id % 2 as issue_no, query_id as query_no, query_id // 4 % 3 as target, case when query_id % 5 <> 0 then 'most_likely' else 'possible' end as l, score from final),
+        one as (select request, target, id, bool_or(l = 'most_likely') as likely, {_TIER} as w, min({{'a': issue_no, 'b': query_no}}) as f from h group by 1, 2, 3),
+        every as (select request, id, {_TIER} as w, min({{'a': issue_no, 'b': query_no}}) as f from h group by 1, 2),
+        rows as (select request, 0 as phase, target, id, w, f from one where likely union all select request, 1, null, id, w, f from every),
+        ranked as (select r.*, n_chars, row_number() over (partition by request order by phase, target, round(w, 9) desc, concat('art. ', id), f, id) as k from rows r join documents on doc_id = id),
+        pack as (select request, 0 as k, cast(null as bigint) as id, cast(null as bigint) as target, false as taken, cast([] as bigint[]) as ids, cast([] as bigint[]) as done, cast(0 as bigint) as used from (select distinct request from ranked)
+          union all select request, k, id, target, taken, case when taken then list_append(ids, id) else ids end, case when phase = 0 and not skipped then list_append(done, target) else done end, used + case when taken then n_chars else 0 end
+            from (select *, not skipped and len(ids) < 16 and (len(ids) = 0 or used + n_chars <= 12000) as taken
+              from (select x.request, x.k, x.id, x.target, x.phase, x.n_chars, p.ids, p.done, p.used, list_contains(p.ids, x.id) or (x.phase = 0 and list_contains(p.done, x.target)) as skipped from pack p join ranked x on x.request = p.request and x.k = p.k + 1)))
+        select request, id, len(ids) as source_no, target as reserved_for from pack where taken""",
     "q77_citations_of_many_queries": f"""with t as ({GEO_SQL}), n as (select id, parent_id, provision_type, case when provision_type = 'article' then {_NUM} end as a, case when provision_type = 'clause' then {_NUM} % 4 end as u, case when provision_type = 'point' then {_NUM} % 3 end as p from t)
         select 1 as query_id, o.id from n o join n c on o.parent_id = c.id join n x on c.parent_id = x.id where o.p = 1 and c.u = 2 and x.a = 3
         union all select 2, o.id from n o join n c on o.parent_id = c.id join n x on c.parent_id = x.id where o.p = 2 and x.a = 7
@@ -287,6 +236,3 @@ SQL = {
         union all select o.id, sha256(concat_ws(chr(10), 'World', r.line, n.line, c.line, o.label, o.text)) from l o join l c on o.parent_id = c.id join l n on c.parent_id = n.id join l r on n.parent_id = r.id where o.provision_type = 'point'""",
     "q79_provision_counts": "select l_suppkey as version_id, count(*) as n_provisions from lineitem group by 1",
 }
-_OF_ALL = lambda sql: sql.replace("substring(text, 1, 80)", "text").replace(" where item_id < 5", "").replace("vec_id < 5", "vec_id % 100 = 0")
-SQL["q81_hybrid_of_all_queries"] = _OF_ALL(SQL["q75_hybrid_many_queries"])
-SQL["q82_investigation_of_all_queries"] = _OF_ALL(SQL["q76_investigation_packed"])

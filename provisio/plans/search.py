@@ -9,15 +9,20 @@ from provisio.functions import citation, hashing, text
 from provisio.operators import evaluation, hierarchy, indexing, retrieval
 from provisio.plans.views import GEO_SQL, geo_tree, lexemes_sql, table, tokens_sql
 
-SOURCES = ["src0", "src1", "src2", "src3", "src4"]
 TERMS = ["the", "with", "that"]
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
-_TOKENS = tokens_sql(f"source in ({_IN(SOURCES)})")
+_TOKENS = tokens_sql("source is not null")
 _SIM = "list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[]))"
 
 
+def _in_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of all sources: the scope is a request's value, here all that the table has."""
+    rows = table(spark, d, "documents")
+    return retrieval.in_scope(rows, [r["source"] for r in rows.select("source").where("source is not null").distinct().collect()], "source")
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.in_scope(table(spark, d, "documents"), SOURCES, "source").select(F.col("doc_id").alias("id"), "text")
+    return _in_scope(spark, d).select(F.col("doc_id").alias("id"), "text")
 
 
 def _query(spark: SparkSession) -> DataFrame:
@@ -28,10 +33,9 @@ def _lexical(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.lexical_search(_docs(spark, d), _query(spark), limit=retrieval.CANDIDATES)
 
 
-def _vectors(spark: SparkSession, d: str, n: int, limit: int, labels: int = 10) -> DataFrame:
+def _vectors(spark: SparkSession, d: str, limit: int, asked: str = "vec_id % 100 = 0") -> DataFrame:
     rows = table(spark, d, "embeddings")
-    asked = {r["vec_id"]: r["embedding"] for r in rows.where(F.col("vec_id") < n).select("vec_id", "embedding").collect()}
-    return retrieval.vector_search(rows.where(F.col("label") < labels), asked, id_col="vec_id", limit=limit)
+    return retrieval.vector_search(rows, {r["vec_id"]: r["embedding"] for r in rows.where(asked).select("vec_id", "embedding").collect()}, id_col="vec_id", limit=limit)
 
 
 def q01_lexical_match(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +43,7 @@ def q01_lexical_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q02_lexical_rank_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.lexical_hits(_docs(spark, d), _query(spark))
+    hits = retrieval.lexical_hits(_docs(spark, d), _query(spark), limit=retrieval.CANDIDATES)
     return retrieval.top(hits, F.desc("rank"), retrieval.CANDIDATES, "nth").select(F.col("id").alias("doc_id"), "rank", "nth")
 
 
@@ -54,37 +58,37 @@ _FUSED = f"""
 fused as (select coalesce(l.id, v.id) as id, lexical_rank, vector_rank, similarity,
           round(coalesce(1e0 / (60 + lexical_rank), 0e0) + coalesce(1e0 / (60 + vector_rank), 0e0), 9) as score from lexical l full join vector v on l.id = v.id)"""
 _EXACT = f"""
-exact as (select doc_id as id from documents where doc_id % 97 = 3 and source in ({_IN(SOURCES)})),
+exact as (select doc_id as id from documents where doc_id % 97 = 3 and source is not null),
 every as (select coalesce(f.id, x.id) as id, lexical_rank, vector_rank, similarity, coalesce(score, 0e0) as score, x.id is not null as is_exact from fused f full join exact x on f.id = x.id),
 final as (select *, row_number() over (order by is_exact desc, score desc, lexical_rank nulls last, vector_rank nulls last, id) as final_rank
           from every where lexical_rank is not null or is_exact or coalesce(similarity, 0) >= 0.35 qualify final_rank <= 10)"""
 
 
 def q03_vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d, 1, 30, 5).select(F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
+    return _vectors(spark, d, 30, "vec_id = 0").select(F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
 
 
 def q04_vector_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d, 5, 10).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
+    return _vectors(spark, d, 10).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
 
 
 PER_QUERY_SQL = f"""select q.vec_id as query_id, e.vec_id as vec_id, round({_SIM}, 9) as similarity, row_number() over (partition by q.vec_id order by round({_SIM}, 12) desc, e.vec_id) as vector_rank
-from embeddings e, (select vec_id, embedding from embeddings where vec_id < 5) q qualify vector_rank <= 10"""
+from embeddings e, (select vec_id, embedding from embeddings where vec_id % 100 = 0) q qualify vector_rank <= 10"""
 
 
 def q05_rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    both = retrieval.fused(_lexical(spark, d), _vectors(spark, d, 1, 30), min_similarity=None)
+    both = retrieval.fused(_lexical(spark, d), _vectors(spark, d, 30, "vec_id = 0"), min_similarity=None)
     return both.select(F.col("id").alias("doc_id"), "lexical_rank", "vector_rank", "score")
 
 
 def q06_similarity_guard(spark: SparkSession, d: str) -> DataFrame:
-    both = retrieval.fused(_lexical(spark, d), _vectors(spark, d, 1, 30))
+    both = retrieval.fused(_lexical(spark, d), _vectors(spark, d, 30, "vec_id = 0"))
     return both.select(F.col("id").alias("doc_id"), "lexical_rank", "vector_rank", "score")
 
 
 def _final(spark: SparkSession, d: str) -> DataFrame:
-    exact = retrieval.in_scope(table(spark, d, "documents"), SOURCES, "source").where("doc_id % 97 = 3").select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("id"))
-    return retrieval.ranked(retrieval.fused(_lexical(spark, d), _vectors(spark, d, 1, 30), exact))
+    exact = _in_scope(spark, d).where("doc_id % 97 = 3").select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("id"))
+    return retrieval.ranked(retrieval.fused(_lexical(spark, d), _vectors(spark, d, 30, "vec_id = 0"), exact))
 
 
 def q07_exact_first_order(spark: SparkSession, d: str) -> DataFrame:
@@ -183,85 +187,13 @@ def q48_prefix_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q49_multi_query_lexical(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as queries against all documents."""
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = retrieval.top(retrieval.lexical_hits(docs, asked), F.desc("rank"), 10, "nth")
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("n_lexemes").alias("most_lexemes"))
-
-
-def q80_lexical_of_whole_items(spark: SparkSession, d: str) -> DataFrame:
-    """As q49, with the items' whole texts."""
+    """Benchmark items, whole, as queries against all documents."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = retrieval.top(retrieval.lexical_hits(docs, asked), F.desc("rank"), 10, "nth")
+    found = retrieval.top(retrieval.lexical_hits(docs, asked, limit=10), F.desc("rank"), 10, "nth")
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("n_lexemes").alias("most_lexemes"))
 
 
-def _every_vector(spark: SparkSession, d: str, limit: int, asked: str = "vec_id % 100 = 0") -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    return retrieval.vector_search(rows, {r["vec_id"]: r["embedding"] for r in rows.where(asked).select("vec_id", "embedding").collect()}, id_col="vec_id", limit=limit)
-
-
-def q84_vector_topk_of_all(spark: SparkSession, d: str) -> DataFrame:
-    """As q03, over all labels."""
-    return _every_vector(spark, d, 30, "vec_id = 0").select(F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
-
-
-def q85_vector_topk_of_all_queries(spark: SparkSession, d: str) -> DataFrame:
-    """As q04, asked with every vector whose id is divisible by 100."""
-    return _every_vector(spark, d, 10).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
-
-
-def _every_source(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents")
-    scope = [r["source"] for r in rows.select("source").where("source is not null").distinct().collect()]
-    return retrieval.in_scope(rows, scope, "source")
-
-
-def _every_doc(spark: SparkSession, d: str) -> DataFrame:
-    return _every_source(spark, d).select(F.col("doc_id").alias("id"), "text")
-
-
-def q86_lexical_match_of_all(spark: SparkSession, d: str) -> DataFrame:
-    """As q01, and so on up to q92 as q08, with all sources as the scope."""
-    return retrieval.lexical_hits(_every_doc(spark, d), _query(spark)).select(F.col("id").alias("doc_id"), F.col("n_lexemes").alias("n_terms"))
-
-
-def q87_lexical_rank_of_all(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.lexical_hits(_every_doc(spark, d), _query(spark))
-    return retrieval.top(hits, F.desc("rank"), retrieval.CANDIDATES, "nth").select(F.col("id").alias("doc_id"), "rank", "nth")
-
-
-def _fused_of_all(spark: SparkSession, d: str, *exact: DataFrame, **least: None) -> DataFrame:
-    lexical = retrieval.lexical_search(_every_doc(spark, d), _query(spark), limit=retrieval.CANDIDATES)
-    return retrieval.fused(lexical, _every_vector(spark, d, 30, "vec_id = 0"), *exact, **least)
-
-
-def q88_rrf_fusion_of_all(spark: SparkSession, d: str) -> DataFrame:
-    return _fused_of_all(spark, d, min_similarity=None).select(F.col("id").alias("doc_id"), "lexical_rank", "vector_rank", "score")
-
-
-def q89_similarity_guard_of_all(spark: SparkSession, d: str) -> DataFrame:
-    return _fused_of_all(spark, d).select(F.col("id").alias("doc_id"), "lexical_rank", "vector_rank", "score")
-
-
-def _final_of_all(spark: SparkSession, d: str) -> DataFrame:
-    exact = _every_source(spark, d).where("doc_id % 97 = 3").select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("id"))
-    return retrieval.ranked(_fused_of_all(spark, d, exact))
-
-
-def q91_exact_first_of_all(spark: SparkSession, d: str) -> DataFrame:
-    return _final_of_all(spark, d).select(F.col("id").alias("doc_id"), "is_exact", "score", "final_rank")
-
-
-def q92_hydrated_of_all(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("labelled"), "quality")
-    rows = retrieval.hydrated(_final_of_all(spark, d), (docs, "id", "doc_id")).join(labels, F.col("doc_id") == F.col("labelled"), "left")
-    return rows.select("final_rank", "doc_id", "lang", "source", "n_chars", "quality", "score")
-
-
 def q50_query_forms(spark: SparkSession, d: str) -> DataFrame:
     """Squeezed, folded and counted texts of conversations."""
     rows = table(spark, d, "conversations")
@@ -275,7 +207,7 @@ _CONTENT = "array_to_string(list_filter([trim(source), trim(lang), trim(' '), tr
 SQL = {
     "q01_lexical_match": f"select id as doc_id, count(distinct tok) as n_terms from ({_TOKENS}) where tok in ({_IN(TERMS)}) group by id having count(distinct tok) >= 2",
     "q02_lexical_rank_topk": f"with {_RANKED} select id as doc_id, rank, lexical_rank as nth from lexical",
-    "q03_vector_topk": f"select e.vec_id, round({_SIM}, 9) as similarity, row_number() over (order by round({_SIM}, 12) desc, e.vec_id) as vector_rank from embeddings e, (select embedding from embeddings where vec_id = 0) q where e.label < 5 qualify vector_rank <= 30",
+    "q03_vector_topk": f"select e.vec_id, round({_SIM}, 9) as similarity, row_number() over (order by round({_SIM}, 12) desc, e.vec_id) as vector_rank from embeddings e, (select embedding from embeddings where vec_id = 0) q qualify vector_rank <= 30",
     "q04_vector_topk_per_query": PER_QUERY_SQL,
     "q05_rrf_fusion": f"with {_RANKED}, {_VECTOR}, {_FUSED} select id as doc_id, lexical_rank, vector_rank, score from fused",
     "q06_similarity_guard": f"with {_RANKED}, {_VECTOR}, {_FUSED} select id as doc_id, lexical_rank, vector_rank, score from fused where lexical_rank is not null or coalesce(similarity, 0) >= 0.35",
@@ -298,7 +230,7 @@ SQL = {
         select e.question, e.label, coalesce(bool_or(l.label = e.label or starts_with(l.label, e.label || ' ')), false) as is_found from e left join l on e.question = l.question group by 1, 2""",
     "q49_multi_query_lexical": f"""with tok as ({tokens_sql()}),
         q as (select item_id as query_id, unnest(list_distinct(toks)) as tok, len(list_distinct(toks)) as n from (
-          select item_id, {lexemes_sql("substring(text, 1, 60)")} as toks from benchmark)),
+          select item_id, {lexemes_sql("text")} as toks from benchmark)),
         hits as (select query_id, id, n, t.tok, pos, lag(t.tok) over w as before, pos - lag(pos) over w as gap from tok t join q on t.tok = q.tok window w as (partition by query_id, id order by pos)),
         scored as (select query_id, id, n, count(distinct tok) as n_lexemes, round(sum(case when n = 1 then 0.1e0 when before <> tok then 0.1e0 / gap else 0e0 end), 6) as rank from hits group by 1, 2, 3),
         best as (select *, row_number() over (partition by query_id order by rank desc, id) as nth from scored where n_lexemes >= least(2, n) qualify nth <= 10)
@@ -307,15 +239,3 @@ SQL = {
         len({lexemes_sql("text")}) as n_tokens,
         length(trim(text)) between 3 and 2000 as is_valid from conversations""",
 }
-SQL["q80_lexical_of_whole_items"] = SQL["q49_multi_query_lexical"].replace("substring(text, 1, 60)", "text")
-_OF_ALL = lambda sql: sql.replace(f"source in ({_IN(SOURCES)})", "source is not null").replace(" where e.label < 5", "").replace("vec_id < 5", "vec_id % 100 = 0")
-SQL |= {
-    "q84_vector_topk_of_all": _OF_ALL(SQL["q03_vector_topk"]),
-    "q85_vector_topk_of_all_queries": _OF_ALL(PER_QUERY_SQL),
-    "q86_lexical_match_of_all": _OF_ALL(SQL["q01_lexical_match"]),
-    "q87_lexical_rank_of_all": _OF_ALL(SQL["q02_lexical_rank_topk"]),
-    "q88_rrf_fusion_of_all": _OF_ALL(SQL["q05_rrf_fusion"]),
-    "q89_similarity_guard_of_all": _OF_ALL(SQL["q06_similarity_guard"]),
-    "q91_exact_first_of_all": _OF_ALL(SQL["q07_exact_first_order"]),
-    "q92_hydrated_of_all": _OF_ALL(SQL["q08_hybrid_hydrated"]),
-}

@@ -46,9 +46,12 @@ class Element:
         return [x for x in self.inner if isinstance(x, Element) and (tag is None or x.tag in tag.split()) and (cls is None or cls in x.classes)]
 
     def every(self) -> Iterator[Element]:
-        for x in self.elements():
+        """All elements inside, in reading order; with a stack of its own, as pages can be nested very deep."""
+        todo = self.elements()[::-1]
+        while todo:
+            x = todo.pop()
             yield x
-            yield from x.every()
+            todo += x.elements()[::-1]
 
     def text(self) -> str:
         """Without notes; white space runs are one space."""

@@ -63,15 +63,6 @@ def test_hybrid_search_without_vectors(spark):
     assert {r.id for r in rows} == {1, 2} and not rows[0].vector_skipped
 
 
-def test_packed_sources_reserve_targets(spark):
-    hits = spark.createDataFrame(
-        [(1, 10, 1, "most_likely", 0.9, False), (1, 11, 2, "most_likely", 0.1, False), (1, 12, 1, "most_likely", 0.8, False), (1, 13, 2, "possible", 0.95, False)],
-        "request int, id long, target int, likelihood string, score double, is_exact boolean",
-    )
-    sizes = spark.createDataFrame([(i, 10) for i in (10, 11, 12, 13)], "id long, n_chars int")
-    assert [r.id for r in pipeline.packed_sources(hits, sizes).orderBy("source_no").collect()] == [10, 11, 12, 13]
-
-
 def test_display_version(spark):
     schema = "act int, id string, kind string, backed boolean, structured boolean, official boolean, state_date date"
     rows = spark.createDataFrame([(1, "p", "promulgated", False, True, True, None), (1, "c", "consolidated", True, False, True, None), (1, "u", "unified", False, True, True, None), (2, "x", "unknown", False, False, False, None)], schema)

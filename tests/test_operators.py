@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provisio.functions import citation, text
-from provisio.operators import activity, answer, answer_cache, currentlaw, evaluation, hierarchy, indexing, merge, retrieval
+from provisio.operators import activity, answer, answer_cache, answering, currentlaw, evaluation, hierarchy, indexing, ingest, merge, retrieval
 from provisio.sources import html_units, metadata, pdf_lines
 
 
@@ -70,7 +70,7 @@ def test_citation_match_and_cycles(spark):
     assert match(article="1", paragraph="1", point="3") == {"p1"}
     assert match(article="2", point="3") == set()  # no step back to a shallower unit
     assert match() == set()
-    assert hierarchy.ancestors(nodes, nodes.where("id = 'loop'")).count() == hierarchy.MAX_DEPTH
+    assert hierarchy.ancestors(nodes, nodes.where("id = 'loop'")).count() == 1  # a walk ends where it meets a node again
     assert {r.id for r in hierarchy.with_roots(nodes).where("is_root").collect()} == {"d"}
 
 
@@ -124,12 +124,145 @@ def test_packing_budgets(spark):
 
 
 def test_verification_gates(spark):
-    conclusions = spark.createDataFrame([(i, ["S1", "S2"], 1) for i in range(6)], "conclusion int, claimed array<string>, target int")
-    verdicts = spark.createDataFrame([(0, "direct_support"), (1, "partial_support"), (2, "direct_support"), (3, "direct_support"), (4, "direct_support")], "conclusion int, verdict string")
-    quotes = spark.createDataFrame([(0, "S1", "verbatim"), (1, "S1", "verbatim"), (2, "S1", "not_found"), (3, "S9", "verbatim"), (4, "S2", "verbatim")], "conclusion int, source_id string, status string")
-    skeptic = spark.createDataFrame([(0, False), (4, True)], "conclusion int, leap boolean")
-    out = {r.conclusion: (r.outcome, r.support) for r in answer.verified(conclusions, verdicts, quotes, skeptic).collect()}
-    assert out == {0: ("verified", ["S1"]), 1: ("demoted", []), 2: ("demoted", []), 3: ("error", []), 4: ("demoted", []), 5: ("error", [])}
+    """Requests: 1 passes and demotes by conclusion; 2 to 4 fail whole; 5 and 6 had an invalid response."""
+    ids = {1: range(4), 2: (10, 11), 3: (20, 21), 4: (30, 31), 5: (40, 41), 6: (50, 51)}
+    conclusions = spark.createDataFrame([(r, i, ["S1", "S2"], 1) for r, its in ids.items() for i in its], "request int, conclusion int, claimed array<string>, target int")
+    verdicts = spark.createDataFrame([(i, "partial_support" if i in (1, 51) else "direct_support") for r, its in ids.items() for i in its if i not in (11, 40, 41)], "conclusion int, verdict string")
+    quotes = spark.createDataFrame([(i, "S9" if i == 21 else "S1", "not_found" if i == 2 else "verbatim") for its in ids.values() for i in its], "conclusion int, source_id string, status string")
+    skeptic = spark.createDataFrame([(i, i == 3) for its in ids.values() for i in its if i not in (31, 50, 51)], "conclusion int, leap boolean")
+    batches = spark.createDataFrame([(5, False, True), (6, True, False)], "request int, verifier_valid boolean, skeptic_valid boolean")
+    out = {r.conclusion: (r.outcome, r.support) for r in answering.gated(conclusions, verdicts, quotes, skeptic, batches).collect()}
+    failed, demoted = ("error", []), ("demoted", [])
+    assert out == {0: ("verified", ["S1"]), 1: demoted, 2: demoted, 3: demoted, **dict.fromkeys((10, 11, 20, 21, 30, 31), failed), **dict.fromkeys((40, 41, 50, 51), demoted)}
+
+
+def test_recovery_only_adds(spark):
+    first = spark.createDataFrame([(1, 1, 0, "verified", ["S1"]), (1, 2, 1, "demoted", []), (2, 3, 0, "demoted", []), (3, 4, None, "verified", ["S1"])], "request int, conclusion int, target int, outcome string, support array<string>")
+    targets = spark.createDataFrame([(r, t, f"t{t}") for r in (1, 2, 3, 4) for t in (0, 1)], "request int, target int, text string")
+    assert {r.request: r.mode for r in answering.recovery_modes(targets, first).collect()} == {1: "partial", 2: "full", 3: "none", 4: "full"}
+    assert {tuple(r) for r in answering.open_targets(targets, first).collect()} == {(1, 1), (2, 0), (2, 1), (4, 0), (4, 1)}
+    drafts = [(1, 10, 1), (1, 11, None), (2, 12, 0), (2, 13, 1), (3, 14, 0), (4, 15, 1)]
+    own = [(c, "not_found" if c == 13 else "verbatim") for _, c, _ in drafts]
+    run = lambda rows: answering.recovered(
+        first, targets, spark.createDataFrame([(r, c, ["S1"], t) for r, c, t in rows], "request int, conclusion int, claimed array<string>, target int"),
+        spark.createDataFrame(own, "conclusion int, status string"), spark.createDataFrame([(c, "direct_support") for _, c, _ in rows], "conclusion int, verdict string"),
+        spark.createDataFrame([(c, "S1", "verbatim") for _, c, _ in rows], "conclusion int, source_id string, status string"), spark.createDataFrame([(c, False) for _, c, _ in rows], "conclusion int, leap boolean"),
+        spark.createDataFrame([], "request int, verifier_valid boolean, skeptic_valid boolean"),
+    )
+    out = {r.conclusion: (r.phase, r.outcome) for r in run(drafts).collect()}
+    assert out == {1: ("first", "verified"), 2: ("first", "demoted"), 3: ("first", "demoted"), 4: ("first", "verified"), **dict.fromkeys((10, 11, 12, 15), ("recovery", "verified"))}
+    # a draft about a target that is done spoils its request's pass
+    assert {r.conclusion for r in run([*drafts, (1, 16, 0)]).where("phase = 'recovery'").collect()} == {12, 15}
+
+
+def test_packing_for_targets(spark):
+    """Two targets whose best candidate is the same: the second one gets its next best."""
+    hits = spark.createDataFrame(
+        [(1, 10, 1, 1, 1, "most_likely", 0.9, False), (1, 10, 1, 2, 2, "most_likely", 0.9, False), (1, 11, 1, 3, 2, "most_likely", 0.1, False), (1, 12, 1, 4, 3, "possible", 0.95, False), (1, 13, 1, 5, 1, "possible", 0.01, True), (2, 14, 1, 6, 1, "most_likely", 0.2, False), (2, 15, 1, 7, 1, "most_likely", 0.2, False)],
+        "request int, id long, issue_no int, query_no int, target int, likelihood string, score double, is_exact boolean",
+    )
+    sources = spark.createDataFrame([(i, "art. 2" if i == 14 else "art. 1", 9000 if i == 11 else 2000) for i in range(10, 16)], "id long, label string, n_chars int")
+    pack = lambda **k: [(r.request, r.id, r.reserved_for) for r in answering.packed_for_targets(hits, sources, **k).orderBy("request", "source_no").collect()]
+    assert pack() == [(1, 10, 1), (1, 11, 2), (2, 15, 1), (2, 14, None)]
+    assert pack(most_chars=20_000) == [(1, 10, 1), (1, 11, 2), (1, 13, None), (1, 12, None), (2, 15, 1), (2, 14, None)]
+    assert pack(most_chars=8_000) == [(1, 10, 1), (1, 13, None), (1, 12, None), (2, 15, 1), (2, 14, None)]
+    assert pack(most_sources=1) == [(1, 10, 1), (2, 15, 1)]
+
+
+def test_answer_texts(spark):
+    done = spark.createDataFrame([(1, None, 1, "last", ["b"]), (1, 2, 2, "second", []), (1, 1, 9, "first", ["a", "b"])], "request int, target int, position int, statement string, labels array<string>")
+    targets = spark.createDataFrame([(1, 1, "one", True), (1, 3, "three", False)], "request int, target int, text string, is_covered boolean")
+    paths = spark.createDataFrame([(1, 1, "p", "why", ["c"]), (1, 2, "q", "", [])], "request int, position int, label string, explanation string, labels array<string>")
+    doubts = spark.createDataFrame([(1, 1, "d")], "request int, position int, text string")
+    asked = spark.createDataFrame([(1, "which?")], "request int, question string")
+    text = answering.answer_texts(done, targets, paths, doubts, asked).first().answer
+    assert text.split("\n\n") == [answering.INTRO, "first (a, b)", "second", "last (b)", f"{answering.UNSUPPORTED}\n- three", f"{answering.OTHER_PATHS}\n- p: why (c)", f"{answering.UNCERTAINTIES}\n- d", f"{answering.CLARIFICATION}which?"]
+
+
+def test_walks_end_at_cycles_and_refuse_deep_trees(spark):
+    nodes = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", None), ("s", "s")], "id string, parent_id string")
+    found = {}
+    for r in hierarchy.ancestors(nodes, nodes).collect():
+        found.setdefault(r.leaf, []).append((r.depth, r.id))
+    assert {k: [x for _, x in sorted(v)] for k, v in found.items()} == {"a": ["b"], "b": ["a"], "c": ["b", "a"]}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(6)], "id long, parent_id long")
+    assert hierarchy.ancestors(chain, chain.where("id = 5"), depth=5).count() == 5
+    with pytest.raises(Exception, match="deeper than 4 levels"):
+        hierarchy.ancestors(chain, chain.where("id = 5"), depth=4).collect()
+
+
+def test_vectors_that_are_not_finite_have_no_rank(spark):
+    inf, nan = float("inf"), float("nan")
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [inf, 1.0]), (3, [nan, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [0.0, 1.0]), (7, [1.0])], "id long, embedding array<double>")
+    rows = retrieval.vector_search(docs, {1: [1.0, 1.0], 2: [0.0, 0.0], 3: [inf, 1.0], 4: None})
+    assert [(r.query_id, r.id, r.vector_rank) for r in rows.orderBy("query_id", "vector_rank").collect()] == [(1, 1, 1), (1, 6, 2)]
+
+
+def test_lexical_hits_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["a", "b", "c", "d", "e", "zz"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(60)] + [(99, None)]
+    asked = [(1, "a"), (2, "a b"), (3, "c, d E zz"), (4, "none"), (5, ""), (6, "b b b")]
+    hits = {(r.query_id, r.id): (r.n_lexemes, r.rank) for r in retrieval.lexical_hits(spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, query string")).collect()}
+    want = {}
+    for q, query in asked:
+        own = set(query.lower().replace(",", " ").split())
+        for i, t in docs:
+            at = [(k, w) for k, w in enumerate((t or "").split()) if w in own]
+            if own and len({w for _, w in at}) >= min(2, len(own)):
+                rank = 0.1 * len(at) if len(own) == 1 else sum(0.1 / (b - a) for (a, x), (b, y) in zip(at, at[1:], strict=False) if x != y)
+                want[q, i] = (len({w for _, w in at}), round(rank, 6))
+    assert hits.keys() == want.keys() and all(hits[k] == pytest.approx(want[k]) for k in want)
+    best = retrieval.lexical_search(spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, query string"), limit=3)
+    top = {}
+    for (q, i), (_, rank) in sorted(want.items(), key=lambda x: (x[0][0], -x[1][1], x[0][1])):
+        top.setdefault(q, []).append(i)
+    assert {(r.query_id, r.id, r.lexical_rank) for r in best.collect()} == {(q, i, k + 1) for q, its in top.items() for k, i in enumerate(its[:3])}
+
+
+def test_deep_pages_are_read(spark):
+    page = "<div>" * 3000 + "<p>x" + "</div>" * 3000
+    assert html_units.element_counts(spark.createDataFrame([(1, page)], "page_id int, html string"), ["div", "p"]).first()[1:] == (3000, 1)
+
+
+def test_snapshots_are_closed(spark):
+    good = '{"status":"answered","answer":"a","conclusions":[],"alternativePaths":[],"uncertainties":[],"citedSources":[{"citationLabel":"art. 1"}],"clarificationQuestion":null}'
+    bad = [good.replace('"answered"', '"other"'), good.replace('"answer":"a",', ""), good.replace('"uncertainties":[],', ""), good.replace('{"citationLabel":"art. 1"}', "{}"), "x", None]
+    rows = spark.createDataFrame(list(enumerate([good, *bad])), "id int, result_snapshot string")
+    assert [(r.id, r.status, r.n_sources, r.preview) for r in activity.list_rows(rows).collect()] == [(0, "answered", 1, "a")]
+    assert [r.id for r in activity.recorded(rows.limit(0), rows).collect()] == [0]
+
+
+def test_prepared_corpus(spark):
+    """Acts that are only just inserted resolve the relations of the same run; a consolidated text becomes a revision once."""
+    meta = spark.createDataFrame([("DU", 2000, 1, "base", "IN_FORCE"), ("DU", 2001, 2, "announcement", None)], "publisher string, year int, pos int, title string, inForce string")
+    for c, kind in (("type", "string"), ("status", "string"), ("ELI", "string"), ("announcementDate", "string"), ("promulgation", "string"), ("entryIntoForce", "string"), ("validFrom", "string"), ("expirationDate", "string")):
+        meta = meta.withColumn(c, F.lit(None).cast(kind))
+    graph = [("DU/2000/1", '{"Inf. o tekście jednolitym": [{"act": {"publisher": "DU", "year": 2001, "pos": 2}}]}'), ("DU/2001/2", '{"Tekst jednolity dla aktu": [{"act": {"publisher": "DU", "year": 2000, "pos": 1}}]}')]
+    references = spark.createDataFrame(graph, "legal_act_id string, json string")
+    old_acts = spark.createDataFrame([("7", "DU/2000/1", "old title"), ("8", "DU/1999/9", "kept")], "id string, source_id string, title string")
+    old_relations = spark.createDataFrame([], "legal_act_id string, relation_type string, related_source_id string, source_relation_type string, related_legal_act_id string, is_active boolean, discovered_at timestamp, refreshed_at timestamp")
+    fields = "base string, announcement string, structural_path string, provision_type string, citation_label string, heading string, text string, article string, paragraph string, point string, letter string"
+    parsed = spark.createDataFrame([("DU/2000/1", "DU/2001/2", f"p/{k}", "article", "art. 1", None, f"t{k}", "1", None, None, None) for k in range(3)] + [("DU/2000/1", "DU/1999/9", "p", "article", "x", None, "t", None, None, None, None)], fields)
+    versions = spark.createDataFrame([], "legal_act_id string, source_announcement_legal_act_id string, content_hash string, id string")
+    run = lambda v: ingest.prepared(meta, references, old_acts, old_relations, parsed, v, parsed, F.current_timestamp(), ["title"])
+    out = run(versions)
+    assert {r.source_id: r.action for r in out["acts"].collect()} == {"DU/2000/1": "updated", "DU/2001/2": "inserted", "DU/1999/9": "unchanged"}
+    assert {r.related_source_id: r.related_legal_act_id for r in out["relations"].collect()} == {"DU/2001/2": "DU/2001/2", "DU/2000/1": "7"}
+    assert {r.announcement: r.outcome for r in out["report"].collect()} == {"DU/2001/2": "inserted", "DU/1999/9": "not_mutual"}
+    assert out["provisions"].count() == 3
+    again = run(out["versions"].select(*versions.columns))
+    assert {r.announcement: r.outcome for r in again["report"].collect()} == {"DU/2001/2": "reused", "DU/1999/9": "not_mutual"}
+    assert again["provisions"].count() == again["versions"].count() == 0
+
+
+def test_only_today(spark):
+    row = lambda d: spark.range(1).select(currentlaw.only_today(F.lit(d).cast("date"), F.expr("timestamp '2024-05-06 07:08:09'")).alias("d"))
+    assert str(row("2024-05-06").first().d) == "2024-05-06"
+    with pytest.raises(Exception, match="only be made for today"):
+        row("2024-05-07").collect()
 
 
 def test_saved_admission(spark):

@@ -4,11 +4,19 @@ A batch's new chunks are concatenated and indexed by a suffix array; each piece
 by binary search, and its range gives all places where it occurs.  These edges (start, end, piece)
 are sorted by position and relaxed.
 
-The supported files are BPE models with byte fallback and identity normalisation.  Their result is
-not the path with the best sum of scores, so relaxing follows the merges: in each round the best
-edge that spans two neighbouring symbols of a chunk joins them, the leftmost of equals, until
-none is left.  Chunks (a word with the spaces before it) never join, as no piece has a space
-after another character; so equal chunks are encoded once and remembered.
+What a file asks for is read from it; its normaliser is the library's, as a table of characters.
+
+* Unigram files: texts are indexed whole.  Edges are relaxed from left to right: a path's score is
+  the sum of its pieces' scores, in single precision as the library adds them, and the first best
+  path to each place stays.  A character that no piece covers alone is an unknown edge.
+* BPE files: their result is not the path with the best sum of scores, so relaxing follows the
+  merges: in each round the best edge that spans two neighbouring symbols of a chunk joins them,
+  the leftmost of equals, until none is left.  Chunks (a word with the spaces before it) never join,
+  as no piece has a space after another character; so a batch's text is indexed as its distinct
+  chunks, and equal chunks are encoded once and remembered.
+
+Refused, with an error: other kinds of model, user-defined or unused pieces, white space as a
+suffix or not escaped, a denormaliser, and BPE files with a space inside a piece.
 """
 
 from __future__ import annotations
@@ -79,32 +87,57 @@ class Codec:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(model.get_piece_size())
-        self.pieces = [model.id_to_piece(i) for i in ids]
-        special = {i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.byte_id = {int(self.pieces[i][1:-1], 16): i for i in ids if model.is_byte(i)}
-        self.hidden = special
-        normal = [i for i in ids if i not in special and not model.is_byte(i)]
-        if len(self.byte_id) != 256 or any(SPACE in p.lstrip(SPACE) for p in (self.pieces[i] for i in normal)):
-            raise ValueError("only BPE models with byte fallback, without spaces inside pieces, are supported")
-        # by merge rank; characters come last in such files and are found like all others
-        normal.sort(key=lambda i: (-model.get_score(i), i))
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        kind, norm, trained = sentencepiece_model_pb2.ModelProto.SentencePiece, proto.normalizer_spec, proto.trainer_spec
+        types = [p.type for p in proto.pieces]
+        self.pieces = [p.piece for p in proto.pieces]
+        ids = range(len(self.pieces))
+        self.unigram = trained.model_type == sentencepiece_model_pb2.TrainerSpec.UNIGRAM
+        if not self.unigram and trained.model_type != sentencepiece_model_pb2.TrainerSpec.BPE:
+            raise ValueError("only Unigram and BPE models are supported")
+        if {kind.USER_DEFINED, kind.UNUSED} & set(types):
+            raise ValueError("user-defined and unused pieces are not supported")
+        if trained.treat_whitespace_as_suffix or not norm.escape_whitespaces or proto.denormalizer_spec.precompiled_charsmap:
+            raise ValueError("white space as a suffix or not escaped, and denormalisers, are not supported")
+        self.unknown = next((i for i in ids if types[i] == kind.UNKNOWN), None)
+        self.byte_id = {int(self.pieces[i][1:-1], 16): i for i in ids if types[i] == kind.BYTE}
+        if self.byte_id and len(self.byte_id) != 256:
+            raise ValueError("some bytes have no piece")
+        self.prefix = norm.add_dummy_prefix or norm.remove_extra_whitespaces
+        plain = norm.add_dummy_prefix and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+        self.normalised = (lambda t: SPACE + t.replace(" ", SPACE) if t else "") if plain else model.normalize
+        normal = [i for i in ids if types[i] == kind.NORMAL]
+        scores = {i: proto.pieces[i].score for i in normal}
+        if not self.unigram:
+            if any(SPACE in self.pieces[i].lstrip(SPACE) for i in normal):
+                raise ValueError("BPE models with a space inside a piece are not supported")
+            # by merge rank; characters come last in such files and are found like all others
+            normal.sort(key=lambda i: (-scores[i], i))
         self.ids, self.texts = np.array(normal, np.int64), [self.pieces[i].encode() for i in normal]
+        self.scores = np.array([scores[i] for i in normal], np.float32)
+        # merges of equal scores have one rank, and the leftmost goes first
+        self.rank = np.append(np.unique(-self.scores, return_inverse=True)[1], len(normal))
         self.search = Pieces(self.texts)
-        self.byte_ids = np.array([self.byte_id[b] for b in range(256)], "<u4")
+        self.byte_ids = np.array([self.byte_id[b] for b in range(256)], "<u4") if self.byte_id else None
         # what each id decodes to
-        self.plain = [b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.hidden = {i for i in ids if types[i] == kind.CONTROL}
+        self.plain = [b"" if i in self.hidden else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        if self.unknown is not None:
+            self.plain[self.unknown] = trained.unk_surface.encode()
         for byte, i in self.byte_id.items():
             self.plain[i] = bytes([byte])
         self.seen: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE)) if text else []
+        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", self.normalised(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
+        if self.unigram:
+            return self._encode_paths([self.normalised(t) for t in texts])
         parts = [self.chunks(t) for t in texts]
         if len(self.seen) > MOST_CHUNKS:
             self.seen = {}
@@ -117,12 +150,88 @@ class Codec:
                 j += 1
             self.seen |= self._encode_chunks(new[i:j])
             i = j
-        return [b"".join(map(self.seen.__getitem__, p)) for p in parts]
+        out = [b"".join(map(self.seen.__getitem__, p)) for p in parts]
+        return out if self.byte_id else [self._one_unknown(x) for x in out]
+
+    def _one_unknown(self, ids: bytes) -> bytes:
+        """Neighbouring unknown ids are one."""
+        x = np.frombuffer(ids, "<u4")
+        again = np.zeros(len(x), bool)
+        again[1:] = (x[1:] == self.unknown) & (x[:-1] == self.unknown)
+        return x[~again].tobytes()
+
+    def _encode_paths(self, texts: list[str]) -> list[bytes]:
+        """Best paths of normalised texts, some at a time."""
+        out, i = [], 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < INDEX_BYTES):
+                size += len(texts[j]) + 4
+                j += 1
+            out += self._best_paths(texts[i:j])
+            i = j
+        return out
+
+    def _best_paths(self, texts: list[str]) -> list[bytes]:
+        held = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\0".join(held)
+        size = np.array([len(h) for h in held])
+        begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+        if not size.sum():
+            return [b""] * len(texts)
+        edge, piece = SuffixArray(data).edges(self.search)
+        raw = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(data) + 1, bool)
+        inside[np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] = True
+        char = np.flatnonzero(inside[:-1] & ((raw & 0xC0) != 0x80))
+        # a character's end is the next one's start, or the text's end
+        stop = np.append(char[1:], 0)
+        last = np.searchsorted(char, begin + size) - 1
+        last = last[size > 0]
+        stop[last] = (begin + size)[size > 0]
+        key = char << 32 | stop
+        at = np.searchsorted(edge, key)
+        at[at == len(edge)] = 0
+        alone = char[edge[at] != key] if len(edge) else char
+        unknown = (alone << 32 | stop[np.searchsorted(char, alone)])
+        # unknown edges are sorted in, with no piece
+        order = np.argsort(np.concatenate((edge, unknown)), kind="stable")
+        edge, piece = np.concatenate((edge, unknown))[order], np.concatenate((piece, np.full(len(unknown), -1)))[order]
+        start, end = edge >> 32, edge & 0xFFFFFFFF
+        least = np.float32(self.scores.min() - np.float32(10)) if len(self.scores) else np.float32(-10)
+        score = np.where(piece >= 0, self.scores[piece], least).astype(np.float32)
+        best, back = np.full(len(data) + 1, -np.inf, np.float32), np.full(len(data) + 1, -1)
+        best[begin] = 0
+        # relaxed by their starts' distances from the texts' starts, all texts at once
+        away = start - begin[np.searchsorted(begin, start, "right") - 1]
+        order = np.argsort(away, kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(away[order]) != 0))
+        for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            e = order[a:b]
+            told = best[start[e]] + score[e]
+            better = told > best[end[e]]
+            best[end[e[better]]] = told[better]
+            back[end[e[better]]] = e[better]
+        out = []
+        for t in range(len(texts)):
+            path, place = [], int(begin[t] + size[t])
+            while place > begin[t]:
+                e = int(back[place])
+                path.append(e)
+                place = int(start[e])
+            path = np.array(path[::-1], np.int64)
+            own = piece[path] if len(path) else np.zeros(0, np.int64)
+            if self.byte_ids is None:
+                found = np.where(own >= 0, self.ids[own], self.unknown if self.unknown is not None else 0).astype("<u4") if len(own) else np.zeros(0, "<u4")
+                out.append(self._one_unknown(found.tobytes()))
+            else:
+                out.append(b"".join(self.byte_ids[raw[start[e] : end[e]]].tobytes() if p < 0 else self.ids[p].astype("<u4").tobytes() for e, p in zip(path, own, strict=True)))
+        return out
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         held = [c.encode("utf-8", "surrogatepass") for c in chunks]
         data = b"\0".join(held)
-        edge, rank = SuffixArray(data).edges(self.search)
+        edge, piece = SuffixArray(data).edges(self.search)
         # symbols: characters at first; ``stop`` is a chunk's end
         size = np.array([len(h) for h in held])
         begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
@@ -137,11 +246,14 @@ class Codec:
         stop[last] = (begin + size)[chunk[last]]
         no = len(self.texts)
 
-        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        def piece_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             key = a << 32 | b
             i = np.searchsorted(edge, key)
             i[i == len(edge)] = 0
-            return np.where(edge[i] == key, rank[i], no) if len(edge) else np.full(len(key), no)
+            return np.where(edge[i] == key, piece[i], no) if len(edge) else np.full(len(key), no)
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return self.rank[piece_of(a, b)]
 
         done = [(start[:0], stop[:0], chunk[:0])]
         joined = np.append(rank_of(start[:-1], stop[1:]), no) if len(start) else np.zeros(0, int)
@@ -174,13 +286,15 @@ class Codec:
         start, stop, chunk = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.lexsort((start, chunk))
         start, stop, chunk = start[order], stop[order], chunk[order]
-        found = rank_of(start, stop)
-        # characters that are no pieces become their bytes
+        found = piece_of(start, stop)
+        # characters that are no pieces become their bytes, or unknown
         missing = found == no
-        n = np.where(missing, stop - start, 1)
+        n = np.where(missing & bool(self.byte_id), stop - start, 1)
         place = np.concatenate(([0], np.cumsum(n)))
         flat = np.repeat(self.ids[np.minimum(found, no - 1)].astype("<u4"), n)
-        if missing.any():
+        if missing.any() and not self.byte_id:
+            flat[missing] = self.unknown
+        elif missing.any():
             m = n[missing]
             inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             flat[np.repeat(place[:-1][missing], m) + inner] = self.byte_ids[raw[np.repeat(start[missing], m) + inner]]
@@ -197,7 +311,7 @@ class Codec:
             return self._decode_invalid(numbers)
         # the space that encoding put before the text; one that stands for a byte is the text's own
         first = next((i for i in numbers if self.plain[i]), None)
-        return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
+        return text[1:] if self.prefix and first is not None and self.pieces[first].startswith(SPACE) else text
 
     def _decode_invalid(self, numbers: list[int]) -> str:
         out: list[str] = []
@@ -215,9 +329,9 @@ class Codec:
             else:
                 flush()
                 if i not in self.hidden:
-                    piece = self.pieces[i].replace(SPACE, " ")
+                    piece = self.plain[i].decode()
                     # the space that encoding put before the text
-                    out.append(piece if out else piece.removeprefix(" "))
+                    out.append(piece.removeprefix(" ") if not out and self.prefix and i != self.unknown else piece)
         flush()
         return "".join(out)
 

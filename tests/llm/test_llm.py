@@ -107,6 +107,61 @@ def test_sentencepiece_equals_the_library(spark, docs, empty):
     assert [codec.decode(np.array(x, "<u4").tobytes()) for x in ids] == model.decode(ids)
 
 
+def _made_model(path, *, unigram: bool, bytes_too: bool, prefix: bool, normaliser: str | None, extra: str | None = None) -> str:
+    """A model file put together by hand: characters, and strings of a few of them with scores."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(7)
+    proto = pb.ModelProto()
+    piece = pb.ModelProto.SentencePiece
+    add = lambda text, score, kind: proto.pieces.add(piece=text, score=score, type=kind)
+    add("<unk>", 0, piece.UNKNOWN)
+    add("<s>", 0, piece.CONTROL)
+    if bytes_too:
+        for i in range(256):
+            add(f"<0x{i:02X}>", 0, piece.BYTE)
+    if extra:
+        add(extra, 0, piece.USER_DEFINED)
+    parts = ["the", "th", "he", "in", "ing", "er", "an", "and", "é", "on", "ti", "tion", "日", "ab"]
+    texts = sorted({x for _ in range(300) if len(x := "▁" * rng.randint(0, 1) + "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))) > 1} | {"▁▁", "日日"})
+    rng.shuffle(texts)
+    for i, t in enumerate(texts):
+        add(t, -rng.random() * 12 if unigram else -i, piece.NORMAL)
+    for i, c in enumerate("▁abcdehinorté日"):
+        add(c, -8 - rng.random() if unigram else -1000 - i, piece.NORMAL)
+    proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM if unigram else pb.TrainerSpec.BPE
+    proto.trainer_spec.byte_fallback = bytes_too
+    norm = proto.normalizer_spec
+    norm.name, norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces = normaliser or "identity", prefix, bool(normaliser), True
+    if normaliser:
+        rules = sentencepiece.SentencePieceNormalizer(rule_name=normaliser)
+        norm.precompiled_charsmap = pb.ModelProto.FromString(rules.serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("unigram", [True, False])
+@pytest.mark.parametrize(("bytes_too", "prefix", "normaliser"), [(True, True, None), (False, True, "nmt_nfkc"), (True, False, None), (False, True, None), (True, True, "nmt_nfkc")])
+def test_sentencepiece_files_equal_the_library(tmp_path, unigram, bytes_too, prefix, normaliser):
+    import sentencepiece
+
+    path = _made_model(tmp_path / "own.model", unigram=unigram, bytes_too=bytes_too, prefix=prefix, normaliser=normaliser)
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    rng = random.Random(3)
+    parts = ["the", "in", "ing", "tion", "and", " ", "  ", "é", "日", "xyz", "q", "ﬁ", "Ａ", "\n", "\t", "ab", "er", "<s>", "▁", "🦄"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", " ", "the " * 3000]
+    ids = model.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == ids
+    assert [codec.decode(np.array(x, "<u4").tobytes()) for x in ids] == model.decode(ids)
+
+
+def test_unsupported_sentencepiece_files_are_refused(tmp_path):
+    path = _made_model(tmp_path / "own.model", unigram=True, bytes_too=True, prefix=True, normaliser=None, extra="[MASK]")
+    with pytest.raises(ValueError, match="user-defined"):
+        sentencepiece_codec.Codec(path)
+
+
 # -- 2 -------------------------------------------------------------------------------------------
 
 

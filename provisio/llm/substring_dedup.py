@@ -72,26 +72,41 @@ def super_kmers(h: np.ndarray, first: np.ndarray, size: int, mer: int) -> tuple[
 
 
 class _Sent:
-    """Digests of the super-k-mers that a task has sent, with their first places."""
+    """Digests of 128 bits of the super-k-mers that a task has sent, with their first places.
+
+    They are held as sorted runs whose sizes at least double, so a new batch is looked up in few runs
+    and each digest is merged a logarithmic number of times.  One whose first half is taken by another
+    is sent again, which costs its bytes only.
+    """
 
     def __init__(self):
-        self.digest, self.doc, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.runs: list[tuple[np.ndarray, ...]] = []  # (digest, second, doc, start) by digest
 
-    def later(self, digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    def later(self, digest: np.ndarray, second: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Which of these start after an equal one that was sent, or is among them; the others count as sent."""
-        n = len(self.digest)
-        all_digest, all_doc, all_start = np.concatenate((self.digest, digest)), np.concatenate((self.doc, doc)), np.concatenate((self.start, start))
-        order = np.lexsort((all_start, all_doc, all_digest))
-        d = all_digest[order]
-        new = np.ones(len(d), bool)
-        new[1:] = d[1:] != d[:-1]
-        head = order[np.flatnonzero(new)]
-        mine = order[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-        first = np.empty(len(d), np.int64)
-        first[order] = mine
-        first = first[n:]
-        late = (all_doc[first] < doc) | ((all_doc[first] == doc) & (all_start[first] < start))
-        self.digest, self.doc, self.start = all_digest[head], all_doc[head], all_start[head]
+        order = np.lexsort((start, doc, second, digest))
+        new = np.ones(len(order), bool)
+        new[1:] = (digest[order][1:] != digest[order][:-1]) | (second[order][1:] != second[order][:-1])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        late = np.zeros(len(order), bool)
+        late[order] = (doc[head] < doc[order]) | ((doc[head] == doc[order]) & (start[head] < start[order]))
+        for run in self.runs:
+            at = np.searchsorted(run[0], digest)
+            at[at == len(run[0])] = 0
+            same = (run[0][at] == digest) & (run[1][at] == second)
+            late |= same & ((run[2][at] < doc) | ((run[2][at] == doc) & (run[3][at] < start)))
+        first = order[new]
+        first = first[~late[first]]
+        first = first[np.argsort(digest[first], kind="stable")]
+        if len(first):
+            self.runs.append(tuple(x[first] for x in (digest, second, doc, start)))
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            last, before = self.runs.pop(), self.runs.pop()
+            both = [np.concatenate(x) for x in zip(before, last, strict=True)]
+            order = np.lexsort((both[3], both[2], both[1], both[0]))
+            new = np.ones(len(order), bool)
+            new[1:] = (both[0][order][1:] != both[0][order][:-1]) | (both[1][order][1:] != both[1][order][:-1])
+            self.runs.append(tuple(x[order[new]] for x in both))
         return late
 
 
@@ -113,9 +128,11 @@ def _sent(docs: DataFrame, size: int, mer: int, buckets: int) -> DataFrame:
                 doc, text = part.column(0).to_numpy()[of], part.column(1).to_numpy()[of]
                 inner, words = a - first[of], z - a + size
                 power, inverse = _powers(1 << max(16, int(len(h)).bit_length()))
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h) * power[: len(h)])))
-                digest = mix((total[z + size] - total[a]) * inverse[a] + words.astype(np.uint64))
-                late = sent.later(digest, doc, inner)
+                digests = []
+                for salt in (0, 0x632BE59BD9B4E019):
+                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(salt)) * power[: len(h)])))
+                    digests.append(mix((total[z + size] - total[a]) * inverse[a] + words.astype(np.uint64)))
+                late = sent.later(*digests, doc, inner)
                 rows = [(decided_to, True, _pack({"doc": doc[late], "text": text[late], "start": inner[late], "words": words[late], "bytes": words[late]}, b""))] if late.any() else []
                 keep = np.flatnonzero(~late)
                 bucket = (best[keep] % np.uint64(buckets)).astype(np.int64)

@@ -102,28 +102,9 @@ def linked_block(x: np.ndarray, lists: list[np.ndarray], here: int, left: np.nda
     return found
 
 
-def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
-    """One row per input row: id, n_links (other vectors linked directly), component_id, kept (id = component_id).
-
-    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, nor do
-    vectors of another length than most (the smallest such length); a null id links with nothing and
-    has a null component.  Equal vectors link with each other and are compared once; rows are
-    returned as often as they come.  An empty table gives an empty one; other columns, whatever
-    their names, are not read.
-    """
-    spark = vectors.sparkSession
-    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # these travel as they are
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = F.col("id").isNotNull() & F.coalesce(
-        F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
-    )
-    size = rows.where(fine).groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = size["dim"] if size else 0
-    rows = rows.withColumn("v", F.when(fine & (F.size("v") == dim), F.col("v")))
-    key = F.xxhash64("v"), F.sha2(F.to_json("v"), 256)
-    rows = rows.withColumns({"h1": F.when(F.col("v").isNotNull(), key[0]), "h2": F.when(F.col("v").isNotNull(), key[1])})
-    classes = storage.written(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("times"), F.first("v").alias("v")), "vector-classes")
-    filters = spark.sparkContext.broadcast(Filters(classes.count(), dim, cosine)) if dim else None
+def _block_links(classes: DataFrame, dim: int, n: int, cosine: float, single: bool) -> DataFrame:
+    """(class, n, root): links of ``n`` classes of vectors of one length, counted by block; ``root``: the smallest class that links reach inside it."""
+    filters = classes.sparkSession.sparkContext.broadcast(Filters(n, dim, cosine))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,43 +124,69 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
                     names=["filter", "class", "times", "v", "lists"],
                 )
 
-    if not dim:
+    held = storage.written(classes.select("class", "times", "v").repartition(F.col("class")).mapInArrow(decode, "filter long, class long, times long, v binary, lists binary"), "filter-lists")
+    many = held.groupBy("filter").agg(F.count("*").alias("m")).where("m > 1")
+    parts = F.ceil(F.col("m") / BLOCK_ROWS)
+    spread = held.join(many, "filter").withColumns({"k": F.pmod(F.xxhash64("class"), parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
+    spread = spread.select("filter", F.least("k", "other").alias("low"), F.greatest("k", "other").alias("high"), (F.col("k") > F.col("other")).alias("right"), "class", "times", "v", "lists")
+
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("class")
+        x = unit(np.frombuffer(b"".join(frame["v"]), np.float32 if single else np.float64).reshape(len(frame), dim).astype(np.float64))
+        lists = [np.frombuffer(f, np.int32) for f in frame["lists"]]
+        side, times, name = frame["right"].to_numpy(), frame["times"].to_numpy(), frame["class"].to_numpy()
+        same = key[1] == key[2]
+        left = np.flatnonzero(~side)
+        right = left if same else np.flatnonzero(side)
+        found = linked_block(x, lists, key[0], left, right, cosine, same)
+        n = np.zeros(len(frame), np.int64)
+        n[left] += found @ times[right]
+        n[right] += times[left] @ found
+        # the smallest class that links reach inside the block
+        i, j = np.nonzero(found)
+        i, j = left[i], right[j]
+        label = np.arange(len(frame))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, i, label[j])
+            np.minimum.at(new, j, label[i])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        some = np.flatnonzero(n)
+        return pd.DataFrame({"class": name[some], "n": n[some], "root": name[label[some]]})
+
+    return storage.written(spread.groupBy("filter", "low", "high").applyInPandas(compare, "class long, n long, root long"), "block-links")
+
+
+def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
+    """One row per input row: id, n_links (other vectors linked directly), component_id, kept (id = component_id).
+
+    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; vectors
+    of different lengths don't link, and each length is searched by itself; a null id links with
+    nothing and has a null component.  Equal vectors link with each other and are compared once; rows are
+    returned as often as they come.  An empty table gives an empty one; other columns, whatever
+    their names, are not read.
+    """
+    spark = vectors.sparkSession
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # these travel as they are
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    fine = F.col("id").isNotNull() & F.coalesce(
+        F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
+    )
+    key = F.xxhash64("v"), F.sha2(F.to_json("v"), 256)
+    # rows without a vector are spread by their ids, and match nothing
+    rows = rows.withColumns({"h1": F.when(fine, key[0]).otherwise(F.xxhash64("id")), "h2": F.when(fine, key[1])}).withColumn("v", F.when(fine, F.col("v")))
+    found = rows.where("v is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("times"), F.first("v").alias("v"))
+    classes = storage.written(found.withColumn("dim", F.size("v")), "vector-classes")
+    blocks = None
+    for size in classes.groupBy("dim").agg(F.count("*").alias("n")).where("n > 1").orderBy("dim").collect():  # lengths of which there are two
+        own = _block_links(classes.where(F.col("dim") == size["dim"]), size["dim"], size["n"], cosine, single)
+        blocks = own if blocks is None else blocks.unionByName(own)
+    if blocks is None:
         links, counts = spark.createDataFrame([], "class long, root long"), spark.createDataFrame([], "class long, n long")
     else:
-        held = storage.written(classes.select("class", "times", "v").repartition(F.col("class")).mapInArrow(decode, "filter long, class long, times long, v binary, lists binary"), "filter-lists")
-        many = held.groupBy("filter").agg(F.count("*").alias("m")).where("m > 1")
-        parts = F.ceil(F.col("m") / BLOCK_ROWS)
-        spread = held.join(many, "filter").withColumns({"k": F.pmod(F.xxhash64("class"), parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
-        spread = spread.select("filter", F.least("k", "other").alias("low"), F.greatest("k", "other").alias("high"), (F.col("k") > F.col("other")).alias("right"), "class", "times", "v", "lists")
-
-        def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("class")
-            x = unit(np.frombuffer(b"".join(frame["v"]), np.float32 if single else np.float64).reshape(len(frame), dim).astype(np.float64))
-            lists = [np.frombuffer(f, np.int32) for f in frame["lists"]]
-            side, times, name = frame["right"].to_numpy(), frame["times"].to_numpy(), frame["class"].to_numpy()
-            same = key[1] == key[2]
-            left = np.flatnonzero(~side)
-            right = left if same else np.flatnonzero(side)
-            found = linked_block(x, lists, key[0], left, right, cosine, same)
-            n = np.zeros(len(frame), np.int64)
-            n[left] += found @ times[right]
-            n[right] += times[left] @ found
-            # the smallest class that links reach inside the block
-            i, j = np.nonzero(found)
-            i, j = left[i], right[j]
-            label = np.arange(len(frame))
-            while True:
-                new = label.copy()
-                np.minimum.at(new, i, label[j])
-                np.minimum.at(new, j, label[i])
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            some = np.flatnonzero(n)
-            return pd.DataFrame({"class": name[some], "n": n[some], "root": name[label[some]]})
-
-        blocks = storage.written(spread.groupBy("filter", "low", "high").applyInPandas(compare, "class long, n long, root long"), "block-links")
         counts = blocks.groupBy("class").agg(F.sum("n").alias("n"))
         links = blocks.where("class != root").select("class", "root").distinct()
     comp = components(links, "class", "root").select(F.col("node").alias("class"), "component")

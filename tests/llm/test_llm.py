@@ -361,6 +361,22 @@ def windows_removed(rows: dict[int, str], size: int = 20) -> dict:
     return out
 
 
+def test_sent_ones_by_brute_force():
+    rng = np.random.default_rng(4)
+    sent, first = substring_dedup._Sent(), {}
+    for _ in range(40):
+        n = int(rng.integers(1, 60))
+        digest = rng.integers(0, 100, n).astype(np.uint64)
+        second = digest * np.uint64(7)
+        doc, start = rng.integers(0, 30, n), rng.integers(0, 9, n)
+        late = sent.later(digest, second, doc, start)
+        places = sorted(zip(digest.tolist(), second.tolist(), doc.tolist(), start.tolist(), strict=True))
+        for d, s, x, a in places:
+            first[d, s] = min(first.get((d, s), (x, a)), (x, a))
+        assert late.tolist() == [first[d, s] < (x, a) for d, s, x, a in zip(digest.tolist(), second.tolist(), doc.tolist(), start.tolist(), strict=True)]
+    assert len(sent.runs) < 8
+
+
 def test_substring_dedup(spark, docs, empty):
     got = by_id(substring_dedup.removed_words(docs))
     assert {i: tuple(r)[1:] for i, r in got.items()} == windows_removed(TEXTS)
@@ -416,6 +432,12 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_each_length_link(spark):
+    vectors = [[1.0, 2.0], [2.0, 4.0], [-1.0, -2.0], [1.0, 2.0, 0.0], [1.0, 2.0, 0.1], [5.0], [1.0, 0.0, 0.0, 0.0], None]
+    got = by_id(embedding_dedup.neighbours(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")), "vec_id")
+    assert [(got[i].n_links, got[i].component_id) for i in range(8)] == [(1, 0), (1, 0), (0, 2), (1, 3), (1, 3), (0, 5), (0, 6), (0, 7)]
+
+
 def test_pairs_count_once():
     """Links of a block are counted in the first filter that both have only."""
     x = embedding_dedup.unit(np.array([[1.0, 0.0], [1.0, 0.01], [1.0, 0.02]]))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.functions import hashing, text
-from provisio.operators import activity, answer_cache, answering, catalog, currentlaw, evaluation, hierarchy, ingest
+from provisio.operators import activity, answer_cache, answering, catalog, currentlaw, evaluation, indexing, ingest, pipeline, responses
 from provisio.plans.views import GEO_SQL, geo_tree, table
-from provisio.sources import metadata
+from provisio.sources import files, html_units, metadata, pdf_lines
 
 # -- verification, recovery, answers: a customer is a request, an order a conclusion about one of three targets
 
@@ -309,10 +309,87 @@ def q102_sources_proven(spark: SparkSession, d: str) -> DataFrame:
     return answering.source_rows(packed, provisions, current).select("request", "source_id", "version_id", F.col("proven_as_of").isNotNull().alias("is_proven"))
 
 
+# -- sources and responses
+
+
+def q103_statutes_from_html(spark: SparkSession, d: str) -> DataFrame:
+    """A text for each nation, its customers as articles with a point each."""
+    unit = """concat('<div class="unit unit_arti" data-id="arti_', c_custkey, '"><h3>Art. ', c_custkey, '</h3><div class="unit-inner"><div data-template="xText">', c_name, '&nbsp;<a class="gloss-link">1)</a></div>',
+        '<div class="unit unit_pint" data-id="pint_1"><div class="unit-inner"><div data-template="xText">', c_mktsegment, '</div></div></div></div></div>')"""
+    rows = table(spark, d, "customer").select("c_nationkey", F.struct("c_custkey", F.expr(unit).alias("html")).alias("u"))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list("u")), lambda x: x["html"]), "")
+    docs = rows.groupBy(F.col("c_nationkey").alias("version_id")).agg(F.concat(F.lit('<div class="parts"><section id="s1"><div class="part"><h2>Ustawa</h2><div class="block">'), inner, F.lit("</div></div></section></div>")).alias("html"))
+    return html_units.units(docs).select("version_id", "provision_type", "citation_label", "text", "structural_path")
+
+
+def q104_statutes_from_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A printed text for each nation: the annex's heading, then its customers as articles."""
+    rows = table(spark, d, "customer").selectExpr("c_nationkey as version_id", "c_custkey as line", "concat('Art. ', c_custkey, '. ', c_name) as text")
+    head = table(spark, d, "customer").selectExpr("c_nationkey as version_id").distinct().selectExpr("version_id", "-1 as line", "'Załącznik do obwieszczenia' as text")
+    lines = rows.unionByName(head).selectExpr("version_id", "1 as page", "cast(line as int) as line", "10.0D as font_size", "text")
+    return pdf_lines.units(lines).select("version_id", "provision_type", "citation_label", "text")
+
+
+def q105_lines_from_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of a page become lines by their height; size is the length of a matrix row."""
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey as document", "1 as page", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as int) as position", "l_partkey as p")
+    pieces = rows.selectExpr("document", "page", "position", "700.0D - 20 * (position div 2) + position % 2 as y", "3.0D as a", "4.0D as b", "cast(p as string) as text")
+    return pdf_lines.visual_lines(pieces).select("document", "text", "font_size")
+
+
+def q106_search_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index after an update: what changed is embedded again, what is gone is removed."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"))
+    old = docs.where("id % 2 = 0").selectExpr("id", "content", "case when id % 6 = 0 then 'x' else content_hash end as content_hash", "array(1.0F) as embedding")
+    gone = docs.where("id % 10 = 0").selectExpr("-id - 1 as id", "content", "content_hash", "array(1.0F) as embedding")
+    fresh = lambda t: t.select("id", F.array(F.lit(2.0).cast("float")).alias("embedding"))
+    return indexing.updated(old.unionByName(gone), docs.where("id % 7 <> 0"), fresh).select("id", "content_hash", F.element_at("embedding", 1).cast("double").alias("first"))
+
+
+def q107_titles_and_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of saved items, and sources as a prompt shows them."""
+    rows = table(spark, d, "customer").withColumn("day", F.expr("case when c_custkey % 2 = 0 then date '2024-01-01' end"))
+    answer_title, provision_title = activity.titles(F.repeat("c_name", 8), F.col("c_mktsegment"), F.col("c_name"))
+    return rows.select("c_custkey", answer_title.alias("answer_title"), provision_title.alias("provision_title"), pipeline.source_text(F.col("c_mktsegment"), F.col("c_name"), F.lit("text"), F.col("day")).alias("source"))
+
+
+def q108_attachments(spark: SparkSession, d: str) -> DataFrame:
+    return files.attachments(table(spark, d, "orders").selectExpr("cast(o_orderkey as string) as file_name", "case o_orderkey % 4 when 0 then 'O,T' when 1 then 'T' when 2 then 'O' end as source_type_codes"))
+
+
+def q109_verdict_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Verifiers' responses, an order's lines as conclusions; some are wrong in one place, and count for nothing."""
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey as request", "l_linenumber as conclusion", "l_quantity as q").distinct().groupBy("request", "conclusion").agg(F.max("q").alias("q"))
+    value = """concat('{"verdict":"', case when request % 11 = 0 then 'maybe' when q > 25 then 'direct_support' else 'no_support' end, '","evidence":[{"sourceId":"A"', case when request % 13 = 0 then '' else ',"excerpt":"e"' end, '}]', case when request % 17 = 0 then '' else ',"reason":"r"' end, case when request % 19 = 0 then ',"more":1' else '' end, '}')"""
+    one = lines.where("request % 7 <> 0 or conclusion <> 1").select("request", F.concat(F.lit('"'), F.col("conclusion").cast("string"), F.lit('":'), F.expr(value)).alias("v"))
+    sent = one.groupBy("request").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("v")), ","), F.lit("}")).alias("json"))
+    return responses.verdicts(sent, lines.select("request", F.col("conclusion").cast("long"))).select("request", "conclusion", "verdict", F.size("evidence").alias("n"), "is_valid")
+
+
+def q110_draft_responses(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("o_orderkey as request", """concat('{"conclusions":[{"statement":"', case when o_orderkey % 5 = 0 then ' ' else 's' end, '","support":[', case when o_orderkey % 7 = 0 then '' else concat('{"sourceId":"S', o_orderkey % 4, '"}') end, '],"answerTargetIndex":', case when o_orderkey % 3 = 0 then 'null' else cast(o_orderkey % 6 as string) end, '}]', case when o_orderkey % 11 = 0 then ',"x":1' else '' end, '}') as json""")
+    offered = rows.selectExpr("request", "array('S0', 'S1', 'S2') as sources", "array(0L, 1L, 2L, 4L) as targets")
+    return responses.drafts(rows, offered).select("request", "is_valid", F.size("conclusions").alias("n"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 _NL = "chr(10)"
 _PARSED = """parsed as (select l_orderkey as k, concat('b', l_orderkey % 500) as base, concat('a', l_orderkey) as announcement, count(*) as n from lineitem group by 1)"""
+_FINE = "k % 11 <> 0 and k % 13 <> 0 and k % 17 <> 0 and k % 19 <> 0 and not (k % 7 = 0 and has_one)"
 SQL = {
+    "q103_statutes_from_html": """select c_nationkey as version_id, 'part' as provision_type, 'Ustawa' as citation_label, 'Ustawa' as text, 's1' as structural_path from customer group by 1
+        union all select c_nationkey, 'article', concat('art. ', c_custkey), concat('Art. ', c_custkey, '. ', c_name), concat('s1/arti_', c_custkey) from customer
+        union all select c_nationkey, 'point', concat('art. ', c_custkey, ' pkt 1'), concat('1) ', c_mktsegment), concat('s1/arti_', c_custkey, '/pint_1') from customer""",
+    "q104_statutes_from_lines": "select c_nationkey as version_id, 'article' as provision_type, concat('art. ', c_custkey) as citation_label, concat('Art. ', c_custkey, '. ', c_name) as text from customer",
+    "q105_lines_from_pieces": """with r as (select l_orderkey as document, l_partkey as p, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as k from lineitem)
+        select document, string_agg(cast(p as varchar), '' order by k) as text, 5e0 as font_size from r group by document, k // 2""",
+    "q106_search_index": """with n as (select doc_id as id, sha256(text) as h from documents where doc_id % 7 <> 0) select id, h as content_hash, case when id % 2 = 0 and id % 6 <> 0 then 1e0 else 2e0 end as first from n""",
+    "q107_titles_and_sources": "select c_custkey, case when length(repeat(c_name, 8)) > 120 then concat(rtrim(left(repeat(c_name, 8), 120)), '…') else repeat(c_name, 8) end as answer_title, concat(c_mktsegment, ' — ', c_name) as provision_title, concat(c_mktsegment, ', ', c_name, case when c_custkey % 2 = 0 then ' (current as of 2024-01-01)' else ' (currentness not proven)' end, chr(10), 'text') as source from customer",
+    "q108_attachments": "select cast(o_orderkey as varchar) as file_name, case o_orderkey % 4 when 0 then 'O,T' when 1 then 'T' when 2 then 'O' end as source_type_codes, case when o_orderkey % 4 < 2 then 'accepted' else 'refused' end as outcome from orders",
+    "q109_verdict_responses": f"""with l as (select l_orderkey as k, l_linenumber as c, max(l_quantity) as q, bool_or(l_linenumber = 1) over (partition by l_orderkey) as has_one from lineitem group by 1, 2)
+        select k as request, c as conclusion, case when k % 11 = 0 then 'maybe' when q > 25 then 'direct_support' else 'no_support' end as verdict, 1 as n, {_FINE} as is_valid from l where k % 7 <> 0 or c <> 1""",
+    "q110_draft_responses": """select o_orderkey as request, o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 and o_orderkey % 4 <> 3 and (o_orderkey % 3 = 0 or o_orderkey % 6 in (0, 1, 2, 4)) and o_orderkey % 11 <> 0 as is_valid,
+        case when o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 and o_orderkey % 4 <> 3 and (o_orderkey % 3 = 0 or o_orderkey % 6 in (0, 1, 2, 4)) and o_orderkey % 11 <> 0 then 1 end as n from orders""",
     "q66_verification_gates": f"with {_GATES} select request, conclusion, outcome, case when outcome = 'verified' then confirmed else '' end as support from gates",
     "q67_recovery_mode": f"with {_GATES} select request, mode from modes",
     "q68_recovery_pass": f"with {_RECOVERED} select conclusion, phase, outcome from every",

@@ -40,7 +40,9 @@ def test_files_and_embedder(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"1")
     (tmp_path / "y.pdf").write_bytes(b"2")
     wanted = spark.createDataFrame([("x.pdf", "O,T"), ("y.pdf", "O")], "file_name string, source_type_codes string")
-    assert [bytes(r.content) for r in files.read_attachments(spark, str(tmp_path), wanted).collect()] == [b"1"]
+    assert [bytes(r.content) for r in files.read_attachments(spark, str(tmp_path), wanted, skip_refused=True).collect()] == [b"1"]
+    with pytest.raises(files.RefusedAttachment, match="y.pdf"):
+        files.read_attachments(spark, str(tmp_path), wanted)
     texts = spark.createDataFrame([(i, "x" * i) for i in range(5)], "id long, content string")
     out = files.embedded(texts, lambda ts: [[float(len(t))] for t in ts], batch=2)
     assert {(r.id, r.embedding[0]) for r in out.collect()} == {(i, float(i)) for i in range(5)}
@@ -83,3 +85,31 @@ def test_failed_fetches_are_not_empty_ones(spark):
     batch = spark.createDataFrame([(1, "ok"), (2, "failed")], "id int, fetch_status string")
     merging(lambda: spark.createDataFrame([(9,)], "id int"), lambda df: seen.extend(sorted(r.id for r in df.collect())), lambda old, new: old.unionByName(new))(batch, 0)
     assert seen == [1, 9]
+
+
+def test_embedding_service_retries_and_sorts():
+    class Failed(Exception):
+        def __init__(self, status):
+            self.status = status
+
+    calls, waits = [], []
+
+    def call(statuses):
+        def one():
+            calls.append(1)
+            if statuses:
+                raise Failed(statuses.pop(0))
+            return "done"
+
+        return one
+
+    assert files.tried(call([429, 503]), wait=waits.append) == "done" and waits == [1.0, 2.0]
+    for statuses in ([401], [500, 500, 500]):
+        with pytest.raises(Failed):
+            files.tried(call(statuses), wait=waits.append)
+    with pytest.raises(ZeroDivisionError):
+        files.tried(lambda: 1 // 0, wait=waits.append)
+    assert files.in_order([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]] and files.in_order([[3.0]], 1) == [[3.0]]
+    for bad in ([(0, [1.0]), (0, [2.0])], [[1.0]]):
+        with pytest.raises(ValueError, match="texts"):
+            files.in_order(bad, 2)

@@ -7,14 +7,13 @@ makes them, or ``visual_lines`` from positioned pieces of text.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provisio.sources.units import FIELDS, SCHEMA, Outline, SourceError, Unit
+from provisio.sources.units import FIELDS, SCHEMA, Outline, Unit
 
 # The start of the annex, what pages repeat, the marks of units and their depths.
 ANNEX = re.compile(r"za[łl]ącznik do obwieszczenia(?![A-Za-z0-9_])", re.IGNORECASE)
@@ -38,66 +37,68 @@ MARKS = [Mark(kind, depth, re.compile(rf"{word}(?=\s|$)", re.IGNORECASE), None)
     Mark("point", 8, re.compile(rf"(\d+[{SMALL}]*)\)\s*(.*)", re.DOTALL), 6),
     Mark("letter", 9, re.compile(rf"([{SMALL}])\)\s*(.*)", re.DOTALL), 8),
 ]
-_REPEATED = re.compile("|".join(f"(?:{p})" for p in REPEATED))
-_BARE_ARTICLE = re.compile(rf"Art\.\s*\d+[{SMALL}]?", re.IGNORECASE)
-_INDEX = re.compile(r"\[(\d+)\]|(\d+)")
+#: The same patterns where Spark searches a line's start, or all of it.
+_START = "|".join(f"(?:{m.pattern.pattern})" for m in MARKS)
+STARTS_UNIT, STARTS_ANNEX = f"(?iu)^(?:{_START})", rf"(?iu)^(?:{ANNEX.pattern})"
+IS_REPEATED = f"^(?:{'|'.join(REPEATED)})$"
+IS_BARE_ARTICLE, IS_INDEX = rf"(?iu)^Art\.\s*\d+[{SMALL}]?$", r"^(?:\[(\d+)\]|(\d+))$"
 
 
-def body_size(sizes: list[int]) -> int:
-    """The most common one, the first seen of equals."""
-    return Counter(sizes).most_common(1)[0][0]
+def _joined(parts: Column) -> Column:
+    """Parts in their order, as one text."""
+    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), "")
 
 
-def body_lines(lines: list[tuple[float, str]]) -> list[str]:
-    """Lines of (font size, text) without what pages repeat and without notes.
+def annex_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n, size, text) of the lines from the annex's heading on, numbered, and (key, n_starts) of documents where it does not start once."""
+    order = Window.partitionBy("key").orderBy("page", "line")
+    told = lines.select("key", "page", "line", F.floor(F.col("font_size") + 0.5).alias("size"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    told = told.withColumn("begins", F.col("text").rlike(STARTS_ANNEX).cast("int"))
+    wrong = told.groupBy("key").agg(F.sum("begins").alias("n_starts")).where("n_starts <> 1")
+    told = told.withColumns({"n": F.row_number().over(order), "since": F.sum("begins").over(order)})
+    return told.join(wrong, "key", "left_anti").where("since > 0").select("key", "n", "size", "text"), wrong
 
-    Smaller print is a note, unless it is the index of an article whose number stands alone before it;
-    a stop that follows such an index belongs to it.
-    """
-    usual = body_size([round_half_up(s) for s, _ in lines])
-    out: list[str] = []
-    indexed = False
-    for size, text in ((round_half_up(s), t.strip()) for s, t in lines):
-        if not text or _REPEATED.fullmatch(text):
-            continue
-        if size < usual:
-            index = _INDEX.fullmatch(text) if out and _BARE_ARTICLE.fullmatch(out[-1]) else None
-            if index:
-                out[-1] += f"[{index[1] or index[2]}]"
-                indexed = True
-        elif indexed and text[0] == ".":
-            out[-1] += text
-            indexed = False
-        else:
-            out.append(text)
-            indexed = False
-    return out
-
-
-def round_half_up(x: float) -> int:
-    return int(x + 0.5)
 
+def body_lines(lines: DataFrame) -> DataFrame:
+    """(key, n, text) of lines (key, n, size, text) without what pages repeat and without notes.
 
-def paragraphs(lines: list[str]) -> list[str]:
-    """Lines that start no unit go on from the line before; a word split by a hyphen is joined."""
-    out: list[str] = []
-    for line in lines:
-        if not out or any(m.pattern.match(line) for m in MARKS):
-            out.append(line)
-        elif len(out[-1]) > 1 and out[-1][-1] == "-" and out[-1][-2].isalpha():
-            out[-1] = out[-1][:-1] + line
-        else:
-            out[-1] += f" {line}"
-    return out
-
-
-def parse(lines: list[tuple[float, str]]) -> Outline:
-    """All units from the annex's heading on; there must be exactly one.  Text before any unit is dropped."""
-    starts = [i for i, (_, t) in enumerate(lines) if ANNEX.match(t.strip())]
-    if len(starts) != 1:
-        raise SourceError(f"{len(starts)} lines start the annex")
+    Notes are smaller than the size that most lines have (the first met of equals).  Each line of the
+    body has the smaller ones after it for its notes; the first of an article whose number stands
+    alone may be the number's index, and a stop that begins the next line then belongs to both.
+    """
+    sizes = lines.groupBy("key", "size").agg(F.count("*").alias("times"), F.min("n").alias("first"))
+    usual = sizes.groupBy("key").agg(F.max_by("size", F.struct("times", -F.col("first"))).alias("usual"))
+    rows = lines.where((F.col("text") != "") & ~F.col("text").rlike(IS_REPEATED)).join(usual, "key")
+    rows = rows.withColumn("is_body", F.col("size") >= F.col("usual"))
+    order = Window.partitionBy("key").orderBy("n")
+    rows = rows.withColumn("owner", F.sum(F.col("is_body").cast("int")).over(order)).where("owner > 0")
+    number = F.concat(F.regexp_extract("text", IS_INDEX, 1), F.regexp_extract("text", IS_INDEX, 2))
+    index = F.min_by(F.when(~F.col("is_body") & (number != ""), number), F.when(~F.col("is_body") & (number != ""), F.col("n")))
+    own = rows.groupBy("key", "owner").agg(F.min_by("text", "n").alias("text"), index.alias("index"))
+    own = own.withColumn("index", F.when(F.col("text").rlike(IS_BARE_ARTICLE), F.col("index")))
+    after = Window.partitionBy("key").orderBy("owner")
+    goes_on = F.coalesce(F.lag("index").over(after).isNotNull() & F.col("text").startswith("."), F.lit(False))
+    own = own.withColumn("goes_on", goes_on).withColumn("line", F.sum((~F.col("goes_on")).cast("int")).over(after))
+    part = F.concat("text", F.coalesce(F.concat(F.lit("["), "index", F.lit("]")), F.lit("")))
+    return own.groupBy("key", F.col("line").alias("n")).agg(_joined(F.collect_list(F.struct("owner", part.alias("text")))).alias("text"))
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """(key, n, text): a line that starts no unit goes on from the one before; what a hyphen splits is one word."""
+    order = Window.partitionBy("key").orderBy("n")
+    starts = F.col("text").rlike(STARTS_UNIT) | F.lag("n").over(order).isNull()
+    rows = lines.withColumn("starts", starts).withColumn("paragraph", F.sum(F.col("starts").cast("int")).over(order))
+    last = F.coalesce(F.lead("starts").over(order), F.lit(True))
+    split = F.col("text").rlike(r"\p{L}-$")
+    part = F.when(last, F.col("text")).when(split, F.expr("left(text, char_length(text) - 1)")).otherwise(F.concat("text", F.lit(" ")))
+    rows = rows.withColumn("part", part)
+    return rows.groupBy("key", F.col("paragraph").alias("n")).agg(_joined(F.collect_list(F.struct("n", F.col("part").alias("text")))).alias("text"))
+
+
+def parse(texts: list[str]) -> Outline:
+    """All units of paragraphs; text before any unit is dropped."""
     out, open_units = Outline(), []
-    for rest in paragraphs(body_lines(lines[starts[0] :])):
+    for rest in texts:
         rest = rest.strip()
         while rest:
             found = next(((m, x) for m in MARKS if (x := m.pattern.match(rest)) and (m.inside is None or any(d == m.inside for d, _ in open_units))), None)
@@ -133,21 +134,19 @@ def visual_lines(pieces: DataFrame, tolerance: float = 2.0) -> DataFrame:
 def units(lines: DataFrame, *, key: str = "version_id") -> DataFrame:
     """(key, provision columns, error) from lines (key, page, line, font_size, text); a refused document has one row with its error.
 
-    A document is parsed by one task: units depend on all lines before them, and a document has at most
-    some thousands.
+    Lines become paragraphs by windows over a document.  Only their paragraphs are read by one task:
+    units depend on those that are open, and a document has at most some thousands.
     """
     kind = lines.schema[key].dataType.simpleString()
+    own, wrong = annex_lines(lines.select(F.col(key).alias("key"), "page", "line", "font_size", "text"))
 
     def read(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["page", "line"])
-        try:
-            rows = [{"key": keys[0], **r, "error": None} for r in parse(list(zip(frame["font_size"], frame["text"].fillna(""), strict=True))).rows(str(keys[0]))]
-        except SourceError as e:
-            rows = [{"key": keys[0], **dict.fromkeys(FIELDS), "error": str(e)}]
+        rows = [{"key": keys[0], **r, "error": None} for r in parse(frame.sort_values("n")["text"].tolist()).rows(str(keys[0]))]
         return pd.DataFrame(rows, columns=["key", *FIELDS, "error"]).astype({"ordinal": "Int32"})
 
-    rows = lines.select(F.col(key).alias("key"), "page", "line", "font_size", "text")
-    return rows.groupBy("key").applyInPandas(read, f"key {kind}, {SCHEMA}, error string").withColumnRenamed("key", key)
+    found = paragraphs(body_lines(own)).groupBy("key").applyInPandas(read, f"key {kind}, {SCHEMA}, error string")
+    refused = wrong.select("key", F.concat(F.col("n_starts").cast("string"), F.lit(" lines start the annex")).alias("error"))
+    return found.unionByName(refused, allowMissingColumns=True).withColumnRenamed("key", key)
 
 
 def joined_paragraphs(lines: DataFrame, starts: str, *, key: str = "key", order: str = "line") -> DataFrame:

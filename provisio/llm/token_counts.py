@@ -1,6 +1,6 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table (tokenizer, content, n_tokens): digests of the tokenizer's
+The cache is a Parquet table (tokenizer, content, n_tokens), a folder for each tokenizer: digests of the tokenizer's
 version and of the normalised content, and the count that belongs to them.  Documents are
 joined to it by digest, only distinct contents without a stored count are encoded, and
 their counts are appended.
@@ -65,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, id_co
         ids.forget()
         trim()
 
-    missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = storage.written(_stored(spark, cache_path, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return (
         docs.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LISTED = 200
@@ -32,12 +32,13 @@ def provision_counts(provisions: DataFrame, by: str = "version_id") -> DataFrame
 
 
 def options(acts: DataFrame, columns: dict[str, bool]) -> DataFrame:
-    """(column, value) of all values that occur, numbered in order: ascending where true, else descending."""
+    """(column, value, position) of all values that occur, in order from 1: ascending where true, else descending; numbers as numbers."""
     distinct = acts.select(*columns).distinct()
     out = None
     for column, ascending in columns.items():
-        values = distinct.select(F.lit(column).alias("column"), F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-        values = values.withColumn("ascending", F.lit(ascending))
+        values = distinct.select(F.lit(column).alias("column"), F.col(column).alias("own")).where("own is not null").distinct()
+        order = Window.partitionBy("column").orderBy(F.asc("own") if ascending else F.desc("own"))  # one row a value
+        values = values.select("column", F.col("own").cast("string").alias("value"), F.row_number().over(order).alias("position"))
         out = values if out is None else out.unionByName(values)
     return out
 

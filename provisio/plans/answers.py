@@ -271,6 +271,16 @@ def q96_folders_renamed(spark: SparkSession, d: str) -> DataFrame:
     return activity.renamed(folders, asked).select("arrival", "outcome")
 
 
+def q111_own_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items asked for by their visitors, with a summary by kind; those of others are missing."""
+    rows = table(spark, d, "events").selectExpr(
+        "event_id as id", "user_id as visitor_id", "case event_id % 3 when 0 then 'answer' when 1 then 'search' else 'provision' end as kind", "event_type as query",
+        """concat('{"answer":"', repeat(concat(event_type, ' '), event_id % 60), '","citationLabel":"art. ', event_id, '"}') as snapshot""",
+    )
+    asked = table(spark, d, "events").selectExpr("case when event_id % 4 = 0 then user_id + 1 else user_id end as visitor_id", "event_id as id")
+    return activity.summaries(activity.owned(rows, asked))
+
+
 def q97_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     key = [F.lit("r").alias("corpus_run_id"), F.lit("p").alias("pipeline_version")]
     cache = table(spark, d, "customer").select(F.col("c_custkey").alias("question_hash"), *key, F.lit(1).cast("long").alias("hit_count"), F.lit(None).cast("timestamp_ntz").alias("last_hit_at"))
@@ -451,6 +461,8 @@ SQL = {
         m as (select q.*, exists (select 1 from f where f.u = q.u and f.id = q.id) as own, length(k) between 1 and 80 as fine, exists (select 1 from f where f.u = q.u and f.k = q.k and f.id <> q.id) as clash from q),
         n as (select *, min(case when own and fine and not clash then id end) over (partition by u, k) as first from m)
         select id as arrival, case when not own then 'not_found' when not fine then 'invalid_name' when clash or first <> id then 'duplicate' else 'renamed' end as outcome from n""",
+    "q111_own_items": """with r as (select event_id as id, case event_id % 3 when 0 then 'answer' when 1 then 'search' else 'provision' end as kind, event_type, repeat(concat(event_type, ' '), cast(event_id % 60 as int)) as a from events where event_id % 4 <> 0)
+        select id, kind, case kind when 'answer' then case when length(a) > 220 then concat(rtrim(left(a, 220)), '...') else a end when 'search' then event_type else concat('art. ', id) end as summary from r""",
     "q97_cache_hits": "with h as (select o_custkey, count(*) as n from orders where o_orderkey % 2 = 0 group by 1) select c_custkey as question_hash, 1 + coalesce(n, 0) as hit_count, case when n is not null then timestamp '2024-01-01' end as last_hit_at from customer left join h on o_custkey = c_custkey",
     "q98_source_pack_hash": f"select l_orderkey as request, sha256(string_agg(concat(l_partkey, ':', l_suppkey, ':', case when l_returnflag <> 'N' then '2024-01-01' else '' end), {_NL} order by l_linenumber, concat(l_partkey, ':', l_suppkey, ':', case when l_returnflag <> 'N' then '2024-01-01' else '' end))) as source_pack_hash from lineitem group by 1",
     "q99_expected_rates": """with e as (select o_orderkey as q, unnest(['art. A', 'art. N', 'art. R ust. 1']) as label from orders), l as (select l_orderkey as q, concat('art. ', l_returnflag, ' ust. ', l_linenumber) as said, l_quantity as n from lineitem),

@@ -321,7 +321,7 @@ SQL = {
     "q34_evidence_verbatim": f"with {_STATUS_SQL} select doc_id, status from status",
     "q35_target_coverage": f"with {_STATUS_SQL} select doc_id % 1013 as target, bool_or(status = 'verbatim') as is_covered from status group by 1",
     "q36_catalog_search": "select p_partkey, p_name, p_brand from part where p_type = 'PROMO' and (p_name ilike '%wid%t%' or p_brand ilike '%wid%t%' or p_type ilike '%wid%t%') order by p_name, p_partkey limit 200",
-    "q37_filter_options": "select distinct 'p_type' as column, p_type as value, true as ascending from part union select 'p_brand', p_brand, true from part union select 'p_size', cast(p_size as varchar), false from part",
+    "q37_filter_options": "select 'p_type' as column, p_type as value, row_number() over (order by p_type) as position from (select distinct p_type from part) union all select 'p_brand', p_brand, row_number() over (order by p_brand) from (select distinct p_brand from part) union all select 'p_size', cast(p_size as varchar), row_number() over (order by p_size desc) from (select distinct p_size from part)",
     "q38_act_detail": """with l as (select l_orderkey, count(*) as n, count(*) filter (where l_returnflag <> 'N') as r from lineitem group by 1)
         select o_orderkey as act, o_orderpriority as title, coalesce(n, 0) as n_versions, coalesce(r, 0) as n_resolved, coalesce(n - r, 0) as n_unresolved from orders left join l on l_orderkey = o_orderkey""",
     "q39_history_list": "select event_id as id, event_type, case when length(a) > 220 then concat(rtrim(substring(a, 1, 220)), '...') else a end as preview from (select *, repeat(props, 30) as a from events order by ts desc, event_id desc limit 100) where event_id % 13 <> 0",

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from provisio.llm import storage
 from provisio.llm.bitmap import bitmap
 from provisio.llm.components import components
-from provisio.llm.words import Texts, inside, mix, slices, windows
+from provisio.llm.words import Texts, inside, mix, slices, trim, windows
 
-#: About as many classes make a group.
-GROUP = 64
+#: About as many classes make a group; tokens of queries that a matrix has columns for (one longer query is taken whole).
+GROUP, COLUMNS = 64, 1 << 16
 
 
 def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,26 +116,34 @@ def open_groups(queries: list[np.ndarray], members: list[np.ndarray], query_comp
         return x
 
     size, n = np.array([len(x) for x in queries]), np.array([len(x) for x in members])
-    # the group's token union: columns of the matrix
-    union, place = np.unique(np.concatenate(members), return_inverse=True)
-    # tokens of each query that the union holds
-    at = np.searchsorted(union, flat := np.concatenate(queries))
-    at[at == len(union)] = 0
-    hit = union[at] == flat
-    held = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(size)))]
-    may = np.flatnonzero((100 * np.diff(held) >= percent * size) & (100 * n.max() >= percent * size) & (100 * size >= percent * n.min()))
-    if not len(may):
-        return found
-    matrix = np.zeros((len(members), len(union)), bool)
-    matrix[np.repeat(np.arange(len(members)), n), place] = True
-    columns = at[hit]
-    for i in may:
-        shared = matrix[:, columns[held[i] : held[i + 1]]].sum(1)
-        for j in np.flatnonzero(100 * shared >= percent * (size[i] + n - shared)):
-            a, b = root(int(query_comp[i])), root(int(member_comp[j]))
-            if a != b:
-                up[a] = b
-                found.append((int(i), int(j)))
+    # the group's token union, and how many tokens of each query it holds
+    every = np.concatenate(members)
+    union = np.unique(every)
+    held = np.array([np.isin(q, union, assume_unique=True).sum() if percent * len(q) <= 100 * n.max() and 100 * len(q) >= percent * n.min() else -1 for q in queries])
+    may = np.flatnonzero(100 * held >= percent * size)
+    of = np.repeat(np.arange(len(members)), n)
+    low = 0
+    while low < len(may):
+        # the matrix's columns are the union's tokens that some queries hold, so many queries that it stays small
+        high = low + 1
+        while high < len(may) and size[may[low : high + 1]].sum() <= COLUMNS:
+            high += 1
+        columns = np.intersect1d(np.unique(np.concatenate([queries[i] for i in may[low:high]])), union, assume_unique=True)
+        place = np.searchsorted(columns, every)
+        place[place == len(columns)] = 0
+        hit = columns[place] == every
+        matrix = np.zeros((len(members), len(columns)), bool)
+        matrix[of[hit], place[hit]] = True
+        for i in may[low:high]:
+            at = np.searchsorted(columns, queries[i])
+            at[at == len(columns)] = 0
+            shared = matrix[:, at[columns[at] == queries[i]]].sum(1)
+            for j in np.flatnonzero(100 * shared >= percent * (size[i] + n - shared)):
+                a, b = root(int(query_comp[i])), root(int(member_comp[j]))
+                if a != b:
+                    up[a] = b
+                    found.append((int(i), int(j)))
+        low = high
     return found
 
 
@@ -162,8 +170,10 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 yield links(held.slice(a, b - a))
             rest = held.slice(cut[-1])
+            trim()
         if rest is not None:
             yield links(rest)
+        trim()
 
     return rows.select("task", "side", "class", "comp", "tokens").repartition(parts, "task").sortWithinPartitions("task", "side", "class").mapInArrow(compare, "a long, b long")
 

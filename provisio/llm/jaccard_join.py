@@ -200,9 +200,9 @@ def _classes(docs: DataFrame, size: int, percent: int, rows: int) -> tuple[DataF
     member = storage.written(member, "groups")
 
     asking = near.where("class != hub").select("class", "hub").distinct().join(member.select("class", "grp"), "class").select("grp", "hub").distinct()
+    asking = storage.written(asking, "queries-of-groups")
     queries = asking.select(F.col("grp").alias("task"), F.col("hub").alias("class"), F.lit(0).alias("side"))
-    asked = asking.select("grp").distinct()
-    inside_ = member.join(asked, "grp", "left_semi").select(F.col("grp").alias("task"), "class", F.lit(1).alias("side"))
+    inside_ = member.join(asking.select("grp"), "grp", "left_semi").select(F.col("grp").alias("task"), "class", F.lit(1).alias("side"))
     rows_ = queries.unionByName(inside_).join(sets.select("class", "tokens"), "class").withColumn("comp", F.col("class"))
     links = storage.written(_opened(rows_, percent), "first-links")
     comp = storage.written(components(links), "first-components")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from provisio.llm import storage
 from provisio.llm.words import Texts, inside, mix, slices, windows
@@ -241,7 +241,7 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     """The results of ``apply_rules``; with ``whole``, also the input's rows as a struct ``row``."""
     spark = docs.sparkSession
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    told = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if whole else []))
+    told = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     runs = storage.Scratch(counted(told), "symbol-runs")
     rows = runs.df.toPandas()  # at most 64**4 rows a language
     runs.drop()
@@ -271,8 +271,6 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
                 )
 
     schema = StructType.fromDDL(f"id {kind}, lang string, {', '.join(f'{k} long' for k in BASE)}, {', '.join(f'{k} double' for k in MEASURES)}")
-    if whole:
-        schema = schema.add("row", told.schema["row"].dataType)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = storage.written(told.mapInArrow(score, schema).withColumn("base_failed", failed), "quality-scores")
     passed = scored.where(~F.col("base_failed"))
@@ -284,17 +282,23 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         sigma[k] = _chosen(F.col("lang"), of_lang, lambda q: max(least_sigma * q[1], (q[2] - q[0]) / 1.349, 1e-6), 1.0)
         away[k] = F.col(k) - _chosen(F.col("lang"), of_lang, lambda q: q[1], 0.0)
     spread = quartiles(passed.withColumn("octave", octave), ["octave"], {k: away[k] / sigma[k] for k in MEASURES}, 64)
-    told = {o[0]: q for o, q in spread.items() if q["n"] >= least_docs}
+    at_length = {o[0]: q for o, q in spread.items() if q["n"] >= least_docs}
     usual = ~F.col("base_failed")
     for k in MEASURES:
         mid, room = F.lit(0.0), F.sqrt(1 + short**2 / F.greatest(F.col("n_words"), F.lit(1)))
-        if told:
-            nearest = {o: told[min(told, key=lambda x, o=o: (abs(x - o), x))][k] for o in range(max(told) + 1)}
-            last = nearest[max(told)]
+        if at_length:
+            nearest = {o: at_length[min(at_length, key=lambda x, o=o: (abs(x - o), x))][k] for o in range(max(at_length) + 1)}
+            last = nearest[max(at_length)]
             mid = _chosen(octave, nearest, lambda q: q[1], last[1])
             room = _chosen(octave, nearest, lambda q: max((q[2] - q[0]) / 1.349, least_room), max((last[2] - last[0]) / 1.349, least_room))
         usual &= F.abs(away[k] - mid * sigma[k]) <= width * sigma[k] * room
-    return scored.select(F.col("id").alias(id_col), *BASE, "base_failed", *MEASURES, usual.alias("kept"), *(["row"] if whole else []))
+    columns = [F.col("id").alias(id_col), *BASE, "base_failed", *MEASURES, usual.alias("kept")]
+    if not whole:
+        return scored.select(*columns)
+    # whole rows are scored again instead of being written
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+    again = rows.mapInArrow(score, StructType([*schema.fields, StructField("row", rows.schema["row"].dataType)])).withColumn("base_failed", failed)
+    return again.select(*columns, "row")
 
 
 def apply_rules(docs: DataFrame, **options) -> DataFrame:

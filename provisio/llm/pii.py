@@ -320,7 +320,8 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     held = _found(docs, id_col, text_col, rounds, confidence, support, least, withheld)
     held = storage.written(held.where("spans != ''").groupBy("h1", "h2").agg(F.min("spans").alias("spans")), "spans-by-text")
     text, *hashes = _text(text_col)
-    rows = docs.select(F.struct("*").alias("row"), text, *hashes).join(held, ["h1", "h2"], "left").select("row", "text", "spans")
+    # merged at every size: a small table would else be broadcast while it is small only
+    rows = docs.select(F.struct("*").alias("row"), text, *hashes).join(held.hint("merge"), ["h1", "h2"], "left").select("row", "text", "spans")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

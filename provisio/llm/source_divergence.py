@@ -28,7 +28,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of a text that are cut into terms at a time, and terms that a task counts before it sends them.
 PIECE, HELD = 1 << 22, 300_000
 #: Groups of a tile; postings of a block of terms; the share of groups (one in so many) that makes a term heavy.
-TILE, BLOCK, HEAVY = 128, 500_000, 4
+TILE, BLOCK, HEAVY = 128, 50_000, 4
 #: Groups (lang, source) of which the facts are broadcast; more are joined by a shuffle.
 MOST_SENT = 100_000
 

@@ -33,7 +33,7 @@ TILE, BLOCK, HEAVY = 128, 50_000, 4
 MOST_SENT = 100_000
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], most: int, piece: int) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of some rows; the term '' says that the group occurs."""
     n: dict[tuple[str, str], Counter] = defaultdict(Counter)
     docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
@@ -56,7 +56,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at, seen = text.encode("utf-8", "replace").translate(_LOWER), 0, set()
             before = len(own)
             while at < len(data):
-                end = len(data) if len(data) - at <= PIECE else (m.start() if (m := _BREAK.search(data, at + PIECE)) else len(data))
+                end = len(data) if len(data) - at <= piece else (m.start() if (m := _BREAK.search(data, at + piece)) else len(data))
                 found = Counter(_TERM.findall(data, at, end))
                 at = end
                 for term, times in found.items():
@@ -64,7 +64,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(found)
             its.update(seen)
             held += len(own) - before
-            if held >= HELD:
+            if held >= most:
                 yield from sent()
                 held = 0
     yield from sent()
@@ -97,7 +97,8 @@ def postings(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     marks one of them.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    found = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text")).mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
+    most, piece = HELD, PIECE  # read here: tasks have their own copy of the module
+    found = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text")).mapInArrow(lambda rows: _counts(rows, most, piece), "lang string, source string, term string, n long, docs long")
     found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by = Window.partitionBy("lang", "term")
     found = found.withColumns({"all": F.sum("docs").over(by), "n_lang": F.sum("n").over(by), "holders": F.count("*").over(by), "first": F.row_number().over(by.orderBy("source")) == 1})
@@ -164,7 +165,7 @@ def _tiles(facts: DataFrame, rows: DataFrame) -> DataFrame:
     return every.groupBy("lang", "low", "high", "block").applyInPandas(_tile, "lang string, source string, item string, value long")
 
 
-def _posting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posting_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of rows in order of (lang, term): what pairs of a term's postings change, summed by pair of groups."""
     total: dict[tuple[str, str, str], int] = defaultdict(int)
 
@@ -201,7 +202,7 @@ def _posting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         kept = frame[last]
         if not last.all():
             added(frame[~last])
-        if len(total) >= HELD:
+        if len(total) >= most:
             yield sent()
     if kept is not None:
         added(kept)
@@ -231,7 +232,7 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     ranked = lambda df: df.withColumn("rank", F.row_number().over(by))
     terms = ranked(rows.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))).where(F.col("rank") <= shown)
     light = rows.where("not heavy and holders > 1").select("lang", "term", "source", "p", "p0")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    light = light.repartition(parts, "lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_posting_pairs, "lang string, source string, item string, value long")
+    most, parts = HELD, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = light.repartition(parts, "lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(lambda rows: _posting_pairs(rows, most), "lang string, source string, item string, value long")
     pairs = _tiles(facts, rows).unionByName(light).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return ranked(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value")).unionByName(terms).select("lang", "source", "part", "item", "value", "rank")

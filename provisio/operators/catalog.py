@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provisio import shared
+
 LISTED = 200
 
 
@@ -88,7 +90,7 @@ def assembled_detail(acts: DataFrame, versions: DataFrame, resources: DataFrame,
     return acts.join(v, "id", "left").join(r, "id", "left")
 
 
-def provision(provisions: DataFrame, asked: DataFrame, depth: int | None = None) -> DataFrame:
+def provision(provisions: DataFrame, asked: DataFrame) -> DataFrame:
     """(request, the provision's columns, hierarchy) of single provisions; one of another version than asked for is as good as missing.
 
     ``asked``: request, version_id, id.
@@ -96,33 +98,45 @@ def provision(provisions: DataFrame, asked: DataFrame, depth: int | None = None)
     from provisio.operators import hierarchy
 
     rows = asked.select("request", "version_id", "id").join(provisions, ["version_id", "id"])
-    context = hierarchy.contexts(provisions, rows.select("id").distinct(), depth=depth or hierarchy.MAX_DEPTH)
+    context = hierarchy.contexts(provisions, rows.select("id").distinct())
     return rows.join(context, rows["id"] == context["leaf"], "left").drop("leaf")
 
 
-def nested(nodes: DataFrame, depth: int) -> DataFrame:
-    """Roots with their children nested: (id, ordinal, children), ``children`` an array of such structs down to ``depth`` levels, in order; an orphan is a root.
+def numbered(nodes: DataFrame) -> DataFrame:
+    """(version_id, root, id, parent_id, ordinal, depth, preorder, end): where a node and all below it lie in its root's reading order, from 0.
 
-    ``nodes``: version_id, id, parent_id, ordinal.  Built from the leaves up, one group of a parent's
-    children at a time.
+    ``nodes``: version_id, id, parent_id, ordinal.  A node whose parent is missing is a root;
+    siblings go by ordinal, then id.  Trees may have any depth; a cycle, or what hangs on one, is an error.
+    A root's tree is numbered in one task.
     """
     from provisio.operators import hierarchy
 
-    rooted = hierarchy.with_roots(nodes)
-    level = rooted.where("is_root").select("id", F.lit(0).alias("level"))
-    levels = level
-    for k in range(1, depth + 1):
-        level = nodes.select("id", F.col("parent_id").alias("up")).join(level.select(F.col("id").alias("up")), "up").select("id", F.lit(k).alias("level"))
-        levels = levels.unionByName(level)
-    held = nodes.join(levels, "id")
-    below = None
-    for k in range(depth, -1, -1):
-        here = held.where(F.col("level") == k).select("version_id", "id", "parent_id", "ordinal")
-        if below is None:
-            here = here.withColumn("node", F.struct("ordinal", "id"))
-        else:
-            here = here.join(below, "id", "left").withColumn("node", F.struct("ordinal", "id", "children"))
-        if k == 0:
-            return here.select("version_id", "id", "ordinal", *(["children"] if depth else []))
-        below = here.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list("node")).alias("children"))
-    raise ValueError("depth is a whole number of 0 or more")
+    found = hierarchy.walks(nodes, nodes, carried=("ordinal", "parent_id"))
+    rows = nodes.select("version_id", "id", "parent_id", "ordinal").join(found.withColumnRenamed("leaf", "id"), "id", "left")
+    own = F.array(F.struct("id", "ordinal", "parent_id"))
+    rows = rows.withColumn("path", F.reverse(F.concat(own, F.coalesce("path", F.array().cast(found.schema["path"].dataType)))))
+    # the walk of a node in or below a cycle ends at a node whose parent is there
+    known = nodes.select(F.col("id").alias("known"))
+    top = F.element_at("path", 1)
+    rows = rows.join(known, top["parent_id"] == F.col("known"), "left")
+    root = F.when(F.col("known").isNull(), top["id"]).otherwise(F.raise_error(F.concat(F.lit("a cycle of parents above "), F.col("id").cast("string"))).cast(nodes.schema["id"].dataType))
+    rows = rows.select("version_id", root.alias("root"), "id", "parent_id", "ordinal", (F.size("path") - 1).alias("depth"), F.transform("path", lambda x: F.struct(x["ordinal"].alias("o"), x["id"].alias("i"))).alias("path"))
+    rows = shared.cut(rows, "tree")
+    below = rows.select("version_id", F.explode("path.i").alias("id")).groupBy("version_id", "id").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("version_id", "root").orderBy("path")) - 1
+    return rows.withColumn("preorder", nth).drop("path").join(below, ["version_id", "id"]).withColumn("end", F.col("preorder") + F.col("n").cast("int") - 1).drop("n")
+
+
+def nested(nodes: DataFrame) -> DataFrame:
+    """(version_id, id, n_nodes, depth, tree) of each root: its whole tree as JSON objects of id, ordinal and children.
+
+    As ``numbered``: one sort of a tree's nodes; brackets are closed where the depth falls.
+    """
+    rows = numbered(nodes)
+    before = F.lag("depth").over(Window.partitionBy("version_id", "root").orderBy("preorder"))
+    close = F.when(before >= F.col("depth"), F.concat(F.repeat(F.lit("]}"), before - F.col("depth") + 1), F.lit(","))).otherwise("")
+    text = F.concat(close, F.regexp_replace(F.to_json(F.struct("id", "ordinal")), r"\}$", ',"children":['))
+    rows = rows.withColumn("text", text).groupBy("version_id", F.col("root").alias("id")).agg(
+        F.count("*").alias("n_nodes"), F.max("depth").alias("depth"), F.max_by("depth", "preorder").alias("last"), F.array_sort(F.collect_list(F.struct("preorder", "text"))).alias("parts")
+    )
+    return rows.select("version_id", "id", "n_nodes", "depth", F.concat(F.array_join(F.transform("parts", lambda x: x["text"]), ""), F.repeat(F.lit("]}"), F.col("last") + 1)).alias("tree"))

@@ -1,39 +1,70 @@
 """Trees stored as adjacency lists: ancestors, context lines, roots.
 
-Walks are unrolled equi-joins up to a depth, so each step is an ordinary shuffle join that Spark may
-turn into a broadcast of a small level.
+Walks are built by pointer doubling: every node that has children knows a stretch of what is above
+it, and in each round the stretch of the node at its end is appended.  A tree of any depth takes
+one join for each doubling of the longest walk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from provisio import shared
+
 # Types that hold other units and are not searched themselves.
 CONTAINERS = ("part", "book", "title", "division", "chapter", "section")
-MAX_DEPTH = 12
 
 
-def ancestors(nodes: DataFrame, leaves: DataFrame, *, id_col: str = "id", parent_col: str = "parent_id", depth: int = MAX_DEPTH) -> DataFrame:
-    """(leaf, id, depth) of each leaf's ancestors, depth 1 for its parent; a missing parent or a node met before ends the walk.
+def paths(nodes: DataFrame, *, id_col: str = "id", parent_col: str = "parent_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, path) of the nodes that have children: what is above them, the parent first, as structs of the id and the ``carried`` columns.
 
-    One join a level: a leaf's row carries all its ancestors, which are turned into rows at the end.
-    Finished walks are spread by their leaves, so they never meet in one task.  A tree that goes on
-    after ``depth`` levels is an error, never cut.
+    A walk starts at the parent without having met anything, and ends where the parent is missing
+    or was met before: a node that is its own parent has itself above it once, and in a cycle
+    every node has the whole cycle above it, itself last.  Leaves take no part in the rounds, and
+    walks that are whole aren't joined again.
     """
-    kind = nodes.schema[id_col].dataType.simpleString()
-    edges = nodes.select(F.col(id_col).alias("__id"), F.col(parent_col).alias("__parent"), F.lit(0).cast("long").alias("__spread"))
-    walk = leaves.select(F.col(id_col).alias("leaf")).join(edges, F.col("leaf") == F.col("__id")).select("leaf", F.array().cast(f"array<{kind}>").alias("found"), F.when(F.col("__parent") != F.col("leaf"), F.col("__parent")).alias("next"))
-    spread = F.when(F.col("next").isNull(), F.xxhash64("leaf")).otherwise(F.lit(0).cast("long"))
-    for _ in range(depth):
-        walk = walk.withColumn("spread", spread).join(edges, (F.col("next") == F.col("__id")) & (F.col("spread") == F.col("__spread")), "left")
-        met = F.when(F.col("__id").isNotNull(), F.array_append("found", F.col("__id"))).otherwise(F.col("found"))
-        again = (F.col("__parent") == F.col("leaf")) | F.array_contains(met, F.col("__parent"))
-        walk = walk.select("leaf", met.alias("found"), F.when(~again, F.col("__parent")).alias("next"))
-    known = nodes.select(F.col(id_col).alias("__id"))
-    walk = walk.withColumn("spread", spread).join(known.withColumn("__spread", F.lit(0).cast("long")), (F.col("next") == F.col("__id")) & (F.col("spread") == F.col("__spread")), "left")
-    found = F.when(F.col("__id").isNull(), F.col("found")).otherwise(F.raise_error(F.lit(f"a tree is deeper than {depth} levels")).cast(f"array<{kind}>"))
-    return walk.select("leaf", F.posexplode(found).alias("p", "id")).select("leaf", "id", (F.col("p") + 1).alias("depth"))
+    return _stretches(nodes, id_col, parent_col, carried).select("id", "path")
+
+
+def _met_once(path: Column) -> Column:
+    """A walk up to where it meets a node again; from there on it meets only what it has met."""
+    return F.slice(path, 1, F.size(F.array_distinct(F.transform(path, lambda x: x["id"]))))
+
+
+def _stretches(nodes: DataFrame, id_col: str, parent_col: str, carried: tuple[str, ...]) -> DataFrame:
+    """(id, node, path) as of ``paths``, with the node's own struct."""
+    own = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.struct(F.col(id_col).alias("id"), *carried).alias("node"))
+    inner = own.join(own.select(F.col("up").alias("id")).distinct(), "id", "left_semi")
+    above = inner.select(F.col("id").alias("next"), F.array("node").alias("path"))
+    none = F.array().cast(above.schema["path"].dataType)
+    held = inner.join(above, F.col("up") == F.col("next"), "left").select("id", "node", F.coalesce("path", none).alias("path"), "next")
+    while True:
+        open_walks = Observation()
+        held = shared.cut(held.observe(open_walks, F.count("next").alias("n")), "paths")
+        if not open_walks.get["n"]:
+            return held.drop("next")
+        ends = held.select(F.col("id").alias("next"), F.col("path").alias("more"), F.col("next").alias("then"))
+        longer = held.where("next is not null").join(ends, "next").withColumn("path", F.concat("path", "more"))
+        once = _met_once(F.col("path"))
+        longer = longer.select("id", "node", once.alias("path"), F.when(F.size(once) == F.size("path"), F.col("then")).alias("next"))
+        held = held.where("next is null").unionByName(longer)
+
+
+def walks(nodes: DataFrame, leaves: DataFrame, *, id_col: str = "id", parent_col: str = "parent_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(leaf, path) of the ``leaves`` (their ids, and their parents if these are there): as ``paths``, for any node; those without a known parent have no row."""
+    below = leaves.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("leaf"), *(F.col(c).alias("up") for c in leaves.columns if c == parent_col))
+    if parent_col not in leaves.columns:
+        below = below.join(nodes.select(F.col(id_col).alias("leaf"), F.col(parent_col).alias("up")), "leaf")
+    found = _stretches(nodes, id_col, parent_col, carried)
+    found = found.select(F.col("id").alias("up"), _met_once(F.concat(F.array("node"), "path")).alias("path"))
+    return below.join(found, "up").select("leaf", "path")
+
+
+def ancestors(nodes: DataFrame, leaves: DataFrame, *, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """(leaf, id, depth) of each leaf's ancestors, depth 1 for its parent; cycles as in ``paths``."""
+    found = walks(nodes, leaves, id_col=id_col, parent_col=parent_col)
+    return found.select("leaf", F.posexplode("path").alias("p", "node")).select("leaf", F.col("node.id").alias("id"), (F.col("p") + 1).alias("depth"))
 
 
 def is_searchable(kind: Column, heading: Column, text: Column) -> Column:
@@ -47,12 +78,11 @@ def context_line(kind: Column, label: Column, heading: Column, text: Column) ->
     return F.when(is_searchable(kind, heading, text), F.concat(label, F.lit(" — "), F.trim(text))).otherwise(F.coalesce(heading, label))
 
 
-def contexts(nodes: DataFrame, leaves: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def contexts(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """(leaf, hierarchy): context lines, root first, of nodes (id, parent_id, provision_type, citation_label, heading, text)."""
     line = context_line(*(F.col(c) for c in ("provision_type", "citation_label", "heading", "text")))
-    walked = ancestors(nodes, leaves, depth=depth).join(nodes.select("id", line.alias("line")), "id")
-    lines = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("k"), "line")))
-    return walked.groupBy("leaf").agg(F.transform(lines, lambda x: x["line"]).alias("hierarchy"))
+    found = walks(nodes.select("id", "parent_id", line.alias("line")), leaves, carried=("line",))
+    return found.select("leaf", F.reverse(F.transform("path", lambda x: x["line"])).alias("hierarchy"))
 
 
 def document_content(title: Column, hierarchy: Column, label: Column, text: Column) -> Column:
@@ -67,7 +97,7 @@ def with_roots(nodes: DataFrame, *, id_col: str = "id", parent_col: str = "paren
     return nodes.join(present, nodes[parent_col] == F.col("__present"), "left").withColumn("is_root", F.col("__present").isNull()).drop("__present")
 
 
-def citation_matches(nodes: DataFrame, citation: dict[str, str | None], depth: int = MAX_DEPTH) -> DataFrame:
+def citation_matches(nodes: DataFrame, citation: dict[str, str | None]) -> DataFrame:
     """Ids of the units that a citation names: the deepest level on the unit itself, every other one on it or above it.
 
     ``nodes``: id, parent_id, provision_type, article, paragraph, point, letter.  No level is relaxed.
@@ -81,6 +111,6 @@ def citation_matches(nodes: DataFrame, citation: dict[str, str | None], depth: i
     if len(named) == 1:
         return leaf.select("id").distinct()
     own = [(F.col(k) == citation[k]).alias(f"has_{k}") for k in named[1:]]
-    chain = ancestors(nodes, leaf.select("id"), depth=depth).select("leaf", "id").unionByName(leaf.select(F.col("id").alias("leaf"), "id"))
+    chain = ancestors(nodes, leaf.select("id")).select("leaf", "id").unionByName(leaf.select(F.col("id").alias("leaf"), "id"))
     held = chain.join(nodes.select("id", *own), "id").groupBy("leaf").agg(*(F.bool_or(f"has_{k}").alias(f"has_{k}") for k in named[1:]))
     return held.where(" and ".join(f"has_{k}" for k in named[1:])).select(F.col("leaf").alias("id"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import citation
-from provisio.operators import currentlaw, hierarchy, retrieval
+from provisio.operators import currentlaw, hierarchy, lexical_index, retrieval, vector_index
 
 
-def exact_matches(nodes: DataFrame, queries: DataFrame, depth: int = hierarchy.MAX_DEPTH) -> DataFrame:
+def exact_matches(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id) of the units that the queries' citations name, for all queries at once.
 
     The deepest level that a query names must be the unit's own; every other one may be the unit's or
@@ -23,22 +23,28 @@ def exact_matches(nodes: DataFrame, queries: DataFrame, depth: int = hierarchy.M
     own = F.coalesce(*(F.when(level == k, F.col(k)) for k in citation.LEVELS))
     leaves = nodes.select(F.col("id").alias("leaf"), level.alias("level"), own.alias("value")).where("value is not null")
     found = asked.join(leaves, ["level", "value"])
-    chain = hierarchy.ancestors(nodes, found.select(F.col("leaf").alias("id")).distinct(), depth=depth).select("leaf", "id")
+    chain = hierarchy.ancestors(nodes, found.select(F.col("leaf").alias("id")).distinct()).select("leaf", "id")
     chain = chain.unionByName(found.select("leaf", F.col("leaf").alias("id")).distinct()).join(nodes.select("id", *citation.LEVELS), "id").drop("id")
     rows = found.join(chain, "leaf").groupBy("query_id", "leaf")
     held = rows.agg(*(F.coalesce(F.bool_or(F.col(f"q_{k}").isNull() | (F.col(f"q_{k}") == F.col(k))), F.lit(False)).alias(k) for k in citation.LEVELS))
     return held.where(" and ".join(citation.LEVELS)).select("query_id", F.col("leaf").alias("id"))
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: dict[int, list[float]] | None, exact: DataFrame | None = None, *, min_similarity: float = retrieval.MIN_SIMILARITY, limit: int = retrieval.RESULTS) -> DataFrame:
+def hybrid_search(
+    docs: DataFrame, queries: DataFrame, vectors: dict[int, list[float]] | None, exact: DataFrame | None = None, *, min_similarity: float = retrieval.MIN_SIMILARITY, limit: int = retrieval.RESULTS,
+    lexical: DataFrame | None = None, near: vector_index.VectorIndex | None = None,
+) -> DataFrame:
     """(query_id, id, ranks, similarity, is_exact, score, final_rank, vector_skipped).
 
-    ``docs``: id, text, embedding, already in scope.  Without vectors (the embedder failed) the rest
-    still answers, and the result says so.
+    ``docs``: id, text, embedding, already in scope; ``lexical`` and ``near``: their indexes, with which
+    ``docs`` is not read.  Without vectors (the embedder failed) the rest still answers, and the result says so.
     """
-    lexical = retrieval.lexical_search(docs, queries)
-    near = retrieval.vector_search(docs, vectors or {})
-    found = retrieval.ranked(retrieval.fused(lexical, near, exact, min_similarity=min_similarity), limit)
+    words = retrieval.lexical_search(docs, queries) if lexical is None else lexical_index.search(lexical, queries)
+    if near is None or not vectors:
+        nearest = retrieval.vector_search(docs, vectors or {})
+    else:
+        nearest = vector_index.search(near, docs.sparkSession.createDataFrame(list(vectors.items()), "query_id long, vector array<double>"))
+    found = retrieval.ranked(retrieval.fused(words, nearest, exact, min_similarity=min_similarity), limit)
     return found.withColumn("vector_skipped", F.lit(vectors is None))
 
 

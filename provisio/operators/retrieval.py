@@ -19,11 +19,16 @@ from provisio.functions import text
 CANDIDATES, RESULTS, RRF, MIN_SIMILARITY = 30, 10, 60, 0.35
 
 
-def in_scope(docs: DataFrame, scope: list, column: str) -> DataFrame:
-    """Documents of the scope; an empty one is an error, never everything."""
-    if not scope:
+def in_scope(docs: DataFrame, scope: DataFrame | list, column: str) -> DataFrame:
+    """Documents of the scope, a table of ``column`` (joined to, not gathered) or a few values; an empty one is an error, never everything."""
+    if isinstance(scope, list):
+        if not scope:
+            raise ValueError("the scope is empty")
+        return docs.where(F.col(column).isin(*scope))
+    known = scope.where(F.col(column).isNotNull()).select(column)
+    if known.isEmpty():
         raise ValueError("the scope is empty")
-    return docs.where(F.col(column).isin(*scope))
+    return docs.join(known.distinct(), column, "left_semi").select(docs.columns)
 
 
 #: Queries that are compared with a document at once.
@@ -146,7 +151,7 @@ def vector_search(docs: DataFrame, queries: dict[int, list[float]], *, id_col: s
 
     v = F.col(vector_col).cast("array<double>")
     fine = (F.size(v) == q.shape[1]) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = docs.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).mapInArrow(scan, "query_id long, id long, similarity double")
+    rows = docs.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).mapInArrow(scan, "query_id long, id long, similarity double")
     return top(rows, F.desc(F.round("similarity", 12)), limit, "vector_rank")
 
 

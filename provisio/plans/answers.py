@@ -214,16 +214,14 @@ def q90_single_provisions(spark: SparkSession, d: str) -> DataFrame:
     """Units with what is above them; asked for in another version they are missing."""
     nodes = geo_tree(spark, d).select(F.lit(1).alias("version_id"), "id", "parent_id", "provision_type", F.col("label").alias("citation_label"), F.col("label").alias("heading"), "text")
     asked = table(spark, d, "customer").selectExpr("c_custkey as request", "case when c_custkey % 4 = 0 then 2 else 1 end as version_id", "concat('c', c_custkey) as id")
-    return catalog.provision(nodes, asked, depth=4).select("request", "id", F.array_join("hierarchy", " > ").alias("hierarchy"))
+    return catalog.provision(nodes, asked).select("request", "id", F.array_join("hierarchy", " > ").alias("hierarchy"))
 
 
 def q91_nested_contents(spark: SparkSession, d: str) -> DataFrame:
-    """The tree of regions, nations and customers, nested, with the broken branches as roots."""
-    nodes = geo_tree(spark, d).where("provision_type <> 'point' and not (provision_type = 'article' and cast(substring(id, 2) as int) % 5 = 0)")
-    nodes = nodes.select(F.lit(1).alias("version_id"), "id", "parent_id", F.expr("cast(substring(id, 2) as int)").alias("ordinal"))
-    rows = catalog.nested(nodes, 2)
-    n = F.aggregate(F.coalesce(F.transform("children", lambda c: F.coalesce(F.size(c["children"]), F.lit(0)) + 1), F.array().cast("array<int>")), F.lit(0), lambda a, x: a + x)
-    return rows.select("id", F.coalesce(F.array_join(F.transform("children", lambda c: c["id"]), ","), F.lit("")).alias("children"), n.alias("n_below"))
+    """The whole tree, nested, with the broken branches as roots."""
+    nodes = geo_tree(spark, d).where("not (provision_type = 'article' and cast(substring(id, 2) as int) % 5 = 0)")
+    rows = catalog.nested(nodes.select(F.lit(1).alias("version_id"), "id", "parent_id", F.expr("cast(substring(id, 2) as int)").alias("ordinal")))
+    return rows.select("id", "n_nodes", "depth", F.sha2("tree", 256).alias("tree_hash"))
 
 
 def q92_contents(spark: SparkSession, d: str) -> DataFrame:
@@ -442,9 +440,11 @@ SQL = {
           coalesce(array_to_string(list_sort(list(distinct concat('u', l_suppkey)) filter (where l_returnflag <> 'N')), ','), '') as resolved, coalesce(array_to_string(list_sort(list(distinct concat('u', l_suppkey)) filter (where l_returnflag = 'N')), ','), '') as unresolved from lineitem left join orders a on a.o_orderkey = l_partkey group by 1)
         select o_orderkey as id, o_orderpriority as title, versions, resolved, unresolved from orders left join v on k = o_orderkey""",
     "q90_single_provisions": "select c_custkey as request, concat('c', c_custkey) as id, concat(r_name, ' > ', n_name) as hierarchy from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where c_custkey % 4 <> 0",
-    "q91_nested_contents": f"""with t as (select id, case when parent_id in (select id from ({GEO_SQL}) where not (provision_type = 'article' and cast(substring(id, 2) as int) % 5 = 0)) then parent_id end as up, cast(substring(id, 2) as int) as o
-          from ({GEO_SQL}) where provision_type <> 'point' and not (provision_type = 'article' and cast(substring(id, 2) as int) % 5 = 0))
-        select r.id, coalesce((select string_agg(c.id, ',' order by c.o, c.id) from t c where c.up = r.id), '') as children, (select count(*) from t c where c.up = r.id) + (select count(*) from t c join t g on g.up = c.id where c.up = r.id) as n_below from t r where r.up is null""",
+    "q91_nested_contents": f"""with recursive g as (select id, parent_id, cast(substring(id, 2) as int) as o from ({GEO_SQL}) where not (provision_type = 'article' and cast(substring(id, 2) as int) % 5 = 0)),
+        t as (select g.id, p.id as up, g.o from g left join g p on p.id = g.parent_id),
+        walk as (select id as root, id, o, [{{'o': o, 'i': id}}] as path from t where up is null union all select w.root, t.id, t.o, list_append(w.path, {{'o': t.o, 'i': t.id}}) from walk w join t on t.up = w.id),
+        s as (select root, id, o, len(path) - 1 as depth, lag(len(path) - 1) over (partition by root order by path) as before, row_number() over (partition by root order by path) as nth from walk)
+        select root as id, count(*) as n_nodes, max(depth) as depth, sha256(concat(string_agg(concat(case when before >= depth then concat(repeat(']}}', before - depth + 1), ',') else '' end, '{{"id":"', id, '","ordinal":', o, ',"children":['), '' order by nth), repeat(']}}', arg_max(depth, nth) + 1))) as tree_hash from s group by 1""",
     "q92_contents": f"select id, parent_id, label as citation_label from ({GEO_SQL}) where provision_type <> 'point'",
     "q93_catalogue": f"""with a as (select p_partkey as act, p_name as title from part where p_name ilike '%a%' order by title, act limit 200),
         v as (select l_partkey as act, {_ID} as id, case l_returnflag when 'A' then 'promulgated' when 'N' then 'consolidated' else 'unified' end as kind, l_linestatus = 'O' as s, cast(l_shipdate as date) as sd from lineitem where l_partkey in (select act from a)),

@@ -165,7 +165,7 @@ def q77_citations_of_many_queries(spark: SparkSession, d: str) -> DataFrame:
     own = lambda kind, c: F.when(F.col("provision_type") == kind, c)
     nodes = nodes.select("id", "parent_id", "provision_type", own("article", number).alias("article"), own("clause", F.pmod(number.cast("int"), F.lit(4)).cast("string")).alias("paragraph"), own("point", F.pmod(number.cast("int"), F.lit(3)).cast("string")).alias("point"), F.lit(None).cast("string").alias("letter"))
     asked = spark.createDataFrame([(1, "art. 3 ust. 2 pkt 1"), (2, "art. 7 pkt 2"), (3, "art. 4 ust. 9"), (4, "ust. 1"), (5, "art. 12"), (6, "nothing here")], "query_id long, query string")
-    return pipeline.exact_matches(nodes, asked, depth=4)
+    return pipeline.exact_matches(nodes, asked)
 
 
 def q78_contexts_indexed(spark: SparkSession, d: str) -> DataFrame:

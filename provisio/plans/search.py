@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.functions import citation, hashing, text
-from provisio.operators import evaluation, hierarchy, indexing, retrieval
-from provisio.plans.views import GEO_SQL, geo_tree, lexemes_sql, table, tokens_sql
+from provisio.operators import evaluation, hierarchy, indexing, lexical_index, retrieval, vector_index
+from provisio.plans.views import GEO_SQL, documents_index, embeddings_index, geo_tree, lexemes_sql, table, tokens_sql
 
 TERMS = ["the", "with", "that"]
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -16,9 +16,9 @@ _SIM = "list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding a
 
 
 def _in_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of all sources: the scope is a request's value, here all that the table has."""
+    """Documents of all sources: the scope is a request's table, here of all sources that there are."""
     rows = table(spark, d, "documents")
-    return retrieval.in_scope(rows, [r["source"] for r in rows.select("source").where("source is not null").distinct().collect()], "source")
+    return retrieval.in_scope(rows, rows.select("source"), "source")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def q08_hybrid_hydrated(spark: SparkSession, d: str) -> DataFrame:
 
 def q09_ancestors_root_first(spark: SparkSession, d: str) -> DataFrame:
     nodes = geo_tree(spark, d)
-    walked = hierarchy.ancestors(nodes, nodes.where("provision_type = 'point'"), depth=4)
+    walked = hierarchy.ancestors(nodes, nodes.where("provision_type = 'point'"))
     path = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("k"), "id")))
     return walked.groupBy("leaf").agg(F.array_join(F.transform(path, lambda x: x["id"]), "/").alias("path"), F.count("*").alias("n"))
 
@@ -116,7 +116,7 @@ walk as (select o.id as leaf, p.id as id, p.parent_id, 1 as depth from geo o joi
 
 def q10_ancestor_context(spark: SparkSession, d: str) -> DataFrame:
     nodes = geo_tree(spark, d).select("*", F.col("label").alias("citation_label"), F.col("label").alias("heading"))
-    found = hierarchy.contexts(nodes, nodes.where("provision_type = 'point'"), depth=4)
+    found = hierarchy.contexts(nodes, nodes.where("provision_type = 'point'"))
     return found.select("leaf", F.array_join("hierarchy", " > ").alias("context"))
 
 
@@ -136,7 +136,7 @@ def q12_citation_match(spark: SparkSession, d: str) -> DataFrame:
     nodes = geo_tree(spark, d)
     own = lambda kind: F.when(F.col("provision_type") == kind, F.col("label"))
     nodes = nodes.select("id", "parent_id", "provision_type", own("article").alias("article"), own("clause").alias("paragraph"), own("point").alias("point"), F.lit(None).cast("string").alias("letter"))
-    return hierarchy.citation_matches(nodes, {"article": "NATION_3", "point": "1-URGENT"}, depth=4)
+    return hierarchy.citation_matches(nodes, {"article": "NATION_3", "point": "1-URGENT"})
 
 
 def _broken_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -186,20 +186,48 @@ def q48_prefix_match(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.found_labels(expected, part.select(F.col("p_brand").alias("question"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("label")))
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def q49_multi_query_lexical(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items, whole, as queries against all documents."""
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = retrieval.top(retrieval.lexical_hits(docs, asked, limit=10), F.desc("rank"), 10, "nth")
+    """Benchmark items, whole, as queries against all documents, through the index."""
+    found = retrieval.top(lexical_index.hits(documents_index(spark, d), _items(spark, d), 10)[0], F.desc("rank"), 10, "nth")
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("n_lexemes").alias("most_lexemes"))
 
 
+def q112_lexical_topk_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    found = retrieval.top(lexical_index.hits(documents_index(spark, d), _items(spark, d), 10)[0], F.desc("rank"), 10, "nth")
+    return found.select("query_id", F.col("id").alias("doc_id"), "rank", "n_lexemes", "nth")
+
+
+def q113_vector_topk_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every vector that asks, by balls."""
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vector_index.search(embeddings_index(spark, d), asked, 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 9).alias("similarity"), "vector_rank")
+
+
+def q114_cycles_of_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Walks where parents are missing, above themselves, or in a cycle: every part's parent is another part."""
+    nodes = table(spark, d, "part").selectExpr("p_partkey as id", "case p_partkey % 4 when 0 then p_partkey when 1 then p_partkey div 3 else (p_partkey * 7 + p_size) % 1500 + 1 end as parent_id")
+    found = hierarchy.walks(nodes, nodes)
+    return found.select(F.col("leaf").alias("id"), F.size("path").alias("n"), F.array_join(F.transform("path", lambda x: x["id"].cast("string")), "/").alias("path"))
+
+
 def q50_query_forms(spark: SparkSession, d: str) -> DataFrame:
     """Squeezed, folded and counted texts of conversations."""
     rows = table(spark, d, "conversations")
     return rows.select("conv_id", "turn", F.sha2(text.query_form(F.col("text")), 256).alias("form"), F.size(text.tokens(F.col("text"))).alias("n_tokens"), text.is_valid_query(F.col("text")).alias("is_valid"))
 
 
+_BEST = f"""with tok as ({tokens_sql()}),
+        q as (select item_id as query_id, unnest(list_distinct(toks)) as tok, len(list_distinct(toks)) as n from (
+          select item_id, {lexemes_sql("text")} as toks from benchmark)),
+        hits as (select query_id, id, n, t.tok, pos, lag(t.tok) over w as before, pos - lag(pos) over w as gap from tok t join q on t.tok = q.tok window w as (partition by query_id, id order by pos)),
+        scored as (select query_id, id, n, count(distinct tok) as n_lexemes, round(sum(case when n = 1 then 0.1e0 when before <> tok then 0.1e0 / gap else 0e0 end), 6) as rank from hits group by 1, 2, 3),
+        best as (select *, row_number() over (partition by query_id order by rank desc, id) as nth from scored where n_lexemes >= least(2, n) qualify nth <= 10)"""
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 _BROKEN = f"select * from ({GEO_SQL}) where not (provision_type = 'article' and cast(substring(id, 2) as int) % 5 = 0)"
 _NOT_SEARCHED = "provision_type not in ('part', 'book', 'title', 'division', 'chapter', 'section') and not starts_with(provision_type, 'unknown') and trim(text) <> '' and trim(text) <> trim(label)"
@@ -228,13 +256,12 @@ SQL = {
     "q48_prefix_match": """with e as (select question, unnest(['PROMO', 'ECONOMY 3', 'SMALL']) as label from (select distinct p_brand as question from part)),
         l as (select p_brand as question, concat(p_type, ' ', p_size) as label from part)
         select e.question, e.label, coalesce(bool_or(l.label = e.label or starts_with(l.label, e.label || ' ')), false) as is_found from e left join l on e.question = l.question group by 1, 2""",
-    "q49_multi_query_lexical": f"""with tok as ({tokens_sql()}),
-        q as (select item_id as query_id, unnest(list_distinct(toks)) as tok, len(list_distinct(toks)) as n from (
-          select item_id, {lexemes_sql("text")} as toks from benchmark)),
-        hits as (select query_id, id, n, t.tok, pos, lag(t.tok) over w as before, pos - lag(pos) over w as gap from tok t join q on t.tok = q.tok window w as (partition by query_id, id order by pos)),
-        scored as (select query_id, id, n, count(distinct tok) as n_lexemes, round(sum(case when n = 1 then 0.1e0 when before <> tok then 0.1e0 / gap else 0e0 end), 6) as rank from hits group by 1, 2, 3),
-        best as (select *, row_number() over (partition by query_id order by rank desc, id) as nth from scored where n_lexemes >= least(2, n) qualify nth <= 10)
-        select query_id, count(*) as n, max(n_lexemes) as most_lexemes from best group by query_id""",
+    "q49_multi_query_lexical": f"{_BEST} select query_id, count(*) as n, max(n_lexemes) as most_lexemes from best group by query_id",
+    "q112_lexical_topk_by_index": f"{_BEST} select query_id, id as doc_id, rank, n_lexemes, nth from best",
+    "q113_vector_topk_by_index": PER_QUERY_SQL,
+    "q114_cycles_of_parents": """with recursive n as (select p_partkey as id, case p_partkey % 4 when 0 then p_partkey when 1 then p_partkey // 3 else (p_partkey * 7 + p_size) % 1500 + 1 end as up from part),
+        walk as (select a.id as leaf, [b.id] as path, b.up from n a join n b on a.up = b.id union all select leaf, list_append(path, b.id), b.up from walk w join n b on w.up = b.id where not list_contains(path, b.id))
+        select leaf as id, max(len(path)) as n, array_to_string(arg_max(path, len(path)), '/') as path from walk group by 1""",
     "q50_query_forms": f"""select conv_id, turn, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as form,
         len({lexemes_sql("text")}) as n_tokens,
         length(trim(text)) between 3 and 2000 as is_valid from conversations""",

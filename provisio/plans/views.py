@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.functions.text import FOLD_FROM, FOLD_TO
 
+if TYPE_CHECKING:
+    from provisio.operators.vector_index import VectorIndex
+
 AS_OF = "date '1998-01-01'"
 
 
@@ -87,3 +93,27 @@ def tokens_sql(where: str = "true") -> str:
         "select id, toks[i] as tok, i - 1 as pos from (select id, toks, unnest(range(1, len(toks) + 1)) as i "
         f"from (select doc_id as id, {lexemes_sql('text')} as toks from documents where {where}))"
     )
+
+
+@lru_cache(maxsize=8)
+def _lexical_index(application: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provisio.operators import lexical_index
+
+    return lexical_index.built(table(spark, sf_dir, "documents"), id_col="doc_id")
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical index of the documents, built once by an application."""
+    return _lexical_index(spark.sparkContext.applicationId, spark, sf_dir)
+
+
+@lru_cache(maxsize=8)
+def _vector_index(application: str, spark: SparkSession, sf_dir: str) -> VectorIndex:
+    from provisio.operators import vector_index
+
+    return vector_index.built(table(spark, sf_dir, "embeddings"), id_col="vec_id")
+
+
+def embeddings_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The vector index of the embeddings, built once by an application."""
+    return _vector_index(spark.sparkContext.applicationId, spark, sf_dir)

@@ -1,12 +1,14 @@
 """Behaviour of single operators on rows of our own."""
 
 import datetime
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from provisio.functions import citation, text
-from provisio.operators import activity, answer, answer_cache, answering, currentlaw, evaluation, hierarchy, indexing, ingest, merge, retrieval
+from provisio.operators import activity, answer, answer_cache, answering, catalog, currentlaw, evaluation, hierarchy, indexing, ingest, merge, retrieval
 from provisio.sources import html_units, metadata, pdf_lines
 
 
@@ -179,16 +181,68 @@ def test_answer_texts(spark):
     assert text.split("\n\n") == [answering.INTRO, "first (a, b)", "second", "last (b)", f"{answering.UNSUPPORTED}\n- three", f"{answering.OTHER_PATHS}\n- p: why (c)", f"{answering.UNCERTAINTIES}\n- d", f"{answering.CLARIFICATION}which?"]
 
 
-def test_walks_end_at_cycles_and_refuse_deep_trees(spark):
-    nodes = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", None), ("s", "s")], "id string, parent_id string")
+def plain_walk(parents: dict, leaf) -> list:
+    found, at = [], parents[leaf]
+    while at in parents and at not in found:
+        found.append(at)
+        at = parents[at]
+    return found
+
+
+def walked(nodes) -> dict:
     found = {}
     for r in hierarchy.ancestors(nodes, nodes).collect():
         found.setdefault(r.leaf, []).append((r.depth, r.id))
-    assert {k: [x for _, x in sorted(v)] for k, v in found.items()} == {"a": ["b"], "b": ["a"], "c": ["b", "a"]}
-    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(6)], "id long, parent_id long")
-    assert hierarchy.ancestors(chain, chain.where("id = 5"), depth=5).count() == 5
-    with pytest.raises(Exception, match="deeper than 4 levels"):
-        hierarchy.ancestors(chain, chain.where("id = 5"), depth=4).collect()
+    return {k: [x for _, x in sorted(v)] for k, v in found.items()}
+
+
+def test_walks_start_at_the_parent_and_end_at_what_they_met(spark):
+    rows = [("a", "b"), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", None), ("s", "s"), ("t", "s"), ("u", "t"), ("x", "z"), ("y", "x"), ("z", "y"), ("w", "x"), ("v", "w"), (None, "a")]
+    found = walked(spark.createDataFrame(rows, "id string, parent_id string"))
+    assert found["a"] == ["b", "a"] and found["b"] == ["a", "b"] and found["s"] == ["s"] and found["v"] == ["w", "x", "z", "y"]
+    parents = {k: v for k, v in rows if k}
+    assert found == {k: w for k in parents if (w := plain_walk(parents, k))}
+
+
+def test_walks_of_any_tree_by_brute_force(spark):
+    rng = random.Random(7)
+    parents = {i: rng.choice([rng.randrange(220), max(0, i - 1), None, -1]) for i in range(200)}
+    assert walked(spark.createDataFrame(list(parents.items()), "id long, parent_id long")) == {k: w for k in parents if (w := plain_walk(parents, k))}
+
+
+def test_walks_have_any_depth(spark):
+    chain = spark.range(1001).selectExpr("id", "case when id > 0 then id - 1 end as parent_id")
+    rows = hierarchy.ancestors(chain, chain.where("id in (1000, 3)")).collect()
+    assert sorted((r.leaf, r.depth, r.id) for r in rows) == sorted([(1000, i + 1, 999 - i) for i in range(1000)] + [(3, i + 1, 2 - i) for i in range(3)])
+
+
+def plain_tree(rows: list[tuple], at) -> dict:
+    below = sorted((o, i) for i, up, o in rows if up == at)
+    own = next(o for i, _, o in rows if i == at)
+    return {"id": at, "ordinal": own, "children": [plain_tree(rows, i) for _, i in below]}
+
+
+def test_nesting_of_any_depth(spark):
+    rng = random.Random(3)
+    rows = [(f"n{i}", f"n{i - 1}" if 0 < i < 25 else f"n{rng.randrange(i)}" if i > 30 else None if i else "gone", rng.randrange(3)) for i in range(90)]
+    rows[50] = ('q"\\', rows[50][1], 1)  # what JSON escapes
+    rows = [r if r[1] != "n50" else (r[0], 'q"\\', r[2]) for r in rows]
+    nodes = spark.createDataFrame([(1, *r) for r in rows], "version_id int, id string, parent_id string, ordinal int")
+    got = {r.id: r for r in catalog.nested(nodes).collect()}
+    ids = {r[0] for r in rows}
+    assert set(got) == {i for i, up, _ in rows if up not in ids} and max(r.depth for r in got.values()) >= 24
+    assert all(json.loads(r.tree) == plain_tree(rows, i) for i, r in got.items()) and sum(r.n_nodes for r in got.values()) == 90
+    places = {r.id: r for r in catalog.numbered(nodes).collect()}
+    for i, up, _ in rows:
+        assert up not in ids or (places[up].preorder < places[i].preorder <= places[i].end <= places[up].end and places[i].depth == places[up].depth + 1)
+    assert catalog.nested(nodes.limit(0)).collect() == []
+
+
+def test_nesting_refuses_cycles(spark):
+    for rows in ([("a", "b", 1), ("b", "a", 1)], [("s", "s", 1)], [("r", None, 0), ("c", "a", 1), ("a", "b", 1), ("b", "a", 1)]):
+        nodes = spark.createDataFrame([(1, *r) for r in rows], "version_id int, id string, parent_id string, ordinal int")
+        with pytest.raises(Exception, match="a cycle of parents"):
+            catalog.nested(nodes).collect()
 
 
 def test_vectors_that_are_not_finite_have_no_rank(spark):

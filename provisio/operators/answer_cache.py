@@ -46,6 +46,20 @@ def counted_hits(cache: DataFrame, looked: DataFrame, now: Column) -> DataFrame:
 
 
 def source_pack_hash() -> Column:
-    """Aggregate: digest of an answer's sources in their order: provision, version and proven date."""
-    rows = F.array_sort(F.collect_list(F.struct("source_no", F.concat_ws(":", F.col("id").cast("string"), F.col("version_id").cast("string"), F.coalesce(F.col("proven_as_of").cast("string"), F.lit(""))).alias("v"))))
-    return F.sha2(F.array_join(F.transform(rows, lambda x: x["v"]), "\n"), 256)
+    """Aggregate: digest of an answer's sources, each as its provision and its label, in the order of the provisions (``id``, ``label``; equal ones by ``source_no``)."""
+    one = F.to_json(F.struct(F.col("id").cast("string").alias("legalProvisionId"), F.col("label").alias("citationLabel")), {"ignoreNullFields": "false"})
+    rows = F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("k"), "source_no", one.alias("v"))))
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda x: x["v"]), ","), F.lit("]")), 256)
+
+
+def rows_to_record(answers: DataFrame, scope: DataFrame) -> DataFrame:
+    """Cache rows of the answers that may be stored: key, provenance, status, snapshot, the sources' versions, their digest, no hits yet.
+
+    ``answers``: key, provenance, status, answer, sources (structs of id, label, version_id, proven_as_of).
+    """
+    fine = recordable(answers, scope.select("corpus_run_id", "version_ids"))
+    packs = fine.select(*KEY, F.posexplode("sources").alias("source_no", "s")).select(*KEY, "source_no", "s.id", "s.label").groupBy(*KEY).agg(source_pack_hash().alias("source_pack_hash"))
+    versions = F.array_sort(F.array_distinct(F.transform("sources", lambda s: s["version_id"])))
+    return fine.join(packs, list(KEY)).select(
+        *KEY, *PROVENANCE, "status", F.col("answer").alias("answer_snapshot"), versions.alias("source_version_ids"), "source_pack_hash", F.lit(0).cast("long").alias("hit_count"), F.lit(None).cast("timestamp_ntz").alias("last_hit_at")
+    )

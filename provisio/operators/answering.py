@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from provisio import shared
 from provisio.functions import text
 from provisio.operators import answer, answer_cache
+from provisio.operators.publication import Store
 
 # The headings of an answer's sections.
 INTRO = "Na podstawie przeszukanych i zweryfikowanych przepisów można wskazać następujące ustalenia:"
@@ -244,3 +246,43 @@ def run_queries(queries: DataFrame, cache: DataFrame, scope: DataFrame, answer_a
     every = hits.unionByName(told).unionByName(wrong)
     history = every.where("status in ('answered', 'insufficient_evidence')").select("request", "query", "status")
     return every.select("request", "outcome", "answer"), history
+
+
+def run_batch(
+    queries: DataFrame, store: Store, scope: DataFrame, answer_all: Callable[[DataFrame], DataFrame], now: Column, batch: int, *, writers: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]] | None = None
+) -> tuple[DataFrame, dict[str, str]]:
+    """What each query gets, as ``run_queries``, with its side writes: answers to the cache, its hit counts, the history.
+
+    ``answer_all``: from queries to (request, status, answer, sources), sources as of
+    ``answer_cache.rows_to_record``; ``store`` holds the tables ``cache`` and ``history``.  Outcomes are
+    written first; then each side write is published by itself, once for a ``batch`` however often
+    the batch is sent.  One that fails is told in the second result, by its name, and takes
+    nothing from the outcomes or the other writes.  ``writers``: name to another way to make a write's
+    table from its rows and what the table holds.
+    """
+    spark = queries.sparkSession
+    key = [c for c in queries.columns if c not in ("request", "query")]
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in (*answer_cache.KEY, *answer_cache.PROVENANCE, "status", "answer_snapshot")) + ", source_version_ids array<string>, source_pack_hash string, hit_count long, last_hit_at timestamp_ntz")
+    held = store.table("cache")
+    told = {}
+
+    def once(asked: DataFrame) -> DataFrame:
+        told["answers"] = shared.cut(answer_all(asked).join(asked.select("request", "question_hash", *key), "request"), "answers")
+        return told["answers"]
+
+    every, history = run_queries(queries, none if held is None else held, scope, once)
+    every, history = shared.cut(every, "outcomes"), shared.cut(history, "history")
+    hits = queries.join(every.where("outcome = 'cached'").select("request"), "request").select(text.cache_key(F.col("query")).alias("question_hash"), *key, F.lit(True).alias("is_hit"))
+    new = answer_cache.rows_to_record(told["answers"], scope)
+    made = {
+        "cache": lambda rows, table: answer_cache.recorded(table, rows) if table is not None else rows.dropDuplicates(list(answer_cache.KEY)),
+        "hits": lambda rows, table: answer_cache.counted_hits(table, rows, now) if table is not None else none,
+        "history": lambda rows, table: rows,
+    } | (writers or {})
+    failed = {}
+    for name, rows, table, kind in (("cache", new, "cache", "appended"), ("hits", hits, "cache", "replaced"), ("history", history.withColumn("batch", F.lit(batch)), "history", "appended")):
+        try:
+            store.change(lambda at: {kind: {table: made[name](rows, store.table(table, at))}}, stream=name, batch=batch)  # noqa: B023
+        except Exception as e:  # a side write never takes an answer away; what failed is told
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return every, failed

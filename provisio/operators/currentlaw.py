@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provisio import shared
+
 #: Kinds of version in the order of preference.
 KINDS = ("promulgated", "consolidated", "unified", "unknown")
 
@@ -107,15 +109,43 @@ def run_summary(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("reason_code").agg(F.count("*").alias("n"))
 
 
-def selection_hash(decisions: DataFrame, act: str) -> DataFrame:
-    """One row: digest of all (act, reason) in order of the acts, each as act:reason and a line feed.
+#: Hexadecimal digits of an act's digest that say in which leaf of the tree it is.
+LEVELS = 3
+
+
+def hash_tree(decisions: DataFrame, act: str = "act") -> DataFrame:
+    """(prefix, n, digest) of every range of acts, the ranges of a digest of the act: leaves of LEVELS digits, up to the empty prefix.
 
-    Digests of blocks of acts are made first, then the digest of those, so no row holds all acts.
+    ``decisions``: act, decision, reason_code, version_id.  A leaf's digest is that of its entries as
+    JSON lines in the order of the acts, an inner node's that of its children's in order.  No row
+    holds all acts, and the tree does not depend on how rows are dealt out.
     """
-    line = F.concat(F.col(act).cast("string"), F.lit(":"), F.col("reason_code"))
-    block = decisions.groupBy(F.floor(F.col(act) / 4096).alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col(act).alias("k"), line.alias("v")))).alias("x"))
-    block = block.select("block", F.sha2(F.array_join(F.transform("x", lambda r: r["v"]), "\n"), 256).alias("h"))
-    return block.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda r: r["h"]), "\n"), 256).alias("selection_hash"))
+    entry = F.to_json(F.struct(F.col(act).alias("act"), "decision", "reason_code", "version_id"), {"ignoreNullFields": "false"})
+    key = F.col(act).cast("string")
+    rows = decisions.select(F.substring(F.sha2(key, 256), 1, LEVELS).alias("prefix"), F.struct(key.alias("k"), entry.alias("v")).alias("x"))
+    level = rows.groupBy("prefix").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda r: r["v"]), "\n"), 256).alias("digest"))
+    tree = level = shared.cut(level, "hash-leaves")
+    for digits in range(LEVELS - 1, -1, -1):
+        child = F.struct("prefix", "digest")
+        level = level.groupBy(F.substring("prefix", 1, digits).alias("up")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda r: F.concat(r["prefix"], F.lit(":"), r["digest"])), "\n"), 256).alias("digest"))
+        level = level.withColumnRenamed("up", "prefix")
+        tree = tree.unionByName(level)
+    return tree
+
+
+def selection_hash(decisions: DataFrame, ruleset_version: str, effective_as_of: str, act: str = "act") -> DataFrame:
+    """One row: digest of the rules, the date and the tree of all entries; a run without entries has one too."""
+    root = hash_tree(decisions, act).where("prefix = ''").agg(F.coalesce(F.max("digest"), F.lit("")).alias("root"))
+    return root.select(F.sha2(F.concat_ws("\n", F.lit(ruleset_version), F.lit(effective_as_of), "root"), 256).alias("selection_hash"))
+
+
+def changed_entries(old: DataFrame, new: DataFrame, act: str = "act") -> DataFrame:
+    """(act, was, now): entries that two runs do not share, as JSON, null where there is none; only leaves of the tree whose digests differ are compared."""
+    leaf = lambda rows: hash_tree(rows, act).where(F.length("prefix") == LEVELS).select("prefix", "digest")
+    same = leaf(old).join(leaf(new), ["prefix", "digest"]).select("prefix")
+    entry = F.to_json(F.struct("decision", "reason_code", "version_id"), {"ignoreNullFields": "false"})
+    of = lambda rows, name: rows.withColumn("prefix", F.substring(F.sha2(F.col(act).cast("string"), 256), 1, LEVELS)).join(same, "prefix", "left_anti").select(act, entry.alias(name))
+    return of(old, "was").join(of(new, "now"), act, "full").where(~F.col("was").eqNullSafe(F.col("now")))
 
 
 def latest_usable_run(runs: DataFrame, entries: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ least rank to beat, and of the other blocks only those are read whose bound reac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +28,27 @@ from provisio import shared
 from provisio.functions import text
 from provisio.operators import retrieval
 
-#: Documents of a block; tokens that a task holds while it builds, which also closes a block.
+#: Documents of a block (2**10 at most); tokens that a task holds while it builds, which also closes a block.
 BLOCK, HELD = 64, 2_000_000
 #: Blocks that a query reads before it has a rank to beat.
 SEEDS = 3
 #: Queries that are answered by one task for a block.
 ASKED = 2000
-SCHEMA = "block long, lexeme string, top int, docs array<int>, tfs array<int>, places array<int>, ids array<long>"
+SCHEMA = "block long, lexeme string, top int, docs binary, tfs binary, places binary, ids array<long>"
+#: Numbers of a posting as bytes, little-endian.
+KINDS = {"docs": "<u2", "tfs": "<u4", "places": "<u4"}
 
 
 def _lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), pa.array(values, kind))
 
 
+def _blobs(column: str, values: np.ndarray, first: np.ndarray) -> pa.Array:
+    data = values.astype(KINDS[column])
+    offsets = (np.append(first, len(values)) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def _rows(ids: np.ndarray, lengths: np.ndarray, flat: pa.Array, base: int, size: int, most: int) -> tuple[list[pa.RecordBatch], int]:
     """The rows of some documents, in blocks of ``size`` documents or ``most`` tokens, and how many blocks they are."""
     coded = pc.dictionary_encode(flat)
@@ -70,15 +79,15 @@ def _rows(ids: np.ndarray, lengths: np.ndarray, flat: pa.Array, base: int, size:
     out = [
         pa.RecordBatch.from_arrays(
             [
-                pa.array(base + row % blocks), words.take(pa.array(row // blocks)), pa.array(np.maximum.reduceat(tf, row_first).astype(np.int32)), _lists((posting % size).astype(np.int32), row_first, pa.int32()),
-                _lists(tf.astype(np.int32), row_first, pa.int32()), _lists(places.astype(np.int32), first[row_first], pa.int32()), pa.nulls(len(row), pa.list_(pa.int64())),
+                pa.array(base + row % blocks), words.take(pa.array(row // blocks)), pa.array(np.maximum.reduceat(tf, row_first).astype(np.int32)), _blobs("docs", posting % size, row_first),
+                _blobs("tfs", tf, row_first), _blobs("places", places, first[row_first]), pa.nulls(len(row), pa.list_(pa.int64())),
             ],
             names=["block", "lexeme", "top", "docs", "tfs", "places", "ids"],
         )
     ]
     inside = np.lexsort((nth, block))
     block_first = np.flatnonzero(np.append(True, np.diff(block[inside]) != 0))
-    none = pa.array([[]] * blocks, pa.list_(pa.int32()))
+    none = pa.array([b""] * blocks, pa.binary())
     out.append(pa.RecordBatch.from_arrays([pa.array(base + np.arange(blocks)), pa.array([""] * blocks), pa.array(np.zeros(blocks, np.int32)), none, none, none, _lists(ids[inside], block_first, pa.int64())], names=out[0].schema.names))
     return out, blocks
 
@@ -117,7 +126,7 @@ def updated(index: DataFrame, docs: DataFrame, changes: DataFrame, *, generation
     known = index.where("lexeme = ''").select("block", F.posexplode("ids").alias("nth", "id"))
     known = known.join(stale, F.col("id") == F.col("stale"), "left").select("block", "nth", F.when(F.col("stale").isNull(), F.col("id")).alias("id"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x["id"])
-    none = F.array().cast("array<int>")
+    none = F.lit(b"")
     known = known.groupBy("block").agg(ids.alias("ids")).select("block", F.lit("").alias("lexeme"), F.lit(0).alias("top"), none.alias("docs"), none.alias("tfs"), none.alias("places"), "ids")
     fresh = docs.join(changes.where("action = 'embedded'").select(F.col("id").alias(id_col)), id_col, "left_semi")
     every = index.where("lexeme != ''").unionByName(known).unionByName(_built(fresh, id_col, text_col, generation, BLOCK, HELD))
@@ -129,9 +138,15 @@ def _ranked(limit: int):
 
     def rank(rows: pa.Table, asked: pa.Table) -> pa.Table:
         names = rows["lexeme"].to_pylist()
-        arrays = {c: rows[c].combine_chunks() for c in ("docs", "tfs", "places")}
-        lists, flat = {c: a.offsets.to_numpy() for c, a in arrays.items()}, {c: a.values.to_numpy() for c, a in arrays.items()}
-        part = lambda c, i: flat[c][lists[c][i] : lists[c][i + 1]]
+        blobs = {c: rows[c].to_pylist() for c in KINDS}
+        part = lambda c, i: np.frombuffer(blobs[c][i], KINDS[c]).astype(np.int64)
+
+        @cache
+        def postings(i: int) -> tuple[np.ndarray, np.ndarray]:
+            """A lexeme's documents, and its hits as numbers of a document, a place and the lexeme: no two in a block are equal."""
+            docs = part("docs", i)
+            return docs, (np.repeat(docs, part("tfs", i)) << 53) | (part("places", i) << 21) | i
+
         at = {w: i for i, w in enumerate(names)}
         found: list[tuple] = []
         if "" in at:
@@ -142,19 +157,16 @@ def _ranked(limit: int):
                 own = [at[w] for w in lexemes if w in at]
                 if not own:
                     continue
-                docs, tfs = [part("docs", i) for i in own], [part("tfs", i) for i in own]
+                docs, hits = zip(*(postings(i) for i in own), strict=True)
                 n = np.bincount(np.concatenate(docs), minlength=len(ids))
-                key = np.concatenate([(np.repeat(d, t).astype(np.int64) << 32) | part("places", i) for d, t, i in zip(docs, tfs, own, strict=True)])
-                lexeme = np.repeat(np.arange(len(own)), [int(t.sum()) for t in tfs])
-                order = np.argsort(key, kind="stable")
-                key, lexeme = key[order], lexeme[order]
-                doc = key >> 32
+                key = np.sort(np.concatenate(hits))
+                doc, place, lexeme = key >> 53, (key >> 21) & 0xFFFFFFFF, key & 0x1FFFFF
                 if len(lexemes) == 1:
                     score = 0.1 * np.bincount(doc, minlength=len(ids))
                 else:
                     near = (doc[1:] == doc[:-1]) & (lexeme[1:] != lexeme[:-1])
-                    score = np.bincount(doc[1:][near], 0.1 / (key[1:] - key[:-1])[near], len(ids))
-                score = np.round(score, 6)
+                    score = np.bincount(doc[1:][near], 0.1 / (place[1:] - place[:-1])[near], len(ids))
+                score = np.round(score.astype(np.float64), 6)
                 match = np.flatnonzero((n >= min(2, len(lexemes))) & live)
                 match = match[np.lexsort((number[match], -score[match]))[:limit]]
                 found.append((np.full(len(match), query, np.int64), number[match], n[match].astype(np.int64), score[match]))
@@ -164,14 +176,16 @@ def _ranked(limit: int):
     return rank
 
 
-def _read(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The index's rows that ``wanted`` (block, lexeme) names, and the ids of the blocks."""
+def _read(index: DataFrame, wanted: DataFrame, lexemes: DataFrame) -> DataFrame:
+    """The index's rows that ``wanted`` (block, lexeme) names, and the ids of the blocks; of lexemes that nobody asks for nothing is dealt out."""
+    known = lexemes.select("lexeme").distinct()
+    index = index.join(known.unionByName(known.sparkSession.range(1).select(F.lit("").alias("lexeme"))), "lexeme", "left_semi").select(index.columns)
     every = wanted.select("block", "lexeme").unionByName(wanted.select("block", F.lit("").alias("lexeme"))).distinct()
     return index.join(every, ["block", "lexeme"], "left_semi")
 
 
 def _evaluated(index: DataFrame, pairs: DataFrame, lexemes: DataFrame, asked: DataFrame, parts: int, limit: int) -> DataFrame:
-    rows = _read(index, pairs.join(lexemes, "query_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = _read(index, pairs.join(lexemes, "query_id"), lexemes).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     queries = pairs.select("query_id", "block").join(asked, "query_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     return rows.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(_ranked(limit), "query_id long, id long, n_lexemes long, rank double")
 
@@ -205,5 +219,12 @@ def search(index: DataFrame, queries: DataFrame, limit: int = retrieval.CANDIDAT
 def touched(index: DataFrame, queries: DataFrame, read: DataFrame) -> DataFrame:
     """(query_id, n): documents of which a search read postings; ``read``: the blocks of ``hits``."""
     lexemes = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("lexeme"))
-    rows = read.join(lexemes, "query_id").join(index.select("block", "lexeme", "docs"), ["block", "lexeme"])
-    return rows.select("query_id", "block", F.explode("docs").alias("doc")).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(b, KINDS["docs"]).astype(np.int32) for b in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([*own, np.zeros(0, np.int32)]))], names=["query_id", "block", "doc"])
+
+    rows = read.join(lexemes, "query_id").join(index.select("block", "lexeme", "docs"), ["block", "lexeme"]).select("query_id", "block", "docs")
+    return rows.mapInArrow(numbers, "query_id long, block long, doc int").distinct().groupBy("query_id").agg(F.count("*").alias("n"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provisio import shared
 from provisio.functions import hashing, text
-from provisio.operators import activity, answer_cache, answering, catalog, currentlaw, evaluation, indexing, ingest, pipeline, responses
+from provisio.operators import activity, answer_cache, answering, catalog, currentlaw, evaluation, indexing, ingest, pipeline, publication, responses
+from provisio.plans.corpus import LADDER_SQL
 from provisio.plans.views import GEO_SQL, geo_tree, table
 from provisio.sources import files, html_units, metadata, pdf_lines
 
@@ -287,7 +289,7 @@ def q97_cache_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q98_source_pack_hash(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").selectExpr("l_orderkey as request", "l_linenumber as source_no", "l_partkey as id", "l_suppkey as version_id", "case when l_returnflag <> 'N' then date '2024-01-01' end as proven_as_of")
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey as request", "l_linenumber as source_no", "l_partkey as id", "concat('art. ', l_suppkey) as label")
     return rows.groupBy("request").agg(answer_cache.source_pack_hash().alias("source_pack_hash"))
 
 
@@ -311,12 +313,56 @@ def q101_history_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def q102_sources_proven(spark: SparkSession, d: str) -> DataFrame:
     """Sources with the pinned run's date where the run includes their version."""
-    packed = table(spark, d, "lineitem").where("l_linenumber < 4").selectExpr("l_orderkey as request", "l_partkey as id", "l_linenumber as source_no", "cast(null as bigint) as reserved_for")
+    packed = table(spark, d, "lineitem").selectExpr("l_orderkey as request", "l_partkey as id", "l_linenumber as source_no", "cast(null as bigint) as reserved_for")
     provisions = table(spark, d, "part").selectExpr("p_partkey as id", "p_size as version_id", "p_name as text")
     current = table(spark, d, "supplier").selectExpr("cast(s_suppkey % 25 as int) as version_id", "date '2024-01-01' as effective_as_of")
     return answering.source_rows(packed, provisions, current).select("request", "source_id", "version_id", F.col("proven_as_of").isNotNull().alias("is_proven"))
 
 
+def q115_cache_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as answers, their lines as sources: those that may be stored, all sources in scope and proven at the run's date."""
+    line = F.expr("struct(l_linenumber as n, l_partkey as id, concat('art. ', l_suppkey) as label, concat('v', l_suppkey % 20) as version_id, case when l_quantity > 5 then '2024-01-01' end as proven_as_of)")
+    sources = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("sources"))
+    answers = table(spark, d, "orders").join(sources, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr(
+        "cast(o_orderkey as string) as question_hash", "concat('r', o_custkey % 5) as corpus_run_id", "'p1' as pipeline_version", "'s1' as ruleset_version", "'2024-01-01' as effective_as_of", "'h1' as corpus_selection_hash",
+        "case when o_orderkey % 7 = 0 then 'insufficient_evidence' else 'answered' end as status", "o_orderpriority as answer", "sources",
+    )
+    runs = table(spark, d, "customer").selectExpr("concat('r', c_custkey % 5) as corpus_run_id", "c_custkey % 5 as run").distinct()
+    scope = runs.join(table(spark, d, "supplier").selectExpr("s_suppkey % 20 as v").distinct(), F.col("v") != F.col("run")).groupBy("corpus_run_id").agg(F.collect_set(F.concat(F.lit("v"), "v")).alias("version_ids"))
+    return answer_cache.rows_to_record(answers, scope).select("question_hash", "corpus_run_id", F.array_join("source_version_ids", ",").alias("versions"), "source_pack_hash", "hit_count")
+
+
+def q116_batch_with_side_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of the same questions: the first one's answers are stored but its history can't be written, which takes no answer away; the second one's are read from the cache."""
+    rows = table(spark, d, "conversations").where("turn = 0").selectExpr("conv_id as request", "case when conv_id % 7 = 0 then ' x ' else text end as query")
+    run = [F.lit("r1").alias("corpus_run_id"), F.lit("p1").alias("pipeline_version"), F.lit("s1").alias("ruleset_version"), F.lit("2024-01-01").alias("effective_as_of"), F.lit("h1").alias("corpus_selection_hash")]
+    asked, scope = rows.select("request", "query", *run), spark.createDataFrame([("r1", ["v1", "v2"])], "corpus_run_id string, version_ids array<string>")
+    source = "array(struct(request as id, 'art. 1' as label, case when request % 3 = 0 then 'v9' else 'v1' end as version_id, '2024-01-01' as proven_as_of)) as sources"
+    told = lambda q: q.where("request % 5 <> 0").selectExpr("request", "case when request % 2 = 0 then 'answered' else 'insufficient_evidence' end as status", "'new' as answer", source)
+
+    def broken(history: DataFrame, _: DataFrame | None) -> DataFrame:
+        raise OSError("the history can't be written")
+
+    store, now = publication.Store(spark, shared.path(spark, "store")), F.expr("timestamp_ntz '2024-01-01'")
+    first, failed = answering.run_batch(asked, store, scope, told, now, 1, writers={"history": broken})
+    second, _ = answering.run_batch(asked, store, scope, told, now, 2)
+    answering.run_batch(asked, store, scope, told, now, 2)  # sent again: writes nothing
+    n = store.table("history").groupBy("request").agg(F.count("*").alias("n_history"))
+    out = first.selectExpr("request", "outcome as first").join(second.selectExpr("request", "outcome as second"), "request").join(n, "request", "left")
+    return out.select("request", "first", "second", F.coalesce("n_history", F.lit(0)).alias("n_history"), F.lit(",".join(sorted(failed))).alias("failed"))
+
+
+def q117_published_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs that become current together with their entries; one that is sent again with other entries stays as it was."""
+    store = publication.Store(spark, shared.path(spark, "store"))
+    lines = table(spark, d, "lineitem")
+    for run in (lines.where("l_suppkey % 2 = 0"), lines):
+        entries = run.groupBy(F.expr("l_suppkey % 50").alias("run_id"), F.col("l_orderkey").alias("act")).agg(F.min("l_partkey").alias("version_id"))
+        publication.published_run(store, entries.select("run_id").distinct(), entries)
+    now = store.current()
+    return store.table("entries", now).join(store.table("runs", now), "run_id").groupBy("run_id").agg(F.count("*").alias("n"), F.sum("version_id").alias("total"))
+
+
 # -- sources and responses
 
 
@@ -433,7 +479,7 @@ SQL = {
         every as (select acts.id as act, in_force, ex as act_expires, date '1998-01-01' as as_of, coalesce(n_chain, 0) as n_chain, coalesce(n_unresolved_chain, 0) as n_unresolved_chain, coalesce(n_applicable, 0) as n_applicable, coalesce(n_versions, 0) as n_versions, coalesce(n_well_formed, 0) as n_well_formed, version_id, newest_structured, state_date,
           coalesce(n_amendment_unresolved, 0) as n_amendment_unresolved, coalesce(n_amendment_effective, 0) as n_amendment_effective, coalesce(c1, 0) + coalesce(c2, 0) as n_correction, coalesce(n_tribunal, 0) as n_tribunal, coalesce(n_tribunal_unresolved, 0) as n_tribunal_unresolved, tribunal_date
           from acts left join chain on chain.a = id left join vc on vc.a = acts.id left join lt on lt.a = acts.id left join rl on rl.a = acts.id)
-        select act, {currentlaw.ladder_sql()} as reason_code, case when reason_code = '{currentlaw.INCLUDED}' then version_id end as version_id from every""",
+        select act, {LADDER_SQL} as reason_code, case when reason_code = 'authoritative_current' then version_id end as version_id from every""",
     "q88_pinned_scope": """with one as (select l_suppkey as run_id, l_orderkey as act, arg_min({'v': concat('v', l_partkey), 'd': l_returnflag <> 'N', 'r': l_linestatus = 'O'}, {'a': l_linenumber, 'b': concat('v', l_partkey)}) as x from lineitem group by 1, 2)
         select run_id, count(distinct x.v) as n, min(x.v) as first from one where x.d and x.r and run_id % 3 <> 0 and run_id in (select s_suppkey from supplier) group by 1""",
     "q89_act_details": f"""with v as (select l_orderkey as k, string_agg(concat_ws('/', {_ID}, coalesce(a.o_orderpriority, '-'), case when l_quantity < 10 then 1 else 0 end), ',' order by cast(l_shipdate as date) desc, {_ID}) as versions,
@@ -464,11 +510,21 @@ SQL = {
     "q111_own_items": """with r as (select event_id as id, case event_id % 3 when 0 then 'answer' when 1 then 'search' else 'provision' end as kind, event_type, repeat(concat(event_type, ' '), cast(event_id % 60 as int)) as a from events where event_id % 4 <> 0)
         select id, kind, case kind when 'answer' then case when length(a) > 220 then concat(rtrim(left(a, 220)), '...') else a end when 'search' then event_type else concat('art. ', id) end as summary from r""",
     "q97_cache_hits": "with h as (select o_custkey, count(*) as n from orders where o_orderkey % 2 = 0 group by 1) select c_custkey as question_hash, 1 + coalesce(n, 0) as hit_count, case when n is not null then timestamp '2024-01-01' end as last_hit_at from customer left join h on o_custkey = c_custkey",
-    "q98_source_pack_hash": f"select l_orderkey as request, sha256(string_agg(concat(l_partkey, ':', l_suppkey, ':', case when l_returnflag <> 'N' then '2024-01-01' else '' end), {_NL} order by l_linenumber, concat(l_partkey, ':', l_suppkey, ':', case when l_returnflag <> 'N' then '2024-01-01' else '' end))) as source_pack_hash from lineitem group by 1",
+    "q98_source_pack_hash": """select l_orderkey as request, sha256(concat('[', string_agg(concat('{"legalProvisionId":"', l_partkey, '","citationLabel":"art. ', l_suppkey, '"}'), ',' order by l_partkey::varchar, l_linenumber, l_suppkey::varchar), ']')) as source_pack_hash from lineitem group by 1""",
     "q99_expected_rates": """with e as (select o_orderkey as q, unnest(['art. A', 'art. N', 'art. R ust. 1']) as label from orders), l as (select l_orderkey as q, concat('art. ', l_returnflag, ' ust. ', l_linenumber) as said, l_quantity as n from lineitem),
         f as (select e.q, e.label, coalesce(bool_or(said = label or starts_with(said, label || ' ')), false) as a, coalesce(bool_or(n > 10 and (said = label or starts_with(said, label || ' '))), false) as b, coalesce(bool_or(n > 30 and (said = label or starts_with(said, label || ' '))), false) as c from e left join l on l.q = e.q group by 1, 2)
         select count(*) as n, round(avg(a::int), 6) as retrieved_rate, round(avg(b::int), 6) as packed_rate, round(avg(c::int), 6) as cited_rate from f""",
     "q100_prioritised_sources": "select l_orderkey as request, l_linenumber as source_no, row_number() over (partition by l_orderkey order by o_orderkey is null or l_partkey % 3 <> o_custkey % 3, l_linenumber) as place from lineitem left join orders on o_orderkey = l_orderkey",
     "q101_history_filtered": "select event_id as id from events where event_type = 'click' and date_diff('day', cast(ts as date), date '2024-01-30') > 7 and contains(lower(props), 'k\": 1')",
-    "q102_sources_proven": "select l_orderkey as request, concat('SOURCE_', l_linenumber) as source_id, p_size as version_id, p_size in (select s_suppkey % 25 from supplier) as is_proven from lineitem join part on p_partkey = l_partkey where l_linenumber < 4",
+    "q102_sources_proven": "select l_orderkey as request, concat('SOURCE_', l_linenumber) as source_id, p_size as version_id, p_size in (select s_suppkey % 25 from supplier) as is_proven from lineitem join part on p_partkey = l_partkey",
+    "q115_cache_rows": """with s as (select l_orderkey as k, bool_and(l_quantity > 5 and l_suppkey % 20 <> o_custkey % 5 and l_suppkey % 20 in (select s_suppkey % 20 from supplier)) as fine, array_to_string(list_sort(list(distinct concat('v', l_suppkey % 20))), ',') as versions,
+          sha256(concat('[', string_agg(concat('{"legalProvisionId":"', l_partkey, '","citationLabel":"art. ', l_suppkey, '"}'), ',' order by l_partkey::varchar, l_linenumber, l_suppkey::varchar), ']')) as h from lineitem join orders on o_orderkey = l_orderkey group by 1)
+        select cast(o_orderkey as varchar) as question_hash, concat('r', o_custkey % 5) as corpus_run_id, versions, h as source_pack_hash, 0 as hit_count from orders join s on k = o_orderkey where fine and o_orderkey % 7 <> 0""",
+    "q116_batch_with_side_writes": f"""with asked as (select conv_id as request, case when conv_id % 7 = 0 then ' x ' else text end as query from conversations where turn = 0),
+        t as (select request, {_FORM} as form, case when length(trim(query)) not between 3 and 2000 then 'invalid' when request % 5 = 0 then 'failed' when request % 2 = 0 then 'answered' else 'insufficient_evidence' end as first from asked),
+        u as (select request, first, case when first <> 'invalid' and form in (select form from t where first = 'answered' and request % 3 <> 0) then 'cached' else first end as second from t)
+        select *, case when second in ('cached', 'answered', 'insufficient_evidence') then 1 else 0 end as n_history, 'history' as failed from u""",
+    "q117_published_runs": """with e as (select l_suppkey % 50 as run_id, l_orderkey as act, min(l_partkey) as v from lineitem where l_suppkey % 2 = 0 group by 1, 2 union all
+          select l_suppkey % 50, l_orderkey, min(l_partkey) from lineitem where l_suppkey % 50 not in (select l_suppkey % 50 from lineitem where l_suppkey % 2 = 0) group by 1, 2)
+        select run_id, count(*) as n, sum(v) as total from e group by 1""",
 }

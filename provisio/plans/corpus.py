@@ -52,6 +52,18 @@ def q23_display_version(spark: SparkSession, d: str) -> DataFrame:
     return currentlaw.display_version(versions(spark, d))
 
 
+#: The ladder once more, for DuckDB alone: the first rung that has a reason names it.
+LADDER_SQL = """coalesce(
+    case when in_force is null or not in_force or act_expires <= as_of then 'act_not_in_force' end,
+    if(n_chain < 1, 'no_official_consolidated_version', null),
+    if(n_unresolved_chain >= 1, 'metadata_incomplete', null),
+    case n_applicable when 1 then null when 0 then 'no_official_consolidated_version' else 'metadata_incomplete' end,
+    if(n_versions >= 1 and n_well_formed < 1, 'metadata_incomplete', null),
+    if(n_versions >= 1 and newest_structured is not null and newest_structured, null, 'latest_tj_content_unavailable'),
+    if(n_amendment_unresolved >= 1, 'unresolved_temporal_effect', null), if(n_amendment_effective >= 1, 'effective_post_tj_amendment', null), if(n_correction >= 1, 'correction_unresolved', null),
+    case when n_tribunal_unresolved >= 1 then 'unresolved_constitutional_tribunal_effect' when n_tribunal < 1 then null
+         when state_date is not null and tribunal_date is not null and tribunal_date <= state_date then null else 'unresolved_constitutional_tribunal_effect' end,
+    'authoritative_current')"""
 _CANDIDATES_SQL = f"""
 ann as ({ANNOUNCEMENTS_SQL}),
 chain as (select act, count(*) as n_chain, count(*) filter (where announcement % 53 = 0) as n_unresolved_chain,
@@ -65,9 +77,9 @@ lines as (select l_orderkey, count(*) as n_versions, count(*) filter (where l_li
 candidates as (select c_custkey as act, c_acctbal >= 0 as in_force, cast(null as date) as act_expires, {AS_OF} as as_of, coalesce(n_chain, 0) as n_chain,
           coalesce(n_unresolved_chain, 0) as n_unresolved_chain, coalesce(n_applicable, 0) as n_applicable, coalesce(n_versions, 0) as n_versions, coalesce(n_well_formed, 0) as n_well_formed,
           newest_structured, state_date, tribunal_date, coalesce(n_amendment_unresolved, 0) as n_amendment_unresolved, coalesce(n_amendment_effective, 0) as n_amendment_effective,
-          coalesce(n_correction, 0) as n_correction, 0 as n_tribunal_unresolved, coalesce(n_versions, 0) as n_tribunal
+          coalesce(n_correction, 0) as n_correction, 0 as n_tribunal_unresolved, coalesce(n_versions, 0) as n_tribunal, chain.announcement
           from customer left join chain on act = c_custkey left join lines on lines.l_orderkey = chain.announcement left join newest on newest.l_orderkey = chain.announcement),
-decided as (select act, {currentlaw.ladder_sql()} as reason_code from candidates)"""
+decided as (select act, {LADDER_SQL} as reason_code, announcement from candidates)"""
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
@@ -88,11 +100,12 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.join(chain, "act", "left").join(lines, "announcement", "left").join(newest, "announcement", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_chain", "n_unresolved_chain", "n_applicable", "n_versions", "n_well_formed", "n_amendment_unresolved", "n_amendment_effective", "n_correction")}
     rows = rows.withColumns(zero).withColumns({"n_tribunal_unresolved": F.lit(0), "n_tribunal": F.col("n_versions")})
-    return currentlaw.decided(rows).select("act", "reason_code", "decision")
+    rows = currentlaw.decided(rows)
+    return rows.select("act", "reason_code", "decision", F.when(F.col("decision") == "included", F.col("announcement")).alias("version_id"))
 
 
 def q24_decision_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d)
+    return _decided(spark, d).drop("version_id")
 
 
 def q25_reason_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +113,8 @@ def q25_reason_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q27_selection_hash(spark: SparkSession, d: str) -> DataFrame:
-    return currentlaw.selection_hash(_decided(spark, d), "act")
+    """The run's digest over its rules, date, and every act's decision, reason and version."""
+    return currentlaw.selection_hash(_decided(spark, d), "rules-1", "1998-01-01")
 
 
 _LIKELIHOOD = "case conv_id % 3 when 0 then 'most_likely' when 1 then 'possible' else 'needs_more_information' end"
@@ -126,12 +140,12 @@ def q29_direct_target_backstop(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     return q04_vector_topk_per_query(spark, d).select(
-        F.col("vec_id").alias("id"), (F.col("query_id") % 2).alias("issue_no"), F.col("query_id").alias("query_no"), (F.col("query_id") % 3).alias("target"),
-        F.expr("case when query_id < 3 then 'most_likely' else 'possible' end").alias("likelihood"), F.round(1 / (60 + F.col("vector_rank")), 9).alias("score"), (F.col("vec_id") % 7 == 0).alias("is_exact"),
+        F.col("vec_id").alias("id"), F.expr("query_id div 100 % 2").alias("issue_no"), F.col("query_id").alias("query_no"), F.expr("query_id div 100 % 5").alias("target"),
+        F.expr("case when query_id div 100 % 3 = 0 then 'most_likely' else 'possible' end").alias("likelihood"), F.round(1 / (60 + F.col("vector_rank")), 9).alias("score"), (F.col("vec_id") % 7 == 0).alias("is_exact"),
     )
 
 
-_HITS_SQL = f"hits as (select vec_id as id, query_id % 2 as issue_no, query_id as query_no, query_id % 3 as target, case when query_id < 3 then 'most_likely' else 'possible' end as likelihood, round(1e0 / (60 + vector_rank), 9) as score, vec_id % 7 = 0 as is_exact from ({PER_QUERY_SQL}))"
+_HITS_SQL = f"hits as (select vec_id as id, query_id // 100 % 2 as issue_no, query_id as query_no, query_id // 100 % 5 as target, case when query_id // 100 % 3 = 0 then 'most_likely' else 'possible' end as likelihood, round(1e0 / (60 + vector_rank), 9) as score, vec_id % 7 = 0 as is_exact from ({PER_QUERY_SQL}))"
 
 
 def q30_provenance_collect(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +318,10 @@ SQL = {
         case when n_backed > 1 then 'several announcements' when a_ready then null when r_ready then 'authoritative version has no structure' when any_structured is not null then 'preferred versions have no structure' else 'no version has structure' end as warning from pref""",
     "q24_decision_ladder": f"with {_CANDIDATES_SQL} select act, reason_code, case when reason_code = 'authoritative_current' then 'included' else 'excluded' end as decision from decided",
     "q25_reason_counts": f"with {_CANDIDATES_SQL} select reason_code, count(*) as n from decided group by 1",
-    "q27_selection_hash": f"with {_CANDIDATES_SQL}, block as (select act // 4096 as block, sha256(string_agg(concat(act, ':', reason_code), chr(10) order by act)) as h from decided group by 1) select sha256(string_agg(h, chr(10) order by block)) as selection_hash from block",
+    "q27_selection_hash": f"""with {_CANDIDATES_SQL}, e as (select cast(act as varchar) as k, concat('{{"act":', act, ',"decision":"', case reason_code when 'authoritative_current' then 'included' else 'excluded' end, '","reason_code":"', reason_code, '","version_id":', case when reason_code = 'authoritative_current' then coalesce(cast(announcement as varchar), 'null') else 'null' end, '}}') as v from decided),
+        a as (select left(sha256(k), 3) as p, sha256(string_agg(v, chr(10) order by k)) as h from e group by 1), b as (select left(p, 2) as p, sha256(string_agg(concat(p, ':', h), chr(10) order by p)) as h from a group by 1),
+        c as (select left(p, 1) as p, sha256(string_agg(concat(p, ':', h), chr(10) order by p)) as h from b group by 1), root as (select sha256(string_agg(concat(p, ':', h), chr(10) order by p)) as h from c)
+        select sha256(concat_ws(chr(10), 'rules-1', '1998-01-01', h)) as selection_hash from root""",
     "q28_plan_cap": f"select issue, target, position, likelihood from (select conv_id as issue, turn % 4 + 1 as target, turn as position, {_LIKELIHOOD} as likelihood, row_number() over (partition by conv_id, turn % 4 order by turn) as nth from conversations) where nth <= case likelihood when 'most_likely' then 3 when 'possible' then 1 else 0 end",
     "q29_direct_target_backstop": f"""with t as (select conv_id as target, text, {_FORM} as form from conversations where turn = 0), s as (select distinct conv_id as target, {_FORM} as form from conversations where conv_id % 4 = 0 or turn > 0),
         i as (select conv_id as target, arg_min(conv_id * 100 + turn, turn) as issue from conversations where (conv_id + turn) % 3 <> 0 group by 1)

@@ -18,14 +18,17 @@ is measured on the documents of each length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from provisio.llm import storage
+from provisio.llm import spread, storage
 from provisio.llm.words import Texts, inside, mix, slices, windows
 
 #: Bits of a symbol, and symbols of a run.
@@ -215,74 +218,153 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STEP, MOST = 1024, 256.0
 
 
-def quartiles(rows: DataFrame, by: list[str], values: dict[str, Column], step: int = STEP) -> dict[tuple, dict[str, tuple[float, ...]]]:
-    """Of each group, the number of rows and each value's quartiles to the step; counted in Spark, at most 2 * MOST * step rows a group and value."""
-    held: dict[tuple, dict] = {}
-    for name, value in values.items():
-        told = F.round(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), value)) * step).cast("int")
-        found = rows.groupBy(*by, told.alias("told")).agg(F.count("*").alias("n")).where("told is not null").toPandas()
-        for key, g in found.groupby(by, dropna=False):
-            g = g.sort_values("told")
-            upto = g["n"].cumsum().to_numpy()
-            own = held.setdefault(tuple(None if x != x else x for x in key), {})
-            own["n"] = int(upto[-1])
-            own[name] = tuple(float(g["told"].iloc[np.searchsorted(upto, q * upto[-1])]) / step for q in (0.25, 0.5, 0.75))
-    return held
+def quartiles(rows: DataFrame, by: list[str], values: dict[str, Column], step: int = STEP) -> DataFrame:
+    """(by, n, and of each value a struct low, mid, high): each group's number of rows, and each value's quartiles to the step; the smallest that enough rows don't exceed."""
+    told = {k: F.round(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), v)) * step).cast("int") for k, v in values.items()}
+    rows = rows.select(*by, *(v.alias(k) for k, v in told.items()))
+    at = lambda k, q: (F.expr(f"percentile_disc({q}) within group (order by {k})") / step)
+    of = [F.struct(at(k, 0.25).alias("low"), at(k, 0.5).alias("mid"), at(k, 0.75).alias("high")).alias(k) for k in values]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *of)
 
 
 def _chosen(column: Column, told: dict, of, otherwise: float) -> Column:
+    """For the few lengths that there are."""
     out = F.lit(float(otherwise))
     for key, x in told.items():
         out = F.when(column.eqNullSafe(F.lit(key)), F.lit(float(of(x)))).otherwise(out)
     return out
 
 
-def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False, width: float = 4.0, short: float = 18.0, least_sigma: float = 0.005, least_docs: int = 30, least_room: float = 0.2) -> DataFrame:
-    """The results of ``apply_rules``; with ``whole``, also the input's rows as a struct ``row``."""
-    spark = docs.sparkSession
-    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    told = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    runs = storage.Scratch(counted(told), "symbol-runs")
-    rows = runs.df.toPandas()  # at most 64**4 rows a language
-    runs.drop()
-    base = KneserNey(rows["code"].to_numpy(), rows["n"].to_numpy()).singles() if len(rows) else None
-    models = {None if x is None or x != x else x: KneserNey(g["code"].to_numpy(), g["n"].to_numpy(), base) for x, g in rows.groupby("lang", dropna=False)}
-    shared = spark.sparkContext.broadcast(models)
-    del rows
+#: Languages whose bands are sent to all tasks; more are joined by their languages.
+MOST_SENT = 10_000
+#: A language with one in so many of all symbols has its model sent to all tasks; texts of the others are dealt to theirs.
+SHARE = 64
+#: Symbols of a light language that a task scores, about.
+DEALT = 1 << 28
+
+
+def _with_bands(rows: DataFrame, bands: DataFrame, languages: int, total: int) -> DataFrame:
+    """``rows`` with the struct ``band`` of their language."""
+    key = lambda df: df.withColumns({"__none": F.col("lang").isNull(), "__lang": F.coalesce("lang", F.lit(""))})
+    own = key(bands).select("__none", "__lang", F.col("n").alias("__n"), F.struct(*MEASURES).alias("band"))
+    if languages <= MOST_SENT:
+        out = key(rows).join(F.broadcast(own.drop("__n")), ["__none", "__lang"], "left")
+    else:
+        out = spread.joined(key(rows), own, ["__none", "__lang"], "__n", total, F.monotonically_increasing_id() + 1)
+    return out.select(*rows.columns, "band")
+
+
+class _Models(NamedTuple):
+    """``base``: log probabilities of single symbols in all languages; ``heavy``: a condition on ``lang``; ``shared``: the heavy languages' models; ``total``: symbols."""
+
+    base: np.ndarray | None
+    heavy: Column
+    shared: Broadcast
+    has_light: bool
+    total: int
+
+
+def _models(runs: DataFrame) -> _Models:
+    """From runs (lang, code, n)."""
+    whole = runs.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most 64**4 rows
+    base = KneserNey(whole["code"].to_numpy(), whole["n"].to_numpy()).singles() if len(whole) else None
+    total = int(whole["n"].sum())
+    del whole
+    sizes = runs.groupBy("lang").agg(F.sum("n").alias("size"))
+    heavy = [r["lang"] for r in sizes.where(F.col("size") * SHARE >= total).select("lang").collect()]
+    is_heavy = F.coalesce(F.col("lang").isin(*[x for x in heavy if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in heavy))
+    held = runs.where(is_heavy).toPandas()  # at most 64**4 rows a language
+    models = {None if x is None or x != x else x: KneserNey(g["code"].to_numpy(), g["n"].to_numpy(), base) for x, g in held.groupby("lang", dropna=False)}
+    return _Models(base, is_heavy, runs.sparkSession.sparkContext.broadcast(models), not sizes.where(~is_heavy).isEmpty(), total)
+
+
+def _scored(rows: DataFrame, runs: DataFrame, models: _Models, schema: StructType) -> DataFrame:
+    """The measures of rows (id, lang, text and more), each by the model of its language.
+
+    Models of heavy languages, of which there are SHARE at most, reach every task.  Those of light ones are
+    sent to the tasks that hold their texts: a light language's texts are dealt to as many tasks as
+    its size asks for, and each of them reads the model, then its texts, as a stream.
+    """
+    base, is_heavy, shared, has_light, total = models
+    spark = rows.sparkSession
+
+    def measured(part: pa.RecordBatch, texts: Texts, of: dict) -> pa.RecordBatch:
+        found, (seen, at) = base_counts(texts), codes(texts)
+        lang = part.column(1).to_pylist()
+        logp = np.zeros(len(seen))
+        for x in set(lang):
+            its = np.repeat(np.array([y == x for y in lang]), np.diff(at))
+            code, back = np.unique(seen[its], return_inverse=True)
+            logp[its] = of[x].logp(code)[back]
+        upto = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[at])
+        total = upto(logp)
+        # first symbols of words: after white space, and none themselves
+        starts = ((seen >> np.uint32(BITS)) & np.uint32(CLASSES - 1) < 2) & (seen & np.uint32(CLASSES - 1) >= 2)
+        words = np.maximum(found["n_words"], 1)
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), *(pa.array(found[k].astype(np.int64)) for k in BASE), pa.array(-total / np.maximum(np.diff(at), 1)), pa.array(-total / words), pa.array(-upto(logp * starts) / np.maximum(upto(starts), 1)), *part.columns[3:]],
+            names=["id", "lang", *BASE, *MEASURES, *part.schema.names[3:]],
+        )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                found, (seen, at) = base_counts(texts), codes(texts)
-                lang = part.column(1).to_pylist()
-                logp = np.zeros(len(seen))
-                for x in set(lang):
-                    its = np.repeat(np.array([y == x for y in lang]), np.diff(at))
-                    code, back = np.unique(seen[its], return_inverse=True)
-                    logp[its] = shared.value[x].logp(code)[back]
-                upto = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[at])  # noqa: E731, B023
-                total = upto(logp)
-                # first symbols of words: after white space, and none themselves
-                starts = ((seen >> np.uint32(BITS)) & np.uint32(CLASSES - 1) < 2) & (seen & np.uint32(CLASSES - 1) >= 2)
-                words = np.maximum(found["n_words"], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(found[k].astype(np.int64)) for k in BASE), pa.array(-total / np.maximum(np.diff(at), 1)), pa.array(-total / words), pa.array(-upto(logp * starts) / np.maximum(upto(starts), 1)), *part.columns[3:]],
-                    names=["id", "lang", *BASE, *MEASURES, *part.schema.names[3:]],
-                )
+                yield measured(part, texts, shared.value)
+
+    out = rows.where(is_heavy).mapInArrow(score, schema)
+    if not has_light:
+        return out
+
+    names = rows.columns
+
+    def score_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, own = object(), None
+        for batch in batches:
+            kinds, langs = batch.column(batch.schema.get_field_index("kind")).to_numpy(), batch.column(batch.schema.get_field_index("lang")).to_pylist()
+            texts_only = batch.select(names)
+            low = 0
+            for i in range(1, len(langs) + 1):
+                if i < len(langs) and kinds[i] and kinds[low] and langs[i] == langs[low]:
+                    continue
+                if kinds[low]:
+                    for part, texts in slices(texts_only.slice(low, i - low), "text"):
+                        yield measured(part, texts, {lang: own})
+                else:  # a model comes before its texts
+                    lang = langs[low]
+                    own = KneserNey(*(np.frombuffer(batch.column(batch.schema.get_field_index(c))[low].as_py(), k) for c, k in (("codes", np.uint32), ("counts", np.int64))), base)
+                low = i
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": frame["lang"].iloc[:1], "codes": [frame["code"].to_numpy(np.uint32).tobytes()], "counts": [frame["n"].to_numpy(np.int64).tobytes()]})
+
+    salts, parts = 1 + total // SHARE // DEALT, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = runs.where(~is_heavy).groupBy("lang").applyInPandas(packed, "lang string, codes binary, counts binary")
+    sent = sent.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "kind": F.lit(0)})
+    light = rows.where(~is_heavy).withColumns({"salt": F.pmod(F.xxhash64("text", "id"), F.lit(salts)).cast("int"), "kind": F.lit(1)})
+    dealt = light.unionByName(sent, allowMissingColumns=True).repartition(parts, "lang", "salt").sortWithinPartitions("lang", "salt", "kind")
+    return out.unionByName(dealt.mapInArrow(score_dealt, schema))
+
 
+def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False, width: float = 4.0, short: float = 18.0, least_sigma: float = 0.005, least_docs: int = 30, least_room: float = 0.2) -> DataFrame:
+    """The results of ``apply_rules``; with ``whole``, also the input's rows as a struct ``row``."""
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    told = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    runs = storage.written(counted(told), "symbol-runs")
+    models = _models(runs)
     schema = StructType.fromDDL(f"id {kind}, lang string, {', '.join(f'{k} long' for k in BASE)}, {', '.join(f'{k} double' for k in MEASURES)}")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    scored = storage.written(told.mapInArrow(score, schema).withColumn("base_failed", failed), "quality-scores")
-    passed = scored.where(~F.col("base_failed"))
-    bands = quartiles(passed, ["lang"], {k: F.col(k) for k in MEASURES})
+    scored = storage.written(_scored(told, runs, models, schema).withColumn("base_failed", failed), "quality-scores")
+    bands = storage.written(quartiles(scored.where(~F.col("base_failed")), ["lang"], {k: F.col(k) for k in MEASURES}), "quality-bands")
+    languages, total = bands.count(), scored.count()
     octave = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")
     away, sigma = {}, {}
     for k in MEASURES:
-        of_lang = {x[0]: q[k] for x, q in bands.items()}
-        sigma[k] = _chosen(F.col("lang"), of_lang, lambda q: max(least_sigma * q[1], (q[2] - q[0]) / 1.349, 1e-6), 1.0)
-        away[k] = F.col(k) - _chosen(F.col("lang"), of_lang, lambda q: q[1], 0.0)
-    spread = quartiles(passed.withColumn("octave", octave), ["octave"], {k: away[k] / sigma[k] for k in MEASURES}, 64)
-    at_length = {o[0]: q for o, q in spread.items() if q["n"] >= least_docs}
+        q = F.col("band")[k]
+        sigma[k] = F.coalesce(F.greatest(least_sigma * q["mid"], (q["high"] - q["low"]) / 1.349, F.lit(1e-6)), F.lit(1.0))
+        away[k] = F.col(k) - F.coalesce(q["mid"], F.lit(0.0))
+    banded = _with_bands(scored, bands, languages, total)
+    spreads = quartiles(banded.where(~F.col("base_failed")).withColumn("octave", octave), ["octave"], {k: away[k] / sigma[k] for k in MEASURES}, 64)
+    at_length = {r["octave"]: {k: tuple(r[k]) for k in MEASURES} for r in spreads.where(F.col("n") >= least_docs).collect()}  # a row for each doubling of a length
     usual = ~F.col("base_failed")
     for k in MEASURES:
         mid, room = F.lit(0.0), F.sqrt(1 + short**2 / F.greatest(F.col("n_words"), F.lit(1)))
@@ -294,11 +376,11 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         usual &= F.abs(away[k] - mid * sigma[k]) <= width * sigma[k] * room
     columns = [F.col("id").alias(id_col), *BASE, "base_failed", *MEASURES, usual.alias("kept")]
     if not whole:
-        return scored.select(*columns)
+        return banded.select(*columns)
     # whole rows are scored again instead of being written
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    again = rows.mapInArrow(score, StructType([*schema.fields, StructField("row", rows.schema["row"].dataType)])).withColumn("base_failed", failed)
-    return again.select(*columns, "row")
+    again = _scored(rows, runs, models, StructType([*schema.fields, StructField("row", rows.schema["row"].dataType)])).withColumn("base_failed", failed)
+    return _with_bands(again, bands, languages, total).select(*columns, "row")
 
 
 def apply_rules(docs: DataFrame, **options) -> DataFrame:
@@ -321,6 +403,6 @@ def apply_rules(docs: DataFrame, **options) -> DataFrame:
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, each judged by its own text: repeated, differing and null ids make no difference.
 
-    The columns are those of ``docs``, whatever their names.  Nothing is joined or shuffled for it.
+    The columns are those of ``docs``, whatever their names.  Of few languages nothing is shuffled for it.
     """
     return judged(docs, whole=True, **options).where("kept").select("row.*")

@@ -656,11 +656,32 @@ def test_kept_rows_are_judged_by_themselves(spark):
 def test_quartiles_are_exact(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", None]), rng.gauss(3, 2)) for _ in range(999)]
-    got = quality_rules.quartiles(spark.createDataFrame(rows, "lang string, x double").repartition(5), ["lang"], {"x": F.col("x")})
+    got = {r.lang: r for r in quality_rules.quartiles(spark.createDataFrame(rows, "lang string, x double").repartition(5), ["lang"], {"x": F.col("x")}).collect()}
     for lang in ("a", None):
         x = sorted(v for k, v in rows if k == lang)
-        assert got[(lang,)]["n"] == len(x)
-        assert got[(lang,)]["x"] == pytest.approx([x[math.ceil(q * len(x)) - 1] for q in (0.25, 0.5, 0.75)], abs=1e-3)
+        assert got[lang].n == len(x)
+        assert tuple(got[lang].x) == pytest.approx([x[math.ceil(q * len(x)) - 1] for q in (0.25, 0.5, 0.75)], abs=1e-3)
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """Models that are dealt to texts, and bands that are joined, give what models and bands that are sent to all tasks give."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(900)] + ["", None]
+    rows = [(i, t, None if i % 7 == 0 else "big" if i % 3 else f"l{i % 600}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert docs.select("lang").distinct().count() > 150
+
+    def found(df) -> dict:
+        return {r.doc_id: (*(r[k] for k in quality_rules.BASE), r.kept, *(round(r[k], 9) for k in quality_rules.MEASURES)) for r in df.collect()}
+
+    dealt = found(quality_rules.apply_rules(docs))
+    monkeypatch.setattr(quality_rules, "MOST_SENT", 5)
+    monkeypatch.setattr(quality_rules, "DEALT", 100)
+    joined = quality_rules.kept_rows(docs)
+    assert {r.doc_id for r in joined.collect()} == {i for i, x in dealt.items() if x[5]} and joined.schema == docs.schema
+    monkeypatch.setattr(quality_rules, "SHARE", 1 << 40)
+    assert found(quality_rules.apply_rules(docs)) == dealt and len(dealt) == 902 and sum(x[5] for x in dealt.values()) > 600
 
 
 def test_quality_bands_follow_the_spread_of_a_length(spark):

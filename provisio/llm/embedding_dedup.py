@@ -56,6 +56,7 @@ class Filters:
     @staticmethod
     def _both(z: float, cosine: float) -> float:
         """Probability that two vectors at the cosine both exceed a filter by z deviations."""
+        cosine = min(cosine, 1 - 1e-9)  # at 1 both always do
         x = np.linspace(z, z + 8, 2000)
         density = np.exp(-(x**2) / 2) / np.sqrt(2 * np.pi)
         tail = 1 - np.vectorize(NormalDist().cdf)((z - cosine * x) / np.sqrt(1 - cosine**2))

@@ -207,8 +207,12 @@ def _with(rows: DataFrame, good: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(good) if n <= MOST_SENT else good, "pattern")
 
 
+#: Patterns' confidence, all together, that counts as grown.
+GROWTH = 1e-6
+
+
 def confident_patterns(edges: DataFrame, rounds: int | None, confidence: float, support: float, others: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Patterns that extract what is trusted: (pattern, confidence) and their number, after rounds until none is added (or ``rounds`` of them).
+    """Patterns that extract what is trusted: (pattern, confidence) and their number, after rounds until trust grows no more (or ``rounds`` of them).
 
     From edges (pattern, instance, seed), and ``others`` (pattern, other): how many more words a pattern extracts.  With ``others``, only its patterns count.
     """
@@ -221,11 +225,14 @@ def confident_patterns(edges: DataFrame, rounds: int | None, confidence: float,
         found = edges.groupBy("pattern").agg((F.count("*") + F.max("other")).alias("n"), F.sum("trust").alias("s"))
         return found.where((F.col("s") >= support) & (F.col("s") >= confidence * F.col("n"))).select("pattern", (F.col("s") / F.col("n")).alias("confidence"))
 
-    trusted, k, n = edges.withColumn("trust", F.col("seed").cast("double")), 0, -1
+    trusted, k, n, total = edges.withColumn("trust", F.col("seed").cast("double")), 0, -1, 0.0
     while True:
         good = storage.written(score(trusted), f"patterns-round-{k}")
-        before, n, k = n, good.count(), k + 1
-        if n == before or k == rounds:  # trust only grows, so patterns are added and never lost
+        sums = good.agg(F.count("*").alias("n"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("total")).collect()[0]
+        # trust only grows, so patterns are added and never lost; as long as it grows, one more may pass
+        still = sums["n"] == n and sums["total"] - total < GROWTH
+        n, total, k = sums["n"], sums["total"], k + 1
+        if still or k == rounds:
             return good, n
         wrong = F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.99)))))
         likely = storage.written(_with(edges, good, n).groupBy("instance").agg((1 - wrong).alias("likely")), f"instances-round-{k}")

@@ -236,10 +236,10 @@ def _words(text_col: str):
 
 
 def _changed(docs: DataFrame, id_col: str, text_col: str, size: int, mer: int) -> tuple[DataFrame, DataFrame]:
-    """The documents as (doc, text, words, id), and (doc, text, n_removed, sha, kept) of those that lose words."""
+    """The documents as (doc, text, words, own_id), and (doc, text, n_removed, sha, kept) of those that lose words."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    named = docs.select(_doc(id_col).alias("doc"), F.xxhash64(_words(text_col)).alias("text"), _words(text_col).alias("words"), F.col(id_col))
+    named = docs.select(_doc(id_col).alias("doc"), F.xxhash64(_words(text_col)).alias("text"), _words(text_col).alias("words"), F.col(id_col).alias("own_id"))
     sent = _sent(named.select("doc", "text", "words"), size, mer, 8 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     spans = storage.written(_spans(sent, size), "removed-spans")
     has = bitmap(spans, "text")
@@ -286,15 +286,21 @@ def removed_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(w) for w in words], pa.int64()), pa.array(sha)], names=["doc", "text", "id", "n_words", "sha"])
 
-    every = named.withColumn("id", F.col(id_col)).select("doc", "text", "words", "id").mapInArrow(whole, f"doc long, text long, id {kind}, n_words long, sha string")
+    every = named.select("doc", "text", "words", F.col("own_id").alias("id")).mapInArrow(whole, f"doc long, text long, id {kind}, n_words long, sha string")
     return every.join(changed.select("doc", "text", "n_removed", F.col("sha").alias("new_sha")), ["doc", "text"], "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("new_sha", "sha").alias("kept_sha256")
     )
 
 
 def shortened(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20, mer: int = 4) -> DataFrame:
-    """``docs`` with shortened texts: those that lose words have the others joined by one space; all rows stay."""
+    """``docs`` with shortened texts: those that lose words have the others joined by one space; all rows and columns stay, whatever their names.
+
+    Null texts stay null, emptied ones are empty; rows that repeat an id and a text are one document
+    and get the same text; a null id counts as smaller than any other.  An empty table gives an empty one.
+    """
     _, changed = _changed(docs, id_col, text_col, size, mer)
-    short = changed.select(F.col("doc").alias("__doc"), F.col("text").alias("__text"), F.col("kept").cast("string").alias("__kept"))
-    held = docs.withColumns({"__a": _doc(id_col), "__b": F.xxhash64(_words(text_col))}).join(short, (F.col("__a") == F.col("__doc")) & (F.col("__b") == F.col("__text")), "left")
-    return held.withColumn(text_col, F.coalesce("__kept", F.col(text_col))).drop("__a", "__b", "__doc", "__text", "__kept")
+    short = changed.select("doc", "text", F.col("kept").cast("string").alias("kept"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _doc(id_col).alias("doc"), F.xxhash64(_words(text_col)).alias("text"))
+    rows = rows.join(short, ["doc", "text"], "left")
+    own = lambda c: F.col("row").getField(c)
+    return rows.select(*((F.coalesce("kept", own(c).cast("string")) if c == text_col else own(c)).alias(c) for c in docs.columns))

@@ -228,3 +228,37 @@ def test_shares_do_not_overflow(spark):
     n, total, terms = 2 * 10**14, 2 * 10**14 + 12345, 10**9
     got = spark.range(1).select(source_divergence._share(F.lit(n), F.lit(total), F.lit(terms)).alias("p")).collect()[0].p
     assert got == 1 + 10**9 * (n + 2) // (total + 2 * terms)
+
+
+# ---- faults mended in the other operators
+
+
+def test_shortened_keeps_columns_of_any_name(spark):
+    from provisio.llm import substring_dedup
+
+    text = " ".join(f"w{i}" for i in range(30))
+    schema = "words long, doc string, __a int, __doc int, __kept int, `a.b` int, text int, kept string"
+    rows = [(1, text, 1, 2, 3, 4, 5, "k"), (2, f"x {text} y", 6, 7, 8, 9, 10, None), (None, None, 1, 1, 1, 1, 1, ""), (2, "", 0, 0, 0, 0, 0, "e"), (2, f"x {text} y", 6, 7, 8, 9, 11, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = substring_dedup.shortened(docs, id_col="words", text_col="doc")
+    assert got.columns == docs.columns
+    want = [(r[0], "x y" if r[1] and r[1][0] == "x" else r[1], *r[2:]) for r in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    ids = substring_dedup.removed_words(docs, id_col="words", text_col="doc").collect()
+    assert sorted((str(r.words), r.n_removed) for r in ids) == [("1", 0), ("2", 0), ("2", 30), ("2", 30), ("None", 0)]
+
+
+def test_a_cosine_of_one_links_equal_directions(spark):
+    from provisio.llm import embedding_dedup
+
+    rows = [(1, [1.0, 0.0, 2.0]), (2, [1.0, 0.0, 2.0]), (3, [0.0, 1.0, 0.0]), (4, [2.0, 0.0, 4.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=1.0).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[3] == (0, 3)
+
+
+def test_trust_grows_until_it_stays(spark):
+    from provisio.llm import pii
+
+    edges = [("A", x, x[0] == "s") for x in ("s1", "s2", "s3", "x", "y")] + [("C", x, x[0] == "t") for x in ("t1", "t2", "t3", "x", "y", "u1", "u2", "u3")]
+    good, n = pii.confident_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean"), None, 0.6, 3.0)
+    assert n == 2 and {r.pattern for r in good.collect()} == {"A", "C"}

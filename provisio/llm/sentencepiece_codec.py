@@ -13,7 +13,8 @@ What a file asks for is read from it; its normaliser is the library's, as a tabl
   merges: in each round the best edge that spans two neighbouring symbols of a chunk joins them,
   the leftmost of equals, until none is left.  Chunks (a word with the spaces before it) never join,
   as no piece has a space after another character; so a batch's text is indexed as its distinct
-  chunks, and equal chunks are encoded once and remembered.
+  chunks, and equal chunks are encoded once and remembered.  Long chunks, such as texts without
+  spaces, join their symbols from a queue instead of in rounds over all of them.
 
 Refused, with an error: other kinds of model, user-defined or unused pieces, white space as a
 suffix or not escaped, a denormaliser, and BPE files with a space inside a piece.
@@ -23,8 +24,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ from provisio.llm.words import slices, strings, trim
 SPACE = "▁"
 #: Bytes of chunks indexed at once, leading bytes that suffixes are sorted by, chunks remembered.
 INDEX_BYTES, KEY, MOST_CHUNKS = 1 << 18, 8, 600_000
+#: Symbols of a chunk from which on its joins wait in queues; the result is the same.
+LONG_CHUNK = 400
 
 
 def _keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,6 +263,14 @@ class Codec:
         done = [(start[:0], stop[:0], chunk[:0])]
         joined = np.append(rank_of(start[:-1], stop[1:]), no) if len(start) else np.zeros(0, int)
         joined[last] = no
+        n_symbols = np.bincount(chunk, minlength=len(chunks))
+        for c in np.flatnonzero(n_symbols > LONG_CHUNK):
+            own = slice(*np.searchsorted(chunk, (c, c + 1)))
+            left, right = self._join_long(start[own], stop[own], joined[own], edge, piece)
+            done.append((left, right, np.full(len(left), c)))
+        if (n_symbols > LONG_CHUNK).any():
+            short = n_symbols[chunk] <= LONG_CHUNK
+            start, stop, chunk, joined = start[short], stop[short], chunk[short], joined[short]
         while len(start):
             # the best join of each chunk; chunks without one are done
             first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
@@ -302,6 +315,54 @@ class Codec:
         whole = flat.tobytes()
         return {c: whole[cut[k] : cut[k + 1]] for k, c in enumerate(chunks)}
 
+    def _join_long(self, start: np.ndarray, stop: np.ndarray, joined: np.ndarray, edge: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, stop) of the symbols of one long chunk: joins by rank, then place, from a queue for each rank, over linked symbols; a join costs what its queue does, whatever the chunk's length."""
+        n, no = len(start), len(self.texts)
+        low, high = np.searchsorted(edge, start << 32), np.searchsorted(edge, start + 1 << 32)
+        first = int(low[0])
+        own = edge[first : int(high[-1])]
+        ends, ranks = memoryview(own & 0xFFFFFFFF), memoryview(np.ascontiguousarray(self.rank[piece[first : int(high[-1])]], np.int64))
+        lows, highs = (low - first).tolist(), (high - first).tolist()
+        end, now = stop.tolist(), joined.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        order = np.argsort(joined, kind="stable")
+        order = order[joined[order] < no]
+        cut = np.flatnonzero(np.diff(joined[order], prepend=-1)).tolist()
+        queues = {now[order[a]]: order[a:b].tolist() for a, b in zip(cut, [*cut, len(order)][1:], strict=True)}
+        waiting = sorted(queues)
+        stays = np.ones(n, bool)
+
+        def told(i: int, until: int) -> None:
+            k = bisect_left(ends, until, lows[i], highs[i])
+            now[i] = rank = ranks[k] if k < highs[i] and ends[k] == until else no
+            if rank < no:
+                if rank in queues:
+                    heappush(queues[rank], i)
+                else:
+                    queues[rank] = [i]
+                    heappush(waiting, rank)
+
+        while waiting:
+            rank = waiting[0]
+            queue = queues[rank]
+            if not queue:
+                heappop(waiting)
+                del queues[rank]
+                continue
+            i = heappop(queue)
+            if now[i] != rank:
+                continue
+            gone = after[i]
+            end[i], after[i], now[gone], stays[gone] = end[gone], after[gone], no, False
+            if after[i] < n:
+                before[after[i]] = i
+                told(i, end[after[i]])
+            else:
+                now[i] = no
+            if before[i] >= 0:
+                told(before[i], end[i])
+        return start[stays], np.array(end)[stays]
+
     def decode(self, ids: bytes) -> str:
         """The text of some ids; invalid bytes become U+FFFD, one for each byte."""
         numbers = np.frombuffer(ids, "<u4").tolist()

@@ -10,7 +10,7 @@ from provisio.functions import hashing, text
 from provisio.operators import activity, answer_cache, answering, catalog, currentlaw, evaluation, indexing, ingest, pipeline, publication, responses
 from provisio.plans.corpus import LADDER_SQL
 from provisio.plans.views import GEO_SQL, geo_tree, table
-from provisio.sources import files, html_units, metadata, pdf_lines
+from provisio.sources import files, html_units, metadata, pdf_bytes, pdf_lines
 
 # -- verification, recovery, answers: a customer is a request, an order a conclusion about one of three targets
 
@@ -384,6 +384,21 @@ def q104_statutes_from_lines(spark: SparkSession, d: str) -> DataFrame:
     return pdf_lines.units(lines).select("version_id", "provision_type", "citation_label", "text")
 
 
+def q111_statutes_from_pdf_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The printed texts of q104 as the bytes of PDF files, their letters by an encoding's differences: bytes, pieces, lines, provisions."""
+    rows = table(spark, d, "customer").selectExpr("c_nationkey", "struct(c_custkey, concat('0 -14 Td (Art. ', c_custkey, '. ) Tj (', c_name, ') Tj ') as shown) as u")
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list("u")), lambda x: x["shown"]), "")
+    docs = rows.groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.concat(F.lit(r"BT /F1 10 Tf 1 0 0 1 50 700 Tm (Za\263\271cznik do obwieszczenia) Tj "), shown, F.lit("ET")).alias("shown"))
+    head = (
+        "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n"
+        "3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 /Encoding << /Differences [179 /lslash 185 /aogonek] >> >> >> >> >> endobj\n"
+    )
+    whole = F.concat(F.lit(head + "4 0 obj << /Length "), F.length("shown").cast("string"), F.lit(" >> stream\n"), "shown", F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>\n%%EOF"))
+    found = pdf_bytes.pieces(docs.select("path", F.encode(whole, "ISO-8859-1").alias("content")))
+    lines = pdf_lines.visual_lines(found).withColumn("version_id", F.col("document").cast("int"))
+    return pdf_lines.units(lines).select("version_id", "provision_type", "citation_label", "text")
+
+
 def q105_lines_from_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of a page become lines by their height; size is the length of a matrix row."""
     rows = table(spark, d, "lineitem").selectExpr("l_orderkey as document", "1 as page", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as int) as position", "l_partkey as p")
@@ -435,6 +450,7 @@ SQL = {
         union all select c_nationkey, 'article', concat('art. ', c_custkey), concat('Art. ', c_custkey, '. ', c_name), concat('s1/arti_', c_custkey) from customer
         union all select c_nationkey, 'point', concat('art. ', c_custkey, ' pkt 1'), concat('1) ', c_mktsegment), concat('s1/arti_', c_custkey, '/pint_1') from customer""",
     "q104_statutes_from_lines": "select c_nationkey as version_id, 'article' as provision_type, concat('art. ', c_custkey) as citation_label, concat('Art. ', c_custkey, '. ', c_name) as text from customer",
+    "q111_statutes_from_pdf_bytes": "select c_nationkey as version_id, 'article' as provision_type, concat('art. ', c_custkey) as citation_label, concat('Art. ', c_custkey, '. ', c_name) as text from customer",
     "q105_lines_from_pieces": """with r as (select l_orderkey as document, l_partkey as p, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as k from lineitem)
         select document, string_agg(cast(p as varchar), '' order by k) as text, 5e0 as font_size from r group by document, k // 2""",
     "q106_search_index": """with n as (select doc_id as id, sha256(text) as h from documents where doc_id % 7 <> 0) select id, h as content_hash, case when id % 2 = 0 and id % 6 <> 0 then 1e0 else 2e0 end as first from n""",

@@ -1,7 +1,7 @@
 """Provision trees from the lines of a document whose pages were laid out for print.
 
-Lines come as rows (document, page, y, font_size, text) in reading order; whatever reads the files
-makes them, or ``visual_lines`` from positioned pieces of text.
+Lines come as rows (document, page, y, font_size, text) in reading order; ``visual_lines`` makes them
+from positioned pieces of text, and ``pdf_bytes`` reads such pieces from files.
 """
 
 from __future__ import annotations
@@ -119,16 +119,28 @@ def parse(texts: list[str]) -> Outline:
     return out
 
 
-def visual_lines(pieces: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """(document, page, line, y, font_size, text) from pieces (document, page, position, y, a, b, text): neighbours on one baseline are a line."""
-    order = Window.partitionBy("document", "page").orderBy("position")
-    starts = F.coalesce(F.abs(F.col("y") - F.lag("y").over(order)) > tolerance, F.lit(True))
-    rows = pieces.withColumn("starts", starts.cast("int")).withColumn("line", F.sum("starts").over(order))
-    held = F.array_sort(F.collect_list(F.struct("position", "text", "y", F.round(F.hypot("a", "b"), 1).alias("size"))))
-    rows = rows.groupBy("document", "page", "line").agg(held.alias("held"))
-    return rows.select(
-        "document", "page", "line", F.col("held")[0]["y"].alias("y"), F.col("held")[0]["size"].alias("font_size"), F.array_join(F.transform("held", lambda x: x["text"]), "").alias("text")
-    ).where(F.trim("text") != "")
+def visual_lines(pieces: DataFrame, tolerance: int = 2) -> DataFrame:
+    """(document, page, line, y, font_size, text) from pieces (document, page, position, y, a, b, text).
+
+    A piece whose rounded height differs by more than ``tolerance`` from that of its line's first one
+    starts a line; so what a line holds depends on where it began, and a page is folded in order.
+    The first piece gives a line's height and size; lines without a sign are left out.
+    """
+    size = F.floor(F.hypot("a", "b") * 10 + 0.5) / 10
+    piece = F.struct("position", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("y") + 0.5).cast("int").alias("y"), size.alias("size"))
+    pages = pieces.where("y is not null").groupBy("document", "page").agg(F.array_sort(F.collect_list(piece)).alias("held"))
+
+    def folded(told: Column, x: Column) -> Column:
+        starts = told["at"].isNull() | (F.abs(x["y"] - told["at"]) > tolerance)
+        line = F.coalesce(F.try_element_at(told["lines"], F.lit(-1)), F.lit(0)) + starts.cast("int")
+        return F.struct(F.when(starts, x["y"]).otherwise(told["at"]).alias("at"), F.concat(told["lines"], F.array(line)).alias("lines"))
+
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit([]).cast("array<int>").alias("lines"))
+    lines = F.aggregate("held", none, folded)["lines"]
+    rows = pages.withColumn("lines", lines).select("document", "page", F.inline(F.arrays_zip("held", F.col("lines").alias("line"))))
+    rows = rows.groupBy("document", "page", F.col("line")).agg(F.array_sort(F.collect_list("held")).alias("held"))
+    text = F.array_join(F.transform("held", lambda x: x["text"]), "")
+    return rows.select("document", "page", "line", F.col("held")[0]["y"].cast("double").alias("y"), F.col("held")[0]["size"].alias("font_size"), text.alias("text")).where(F.trim("text") != "")
 
 
 def units(lines: DataFrame, *, key: str = "version_id") -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Closed vocabulary of verdicts.
+#: Closed vocabularies of verdicts and of issues' likelihoods, and the most targets of a request.
 VERDICTS = ("direct_support", "partial_support", "no_support")
+LIKELIHOODS = ("most_likely", "possible", "needs_more_information")
+MOST_TARGETS = 4
 
 
 def has_fields(json: Column, fields: tuple[str, ...]) -> Column:
@@ -63,3 +65,56 @@ def drafts(responses: DataFrame, offered: DataFrame, by: str = "request") -> Dat
     one = lambda c: (F.coalesce(F.trim(c["statement"]), F.lit("")) != "") & (F.size(c["support"]) > 0) & F.forall(c["support"], lambda s: F.array_contains("sources", s["sourceId"])) & (c["answerTargetIndex"].isNull() | F.array_contains("targets", c["answerTargetIndex"]))
     fine = F.coalesce(has_fields(F.col("json"), ("conclusions",)) & F.forall("x.conclusions", lambda c: F.coalesce(one(c), F.lit(False))), F.lit(False))
     return rows.select(by, fine.alias("is_valid"), F.when(fine, F.col("x.conclusions")).alias("conclusions"))
+
+
+def completed(envelopes: DataFrame, by: str = "request") -> DataFrame:
+    """(by, json, error) of services' envelopes (by, json): the first choice's content, or INVALID_RESPONSE if there is none, it was declined, or it did not end normally."""
+    x = F.from_json("json", "choices array<struct<message:struct<content:string,refusal:string>,finish_reason:string>>")
+    rows = envelopes.select(by, F.get(x["choices"], F.lit(0)).alias("x"))
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    fine = none("x.message.refusal") & (none("x.finish_reason") | (F.col("x.finish_reason") == "stop")) & ~none("x.message.content")
+    return rows.select(by, F.when(fine, F.col("x.message.content")).alias("json"), F.when(~fine, "INVALID_RESPONSE").alias("error"))
+
+
+def _said(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def detected(responses: DataFrame, by: str = "request") -> DataFrame:
+    """(by, is_valid, summary, targets, issues, clarification) of detections.
+
+    Every issue serves a target and asks something, and targets are named by their places, from 1, so
+    an issue without any target at all is invalid.  No issues is a valid answer, and an empty or null
+    question is none.  Of an invalid response nothing is kept.
+    """
+    query = "struct<query:string,answerTargetIndex:bigint>"
+    kind = f"summary string, answerTargets array<struct<text:string>>, issues array<struct<label:string,likelihood:string,rationale:string,answerTargetIndexes:array<bigint>,retrievalQueries:array<{query}>>>, clarificationQuestion string"
+    rows = responses.select(by, "json", F.from_json("json", kind).alias("x"))
+    n = F.size("x.answerTargets")
+    in_range = lambda i: F.coalesce(i.between(1, n), F.lit(False))
+
+    def served(issue: Column) -> Column:
+        asks = (F.size(issue["retrievalQueries"]) > 0) & F.forall(issue["retrievalQueries"], lambda q: _said(q["query"]) & in_range(q["answerTargetIndex"]))
+        told = _said(issue["label"]) & _said(issue["rationale"]) & issue["likelihood"].isin(*LIKELIHOODS)
+        return F.coalesce(told & (F.size(issue["answerTargetIndexes"]) > 0) & F.forall(issue["answerTargetIndexes"], in_range) & asks, F.lit(False))
+
+    fields = ("summary", "answerTargets", "issues")
+    shape = has_fields(F.col("json"), fields) | has_fields(F.col("json"), (*fields, "clarificationQuestion"))
+    whole = _said(F.col("x.summary")) & (n <= MOST_TARGETS) & F.forall("x.answerTargets", lambda t: _said(t["text"])) & F.forall("x.issues", served)
+    rows = rows.withColumn("is_valid", F.coalesce(shape & whole, F.lit(False)))
+    kept = lambda c, name: F.when(F.col("is_valid"), c).alias(name)
+    return rows.select(by, "is_valid", kept(F.col("x.summary"), "summary"), kept(F.col("x.answerTargets.text"), "targets"), kept(F.col("x.issues"), "issues"), kept(F.nullif("x.clarificationQuestion", F.lit("")), "clarification"))
+
+
+def recoveries(responses: DataFrame, offered: DataFrame, by: str = "request") -> DataFrame:
+    """(by, is_valid, conclusions, uncertainties) of recoveries: each conclusion with a statement, and support by quotes of sources that were offered (by, sources, targets)."""
+    kind = "conclusions array<struct<statement:string,support:array<struct<sourceId:string,excerpt:string>>,answerTargetIndex:bigint>>, uncertainties array<string>"
+    rows = responses.join(offered, by, "left").withColumn("x", F.from_json("json", kind))
+
+    def fine(c: Column) -> Column:
+        quoted = (F.size(c["support"]) > 0) & F.forall(c["support"], lambda s: F.array_contains("sources", s["sourceId"]) & _said(s["excerpt"]))
+        return F.coalesce(_said(c["statement"]) & quoted & (c["answerTargetIndex"].isNull() | F.array_contains("targets", c["answerTargetIndex"])), F.lit(False))
+
+    whole = has_fields(F.col("json"), ("conclusions", "uncertainties")) & F.forall("x.conclusions", fine) & F.forall("x.uncertainties", _said)
+    rows = rows.withColumn("is_valid", F.coalesce(whole, F.lit(False)))
+    return rows.select(by, "is_valid", F.when(F.col("is_valid"), F.col("x.conclusions")).alias("conclusions"), F.when(F.col("is_valid"), F.col("x.uncertainties")).alias("uncertainties"))

@@ -89,6 +89,28 @@ def expressions(metadata: DataFrame, reachable: DataFrame) -> DataFrame:
     return rows.join(reachable.select("uri").distinct(), "uri", "left_semi").select(source_id().alias("source_id"), "expression", kind.alias("version_kind"), authority(kind).alias("authority_class"), "uri")
 
 
+def version_drafts(metadata: DataFrame, reachable: DataFrame) -> DataFrame:
+    """A version for each expression that was found, none of them current: being reachable proves nothing.
+
+    (source_id, expression, version_kind, authority_class, is_non_authoritative, canonical_uri,
+    effective_from, source_document_key, source_updated_at, currentness_status, is_current)
+    """
+    dates = metadata.select(source_id().alias("source_id"), F.try_to_date(F.coalesce("validFrom", "entryIntoForce")).alias("effective_from"), F.try_to_timestamp("changeDate").alias("source_updated_at"))
+    rows = expressions(metadata, reachable).join(dates.dropDuplicates(["source_id"]), "source_id")
+    return rows.select(
+        "source_id", "expression", "version_kind", "authority_class", (F.col("authority_class") == "non_authoritative").alias("is_non_authoritative"), F.col("uri").alias("canonical_uri"),
+        "effective_from", F.concat(F.lit("expression:"), "expression").alias("source_document_key"), "source_updated_at", F.lit("unproven").alias("currentness_status"), F.lit(False).alias("is_current"),
+    )
+
+
+def resource_drafts(metadata: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(source_id, expression, source_url, file_name, source_type_codes, representation_type): one of each expression that was found, and the act's own files, which belong to no expression yet (null)."""
+    found = expressions(metadata, reachable).select(
+        "source_id", "expression", F.col("uri").alias("source_url"), F.concat("expression", F.lit(".eli")).alias("file_name"), F.lit("OFFICIAL_ELI_EXPRESSION").alias("source_type_codes"), F.lit("eli_expression").alias("representation_type"),
+    )
+    return found.unionByName(resources(metadata).withColumn("expression", F.lit(None).cast("string")))
+
+
 def authority(kind: Column) -> Column:
     return F.when(kind == "unified", "non_authoritative").when(kind.isin("consolidated", "promulgated"), "authoritative").otherwise("unknown")
 

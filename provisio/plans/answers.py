@@ -9,7 +9,7 @@ from provisio import shared
 from provisio.functions import hashing, text
 from provisio.operators import activity, answer_cache, answering, catalog, currentlaw, evaluation, indexing, ingest, pipeline, publication, responses
 from provisio.plans.corpus import LADDER_SQL
-from provisio.plans.views import GEO_SQL, geo_tree, table
+from provisio.plans.views import ANNEX_SHOWN, GEO_SQL, geo_tree, pdf_of, table
 from provisio.sources import files, html_units, metadata, pdf_bytes, pdf_lines
 
 # -- verification, recovery, answers: a customer is a request, an order a conclusion about one of three targets
@@ -388,13 +388,8 @@ def q111_statutes_from_pdf_bytes(spark: SparkSession, d: str) -> DataFrame:
     """The printed texts of q104 as the bytes of PDF files, their letters by an encoding's differences: bytes, pieces, lines, provisions."""
     rows = table(spark, d, "customer").selectExpr("c_nationkey", "struct(c_custkey, concat('0 -14 Td (Art. ', c_custkey, '. ) Tj (', c_name, ') Tj ') as shown) as u")
     shown = F.array_join(F.transform(F.array_sort(F.collect_list("u")), lambda x: x["shown"]), "")
-    docs = rows.groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.concat(F.lit(r"BT /F1 10 Tf 1 0 0 1 50 700 Tm (Za\263\271cznik do obwieszczenia) Tj "), shown, F.lit("ET")).alias("shown"))
-    head = (
-        "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n"
-        "3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 /Encoding << /Differences [179 /lslash 185 /aogonek] >> >> >> >> >> endobj\n"
-    )
-    whole = F.concat(F.lit(head + "4 0 obj << /Length "), F.length("shown").cast("string"), F.lit(" >> stream\n"), "shown", F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>\n%%EOF"))
-    found = pdf_bytes.pieces(docs.select("path", F.encode(whole, "ISO-8859-1").alias("content")))
+    docs = rows.groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.concat(F.lit(ANNEX_SHOWN), shown, F.lit("ET")).alias("shown"))
+    found = pdf_bytes.pieces(docs.select("path", pdf_of("shown").alias("content")))
     lines = pdf_lines.visual_lines(found).withColumn("version_id", F.col("document").cast("int"))
     return pdf_lines.units(lines).select("version_id", "provision_type", "citation_label", "text")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provisio.operators import responses
-from provisio.plans.views import table
+from provisio import shared
+from provisio.operators import preparation, responses
+from provisio.plans.views import ANNEX_SHOWN, pdf_of, table
 from provisio.sources import fetching, metadata
 
 
@@ -100,6 +101,53 @@ def q117_recoveries(spark: SparkSession, d: str) -> DataFrame:
     return responses.recoveries(rows, offered).select("request", "is_valid", F.size("conclusions").alias("n"), F.element_at("uncertainties", 1).alias("doubt"))
 
 
+def _corpus(method: str, url: str) -> fetching.Reply:
+    """Acts of 1990 with up to two announcements of 2000, which name amendments of 2010; rulings are of 2020."""
+    parts = url.removesuffix("/references").split("/")
+    if "http" not in url:
+        return fetching.Reply(200 if parts[-1] == ("tj" if parts[1] == "2000" else "ogl") else 404)
+    year, n = int(parts[-2]), int(parts[-1])
+    named = lambda year, pos: f'{{"act": {{"publisher": "DU", "year": {year}, "pos": {pos}}}}}'
+    if not url.endswith("/references"):
+        if (year, n % 17) == (1990, 0):
+            raise ConnectionResetError
+        if (year, n % 11) == (2000, 0):
+            return fetching.Reply(404)
+        return fetching.Reply(200, f'{{"title": "act {n}", "publisher": "DU", "year": {year}, "pos": {n}, "promulgation": "{year}-01-01", "textHTML": {str(n % 2 == 0).lower()}, "textPDF": {str(n % 9 > 0).lower()}}}')
+    if (year, n % 13) == (1990, 0):
+        raise TimeoutError
+    if year == 1990:
+        told = {"Inf. o tekście jednolitym": [named(2000, 10 * n + k) for k in range(n % 3)], "Orzeczenie TK": [named(2020, n)]}
+    else:
+        told = {"Tekst jednolity dla aktu": [named(1990, n // 10)] if n % 7 else [], "Nowelizacje po tekście jednolitym": [named(2010, n)]}
+    return fetching.Reply(200, "{" + ", ".join(f'"{k}": [{", ".join(v)}]' for k, v in told.items()) + "}")
+
+
+def q118_prepared_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus from nothing: customers are acts; texts of their announcements come as HTML or as the bytes of PDF files, and become revisions and documents to embed."""
+    people = table(spark, d, "customer").select("c_custkey", "c_name")
+    scope = people.select(F.concat(F.lit("DU/1990/"), F.col("c_custkey").cast("string")).alias("source_id"))
+    texts = people.select(F.explode(F.expr("sequence(0, 1)")).alias("k"), "c_custkey", "c_name").withColumn("announcement", F.concat(F.lit("DU/2000/"), (10 * F.col("c_custkey") + F.col("k")).cast("string")))
+    unit = """concat('<div class="parts"><section id="s"><div class="part"><h2>Załącznik - Tekst jednolity</h2><div class="block"><div class="unit unit_arti" data-id="arti_1"><h3>Art. 1</h3><div class="unit-inner"><div data-template="xText">', c_name, '</div></div></div></div></div></section></div>')"""
+    html = texts.selectExpr("announcement", f"{unit} as html")
+    shown = F.concat(F.lit(ANNEX_SHOWN + "0 -14 Td (Art. 1. "), "c_name", F.lit(") Tj 0 -14 Td (Art. 2. X) Tj ET"))
+    pdf = texts.withColumn("shown", shown).select("announcement", pdf_of("shown").alias("content"))
+    empty = lambda kind: spark.createDataFrame([], kind)
+    versions = "id string, legal_act_id string, expression string, source_announcement_legal_act_id string, content_hash string, version_kind string, authority_class string, canonical_uri string, effective_from date, source_updated_at timestamp, currentness_status string, is_current boolean"
+    old = {
+        "acts": empty("id string, source_id string, title string"),
+        "versions": empty(versions),
+        "resources": empty("source_id string, source_url string, expression string, file_name string, source_type_codes string, representation_type string"),
+        "relations": empty("legal_act_id string, relation_type string, related_source_id string, source_relation_type string, related_legal_act_id string, is_active boolean, discovered_at timestamp, refreshed_at timestamp"),
+        "provisions": empty("id string, parent_id string, version_id string, provision_type string, citation_label string, heading string, text string"),
+        "documents": empty("id string, version_id string, content_hash string"),
+    }
+    replies = preparation.requested(scope, _corpus, shared.cut)
+    made = preparation.prepared(scope, replies, html, pdf, old, F.lit("2024-01-01").cast("timestamp"), ["title"], kept=shared.cut)
+    n = made["documents"].where("action = 'embedded'").groupBy("version_id").agg(F.count("*").alias("n_documents"))
+    return made["report"].join(n, "version_id", "left").select("base", "announcement", "choice", "outcome", F.col("version_id").isNotNull().alias("is_version"), "n_documents")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 _ERROR = "case when k % 7 = 0 then 'TIMEOUT' when k % 13 = 0 or k % 11 = 0 then 'HTTP_ERROR' when k % 5 = 0 or k % 3 = 0 then 'INVALID_RESPONSE' end"
 _THERE = """keys as (select cast(o_orderkey as integer) as k from orders), probe as (select k, e, case when k % 7 = 0 and e = 'tj' then null else (k + length(e)) % 3 <> 0 end as there from keys cross join (values ('ogl'), ('tj'), ('uj')) v(e))"""
@@ -117,5 +165,9 @@ SQL = {
         union all select concat('DU/2000/', k), 'resource', concat(e, '.eli'), concat('OFFICIAL_ELI_EXPRESSION eli_expression DU/2000/', k, '/', e) from f""",
     "q116_detections": f"""with o as (select o_orderkey as k from orders) select k as request, case when k % 17 = 0 then 'INVALID_RESPONSE' end as error, {_DETECTED} as is_valid,
         case when {_DETECTED} then case when k % 7 = 0 then 0 else 2 end end as n_targets, case when {_DETECTED} then case when k % 3 = 0 then 0 else 1 end end as n_issues, cast(null as varchar) as clarification from o""",
+    "q118_prepared_corpus": """with a as (select c_custkey as c, 10 * c_custkey + k as n from customer cross join (values (0), (1)) v(k) where k < c_custkey % 3 and c_custkey % 13 <> 0 and c_custkey % 17 <> 0),
+        t as (select *, case when n % 11 = 0 then 'failed' when n % 2 = 0 then 'html' when n % 9 > 0 then 'pdf' else 'unavailable' end as choice from a),
+        o as (select *, case when choice not in ('html', 'pdf') then choice when n % 7 = 0 then 'not_mutual' else 'inserted' end as outcome from t)
+        select concat('DU/1990/', c) as base, concat('DU/2000/', n) as announcement, choice, outcome, outcome = 'inserted' as is_version, case when outcome = 'inserted' then case choice when 'pdf' then 2 else 1 end end as n_documents from o""",
     "q117_recoveries": f"""with o as (select o_orderkey as k from orders) select k as request, {_RECOVERED} as is_valid, case when {_RECOVERED} then 1 - k % 2 end as n, case when {_RECOVERED} then 'u' end as doubt from o""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.functions.text import FOLD_FROM, FOLD_TO
@@ -20,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A page's content up to its first line, an annex's heading in the letters of ``pdf_of``.
+ANNEX_SHOWN = r"BT /F1 10 Tf 1 0 0 1 50 700 Tm (Za\263\271cznik do obwieszczenia) Tj "
+
+
+def pdf_of(shown: str) -> Column:
+    """The bytes of a PDF file of one page with the content of a column; 179 and 185 are letters by the encoding's differences."""
+    head = (
+        "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n"
+        "3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 /Encoding << /Differences [179 /lslash 185 /aogonek] >> >> >> >> >> endobj\n"
+    )
+    whole = F.concat(F.lit(head + "4 0 obj << /Length "), F.length(shown).cast("string"), F.lit(" >> stream\n"), shown, F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>\n%%EOF"))
+    return F.encode(whole, "ISO-8859-1")
+
+
 # The tree region > nation > customer > order; customers have text of their own.
 GEO_SQL = """
 select concat('r', r_regionkey) as id, cast(null as varchar) as parent_id, 'division' as provision_type, r_name as label, r_name as text from region

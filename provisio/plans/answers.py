@@ -384,7 +384,7 @@ def q104_statutes_from_lines(spark: SparkSession, d: str) -> DataFrame:
     return pdf_lines.units(lines).select("version_id", "provision_type", "citation_label", "text")
 
 
-def q111_statutes_from_pdf_bytes(spark: SparkSession, d: str) -> DataFrame:
+def q119_statutes_from_pdf_bytes(spark: SparkSession, d: str) -> DataFrame:
     """The printed texts of q104 as the bytes of PDF files, their letters by an encoding's differences: bytes, pieces, lines, provisions."""
     rows = table(spark, d, "customer").selectExpr("c_nationkey", "struct(c_custkey, concat('0 -14 Td (Art. ', c_custkey, '. ) Tj (', c_name, ') Tj ') as shown) as u")
     shown = F.array_join(F.transform(F.array_sort(F.collect_list("u")), lambda x: x["shown"]), "")
@@ -445,7 +445,7 @@ SQL = {
         union all select c_nationkey, 'article', concat('art. ', c_custkey), concat('Art. ', c_custkey, '. ', c_name), concat('s1/arti_', c_custkey) from customer
         union all select c_nationkey, 'point', concat('art. ', c_custkey, ' pkt 1'), concat('1) ', c_mktsegment), concat('s1/arti_', c_custkey, '/pint_1') from customer""",
     "q104_statutes_from_lines": "select c_nationkey as version_id, 'article' as provision_type, concat('art. ', c_custkey) as citation_label, concat('Art. ', c_custkey, '. ', c_name) as text from customer",
-    "q111_statutes_from_pdf_bytes": "select c_nationkey as version_id, 'article' as provision_type, concat('art. ', c_custkey) as citation_label, concat('Art. ', c_custkey, '. ', c_name) as text from customer",
+    "q119_statutes_from_pdf_bytes": "select c_nationkey as version_id, 'article' as provision_type, concat('art. ', c_custkey) as citation_label, concat('Art. ', c_custkey, '. ', c_name) as text from customer",
     "q105_lines_from_pieces": """with r as (select l_orderkey as document, l_partkey as p, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as k from lineitem)
         select document, string_agg(cast(p as varchar), '' order by k) as text, 5e0 as font_size from r group by document, k // 2""",
     "q106_search_index": """with n as (select doc_id as id, sha256(text) as h from documents where doc_id % 7 <> 0) select id, h as content_hash, case when id % 2 = 0 and id % 6 <> 0 then 1e0 else 2e0 end as first from n""",

@@ -55,12 +55,12 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").selectExpr("'DU' as publisher", "2000 as year", "cast(o_orderkey as int) as pos")
 
 
-def q112_fetched_metadata(spark: SparkSession, d: str) -> DataFrame:
+def q120_fetched_metadata(spark: SparkSession, d: str) -> DataFrame:
     replies = fetching.fetched(fetching.requests(_orders(spark, d)), _act)
     return fetching.act_metadata(replies).select(F.col("asked.pos").alias("asked"), "http_status", "error", "title", F.to_date("promulgation").alias("promulgated"))
 
 
-def q113_fetched_references(spark: SparkSession, d: str) -> DataFrame:
+def q121_fetched_references(spark: SparkSession, d: str) -> DataFrame:
     """Failed, invalid, empty and filled replies, each told apart: relations are null, or counted."""
     told = fetching.act_references(fetching.fetched(fetching.requests(_orders(spark, d), references=True), _related)).select(F.col("asked.pos").cast("long").alias("legal_act_id"), "error", "json")
     found = metadata.relations(told).groupBy("legal_act_id").agg(F.count("*").alias("n"))
@@ -68,12 +68,12 @@ def q113_fetched_references(spark: SparkSession, d: str) -> DataFrame:
     return told.join(found, "legal_act_id", "left").select("legal_act_id", "error", n.alias("n"))
 
 
-def q114_probed_expressions(spark: SparkSession, d: str) -> DataFrame:
+def q122_probed_expressions(spark: SparkSession, d: str) -> DataFrame:
     uris = _orders(spark, d).select("pos", F.explode(F.array(*map(F.lit, metadata.EXPRESSIONS))).alias("expression")).withColumn("uri", F.concat_ws("/", F.lit("DU/2000"), "pos", "expression"))
     return fetching.probed(uris, _expression).select("pos", "expression", "is_available", "error")
 
 
-def q115_version_and_resource_drafts(spark: SparkSession, d: str) -> DataFrame:
+def q123_version_and_resource_drafts(spark: SparkSession, d: str) -> DataFrame:
     rows = fetching.act_metadata(fetching.fetched(fetching.requests(_orders(spark, d)), _act)).where("error is null")
     uris = rows.select(F.col("pos"), F.explode(F.array(*map(F.lit, metadata.EXPRESSIONS))).alias("expression")).withColumn("uri", F.concat_ws("/", F.lit("DU/2000"), "pos", "expression"))
     there = fetching.probed(uris, _expression).where("is_available")
@@ -82,7 +82,7 @@ def q115_version_and_resource_drafts(spark: SparkSession, d: str) -> DataFrame:
     return versions.unionByName(files)
 
 
-def q116_detections(spark: SparkSession, d: str) -> DataFrame:
+def q124_detections(spark: SparkSession, d: str) -> DataFrame:
     """Envelopes of detections, each wrong in at most one place by its order's key."""
     told = """concat('{"summary":"', case when k % 5 = 0 then '' else 's' end, '","answerTargets":[', case when k % 7 = 0 then '' else '{"text":"a"},{"text":"b"}' end, '],"issues":[',
         case when k % 3 = 0 then '' else concat('{"label":"l","likelihood":"', case when k % 11 = 0 then 'certain' else 'possible' end, '","rationale":"r","answerTargetIndexes":[1],"retrievalQueries":[{"query":"q","answerTargetIndex":', k % 4, '}]}') end,
@@ -93,7 +93,7 @@ def q116_detections(spark: SparkSession, d: str) -> DataFrame:
     return responses.detected(found).join(found.select("request", "error"), "request").select("request", "error", "is_valid", F.size("targets").alias("n_targets"), F.size("issues").alias("n_issues"), "clarification")
 
 
-def q117_recoveries(spark: SparkSession, d: str) -> DataFrame:
+def q125_recoveries(spark: SparkSession, d: str) -> DataFrame:
     told = """concat('{"conclusions":[', case when k % 2 = 0 then concat('{"statement":"s","support":[{"sourceId":"S', k % 3, '","excerpt":"', case when k % 7 = 0 then '' else 'e' end, '"}],"answerTargetIndex":', case when k % 4 = 0 then 'null' else cast(k % 5 as string) end, '}') else '' end,
         '],"uncertainties":[', case when k % 11 = 0 then '""' else '"u"' end, ']}')"""
     rows = table(spark, d, "orders").selectExpr("o_orderkey as k").selectExpr("k as request", f"{told} as json")
@@ -123,7 +123,7 @@ def _corpus(method: str, url: str) -> fetching.Reply:
     return fetching.Reply(200, "{" + ", ".join(f'"{k}": [{", ".join(v)}]' for k, v in told.items()) + "}")
 
 
-def q118_prepared_corpus(spark: SparkSession, d: str) -> DataFrame:
+def q126_prepared_corpus(spark: SparkSession, d: str) -> DataFrame:
     """A corpus from nothing: customers are acts; texts of their announcements come as HTML or as the bytes of PDF files, and become revisions and documents to embed."""
     people = table(spark, d, "customer").select("c_custkey", "c_name")
     scope = people.select(F.concat(F.lit("DU/1990/"), F.col("c_custkey").cast("string")).alias("source_id"))
@@ -154,20 +154,20 @@ _THERE = """keys as (select cast(o_orderkey as integer) as k from orders), probe
 _DETECTED = "k % 17 <> 0 and k % 5 <> 0 and k % 13 <> 0 and (k % 3 = 0 or (k % 7 <> 0 and k % 11 <> 0 and k % 4 in (1, 2)))"
 _RECOVERED = "k % 11 <> 0 and (k % 2 = 1 or (k % 3 < 2 and k % 7 <> 0 and (k % 4 = 0 or k % 5 in (1, 2, 3))))"
 SQL = {
-    "q112_fetched_metadata": f"""with o as (select cast(o_orderkey as integer) as k from orders)
+    "q120_fetched_metadata": f"""with o as (select cast(o_orderkey as integer) as k from orders)
         select k as asked, case when k % 7 = 0 or k % 13 = 0 then null when k % 11 = 0 then 404 else 200 end as http_status, {_ERROR} as error, case when {_ERROR} is null then concat('act ', k) end as title,
         case when {_ERROR} is null then make_date(2000, 1, k % 9 + 1) end as promulgated from o""",
-    "q113_fetched_references": """select o_orderkey as legal_act_id, case when o_orderkey % 7 = 0 then 'HTTP_ERROR' when o_orderkey % 5 = 0 then 'INVALID_RESPONSE' end as error,
+    "q121_fetched_references": """select o_orderkey as legal_act_id, case when o_orderkey % 7 = 0 then 'HTTP_ERROR' when o_orderkey % 5 = 0 then 'INVALID_RESPONSE' end as error,
         case when o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0 then o_orderkey % 3 end as n from orders""",
-    "q114_probed_expressions": f"with {_THERE} select k as pos, e as expression, there as is_available, case when there is null then 'TIMEOUT' end as error from probe",
-    "q115_version_and_resource_drafts": f"""with {_THERE}, f as (select k, e, case e when 'ogl' then 'promulgated' when 'tj' then 'consolidated' else 'unified' end as kind from probe where there and {_ERROR} is null)
+    "q122_probed_expressions": f"with {_THERE} select k as pos, e as expression, there as is_available, case when there is null then 'TIMEOUT' end as error from probe",
+    "q123_version_and_resource_drafts": f"""with {_THERE}, f as (select k, e, case e when 'ogl' then 'promulgated' when 'tj' then 'consolidated' else 'unified' end as kind from probe where there and {_ERROR} is null)
         select concat('DU/2000/', k) as source_id, 'version' as part, concat('expression:', e) as name, concat(kind, case when e = 'uj' then ' non_authoritative' else ' authoritative' end, ' unproven false') as told from f
         union all select concat('DU/2000/', k), 'resource', concat(e, '.eli'), concat('OFFICIAL_ELI_EXPRESSION eli_expression DU/2000/', k, '/', e) from f""",
-    "q116_detections": f"""with o as (select o_orderkey as k from orders) select k as request, case when k % 17 = 0 then 'INVALID_RESPONSE' end as error, {_DETECTED} as is_valid,
+    "q124_detections": f"""with o as (select o_orderkey as k from orders) select k as request, case when k % 17 = 0 then 'INVALID_RESPONSE' end as error, {_DETECTED} as is_valid,
         case when {_DETECTED} then case when k % 7 = 0 then 0 else 2 end end as n_targets, case when {_DETECTED} then case when k % 3 = 0 then 0 else 1 end end as n_issues, cast(null as varchar) as clarification from o""",
-    "q118_prepared_corpus": """with a as (select c_custkey as c, 10 * c_custkey + k as n from customer cross join (values (0), (1)) v(k) where k < c_custkey % 3 and c_custkey % 13 <> 0 and c_custkey % 17 <> 0),
+    "q126_prepared_corpus": """with a as (select c_custkey as c, 10 * c_custkey + k as n from customer cross join (values (0), (1)) v(k) where k < c_custkey % 3 and c_custkey % 13 <> 0 and c_custkey % 17 <> 0),
         t as (select *, case when n % 11 = 0 then 'failed' when n % 2 = 0 then 'html' when n % 9 > 0 then 'pdf' else 'unavailable' end as choice from a),
         o as (select *, case when choice not in ('html', 'pdf') then choice when n % 7 = 0 then 'not_mutual' else 'inserted' end as outcome from t)
         select concat('DU/1990/', c) as base, concat('DU/2000/', n) as announcement, choice, outcome, outcome = 'inserted' as is_version, case when outcome = 'inserted' then case choice when 'pdf' then 2 else 1 end end as n_documents from o""",
-    "q117_recoveries": f"""with o as (select o_orderkey as k from orders) select k as request, {_RECOVERED} as is_valid, case when {_RECOVERED} then 1 - k % 2 end as n, case when {_RECOVERED} then 'u' end as doubt from o""",
+    "q125_recoveries": f"""with o as (select o_orderkey as k from orders) select k as request, {_RECOVERED} as is_valid, case when {_RECOVERED} then 1 - k % 2 end as n, case when {_RECOVERED} then 'u' end as doubt from o""",
 }

@@ -172,6 +172,9 @@ class File:
 
     def content(self, stream: Stream) -> bytes:
         filters, data = self.get(stream.head.get("Filter")), stream.raw
+        told = self.get(stream.head.get("DecodeParms"))
+        if any((self.get(x.get("Predictor")) or 1) > 1 for x in map(self.get, told if isinstance(told, list) else [told]) if isinstance(x, dict)):
+            raise Unreadable("a stream is held by a predictor")
         for name in map(self.get, filters if isinstance(filters, list) else [filters]):
             if name in ("FlateDecode", "Fl"):
                 data = zlib.decompressobj().decompress(data)

@@ -391,3 +391,14 @@ def test_packing_reads_requests_as_streams(spark):
     assert [r.id for r in small] == [28005, 21005, 14005, 7005, 5]
     late = answer.packed(rows.where("g = 1 and (id < 28006)"), "g").orderBy("source_no").collect()
     assert [r.id for r in late] == [28005, 21005, 14005, 7005, 5]
+
+
+def test_equal_newest_versions_are_decided_alike(spark):
+    day = datetime.date(2020, 1, 1)
+    acts = spark.createDataFrame([("a", True, None, None, None), ("x", True, day, None, None)], "id string, in_force boolean, promulgation_date date, expiration_date date, entry_into_force_date date")
+    relations = spark.createDataFrame([("a", "consolidated_text_announcement", "x", True)], "legal_act_id string, relation_type string, related_legal_act_id string, is_active boolean")
+    versions = [("v", "a", "consolidated", "tj", "authoritative", "x", structure, day, day) for structure in (True, False)]
+    names = "id string, legal_act_id string, version_kind string, source_expression_id string, authority_class string, source_announcement_legal_act_id string, has_structure boolean, legal_state_date date, created_at date"
+    for rows in (versions, versions[::-1]):
+        decided = currentlaw.decided(currentlaw.candidates(acts, spark.createDataFrame(rows, names).coalesce(1), relations, F.expr("date '2024-01-01'")))
+        assert [r.reason_code for r in decided.where("act = 'a'").collect()] == ["authoritative_current"]

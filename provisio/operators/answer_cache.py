@@ -12,14 +12,22 @@ PROVENANCE = ("ruleset_version", "effective_as_of", "corpus_selection_hash")
 def looked_up(questions: DataFrame, cache: DataFrame, scope: DataFrame) -> DataFrame:
     """``questions`` (key and provenance columns) with is_hit and the snapshot.
 
-    ``cache``: key, provenance, status, answer_snapshot, source_version_ids; ``scope``: corpus_run_id, version_ids.
+    ``cache``: key, provenance, status, answer_snapshot, source_version_ids; ``scope``: corpus_run_id
+    and version_ids, or a row for each version_id.  Sources are joined with the scope one by one, so
+    a run may hold any number of versions.
     """
-    own = cache.withColumnsRenamed({c: f"__{c}" for c in (*PROVENANCE, "status")})
-    rows = questions.join(own, list(KEY), "left").join(scope, "corpus_run_id", "left")
-    fits = F.col("__status") == "answered"
+    if "version_ids" in scope.columns:
+        scope = scope.select("corpus_run_id", F.explode("version_ids").alias("version_id"))
+    pack = F.sha2(F.to_json(F.struct("source_version_ids"), {"ignoreNullFields": "false"}), 256)
+    own = cache.withColumnsRenamed({c: f"__{c}" for c in (*PROVENANCE, "status")}).withColumn("__pack", pack)
+    # packs of a run with a source that is not in its scope; a null source is in none
+    sources = own.select("corpus_run_id", "__pack", F.explode("source_version_ids").alias("version_id"))
+    stray = sources.join(scope.select("corpus_run_id", "version_id"), ["corpus_run_id", "version_id"], "left_anti").select("corpus_run_id", "__pack").distinct()
+    rows = questions.join(own, list(KEY), "left").join(stray.withColumn("__stray", F.lit(True)), ["corpus_run_id", "__pack"], "left")
+    fits = (F.col("__status") == "answered") & F.col("__stray").isNull()
     for c in PROVENANCE:
         fits &= F.col(f"__{c}") == F.col(c)
-    fits &= (F.size("source_version_ids") > 0) & F.forall("source_version_ids", lambda v: F.array_contains("version_ids", v))
+    fits &= F.size("source_version_ids") > 0
     hit = F.coalesce(fits, F.lit(False))
     return rows.select(*questions.columns, hit.alias("is_hit"), F.when(hit, F.col("answer_snapshot")).alias("answer_snapshot"))
 

@@ -239,7 +239,7 @@ def q43_cache_key(spark: SparkSession, d: str) -> DataFrame:
 def q44_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Customers ask; orders of the customers are the stored answers' sources, runs are the nations' scopes."""
     customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
-    scope = orders.where("o_orderkey % 10 <> 3").join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("corpus_run_id")).agg(F.collect_set("o_orderkey").alias("version_ids"))
+    scope = orders.where("o_orderkey % 10 <> 3").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("corpus_run_id"), F.col("o_orderkey").alias("version_id"))
     cache = orders.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("source_version_ids")).join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_custkey").alias("question_hash"), F.col("c_nationkey").alias("corpus_run_id"), F.lit("v1").alias("pipeline_version"), F.expr("case when c_custkey % 6 = 0 then 'r0' else 'r1' end").alias("ruleset_version"),
         F.lit("2024-01-30").alias("effective_as_of"), F.lit("h").alias("corpus_selection_hash"), F.expr("case when c_acctbal < 0 then 'insufficient_evidence' else 'answered' end").alias("status"),

@@ -402,3 +402,18 @@ def test_equal_newest_versions_are_decided_alike(spark):
     for rows in (versions, versions[::-1]):
         decided = currentlaw.decided(currentlaw.candidates(acts, spark.createDataFrame(rows, names).coalesce(1), relations, F.expr("date '2024-01-01'")))
         assert [r.reason_code for r in decided.where("act = 'a'").collect()] == ["authoritative_current"]
+
+
+def test_cache_lookup_of_large_scopes_joins_versions(spark):
+    key = "question_hash string, corpus_run_id string, pipeline_version string, ruleset_version string, effective_as_of string, corpus_selection_hash string"
+    packs = {"in": ["v1", "v2"], "out": ["v1", "v3"], "none": [], "null": ["v1", None], "run": ["v1"]}
+    run = {"run": "unknown"}
+    asked = spark.createDataFrame([(q, run.get(q, "r"), "p", "s", "d", "h") for q in packs], key)
+    cache = spark.createDataFrame([(q, run.get(q, "r"), "p", "s", "d", "h", "answered", q, v) for q, v in packs.items()], f"{key}, status string, answer_snapshot string, source_version_ids array<string>")
+    rows = spark.createDataFrame([("r", "v1"), ("r", "v2"), ("other", "v3")], "corpus_run_id string, version_id string")
+    lists = rows.groupBy("corpus_run_id").agg(F.collect_list("version_id").alias("version_ids"))
+    for scope in (rows, lists):
+        looked = answer_cache.looked_up(asked, cache, scope)
+        assert {r.question_hash: r.answer_snapshot for r in looked.collect()} == {q: q if q == "in" else None for q in packs}
+        # no row carries a run's whole scope
+        assert "array_contains" not in looked._jdf.queryExecution().optimizedPlan().toString()

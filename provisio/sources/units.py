@@ -39,9 +39,10 @@ class Outline:
     def __init__(self):
         self.units: list[Unit] = []
         self.paths: set[str] = set()
+        self.taken = 0
 
     def add(self, kind: str, heading: str, label: str, path: str, parent: Unit | None = None, number: str | None = None) -> Unit:
-        ordinal = len(self.units) + 1
+        ordinal = self.taken + len(self.units) + 1
         if path in self.paths:
             path = f"{path}#{ordinal}"
         self.paths.add(path)
@@ -67,6 +68,13 @@ class Outline:
             out.append(row)
         return out
 
+    def take(self, document: str) -> list[dict]:
+        """``rows`` of the units so far, which are let go; those that follow are numbered on."""
+        out = self.rows(document)
+        self.taken += len(self.units)
+        self.units = []
+        return out
+
 
 class SourceError(ValueError):
     """A text that must not be guessed at."""

@@ -417,3 +417,45 @@ def test_cache_lookup_of_large_scopes_joins_versions(spark):
         assert {r.question_hash: r.answer_snapshot for r in looked.collect()} == {q: q if q == "in" else None for q in packs}
         # no row carries a run's whole scope
         assert "array_contains" not in looked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_html_pieces_are_read_as_a_stream(spark):
+    article = '<div class="unit unit_arti" data-id="arti_{0}"><h3>Art. {0}</h3><div class="unit-inner"><div data-template="xText">Tekst &amp; {0}</div></div></div>'
+    pieces = ['<div class="parts"><section id="s1"><div class="part"><h2>Ustawa</h2><div class="block">', *(article.format(k) for k in range(3000)), "</div></div></section></div>"]
+    seen = []
+    rows = html_units.streamed(7, (seen.append(1) or x for x in pieces))
+    assert [next(rows)["structural_path"] for _ in range(10)][-1] == "s1/arti_8"
+    assert len(seen) == 10  # rows come before the rest is read
+    want = [(r["structural_path"], r["text"], r["ordinal"], r["id"], r["parent_id"]) for r in html_units.parse("".join(pieces)).rows("7")]
+    assert [(r["structural_path"], r["text"], r["ordinal"], r["id"], r["parent_id"]) for r in html_units.streamed(7, pieces)] == want
+    frame = spark.createDataFrame([(k, i, x) for k in (7, None) for i, x in enumerate(pieces)], "version_id int, place int, html string").repartition(8)
+    got = html_units.units_of_pieces(frame).orderBy("ordinal").select("version_id", "structural_path", "text", "ordinal", "id", "parent_id").collect()
+    assert [tuple(r)[1:] for r in got if r.version_id == 7] == want
+    assert sum(r.version_id is None for r in got) == len(want)
+
+
+def test_html_streams_by_brute_force():
+    rng = random.Random(5)
+    tags = ["div", "section", "h2", "h3", "p", "li", "a", "br"]
+    classes = ["parts", "part", "block", "unit unit_arti", "unit unit_pint", "unit unit_chpt", "unit", "unit-inner", "gloss-link", "block unit", "part block", ""]
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randrange(4)):
+            tag, cls = rng.choice(tags), rng.choice(classes)
+            if depth and rng.random() < 0.4:
+                out.append(f'<div class="unit unit_arti" data-id="arti_{rng.randrange(3)}"><h3>A</h3><div class="unit-inner">{tree(depth - 1)}</div></div>')
+                continue
+            out.append(f'<{tag} class="{cls}" data-id="x_{rng.randrange(3)}" data-template="xText">' + (tree(depth - 1) if depth else "t&lt;") + rng.choice([f"</{tag}>", f"</{tag}>", f"</{tag}>", "", "</div>"]))
+        return "".join(out)
+
+    found = 0
+    for _ in range(2000):
+        head = rng.choice(['<div class="parts"><section id="s"><div class="part">', '<div class="parts">', '<div class="parts"><section><div class="part"><h2>U</h2><div class="block">', ""])
+        html = head + tree(3) + tree(4) + rng.choice(["", "</div></section>" + tree(3)])
+        cut = sorted(rng.randrange(len(html) + 1) for _ in range(5))
+        pieces = [html[a:b] for a, b in zip([0, *cut], [*cut, len(html)], strict=True)]
+        want = html_units.parse(html).rows("k")
+        assert [{k: v for k, v in r.items() if k not in ("key", "error")} for r in html_units.streamed("k", pieces)] == want
+        found += len(want) > 2
+    assert found > 200

@@ -1,12 +1,11 @@
 """Quality rules: plain counts of a text, and bands of n-gram perplexity for its language.
 
-The model is a modified Kneser-Ney model of letters.  A text's bytes fall into 60 symbols: each
-small letter is its own, capitals are one, as are digits, white space, and kinds of punctuation
-and marks; the bytes of longer characters are told apart by some of their bits.  Spark counts the
-runs of four symbols by language, over all texts, so a language has at most 64**4 counts for any
-input.  The model holds, for each length of run, sorted arrays of codes with log probabilities and
-of contexts with back-off weights, which are searched.  The shortest runs back off to those of all
-languages together, so a passage in another language is unlikely, but not unheard of.
+The model is a modified Kneser-Ney model of letters, by their UTF-8 bytes: every byte is a symbol of
+its own, so no two letters, digits, signs or kinds of white space are taken for each other.  Spark
+counts the runs of four symbols by language, over all texts; UTF-8 and a language's letters bound how
+many there are, not the corpus.  The model holds, for each length of run, sorted arrays of codes with
+log probabilities and of contexts with back-off weights, which are searched.  The shortest runs back
+off to those of all languages together, so a passage in another language is unlikely, but not unheard of.
 
 A document is rejected if one of its log perplexities lies outside its language's band: for a
 symbol, for a word, and for the first symbols of words, which tells a text whose words stand in
@@ -31,15 +30,14 @@ from pyspark.sql.types import StructField, StructType
 from provisio.llm import spread, storage
 from provisio.llm.words import Texts, inside, mix, slices, windows
 
-#: Bits of a symbol, and symbols of a run.
+#: Bits of a kind, and symbols of a run.
 BITS, ORDER = 6, 4
-CLASSES = 1 << BITS
 
 SYMBOLS = b"#*$%&|<>"
 
 
 def _classes() -> np.ndarray:
-    """Symbol of each byte."""
+    """Kinds of bytes: a coarser alphabet, which ``codes`` and ``KneserNey`` take by default; the rules don't use it."""
     out = np.full(256, 35, np.uint8)
     out[[0x20, 9, 11, 12, 13]] = 0
     out[10] = 1
@@ -57,19 +55,22 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: The model's own symbols: every byte is one, so no two letters, digits or signs are alike.  At most 8 bits, so that ORDER of them are a 32-bit code.
+BYTES, BYTE_BITS = np.arange(256, dtype=np.uint8), 8
+_IS_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
 
-def codes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def codes(texts: Texts, symbol: np.ndarray = _CLASS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all runs of symbols of each text, between leading spaces and a closing one; where each text's begin."""
     n = np.diff(texts.at)
-    out = np.zeros(len(texts.data) + ORDER * len(n), np.uint32)
-    out[np.arange(len(texts.data)) + np.repeat(ORDER * np.arange(len(n)) + ORDER - 1, n)] = _CLASS[texts.data]
+    out = np.full(len(texts.data) + ORDER * len(n), symbol[0x20], np.uint32)
+    out[np.arange(len(texts.data)) + np.repeat(ORDER * np.arange(len(n)) + ORDER - 1, n)] = symbol[texts.data]
     size = max(0, len(out) - ORDER + 1)
     runs = np.zeros(size, np.uint32)
     for k in range(ORDER):
-        runs = runs << np.uint32(BITS) | out[k : k + size]
+        runs = runs << np.uint32(bits) | out[k : k + size]
     # runs that reach into the next text are left out: the last ones of each text
     whole = np.ones(size, bool)
     ends = texts.at[1:] + ORDER * np.arange(1, len(n) + 1)
@@ -86,30 +87,41 @@ def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first) if len(key) else n
 
 
+#: Runs that a task counts before it passes them on, about.
+HELD = 1 << 21
+
+
 def counted(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, code, n) over all texts, combined in each task before it is shuffled; a null language is one of its own."""
+    """(lang, code, n) of runs of bytes over all texts, combined in each task before it is shuffled; a null language is one of its own."""
+    width = np.uint64(BYTE_BITS * ORDER)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name: dict[str | None, int] = {}
-        held, fresh = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, fresh = none, []
 
         def whole() -> tuple[np.ndarray, np.ndarray]:
             return _added(*(np.concatenate(x) for x in zip(held, *fresh, strict=True)))
 
+        def told(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(name), pa.string())
+            for low in range(0, len(key), 1 << 16):
+                k = key[low : low + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array((k >> width).astype(np.int64))), pa.array((k & np.uint64((1 << BYTE_BITS * ORDER) - 1)).astype(np.int64)), pa.array(n[low : low + len(k)])], names=["lang", "code", "n"])
+
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                runs, at = codes(texts)
+                runs, at = codes(texts, BYTES, BYTE_BITS)
                 lang = np.array([name.setdefault(x, len(name)) for x in part.column(0).to_pylist()], np.uint64)
-                fresh.append(np.unique(np.repeat(lang << np.uint64(BITS * ORDER), np.diff(at)) | runs, return_counts=True))
+                fresh.append(np.unique(np.repeat(lang << width, np.diff(at)) | runs, return_counts=True))
                 if len(fresh) == 16:
                     held, fresh = whole(), []
-        key, n = whole()
-        names = pa.array(list(name), pa.string())
-        for low in range(0, len(key), 1 << 16):
-            k = key[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array((k >> np.uint64(BITS * ORDER)).astype(np.int64))), pa.array((k & np.uint64(CLASSES**ORDER - 1)).astype(np.int32)), pa.array(n[low : low + len(k)])], names=["lang", "code", "n"])
+                    if len(held[0]) > HELD:  # what is told in parts is added up by Spark
+                        yield from told(*held)
+                        held = none
+        yield from told(*whole())
 
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "lang string, code int, n long")
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "lang string, code long, n long")
     return rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -127,38 +139,40 @@ class KneserNey:
     codes and their log probabilities; of the contexts of k symbols, the sorted codes and their log back-off weights.
 
     ``base``: log probabilities of single symbols that the shortest runs back off to; equal ones by default.
+    ``bits``: of a symbol.
     """
 
-    def __init__(self, code: np.ndarray, n: np.ndarray, base: np.ndarray | None = None):
+    def __init__(self, code: np.ndarray, n: np.ndarray, base: np.ndarray | None = None, bits: int = BITS):
+        self.bits = bits
         held = [_added(code.astype(np.uint32), n.astype(np.float64))]
         for k in range(ORDER - 1, 0, -1):  # shorter runs count the different symbols before them
-            shorter = held[-1][0] & np.uint32((1 << BITS * k) - 1)
+            shorter = held[-1][0] & np.uint32((1 << bits * k) - 1)
             held.append(_added(shorter, np.ones(len(shorter))))
-        self.base = np.full(CLASSES, -np.log(CLASSES)) if base is None else base
+        self.base = np.full(1 << bits, -bits * np.log(2)) if base is None else base
         self.levels: list[tuple[np.ndarray, ...]] = []
         for k, (seen, c) in enumerate(reversed(held)):
             of = [max(1, int((c == j).sum())) for j in (1, 2, 3, 4)]
             y = of[0] / (of[0] + 2 * of[1])
             discount = np.array([0.0, *(min(j - 0.05, max(0.05, j - (j + 1) * y * of[j] / of[j - 1])) for j in (1, 2, 3))])
             taken = discount[np.minimum(c, 3).astype(int)]
-            context, total = _added(seen >> np.uint32(BITS), c)
-            weight = _added(seen >> np.uint32(BITS), taken)[1] / total
-            at = np.searchsorted(context, seen >> np.uint32(BITS))
-            less = np.exp(self._logp(seen & np.uint32((1 << BITS * k) - 1), k - 1))
+            context, total = _added(seen >> np.uint32(bits), c)
+            weight = _added(seen >> np.uint32(bits), taken)[1] / total
+            at = np.searchsorted(context, seen >> np.uint32(bits))
+            less = np.exp(self._logp(seen & np.uint32((1 << bits * k) - 1), k - 1))
             p = (c - taken) / total[at] + weight[at] * less
             self.levels.append((seen, np.log(p).astype(np.float32), context, np.log(weight).astype(np.float32)))
 
     def _logp(self, code: np.ndarray, k: int) -> np.ndarray:
         if k < 0:
-            return self.base[code & np.uint32(CLASSES - 1)] if len(code) else np.zeros(0)
+            return self.base[code & np.uint32(len(self.base) - 1)] if len(code) else np.zeros(0)
         seen, logp, context, weight = self.levels[k]
         at, has = _find(seen, code)
         out = np.zeros(len(code))
         out[has] = logp[at[has]]
         if not has.all():
             rest = code[~has]
-            back, known = _find(context, rest >> np.uint32(BITS))
-            shorter = rest & np.uint32((1 << BITS * k) - 1) if k else rest
+            back, known = _find(context, rest >> np.uint32(self.bits))
+            shorter = rest & np.uint32((1 << self.bits * k) - 1) if k else rest
             out[~has] = np.where(known, weight[back] if len(weight) else 0.0, 0.0) + self._logp(shorter, k - 1)
         return out
 
@@ -168,7 +182,7 @@ class KneserNey:
 
     def singles(self) -> np.ndarray:
         """Log probabilities of single symbols."""
-        return self._logp(np.arange(CLASSES, dtype=np.uint32), 0)
+        return self._logp(np.arange(len(self.base), dtype=np.uint32), 0)
 
 
 def base_counts(texts: Texts) -> dict[str, np.ndarray]:
@@ -239,6 +253,8 @@ def _chosen(column: Column, told: dict, of, otherwise: float) -> Column:
 MOST_SENT = 10_000
 #: A language with one in so many of all symbols has its model sent to all tasks; texts of the others are dealt to theirs.
 SHARE = 64
+#: Runs of all models together that are sent to all tasks; the largest models that fit are, languages in order of their size.
+SENT = 1 << 21
 #: Symbols of a light language that a task scores, about.
 DEALT = 1 << 28
 
@@ -255,41 +271,50 @@ def _with_bands(rows: DataFrame, bands: DataFrame, languages: int, total: int) -
 
 
 class _Models(NamedTuple):
-    """``base``: log probabilities of single symbols in all languages; ``heavy``: a condition on ``lang``; ``shared``: the heavy languages' models; ``total``: symbols."""
+    """``base``: log probabilities of single symbols in all languages; ``heavy``: a condition on ``lang``; ``shared``: the heavy languages' models; ``large``: (lang, salts) of the light ones whose texts more than one task scores; None where all are heavy."""
 
     base: np.ndarray | None
     heavy: Column
     shared: Broadcast
-    has_light: bool
-    total: int
+    large: DataFrame | None
+
+
+def _model(code: np.ndarray, n: np.ndarray, base: np.ndarray | None) -> KneserNey:
+    return KneserNey(code, n, base, BYTE_BITS)
 
 
 def _models(runs: DataFrame) -> _Models:
     """From runs (lang, code, n)."""
-    whole = runs.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most 64**4 rows
-    base = KneserNey(whole["code"].to_numpy(), whole["n"].to_numpy()).singles() if len(whole) else None
-    total = int(whole["n"].sum())
-    del whole
-    sizes = runs.groupBy("lang").agg(F.sum("n").alias("size"))
-    heavy = [r["lang"] for r in sizes.where(F.col("size") * SHARE >= total).select("lang").collect()]
+    # single symbols are counted by the different ones before them: at most 256**2 pairs
+    pairs = runs.select((F.col("code") % (1 << 2 * BYTE_BITS)).alias("pair")).distinct().toPandas()["pair"].to_numpy()
+    base = _model(pairs, np.ones(len(pairs)), None).singles() if len(pairs) else None
+    sizes = storage.written(runs.groupBy("lang").agg(F.sum("n").alias("size"), F.count("*").alias("runs")), "language-sizes")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    heavy, room = [], SENT
+    for r in sizes.where(F.col("size") * SHARE >= total).orderBy(F.desc("size"), "lang").collect():  # SHARE at most
+        if r["runs"] <= room:
+            heavy.append(r["lang"])
+            room -= r["runs"]
     is_heavy = F.coalesce(F.col("lang").isin(*[x for x in heavy if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in heavy))
-    held = runs.where(is_heavy).toPandas()  # at most 64**4 rows a language
-    models = {None if x is None or x != x else x: KneserNey(g["code"].to_numpy(), g["n"].to_numpy(), base) for x, g in held.groupby("lang", dropna=False)}
-    return _Models(base, is_heavy, runs.sparkSession.sparkContext.broadcast(models), not sizes.where(~is_heavy).isEmpty(), total)
+    held = runs.where(is_heavy).toPandas()  # at most SENT rows
+    models = {None if x is None or x != x else x: _model(g["code"].to_numpy(), g["n"].to_numpy(), base) for x, g in held.groupby("lang", dropna=False)}
+    light = sizes.where(~is_heavy)
+    large = light.where(F.col("size") > DEALT).select("lang", (1 + F.floor(F.col("size") / DEALT)).cast("int").alias("salts"))
+    return _Models(base, is_heavy, runs.sparkSession.sparkContext.broadcast(models), None if light.isEmpty() else large)
 
 
 def _scored(rows: DataFrame, runs: DataFrame, models: _Models, schema: StructType) -> DataFrame:
     """The measures of rows (id, lang, text and more), each by the model of its language.
 
-    Models of heavy languages, of which there are SHARE at most, reach every task.  Those of light ones are
-    sent to the tasks that hold their texts: a light language's texts are dealt to as many tasks as
-    its size asks for, and each of them reads the model, then its texts, as a stream.
+    Models of heavy languages, of which there are SHARE at most with SENT runs, reach every task.  Those of
+    light ones are sent to the tasks that hold their texts: a light language's texts are dealt to as many
+    tasks as its size asks for, and each of them reads the model, then its texts, as a stream.
     """
-    base, is_heavy, shared, has_light, total = models
+    base, is_heavy, shared, large = models
     spark = rows.sparkSession
 
     def measured(part: pa.RecordBatch, texts: Texts, of: dict) -> pa.RecordBatch:
-        found, (seen, at) = base_counts(texts), codes(texts)
+        found, (seen, at) = base_counts(texts), codes(texts, BYTES, BYTE_BITS)
         lang = part.column(1).to_pylist()
         logp = np.zeros(len(seen))
         for x in set(lang):
@@ -299,7 +324,7 @@ def _scored(rows: DataFrame, runs: DataFrame, models: _Models, schema: StructTyp
         upto = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[at])
         total = upto(logp)
         # first symbols of words: after white space, and none themselves
-        starts = ((seen >> np.uint32(BITS)) & np.uint32(CLASSES - 1) < 2) & (seen & np.uint32(CLASSES - 1) >= 2)
+        starts = _IS_SPACE[(seen >> np.uint32(BYTE_BITS)) & np.uint32(255)] & ~_IS_SPACE[seen & np.uint32(255)]
         words = np.maximum(found["n_words"], 1)
         return pa.RecordBatch.from_arrays(
             [part.column(0), part.column(1), *(pa.array(found[k].astype(np.int64)) for k in BASE), pa.array(-total / np.maximum(np.diff(at), 1)), pa.array(-total / words), pa.array(-upto(logp * starts) / np.maximum(upto(starts), 1)), *part.columns[3:]],
@@ -312,7 +337,7 @@ def _scored(rows: DataFrame, runs: DataFrame, models: _Models, schema: StructTyp
                 yield measured(part, texts, shared.value)
 
     out = rows.where(is_heavy).mapInArrow(score, schema)
-    if not has_light:
+    if large is None:
         return out
 
     names = rows.columns
@@ -331,16 +356,22 @@ def _scored(rows: DataFrame, runs: DataFrame, models: _Models, schema: StructTyp
                         yield measured(part, texts, {lang: own})
                 else:  # a model comes before its texts
                     lang = langs[low]
-                    own = KneserNey(*(np.frombuffer(batch.column(batch.schema.get_field_index(c))[low].as_py(), k) for c, k in (("codes", np.uint32), ("counts", np.int64))), base)
+                    own = None  # one model at a time
+                    own = _model(*(np.frombuffer(batch.column(batch.schema.get_field_index(c))[low].as_py(), k) for c, k in (("codes", np.uint32), ("counts", np.int64))), base)
                 low = i
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": frame["lang"].iloc[:1], "codes": [frame["code"].to_numpy(np.uint32).tobytes()], "counts": [frame["n"].to_numpy(np.int64).tobytes()]})
 
-    salts, parts = 1 + total // SHARE // DEALT, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def salted(df: DataFrame) -> DataFrame:
+        """With the number of tasks that a language's texts are dealt to; DEALT symbols go to one, so few languages have more."""
+        many = large.select(F.col("lang").alias("__lang"), "salts")
+        return df.join(F.broadcast(many), F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = runs.where(~is_heavy).groupBy("lang").applyInPandas(packed, "lang string, codes binary, counts binary")
-    sent = sent.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), "kind": F.lit(0)})
-    light = rows.where(~is_heavy).withColumns({"salt": F.pmod(F.xxhash64("text", "id"), F.lit(salts)).cast("int"), "kind": F.lit(1)})
+    sent = salted(sent).withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "kind": F.lit(0)}).drop("salts")
+    light = salted(rows.where(~is_heavy)).withColumns({"salt": F.pmod(F.xxhash64("text", "id"), F.col("salts")).cast("int"), "kind": F.lit(1)}).drop("salts")
     dealt = light.unionByName(sent, allowMissingColumns=True).repartition(parts, "lang", "salt").sortWithinPartitions("lang", "salt", "kind")
     return out.unionByName(dealt.mapInArrow(score_dealt, schema))
 

@@ -734,6 +734,57 @@ def test_quality_bands_follow_the_spread_of_a_length(spark):
     assert sum(not r.kept for i, r in got.items() if i < 1000) <= 2
 
 
+def test_every_letter_is_a_symbol_of_the_model(spark, monkeypatch):
+    """Capitals, digits, signs and the bytes of longer letters are counted apart, also where a task passes its counts on in parts."""
+    texts = ["AB ab 12", "BA ba 21", "ключ КЛЮЧ", "ÀÐà §", "日本語 本日", "a\tb\nc", "", None]
+    rows = [(t, "x" if i % 2 else None) for i, t in enumerate(texts * 40)]
+    want = Counter()
+    for text, lang in rows:
+        b = b"   " + (text or "").encode() + b" "
+        want.update((lang, int.from_bytes(b[i : i + 4])) for i in range(len(b) - 3))
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    assert {(r.lang, r.code): r.n for r in quality_rules.counted(docs).collect()} == want
+    monkeypatch.setattr(quality_rules, "HELD", 3)
+    monkeypatch.setattr(words_module, "SLICE_BYTES", 1)
+    monkeypatch.setattr(quality_rules, "slices", lambda batch, column: words_module.slices(batch, column, 1))
+    assert {(r.lang, r.code): r.n for r in quality_rules.counted(docs).collect()} == want
+
+
+def test_texts_that_differ_within_a_kind_of_letters(spark):
+    """Random capitals, digits and letters of two bytes are unusual, though each is of the kind that was to come."""
+    rng = random.Random(9)
+    known = ["".join(rng.choice(["ба", "не", "ти", "мо", "ки", "ле", "де"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    places = ["PARIS", "LIMA", "OSLO", "QUITO", "CAIRO", "1984", "2001"]
+
+    def text(strange) -> str:
+        return " ".join(strange(w) for w in rng.choices(known, k=50) + rng.choices(places, k=50))
+
+    usual = [text(str) for _ in range(300)]
+    swap = lambda w: w.translate({c: 0x410 + rng.randrange(32) for c in range(0x430, 0x440)})
+    other = lambda w: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isascii() and c.isalpha() else str(rng.randrange(10)) if c.isdigit() else c for c in w)
+    rows = [(i, t, "x") for i, t in enumerate([*usual, *(text(swap) for _ in range(9)), *(text(other) for _ in range(9))])]
+    got = by_id(quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert sum(got[i].kept for i in range(300)) >= 297
+    assert not any(got[i].kept for i in range(300, 318))
+
+
+def test_large_models_are_dealt(spark, monkeypatch):
+    """Models with more runs than are sent to all tasks travel to their texts, of which several tasks score a share; the results stay."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(5, 60))), (None, "big", "big", "y")[i % 4]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = lambda: {r.doc_id: (r.lang, r.kept, *(round(r[k], 9) for k in quality_rules.MEASURES)) for r in quality_rules.apply_rules(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()}
+    sent = found()
+    monkeypatch.setattr(quality_rules, "SENT", 20_000)
+    monkeypatch.setattr(quality_rules, "DEALT", 5_000)
+    runs = quality_rules.counted(docs)
+    models = quality_rules._models(runs)
+    held = {r.lang: r.runs for r in runs.groupBy("lang").agg(F.count("*").alias("runs")).collect()}
+    assert sum(held[x] for x in models.shared.value) <= 20_000 < sum(held.values()) and models.large.count() > 0
+    assert found() == sent and len(sent) == 300
+
+
 # -- 10 ------------------------------------------------------------------------------------------
 
 PATTERNS = {

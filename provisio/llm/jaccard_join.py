@@ -12,7 +12,7 @@
 4. The first queries of a group are the smallest classes of its members' keys; what links is
    joined into components.  Most near copies of a text are done here, by one query.
 5. Only classes that share a key across components are left.  Their shingles are ordered rarest
-   first, and two sets that link must share one of the first n - ceil(n * threshold) + 1 of them.
+   first (by the doublings of their frequency), and two sets that link must share one of the first n - ceil(n * threshold) + 1 of them.
    Groups that share such a shingle meet in pairs, the members of one as queries of the other.
 
 So every link comes from an opened group, no list of all pairs of a group is ever written, and
@@ -36,6 +36,8 @@ from provisio.llm.words import Texts, inside, mix, slices, trim, windows
 
 #: About as many classes make a group; tokens of queries that a matrix has columns for (one longer query is taken whole).
 GROUP, COLUMNS = 64, 1 << 16
+#: Bits of a shingle's hash in its rank; the others hold the doublings of its frequency.
+RANK_BITS = 57
 
 
 def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(g.view(np.int64)))], names=["id", "content", "n", "tokens"])
 
     found = docs.mapInArrow(measure, "id long, content long, n long, tokens array<long>").join(wanted, ["id", "content"])
-    return found.select("class", "n", "tokens").dropDuplicates(["class"])
+    # a class has one id and text: rows that repeat them meet where the join has brought them, without another shuffle of the tokens
+    return found.dropDuplicates(["id", "content"]).select("class", "n", "tokens")
 
 
 def open_groups(queries: list[np.ndarray], members: list[np.ndarray], query_comp: np.ndarray, member_comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -180,16 +183,23 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
 
 def _classes(docs: DataFrame, size: int, percent: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Every row (id, content, n, d1, d2), and every class (d1, d2, n, root, component): ``component`` is the smallest id of all with its ``root``."""
-    read = storage.written(_keys(docs, size, bands_for(percent, rows), rows), "shingle-keys")
-    real = read.where("n > 0 and id is not null")
-    classes = real.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "content", "keys")).alias("x"))
-    classes = storage.written(classes.select("d1", "d2", "n", F.xxhash64("d1", "d2", "n").alias("class"), "x.*"), "shingle-classes")
-    held = classes.select("class", "n", F.explode("keys").alias("key"))
+    spark = docs.sparkSession
+    keyed = storage.Scratch(_keys(docs, size, bands_for(percent, rows), rows), "shingle-keys")
+    read = storage.written(keyed.df.drop("keys"), "shingle-rows")
+    classes = keyed.df.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "content", "keys")).alias("x"))
+    with_keys = storage.Scratch(classes.select("d1", "d2", "n", F.xxhash64("d1", "d2", "n").alias("class"), "x.*"), "keys-of-classes")
+    keyed.drop()
+    classes = storage.written(with_keys.df.drop("keys"), "shingle-classes")
+    storage.tidied(spark)  # of keys and tokens, only what is still read stays on disk
+    held = with_keys.df.select("class", "n", F.explode("keys").alias("key"))
     # tables are written before they are joined on a frequent value, so that its rows can be split
     hubs = storage.written(held.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub"), "key-hubs")
     near = storage.written(held.join(hubs, "key"), "shared-keys")
+    with_keys.drop()
+    storage.tidied(spark)
     wanted = near.select("class").distinct().join(classes.select("class", "id", "content"), "class")
     sets = storage.written(_sets(docs.where(F.col("id").isNotNull()), wanted, size), "shingle-sets")
+    storage.tidied(spark)
 
     # groups: of one hub, and sizes that differ by less than half of what the threshold allows
     ratio = (100 / percent) ** 0.5 if percent < 100 else 1.0001
@@ -205,20 +215,25 @@ def _classes(docs: DataFrame, size: int, percent: int, rows: int) -> tuple[DataF
     inside_ = member.join(asking.select("grp"), "grp", "left_semi").select(F.col("grp").alias("task"), "class", F.lit(1).alias("side"))
     rows_ = queries.unionByName(inside_).join(sets.select("class", "tokens"), "class").withColumn("comp", F.col("class"))
     links = storage.written(_opened(rows_, percent), "first-links")
+    storage.tidied(spark)
     comp = storage.written(components(links), "first-components")
     named = lambda df: df.join(comp.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
 
     # classes that share a key with another component
     mixed = storage.written(named(near.select("key", "class")).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key"), "mixed-keys")
     left = storage.written(named(near.join(mixed, "key", "left_semi").select("class").distinct().join(member, "class")), "left-classes")
-    spread = sets.join(left, "class").select("class", sets["n"], "grp", "comp", F.explode("tokens").alias("token"))
+    spread = sets.join(left.select("class"), "class").select("class", F.explode("tokens").alias("token"))
     often = storage.written(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
-    shared = spread.join(often, "token").groupBy("class", "n", "grp", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    storage.tidied(spark)
+    # a number that orders by the doublings of a shingle's frequency, then by its hash; where two shingles have one number, more is compared
+    rank = F.shiftleft(F.floor(F.log2("df")).cast("long"), RANK_BITS) + F.shiftrightunsigned("token", 64 - RANK_BITS)
+    shared = spread.join(often, "token").select("class", rank.alias("t")).groupBy("class").agg(F.array_sort(F.collect_list("t")).alias("t")).join(left, "class")
     # rarest first: the unshared ones, then by frequency
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
-    prefix = shared.select("grp", "n", "comp", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("x")).select("grp", "n", "comp", "x.token")
+    prefix = shared.select("grp", "n", "comp", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("token"))
     posting = prefix.groupBy("token", "grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     posting = storage.written(posting, "rare-shingles")
+    storage.tidied(spark)
     other = posting.select("token", *(F.col(c).alias(f"{c}2") for c in ("grp", "low", "high", "least", "most")))
     may = (F.col("grp") <= F.col("grp2")) & (F.greatest("high", "high2") > F.least("low", "low2"))
     may &= (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
@@ -227,11 +242,12 @@ def _classes(docs: DataFrame, size: int, percent: int, rows: int) -> tuple[DataF
     sides = pairs.select("task", "grp", F.lit(0).alias("side")).unionByName(pairs.select("task", F.col("grp2").alias("grp"), F.lit(1).alias("side")))
     rows_ = sides.join(left.select("grp", "class", "comp"), "grp").join(sets.select("class", "tokens"), "class")
     more = storage.written(_opened(rows_, percent), "further-links")
+    storage.tidied(spark)
 
     comp = storage.written(components(links.unionByName(more)).select(F.col("node").alias("class"), F.col("component").alias("root")), "components")
     label = storage.written(classes.select("d1", "d2", "n", "class", "id", "content").join(comp, "class", "left").withColumn("root", F.coalesce("root", "class")), "class-roots")
     least = storage.written(label.groupBy("root").agg(F.min("id").alias("component")), "component-names")
-    return read.drop("keys"), storage.written(label.join(least, "root").select("d1", "d2", "n", "root", "component"), "shingle-components")
+    return read, storage.written(label.join(least, "root").select("d1", "d2", "n", "root", "component"), "shingle-components")
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

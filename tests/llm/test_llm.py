@@ -260,6 +260,32 @@ def test_open_groups_connects_all():
     assert all(near(a, b) for a, b in found)
     assert smallest(range(50), found) == smallest(range(50), [(a, b) for a in range(50) for b in range(a) if near(a, b)])
 
+def test_near_copies_leave_no_keys_on_disk(spark, tmp_path, monkeypatch):
+    """The keys of all texts are dropped once used; shingles of one rank cost comparisons, and no link."""
+    rng = random.Random(21)
+    line = [f"w{rng.randrange(400)}" for _ in range(30)]
+    texts = []
+    for _ in range(60):
+        w = rng.choices(line, k=12) + line[:8] + [f"v{rng.randrange(90)}" for _ in range(rng.randint(5, 40))]
+        texts += [" ".join(w), " ".join(w[:-1] + ["x"]), " ".join([*w[:6], "y", *w[7:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    found = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((up[a], up[b]))
+                up = [low if x == high else x for x in up]
+    want = {i: (len(x), up[i]) for i, x in enumerate(sets)}
+    assert found() == want and len(set(up)) < len(up)
+    columns = {p.name.rsplit("-", 1)[0]: set(spark.read.parquet(str(p)).columns) for p in tmp_path.iterdir()}
+    assert not any("keys" in x for x in columns.values()) and "shingle-sets" in columns
+    monkeypatch.setattr(jaccard_join, "RANK_BITS", 3)
+    assert found() == want
+
+
 
 # -- 3 and 5 -------------------------------------------------------------------------------------
 

@@ -16,6 +16,7 @@ is measured on the documents of each length.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -283,11 +284,24 @@ def _model(code: np.ndarray, n: np.ndarray, base: np.ndarray | None) -> KneserNe
     return KneserNey(code, n, base, BYTE_BITS)
 
 
+def _singles(pairs: pa.Table) -> pa.Table:
+    """Log probabilities of single symbols, from the distinct pairs."""
+    code = pairs["pair"].to_numpy()
+    return pa.table({"base": pa.array([_model(code, np.ones(len(code)), None).singles().astype(np.float64).tobytes()], pa.binary())})
+
+
+def _made(runs: pa.Table, base: np.ndarray | None) -> pa.Table:
+    """A language's model, pickled."""
+    own = _model(runs["code"].to_numpy(), runs["n"].to_numpy(), base)
+    return pa.table({"lang": runs["lang"].slice(0, 1), "model": pa.array([pickle.dumps(own, pickle.HIGHEST_PROTOCOL)], pa.binary())})
+
+
 def _models(runs: DataFrame) -> _Models:
     """From runs (lang, code, n)."""
     # single symbols are counted by the different ones before them: at most 256**2 pairs
-    pairs = runs.select((F.col("code") % (1 << 2 * BYTE_BITS)).alias("pair")).distinct().toPandas()["pair"].to_numpy()
-    base = _model(pairs, np.ones(len(pairs)), None).singles() if len(pairs) else None
+    pairs = runs.select((F.col("code") % (1 << 2 * BYTE_BITS)).alias("pair")).distinct()
+    found = pairs.groupBy().applyInArrow(_singles, "base binary").first()
+    base = np.frombuffer(found["base"], np.float64) if found else None
     sizes = storage.written(runs.groupBy("lang").agg(F.sum("n").alias("size"), F.count("*").alias("runs")), "language-sizes")
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     heavy, room = [], SENT
@@ -296,8 +310,9 @@ def _models(runs: DataFrame) -> _Models:
             heavy.append(r["lang"])
             room -= r["runs"]
     is_heavy = F.coalesce(F.col("lang").isin(*[x for x in heavy if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in heavy))
-    held = runs.where(is_heavy).toPandas()  # at most SENT rows
-    models = {None if x is None or x != x else x: _model(g["code"].to_numpy(), g["n"].to_numpy(), base) for x, g in held.groupby("lang", dropna=False)}
+    # made by tasks, so that the driver gets arrays for at most SENT runs, and no rows
+    made = runs.where(is_heavy).groupBy("lang").applyInArrow(lambda table: _made(table, base), "lang string, model binary")
+    models = {r["lang"]: pickle.loads(r["model"]) for r in made.toLocalIterator()}
     light = sizes.where(~is_heavy)
     large = light.where(F.col("size") > DEALT).select("lang", (1 + F.floor(F.col("size") / DEALT)).cast("int").alias("salts"))
     return _Models(base, is_heavy, runs.sparkSession.sparkContext.broadcast(models), None if light.isEmpty() else large)

@@ -811,6 +811,39 @@ def test_large_models_are_dealt(spark, monkeypatch):
     assert found() == sent and len(sent) == 300
 
 
+def test_models_are_made_by_tasks(spark, monkeypatch):
+    """No runs reach the driver as rows, whatever their number; a model is that of its language's runs, a null language's too."""
+    rng = random.Random(17)
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0x430, 0x450))]
+    rows = [(" ".join("".join(rng.choices(letters, k=6)) for _ in range(40)), (None, "big", "y")[i % 3]) for i in range(90)]
+    runs = storage.written(quality_rules.counted(spark.createDataFrame(rows, "text string, lang string").repartition(3)), "test-runs")
+    own = {x: [(r.code, r.n) for r in runs.where(F.col("lang").eqNullSafe(F.lit(x))).collect()] for x in (None, "big", "y")}
+    kind, came = type(runs), []
+
+    def counting(name):
+        inner = getattr(kind, name)
+
+        def call(self, *args, **more):
+            out = inner(self, *args, **more)
+            came.append(len(out))
+            return out
+
+        return call
+
+    for name in ("collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(kind, name, counting(name))
+    models = quality_rules._models(runs)
+    assert sum(map(len, own.values())) > 10_000 and sum(came) < 100
+    held = models.shared.value
+    assert held.keys() == own.keys() and models.large is None
+    pairs = np.array(sorted({code & 0xFFFF for x in own.values() for code, _ in x}))
+    base = quality_rules.KneserNey(pairs, np.ones(len(pairs)), None, 8).singles()
+    assert np.array_equal(models.base, base)
+    for lang, x in own.items():
+        code, n = (np.array(c) for c in zip(*x, strict=True))
+        assert np.array_equal(held[lang].logp(code), quality_rules.KneserNey(code, n, base, 8).logp(code))
+
+
 # -- 10 ------------------------------------------------------------------------------------------
 
 PATTERNS = {

@@ -198,7 +198,13 @@ def numbered(held: DataFrame, grid: Grid, parts: int) -> DataFrame:
 _ASKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("codes", "n", "each", "doc", "times", "known", "base"))])
 
 
-def asked(held: DataFrame, words: DataFrame, grid: Grid) -> DataFrame:
+def met(held: DataFrame, words: DataFrame) -> DataFrame:
+    """(chunk, held, n, tokens, words): chunks with the numbers of their words."""
+    its = words.where(F.col("chunk").isNotNull()).groupBy("chunk").agg(F.collect_list(F.struct("shard", "place", "n")).alias("words"))
+    return held.select("chunk", "held", "n", "tokens").join(its, "chunk").select("chunk", "held", "n", "tokens", "words")
+
+
+def asked(rows: DataFrame, grid: Grid) -> DataFrame:
     """(bucket, chunk, codes, n, each, doc, times): a chunk's pairs, their training counts, how many of its texts hold each, which, and how often.
 
     One more row of a chunk, with ``known`` and ``base``, holds the sums of its texts that need no pairs.
@@ -238,8 +244,6 @@ def asked(held: DataFrame, words: DataFrame, grid: Grid) -> DataFrame:
                 yield _table(rows, _ASKED)
         trim()
 
-    its = words.where(F.col("chunk").isNotNull()).groupBy("chunk").agg(F.collect_list(F.struct("shard", "place", "n")).alias("words"))
-    rows = held.select("chunk", "held", "n", "tokens").join(its, "chunk").select("chunk", "held", "n", "tokens", "words")
     return rows.mapInArrow(ask, "bucket int, chunk long, " + ", ".join(f"{x} binary" for x in _ASKED.names[2:]))
 
 
@@ -470,13 +474,19 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     totals = words.df.where(F.col("chunk").isNull()).select("shard", "size", "tokens", "words").collect()  # a row for each shard
     grid.number({r["shard"]: r["size"] for r in totals})
     n, v = sum(r["tokens"] for r in totals), sum(r["words"] for r in totals)
+    storage.tidied(spark)
+    # written, so that word lists and their shuffles leave the disk before the pairs come
+    ready = storage.Scratch(met(cut.df, words.df), "lm-numbered")
     texts = storage.Scratch(cut.df.select("chunk", "ids", "held", "n"), "lm-texts")
-    buckets = storage.Scratch(merged(asked(cut.df, words.df, grid), grid, parts), "lm-buckets", by="kind")
     for x in (cut, words):
         x.drop()
     storage.tidied(spark)
+    buckets = storage.Scratch(merged(asked(ready.df, grid), grid, parts), "lm-buckets", by="kind")
+    ready.drop()
+    storage.tidied(spark)
     sampler = Sampler(buckets.df, grid, parts, v, strength)
     samples = sampler.sampled(burn, kept)
+    storage.tidied(spark)
     sums = storage.Scratch(gathered(summed(buckets.df, sampler, samples, parts), buckets.df, parts), "lm-sums")
     for x in (buckets, sampler.fixed, *(y for s in samples for y in s[:2])):
         x.drop()

@@ -579,6 +579,31 @@ def plain_sampler(tokens: dict, held: dict, burn: int = 3, kept: int = 8, theta:
     return {i: sum(math.log10(mean[x] / kept) for x in zip([None, *ws], ws, strict=False)) for i, ws in tokens.items()}
 
 
+def test_lm_scoring_drops_what_was_read(spark, tmp_path, monkeypatch):
+    """Word lists and finished shuffles leave the disk before pairs are merged, and the sweeps' before texts are summed."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=30))) for i in range(40)]
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    seen: list[tuple[str, set[str]]] = []
+    tables = lambda: {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+
+    class Watched(storage.Scratch):
+        def __init__(self, df, name, by=None):
+            seen.append((name, tables()))
+            super().__init__(df, name, by)
+
+    monkeypatch.setattr(storage, "Scratch", Watched)
+    tidied = storage.tidied
+    monkeypatch.setattr(storage, "tidied", lambda s: (seen.append(("tidied", tables())), tidied(s)))
+    assert len(lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()) == 40
+    order = [name for name, _ in seen]
+    there = dict(seen)
+    assert not there["lm-buckets"] & {"lm-chunks", "lm-words"} and "lm-numbered" not in there["lm-sums"]
+    for name in ("lm-numbered", "lm-buckets", "lm-sums"):
+        assert order[order.index(name) - 1] == "tidied"
+    assert tables() == {"lm-texts", "lm-sums"}
+
+
 def test_lm_scoring_without_training(spark):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
     docs = spark.createDataFrame([(held[0], "a b"), (None, None), (held[1], "")], "doc_id long, text string")

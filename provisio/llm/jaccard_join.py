@@ -64,6 +64,16 @@ def bands_for(percent: int, rows: int) -> int:
     return math.ceil(-12 * math.log(10) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
 
 
+def _digest(g: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit digests of each set of shingles; zeros for an empty one."""
+    some = np.flatnonzero(np.diff(at))
+    digest = np.zeros((2, len(at) - 1), np.uint64)
+    if len(some):
+        digest[0, some] = np.add.reduceat(mix(g), at[some])
+        digest[1, some] = np.add.reduceat(mix(g ^ np.uint64(0xD6E8FEB86659FD93)), at[some])
+    return [pa.array(d.view(np.int64)) for d in digest]
+
+
 def _keys(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(id, content, n, d1, d2, keys): the text's hash, the set's size, its digest and its keys."""
     rng = np.random.default_rng(11)
@@ -75,36 +85,34 @@ def _keys(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 g, at = shingles(texts, size)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                keys, digest = np.zeros((len(n), bands), np.uint64), np.zeros((2, len(n)), np.uint64)
+                keys = np.zeros((len(n), bands), np.uint64)
                 if len(some):
                     for b in range(bands):
                         key = np.full(len(some), b + 1, np.uint64)
                         for f in factor[b * rows : (b + 1) * rows]:
                             key = mix(key + np.minimum.reduceat(g * f, at[some]))
                         keys[some, b] = key
-                    digest[0, some] = np.add.reduceat(mix(g), at[some])
-                    digest[1, some] = np.add.reduceat(mix(g ^ np.uint64(0xD6E8FEB86659FD93)), at[some])
                 held = np.where(n > 0, bands, 0)
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(held))).astype(np.int32), pa.array(keys[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digest), lists], names=["id", "content", "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)), *_digest(g, at), lists], names=["id", "content", "n", "d1", "d2", "keys"])
 
     return docs.mapInArrow(measure, "id long, content long, n long, d1 long, d2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, n, tokens) of the texts that stand for the wanted classes (class, id, content)."""
-    has = bitmap(wanted, "content")
+    """(class, tokens) of the texts that stand for the wanted classes (class, row)."""
+    has = bitmap(wanted, "row")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(has(batch.column(2).to_numpy())))
-            for part, texts in slices(batch, "text"):
+            batch = batch.filter(pa.array(has(batch.column(0).to_numpy())))
+            for _, texts in slices(batch, "text"):
                 g, at = shingles(texts, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at).astype(np.int64)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(g.view(np.int64)))], names=["id", "content", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(at).astype(np.int64)), *_digest(g, at), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(g.view(np.int64)))], names=["n", "d1", "d2", "tokens"])
 
-    found = docs.mapInArrow(measure, "id long, content long, n long, tokens array<long>").join(wanted, ["id", "content"])
-    # a class has one id and text: rows that repeat them meet where the join has brought them, without another shuffle of the tokens
-    return found.dropDuplicates(["id", "content"]).select("class", "n", "tokens")
+    found = docs.select(F.xxhash64("id", "content").alias("row"), "text").mapInArrow(measure, "n long, d1 long, d2 long, tokens array<long>")
+    # tokens are shuffled once, by class: copies meet where the join has brought them, and buckets by class are written from there
+    return found.select(F.xxhash64("d1", "d2", "n").alias("class"), "tokens").join(wanted.select("class").hint("merge"), "class").dropDuplicates(["class"])
 
 
 def open_groups(queries: list[np.ndarray], members: list[np.ndarray], query_comp: np.ndarray, member_comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -197,8 +205,11 @@ def _classes(docs: DataFrame, size: int, percent: int, rows: int) -> tuple[DataF
     near = storage.written(held.join(hubs, "key"), "shared-keys")
     with_keys.drop()
     storage.tidied(spark)
-    wanted = near.select("class").distinct().join(classes.select("class", "id", "content"), "class")
-    sets = storage.written(_sets(docs.where(F.col("id").isNotNull()), wanted, size), "shingle-sets")
+    wanted = near.select("class").distinct().join(classes.select("class", F.xxhash64("id", "content").alias("row")), "class")
+    wanted = storage.written(wanted, "wanted-classes")
+    # of all that is shuffled, sets are the largest by far: they are kept by class, and what is joined to them goes to where they lie
+    bucketed = storage.Bucketed(_sets(docs.where(F.col("id").isNotNull()), wanted, size), "shingle-sets", "class")
+    sets = bucketed.df
     storage.tidied(spark)
 
     # groups: of one hub, and sizes that differ by less than half of what the threshold allows
@@ -242,6 +253,7 @@ def _classes(docs: DataFrame, size: int, percent: int, rows: int) -> tuple[DataF
     sides = pairs.select("task", "grp", F.lit(0).alias("side")).unionByName(pairs.select("task", F.col("grp2").alias("grp"), F.lit(1).alias("side")))
     rows_ = sides.join(left.select("grp", "class", "comp"), "grp").join(sets.select("class", "tokens"), "class")
     more = storage.written(_opened(rows_, percent), "further-links")
+    bucketed.forget()
     storage.tidied(spark)
 
     comp = storage.written(components(links.unionByName(more)).select(F.col("node").alias("class"), F.col("component").alias("root")), "components")

@@ -56,6 +56,23 @@ class Scratch:
         dropped(self.spark, self.path)
 
 
+class Bucketed:
+    """A table of the shared folder in buckets by a column, as many as a shuffle has partitions: a join on that column shuffles the other side only.
+
+    Spark knows buckets by its catalog, so the table has a name there until it is forgotten; its files stay.
+    """
+
+    def __init__(self, df: DataFrame, name: str, column: str):
+        self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
+        self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.format("parquet").bucketBy(parts, column).option("path", self.path).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def forget(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+
+
 def tidied(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that nothing holds any more; it does so when the driver collects its garbage."""
     gc.collect()

@@ -286,6 +286,37 @@ def test_near_copies_leave_no_keys_on_disk(spark, tmp_path, monkeypatch):
     assert found() == want
 
 
+def test_near_copies_shuffle_sets_once_by_class(spark):
+    """Where no table is small enough to be broadcast, sets are not shuffled again for each join on their class; copies and repeated rows make no difference."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for p in (0, 0.003, 0.02, 0.02, 0.03, 0.03):
+            w = [f"x{rng.randrange(10**6)}" if rng.random() < p else x for x in base]
+            texts += [" ".join(w), "\t".join(w)]
+    rows = list(enumerate(texts))
+    sets = {i: shingles(t) for i, t in rows}
+    want = smallest(sets, [(a, b) for a in sets for b in range(a + 1, a // 12 * 12 + 12) if linked(sets[a], sets[b])])
+    held = 8 * sum(len(s) for s in {frozenset(s) for s in sets.values()})
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    wrote = lambda: sum(executors().apply(i).totalShuffleWrite() for i in range(executors().size()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = wrote()
+        got = jaccard_join.join(spark.createDataFrame(rows + rows[:5], "doc_id long, text string")).collect()
+        time.sleep(2)  # figures come by way of Spark's listeners
+        moved = (wrote() - began) / held
+        bucketed = storage.Bucketed(spark.range(100).withColumnRenamed("id", "class"), "by-class", "class")
+        plan = bucketed.df.join(spark.range(50).withColumnRenamed("id", "class"), "class")._jdf.queryExecution().executedPlan().toString()
+        bucketed.forget()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(rows) + 5 and {r.doc_id: r.component_id for r in got} == want
+    assert plan.count("Exchange hashpartitioning") == 1 and not spark.catalog.listTables(pattern="*_*")
+    assert moved < 8.2, moved
+
 
 # -- 3 and 5 -------------------------------------------------------------------------------------
 
